@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,24 @@ def longs(values) -> Column:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+
+
+def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
+    """Rows through Python in Arrow batches. start() is called once for each task and gives a function from a list of tuples to a list of tuples.
+
+    Batches hold a thousand rows at most, so that very long texts don't meet in memory by the ten thousand.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))])
+
+    def run(batches):
+        body = start()
+        for batch in batches:
+            out = body(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            columns = list(zip(*out, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return df.mapInArrow(run, schema)
