@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, idstore, packing, pii, quality, sharding, spotsigs
+from .common import cut, shared_dir, table
+
 
-from . import quality, sharding, spotsigs
-from .common import table
+def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op3_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +23,30 @@ def op4_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pack_by_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    idstore.write(table(spark, sf_dir, "documents"), path)
+    return idstore.digests(spark, path)
+
+
+def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(fixed).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = cut(chat.format_conversations(rows), "chat")
+    return chat.read_back(formatted)
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_shard_by_splitters, op4_risk_controlled_quality, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op8_chat_masks, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
