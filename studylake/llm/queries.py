@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, idstore, packing, pii, quality, sharding, spotsigs
+from . import chat, idstore, minhash, packing, pii, quality, sharding, spotsigs
 from .common import cut, shared_dir, table
 
 
@@ -41,12 +41,16 @@ def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted)
 
 
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_semi_markov, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op8_chat_masks, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op8_chat_masks, op9_weighted_minhash, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
