@@ -62,46 +62,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(shared, lambda n: n / (F.size(a) + F.size(b) - n)))
 
 
-def beside_next(docs: DataFrame, block: int = 256) -> DataFrame:
-    """Per document its text and signatures and, as next_text and next_sigs, those of the next id (after the last: the first).
-
-    Ids are dealt in blocks of consecutive ids, so no task needs them all; the last row of a block takes the first of the
-    next block that has rows. Rows of one id are ordered by their text.
-    """
-    text = text_of(docs)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.floor(docs["doc_id"] / block), F.lit(-1)).alias("block"))
-    signed = own.withColumn("sigs", signatures(F.col("text")))
-    order = Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), "text")
-    row = F.struct(F.col("text"), F.col("sigs"))
-    lined = signed.withColumns({"next": F.lead(row).over(order), "last": F.lead(F.lit(1)).over(order).isNull()})
-    heads = own.groupBy("block").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("i"), F.col("text").alias("t"))).alias("head"))
-    heads = cut(heads.select("block", F.col("head.t").alias("text")), "spot-heads")
-    # The next block with rows: within a thousand blocks by a window, across them by a window over one row for each thousand.
-    many = heads.select("block", F.floor(F.col("block") / 1000).alias("span"))
-    spans = many.groupBy("span").agg(F.min("block").alias("low"))
-    over = Window.orderBy("span")
-    spans = spans.select("span", F.coalesce(F.lead("low").over(over), F.first("low").over(over)).alias("then"))
-    follows = many.withColumn("follow", F.lead("block").over(Window.partitionBy("span").orderBy("block"))).join(spans, "span").select(F.col("block").alias("of"), F.coalesce("follow", "then").alias("follow"))
-    follows = follows.join(heads.select(F.col("block").alias("follow"), signatures(F.col("text")).alias("s"), F.col("text").alias("t")), "follow").select("of", F.struct(F.col("t").alias("text"), F.col("s").alias("sigs")).alias("head"))
-    inner = lined.where(~F.col("last")).select("doc_id", "text", "sigs", "next")
-    edge = lined.where("last").join(follows, F.col("block") == F.col("of")).select("doc_id", "text", "sigs", F.col("head").alias("next"))
-    return inner.unionByName(edge).select("doc_id", "text", "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
-
-
 def edited(text: Column, following: Column) -> Column:
     """The last quarter of the code points replaced by the first as many of the following text."""
     n = F.floor(F.length(text) / 4).cast("int")
     return F.concat(F.substring(text, F.lit(1), F.length(text) - n), F.substring(following, F.lit(1), n))
 
 
-def compare_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    pairs = beside_next(docs)
-    out = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", let(edited(F.col("text"), F.col("next_text")), lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signatures(e).alias("sigs"))).alias("e"))
-    return out.select(
-        "doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("e.sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("e.sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"),
-    )
+def _following(blocks: DataFrame) -> DataFrame:
+    """block, follow: the next block that has rows, the first after the last. Within a thousand blocks by a window, across them by a window over one row for each thousand."""
+    many = blocks.select("block", F.floor(F.col("block") / 1000).alias("span"))
+    over = Window.orderBy("span")
+    spans = many.groupBy("span").agg(F.min("block").alias("low")).select("span", F.coalesce(F.lead("low").over(over), F.first("low").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("then"))
+    return many.withColumn("follow", F.lead("block").over(Window.partitionBy("span").orderBy("block"))).join(spans, "span").select("block", F.coalesce("follow", "then").alias("follow"))
+
+
+def _compared(pairs: DataFrame, near_next: Column) -> list[Column]:
+    return [
+        F.col("doc_id"), F.length("text").cast("long").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("e.sigs")).alias("edited_fingerprint"),
+        likeness(F.col("sigs"), F.col("e.sigs")).alias("near_edited"), near_next.alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"),
+    ]
+
+
+def compare_edits(docs: DataFrame, block: int = 256) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures: each text against itself edited and against the text of the next id (after the last: the first).
+
+    Ids are dealt in blocks of consecutive ids, so that texts are shuffled once and no task needs them all; the last row of a
+    block meets the first of the next block with rows afterwards. Rows of one id are ordered by their text.
+    """
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), F.coalesce(F.floor(docs["doc_id"] / block), F.lit(-(2**62))).alias("block"))
+    order = Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), "text")
+    edit = lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signatures(e).alias("sigs"))
+    lined = own.withColumns({"next": F.lead("text").over(order), "nth": F.row_number().over(order)})
+    signed = lined.select("doc_id", "text", "block", "next", "nth", signatures(F.col("text")).alias("sigs"), F.when(F.col("next").isNotNull(), let(edited(F.col("text"), F.col("next")), edit)).alias("e"))
+    signed = signed.withColumn("next_sigs", F.lead("sigs").over(order))
+    edge = (F.col("nth") == 1) | F.col("next").isNull()
+    inner = cut(signed.select(*_compared(signed, likeness(F.col("sigs"), F.col("next_sigs"))), "block", (F.col("nth") == 1).alias("head"), F.col("next").isNull().alias("last"), F.when(edge, F.col("text")).alias("text")), "spots")
+    heads = inner.where("head").select(F.col("block").alias("follow"), F.col("text").alias("next"))
+    ends = inner.where("last").select("doc_id", "text", "block")
+    ends = ends.join(_following(inner.where("head").select("block")), "block").join(heads, "follow")
+    ends = ends.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), let(edited(F.col("text"), F.col("next")), edit).alias("e"), signatures(F.col("next")).alias("next_sigs"))
+    done = inner.where(~F.col("last")).drop("block", "head", "last", "text")
+    return done.unionByName(ends.select(*_compared(ends, likeness(F.col("sigs"), F.col("next_sigs")))))
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
