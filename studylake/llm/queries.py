@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, idstore, minhash, packing, pii, quality, sharding, spotsigs
+from . import chat, idstore, lmscore, minhash, nbest, packing, pii, quality, sharding, spotsigs
 from .common import cut, shared_dir, table
 
 
@@ -15,6 +15,10 @@ def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_shard_by_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.digests(spark, path)
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(fixed).alias("text"))
@@ -50,7 +58,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_semi_markov, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op8_chat_masks, op9_weighted_minhash, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
