@@ -40,16 +40,34 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A stretch that is one piece of the patterns' split, in letters that lower case and normalisation treat one by one.
+ONE = re.compile(rf" ?[{LETTERS}]+")
+
+
+def _bytes_as_letters() -> list[str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
 class _Memo(dict):
     """Two generations: when the young one is full it becomes the old one, and what is used again comes back from there."""
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    def __init__(self, found, lower: bool):
+        self.encode, self.merge, self.lower, self.old = found.encode, found.model.tokenize, lower, {}
+        self.letters = _bytes_as_letters()
+
+    def ids(self, stretch: str) -> list[int]:
+        if ONE.fullmatch(stretch):  # straight to the library's merges, without its split of the text
+            data = (stretch.strip().lower() if self.lower else stretch).encode()
+            return [t.id for t in self.merge("".join(map(self.letters.__getitem__, data)))]
+        return self.encode(stretch, add_special_tokens=False).ids
 
     def __missing__(self, stretch: str) -> bytes:
         found = self.old.get(stretch)
         if found is None:
-            found = np.array(self.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+            found = np.array(self.ids(stretch), "<u4").tobytes()
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
@@ -61,6 +79,6 @@ class _Memo(dict):
 def encoder(name: str):
     """text -> its ids as little-endian unsigned 32-bit integers."""
     found = tokenizer(path_of(name))
-    memo, cut = _Memo(found.encode), (BARE if name.startswith("word") else STRETCH).findall
+    memo, cut = _Memo(found, name.startswith("word")), (BARE if name.startswith("word") else STRETCH).findall
     get = memo.__getitem__
     return lambda text: b"".join(map(get, cut(text)))
