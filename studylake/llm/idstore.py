@@ -1,14 +1,15 @@
 """A content-addressed store of token ids.
 
 Documents are encoded, and a rolling hash over the last ids cuts each id stream where the hash has zeros, so that equal
-passages give equal chunks wherever they stand. The store has three tables of Parquet files:
+passages give equal chunks wherever they stand. The store has these tables of Parquet files:
 
-  chunks     digest (SHA-256 of the bytes), ids (little-endian unsigned 32-bit): each chunk once
-  recipes    root, n_tokens, digests: how a document's ids are put together, once for each distinct document; root = Merkle root of the digests
-  documents  doc_id, start, n_tokens, root: in ascending doc_id order; start = ids of all documents before it
-  manifest   block, n_docs, n_tokens, root: Merkle root of a block of consecutive documents; the row without a block holds the root of all blocks
+  kind=chunk   key (SHA-256 of ids), n_tokens, ids: each chunk once; ids is a byte that says how many bytes an id takes (2 or 4), then the ids, little-endian
+  kind=recipe  key (root), n_tokens, digests: how a document's ids are put together, once for each distinct document; root = Merkle root of the digests
+  documents    doc_id, start, n_tokens, root: in ascending doc_id order; start = ids of all documents before it
+  manifest     block, n_docs, n_tokens, root: Merkle root of a block of consecutive documents; the row without a block holds the root of all
 
-Reading joins recipes with chunks, checks each chunk against its digest and each document against its root, and fails on any difference.
+Reading checks each chunk against its digest and each document against its root, and fails on any difference. read() gives
+the ids themselves; digests() needs only their checksums, so it reads each chunk once and combines the chunks' checksums.
 
 Nulls: a null text is empty (the end id alone); documents with a null id come first. Repeated rows are stored as documents of their own that share one recipe; rows of one id are
 ordered by root. An empty table gives an empty store. Columns besides doc_id and text are not read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,22 +29,22 @@ from .common import map_rows, text_of
 from .tokens import encoder
 
 END = 2
-#: Rolling hash: window in ids, zero bits asked for, least and most ids of a chunk.
-ROLL, BITS, LEAST, MOST = 16, 9, 128, 4096
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(ROLL)], np.uint64)
+#: Rolling hash: zero bits asked for, least and most ids of a chunk. It takes in the last 16 ids, by doubling.
+BITS, LEAST, MOST = 9, 128, 4096
+FACTORS = [(1 << k, np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64))) for k in range(4)]
 DOCS_PER_BLOCK = 1024
+POLYNOMIAL = 0xEDB88320
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ROLL ids has BITS zeros on top, but LEAST ids apart; MOST at the latest."""
+    """Ends of the chunks: where the hash of the last ids has BITS zeros on top, but LEAST ids apart; MOST at the latest."""
     n = len(ids)
     ends = []
     if n > LEAST:
-        h = np.zeros(n, np.uint64)
-        x = (ids.astype(np.uint64) + np.uint64(1)) * FACTOR
-        for back, power in enumerate(POWERS):
-            h[back:] += x[: n - back] * power
+        h = (ids.astype(np.uint64) + np.uint64(1)) * FACTORS[0][1]
+        for back, factor in FACTORS:
+            older = h[:-back] * factor
+            h[back:] += older
         at = 0
         for e in (np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + 1).tolist():
             while e - at > MOST:
@@ -65,46 +67,64 @@ def merkle(leaves: list[bytes]) -> bytes:
     return hashlib.sha256(b"\2" + level[0]).digest()
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """A chunk's bytes."""
+    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or int(ids.max()) < 65536 else b"\4" + ids.astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> bytes:
+    """A chunk's ids as little-endian unsigned 32-bit integers."""
+    return data[1:] if data[0] == 4 else np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document its root and recipe; its chunks' bytes only where this task has not yet given them."""
+    """Rows of kind document (key: a number of its own, digests: its root), recipe and chunk; a task gives each recipe and chunk about once."""
 
     def start():
-        encode, end, seen = encoder(vocabulary), np.array([END], "<u4").tobytes(), set()
+        import pyspark
+
+        encode, end, seen, task, count = encoder(vocabulary), np.array([END], "<u4").tobytes(), set(), pyspark.TaskContext.get().partitionId(), iter(range(1 << 62))
 
         def body(rows):
             out = []
             for doc, text in rows:
-                data = encode(text) + end
-                ids, found, fresh, at = np.frombuffer(data, "<u4"), [], [], 0
+                ids, found, at = np.frombuffer(encode(text) + end, "<u4"), [], 0
                 for e in cut_points(ids):
-                    part = data[4 * at : 4 * e]
+                    part = packed(ids[at:e])
                     found.append(d := hashlib.sha256(part).digest())
-                    fresh.append(None if d in seen else part)
-                    seen.add(d)
+                    if d not in seen:
+                        seen.add(d)
+                        out.append(("chunk", d, None, e - at, None, part))
                     at = e
+                root = merkle(found)
+                if root not in seen:
+                    seen.add(root)
+                    out.append(("recipe", root, None, len(ids), found, None))
+                out.append(("document", b"%d-%d" % (task, next(count)), doc, len(ids), [root], None))
                 if len(seen) > 200_000:
                     seen.clear()
-                out.append((doc, len(ids), merkle(found), found, fresh))
             return out
 
         return body
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_rows(plain, start, "doc_id long, n_tokens long, root binary, digests array<binary>, parts array<binary>")
+    return map_rows(plain, start, "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, ids binary")
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") -> None:
-    """Write the store under path."""
+    """Write the store under path. The ids are shuffled once, by digest, and written once."""
     spark = docs.sparkSession
-    _encoded(docs, vocabulary).write.option("compression", "zstd").parquet(f"{path}/staged")
-    staged = spark.read.parquet(f"{path}/staged")
-    parts = staged.select(F.explode(F.arrays_zip("digests", "parts")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.parts").alias("ids")).where(F.col("ids").isNotNull())
-    parts.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    staged.select("root", "n_tokens", "digests").dropDuplicates(["root"]).write.parquet(f"{path}/recipes")
-    started(staged.select("doc_id", "n_tokens", "root")).write.parquet(f"{path}/documents")
+    once = _encoded(docs, vocabulary).repartition("kind", "key").dropDuplicates(["kind", "key"])
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
+    started(_kind(spark, path, "document").select("doc_id", "n_tokens", F.get("digests", F.lit(0)).alias("root"))).write.parquet(f"{path}/documents")
     _manifest(spark.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
 
 
+def _kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    stored = spark.read.schema("key binary, doc_id long, n_tokens long, digests array<binary>, ids binary, kind string")
+    return stored.parquet(f"{path}/store").where(F.col("kind") == kind)
+
+
 def started(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, root in ascending doc_id order; sums run within blocks of ids, then over block sums."""
     block = F.coalesce(F.floor(F.col("doc_id") / DOCS_PER_BLOCK), F.lit(-(2**62)))
@@ -129,39 +149,88 @@ def _manifest(documents: DataFrame) -> DataFrame:
     return blocks.unionByName(top.select(F.lit(None).cast("long").alias("block"), "n_docs", "n_tokens", "root"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary): every document, verified."""
-    documents, contents = spark.read.parquet(f"{path}/documents"), contents_of(spark, path)
-    return documents.join(contents, "root").select("doc_id", "start", "n_tokens", "ids")
+def _combined(rows: DataFrame, join, schema: str) -> DataFrame:
+    """rows: root, n_tokens, parts (array of pos, digest, n, value) -> (root, join(parts)), where the digests give the root and the lengths the count."""
+    columns = ["pos", "digest", "n", "value"]
+    flat = rows.select("root", "n_tokens", *(F.transform("parts", (lambda c: lambda p: p[c])(c)).alias(c) for c in columns[1:]))
+
+    def start():
+        def body(batch):
+            out = []
+            for root, n, found, lengths, values in batch:
+                if merkle(found) != root or sum(lengths) != n:
+                    raise ValueError("a document differs from its Merkle root")
+                out.append((root, join(values, lengths)))
+            return out
 
+        return body
+
+    return map_rows(flat, start, schema)
 
-def _pieced(spark: SparkSession, path: str) -> DataFrame:
-    recipes = spark.read.parquet(f"{path}/recipes").select("root", "n_tokens", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "digest"))
-    chunks = spark.read.parquet(f"{path}/chunks").withColumn("digest", F.when(F.unhex(F.sha2("ids", 256)) == F.col("digest"), F.col("digest")).otherwise(F.raise_error("a chunk differs from its digest").cast("binary")))
-    return recipes.join(chunks, "digest", "left").withColumn("ids", F.coalesce("ids", F.raise_error("a chunk is missing").cast("binary")))
 
+def _recipes(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """root, n_tokens, parts in order. chunks: digest, n, value; a missing one is an error."""
+    pieces = _kind(spark, path, "recipe").select(F.col("key").alias("root"), "n_tokens", F.posexplode("digests").alias("pos", "digest"))
+    met = pieces.join(chunks, "digest", "left").withColumn("n", F.coalesce("n", F.raise_error("a chunk is missing").cast("long")))
+    return met.groupBy("root", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "value"))).alias("parts"))
 
-def contents_of(spark: SparkSession, path: str, reduce=None, schema: str = "root binary, ids binary") -> DataFrame:
-    """Per recipe its ids, or what reduce(ids bytes) makes of them; fails where the digests don't give the root or the count."""
-    grouped = _pieced(spark, path).groupBy("root", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "ids"))).alias("parts"))
-    grouped = grouped.select("root", "n_tokens", F.transform("parts", lambda p: p["digest"]).alias("digests"), F.transform("parts", lambda p: p["ids"]).alias("ids"))
+
+def _chunks(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
+    """digest, n, value = make(ids) of every chunk, checked against its digest."""
 
     def start():
         def body(rows):
             out = []
-            for root, n, found, ids in rows:
-                data = b"".join(ids)
-                if merkle(found) != root or len(data) != 4 * n:
-                    raise ValueError("a document differs from its Merkle root")
-                out.append((root, reduce(data) if reduce else data))
+            for digest, data in rows:
+                if hashlib.sha256(data).digest() != digest:
+                    raise ValueError("a chunk differs from its digest")
+                ids = unpacked(data)
+                out.append((digest, len(ids) // 4, make(ids)))
             return out
 
         return body
 
-    return map_rows(grouped, start, schema)
+    return map_rows(_kind(spark, path, "chunk").select("key", "ids"), start, schema)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit): every document, verified."""
+    recipes = _recipes(spark, path, _chunks(spark, path, lambda ids: ids, "digest binary, n long, value binary"))
+    contents = _combined(recipes, lambda values, _: b"".join(values), "root binary, ids binary")
+    return spark.read.parquet(f"{path}/documents").join(contents, "root").select("doc_id", "start", "n_tokens", "ids")
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo the checksum's, bits reflected."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = (b >> 1) ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+@lru_cache(maxsize=8192)
+def _shift(n: int) -> int:
+    """x to the power 8 n: what n more bytes do to a checksum."""
+    out, square = 1 << 31, 1 << 23  # x^0, x^8
+    while n:
+        if n & 1:
+            out = _times(out, square)
+        square, n = _times(square, square), n >> 1
+    return out
+
+
+def combined_crc(crcs: list[int], lengths: list[int]) -> int:
+    """CRC-32 of the ids of several chunks from the CRC-32 and the number of ids of each."""
+    out = 0
+    for c, n in zip(crcs, lengths, strict=True):
+        out = _times(_shift(4 * n), out) ^ c if out else c
+    return out
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
-    sums = contents_of(spark, path, zlib.crc32, "root binary, ids_crc32 long")
+    recipes = _recipes(spark, path, _chunks(spark, path, zlib.crc32, "digest binary, n long, value long"))
+    sums = _combined(recipes, combined_crc, "root binary, ids_crc32 long")
     return spark.read.parquet(f"{path}/documents").join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
