@@ -7,7 +7,8 @@ that agree on all samples of a band are candidates, and candidates are verified
 
 Copies are one class from the start, and only one of them goes on. Within a bucket of candidates each text is first compared with
 the bucket's first text, so a large group costs one comparison a text; then, in buckets whose texts still belong to several
-classes, every pair of texts from two classes is compared. Classes are the connected components of all links found.
+classes, every pair of texts from two classes is compared: as pairs in small buckets; in larger ones the texts outside the largest class
+meet all texts block by block, so that rows grow with the number of blocks and not of pairs. Classes are the connected components of all links found.
 
 The samples' random numbers come from a table of 2^16 rows that a shingle's hash picks from. The table is a fixed size; two shingles on one row only make candidates likelier.
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -34,16 +34,17 @@ from .components import components
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 4
 BUCKET_BITS, TABLE_BITS, SLICES = 20, 16, 64
-_WORD = re.compile(r"[^ \t-\r]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 400_000
+_MEMO = 600_000
+#: Texts in a block of a large bucket; buckets up to PAIRWISE texts are compared as pairs.
+BLOCK, PAIRWISE = 256, 48
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO:
             self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
 
@@ -52,7 +53,8 @@ _words = _Words()
 
 def shingles(text: str) -> np.ndarray:
     """64-bit hashes of the text's shingles, one for each place."""
-    words = np.fromiter(map(_words.__getitem__, _WORD.findall(text)), np.uint64)
+    parts = text.encode("utf-8", "surrogatepass").split()  # at ASCII blanks, like the other operators
+    words = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
     n = max(1, len(words) - SHINGLE + 1) if len(words) else 0
     h = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(words))):
@@ -173,6 +175,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     return map_rows(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y"), start, "a long, b long, similarity double")
 
 
+def _near_in_blocks(texts: list[str], sides: list[int], reps: list[int], classes: list[int], idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between a left and a right text of different classes: for each left text one to each class it meets. An inverted index of the right texts gives all its similarities at once."""
+    weights = [weighted(t, idf) for t in texts]
+    right = [k for k, side in enumerate(sides) if side]
+    if not right or len(right) == len(sides):
+        return []
+    h = np.concatenate([weights[k][0] for k in right])
+    w = np.concatenate([weights[k][1] for k in right]).astype(np.float64)
+    who = np.repeat(np.arange(len(right)), [len(weights[k][0]) for k in right])
+    order = np.argsort(h, kind="stable")
+    h, w, who = h[order], w[order], who[order]
+    totals = np.bincount(who, w, len(right))
+    names, kinds = np.array([reps[k] for k in right]), np.array([classes[k] for k in right])
+    out = []
+    for k, side in enumerate(sides):
+        if side:
+            continue
+        low, high = np.searchsorted(h, weights[k][0], "left"), np.searchsorted(h, weights[k][0], "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        own = weights[k][1].astype(np.float64)
+        shared = np.bincount(who[at], np.minimum(w[at], np.repeat(own, n)), len(right))
+        near = np.flatnonzero((shared >= least * (totals + own.sum() - shared)) & (kinds != classes[k]))
+        _, first = np.unique(kinds[near], return_index=True)
+        out += [(min(reps[k], int(x)), max(reps[k], int(x))) for x in names[near[first]]]
+    return out
+
+
+def _by_blocks(members: DataFrame, largest: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """Links in large buckets (members: band, key, rep, class). Those outside the bucket's largest class are the left side, all are the right side; each left block meets each right block."""
+    sized = members.join(largest, ["band", "key"])
+    left = F.col("class") != F.col("largest")
+    part = lambda n: F.pmod(F.xxhash64("rep"), n)
+    lefts, rights = F.ceil(F.col("others") / BLOCK), F.ceil(F.col("n") / BLOCK)
+    one = sized.where(left).select("band", "key", "rep", "class", F.lit(0).alias("side"), part(lefts).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"))
+    two = sized.select("band", "key", "rep", "class", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), part(rights).alias("j"))
+    rows = one.unionByName(two).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(t):
+        found = _near_in_blocks(*(t[c].to_pylist() for c in ("text", "side", "rep", "class")), idf.value, least)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id: the smallest id among the documents linked to it."""
     plain = _plain(docs)
@@ -183,30 +230,34 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
             out = []
             for doc, text in rows:
                 h, w = weighted(text, idf.value)
-                out.append((doc, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), bands(h, w) if len(h) else []))
+                out.append((doc, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), float(w.sum(dtype=np.float64)), bands(h, w) if len(h) else []))
             return out
 
         return body
 
-    sketches = cut(map_rows(plain, start, "doc_id long, copy binary, bands array<long>"), "sketches")
-    firsts = sketches.groupBy("copy").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select("copy", F.col("s.doc_id").alias("rep"), F.col("s.bands").alias("bands"))
+    sketches = cut(map_rows(plain, start, "doc_id long, copy binary, weight double, bands array<long>"), "sketches")
+    firsts = sketches.groupBy("copy").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("s")).select("copy", F.col("s.doc_id").alias("rep"), F.col("s.weight").alias("weight"), F.col("s.bands").alias("bands"))
     firsts = cut(firsts, "firsts")
-    each = firsts.where(F.col("rep").isNotNull()).select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = each.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    met = cut(each.join(hubs.drop("n"), ["band", "key"]), "met")
+    each = firsts.where(F.col("rep").isNotNull()).select("rep", "weight", F.posexplode("bands").alias("band", "key"))
+    hubs = each.groupBy("band", "key").agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
+    met = cut(each.join(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.weight").alias("hub_weight")), ["band", "key"]), "met")
     texts = cut(plain.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    stars = cut(met.where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    # Totals further apart than this can't be alike enough.
+    level = lambda x, y: (F.col(x) >= F.col(y) * (least - 1e-6)) & (F.col(y) >= F.col(x) * (least - 1e-6))
+    stars = cut(met.where((F.col("rep") != F.col("hub")) & level("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = cut(_verified(stars, texts, idf, least).select("a", "b"), "links")
     labels = components(links)
     # Buckets whose texts are still in several classes: all pairs of texts from two of them.
-    classed = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("class"))
-    mixed = classed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where(F.col("low") < F.col("high")).select("band", "key")
-    members = cut(classed.join(mixed, ["band", "key"]), "mixed")
-    kinds = members.select("band", "key", "class").distinct()
-    two = kinds.withColumnRenamed("class", "ca").join(kinds.withColumnRenamed("class", "cb"), ["band", "key"]).where(F.col("ca") < F.col("cb"))
-    cross = two.join(members.select("band", "key", F.col("class").alias("ca"), F.col("rep").alias("ra")), ["band", "key", "ca"]).join(members.select("band", "key", F.col("class").alias("cb"), F.col("rep").alias("rb")), ["band", "key", "cb"])
+    classed = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "rep", "weight", F.coalesce("label", "rep").alias("class"))
+    kinds = classed.groupBy("band", "key", "class").agg(F.count("*").alias("k"))
+    mixed = kinds.groupBy("band", "key").agg(F.sum("k").alias("n"), F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("top")).where(F.col("classes") > 1)
+    mixed = cut(mixed.select("band", "key", "n", F.col("top.class").alias("largest"), (F.col("n") - F.col("top.k")).alias("others")), "mixed")
+    few = classed.join(mixed.where(F.col("n") <= PAIRWISE).select("band", "key"), ["band", "key"])
+    side = lambda c: few.select("band", "key", F.col("class").alias(f"c{c}"), F.col("rep").alias(f"r{c}"), F.col("weight").alias(f"w{c}"))
+    cross = side("a").join(side("b"), ["band", "key"]).where((F.col("ca") < F.col("cb")) & level("wa", "wb"))
     cross = cross.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(_verified(cross, texts, idf, least).select("a", "b"), "links")
+    many = mixed.where(F.col("n") > PAIRWISE)
+    more = cut(_verified(cross, texts, idf, least).select("a", "b").unionByName(_by_blocks(classed, many, texts, idf, least)), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     classes = firsts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy", F.coalesce("label", "rep").alias("class_id"))
