@@ -72,9 +72,10 @@ class Pieces:
         for j in range(1, len(s) + 1):
             ahead[j] = max(ahead[i] + score for i, _, score in arcs[j])
         out, ties = [], itertools.count()
-        queue = [(-ahead[len(s)], next(ties), len(s), 0.0, None)]
+        # Among equal estimates the path that is furthest goes on, so ties don't fan out.
+        queue = [(-ahead[len(s)], len(s), next(ties), 0.0, None)]
         while queue and len(out) < n:
-            _, _, at, behind, path = heapq.heappop(queue)
+            _, at, _, behind, path = heapq.heappop(queue)
             if at == 0:
                 ids = []
                 while path:
@@ -83,7 +84,7 @@ class Pieces:
                 out.append((behind, b"".join(ids)))
                 continue
             for i, ids, score in arcs[at]:
-                heapq.heappush(queue, (-(ahead[i] + score + behind), next(ties), i, score + behind, (ids, path)))
+                heapq.heappush(queue, (-(ahead[i] + score + behind), i, next(ties), score + behind, (ids, path)))
         return out
 
     def normal(self, text: str) -> str:
