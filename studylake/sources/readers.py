@@ -57,7 +57,8 @@ def journal(spark: SparkSession, path: str, event: str, stream: bool = False) ->
 def blobs(spark: SparkSession, path: str) -> DataFrame:
     """path, blob_hash (the file's name), length, content of .dcm files below path, temporary folders left out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.dcm").option("recursiveFileLookup", "true").load(path)
-    return rows.where(~F.col("path").rlike(r"/\.?(tmp|temp)/")).select("path", F.regexp_extract("path", r"([^/]+)\.dcm$", 1).alias("blob_hash"), "length", "content")
+    below = F.substring_index("path", path.rstrip("/").rpartition("/")[2] + "/", -1)
+    return rows.where(~below.rlike(r"(^|/)\.?(tmp|temp)/")).select("path", F.regexp_extract("path", r"([^/]+)\.dcm$", 1).alias("blob_hash"), "length", "content")
 
 
 def sidecar_lines(spark: SparkSession, path: str) -> DataFrame:
