@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return body
 
     sketches = cut(map_rows(plain, start, "doc_id long, copy binary, weight double, bands array<long>"), "sketches")
-    firsts = sketches.groupBy("copy").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("s")).select("copy", F.col("s.doc_id").alias("rep"), F.col("s.weight").alias("weight"), F.col("s.bands").alias("bands"))
+    firsts = sketches.groupBy("copy").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "weight", "bands"))).alias("s")).select("copy", F.col("s.doc_id").alias("rep"), F.col("s.weight").alias("weight"), F.col("s.bands").alias("bands"))
     firsts = cut(firsts, "firsts")
     each = firsts.where(F.col("rep").isNotNull()).select("rep", "weight", F.posexplode("bands").alias("band", "key"))
     hubs = each.groupBy("band", "key").agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
