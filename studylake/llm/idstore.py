@@ -117,7 +117,11 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") ->
     once = _encoded(docs, vocabulary).repartition("kind", "key").dropDuplicates(["kind", "key"])
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
     started(_kind(spark, path, "document").select("doc_id", "n_tokens", F.get("digests", F.lit(0)).alias("root"))).write.parquet(f"{path}/documents")
-    _manifest(spark.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
+    _manifest(_documents(spark, path)).write.parquet(f"{path}/manifest")
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, block long").parquet(f"{path}/documents")
 
 
 def _kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -197,7 +201,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit): every document, verified."""
     recipes = _recipes(spark, path, _chunks(spark, path, lambda ids: ids, "digest binary, n long, value binary"))
     contents = _combined(recipes, lambda values, _: b"".join(values), "root binary, ids binary")
-    return spark.read.parquet(f"{path}/documents").join(contents, "root").select("doc_id", "start", "n_tokens", "ids")
+    return _documents(spark, path).join(contents, "root").select("doc_id", "start", "n_tokens", "ids")
 
 
 def _times(a: int, b: int) -> int:
@@ -233,4 +237,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
     recipes = _recipes(spark, path, _chunks(spark, path, zlib.crc32, "digest binary, n long, value long"))
     sums = _combined(recipes, combined_crc, "root binary, ids_crc32 long")
-    return spark.read.parquet(f"{path}/documents").join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _documents(spark, path).join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")

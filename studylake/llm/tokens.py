@@ -18,7 +18,7 @@ WS = "\t-\r \x85\xa0  -     　"
 LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?*#$%&|"
 STRETCH = re.compile(rf"[{WS}]*(?:[{LETTERS}]+(?=[{WS}{MARKS}]|\Z)|[{MARKS}]+(?=[{WS}{LETTERS}]|\Z)|[^{WS}]+)|[{WS}]+")
 BARE = re.compile(rf"[{LETTERS}]+(?=[{WS}{MARKS}]|\Z)|[{MARKS}]+(?=[{WS}{LETTERS}]|\Z)|[^{WS}]+")
-MEMO = 400_000
+MEMO = 700_000
 
 
 @lru_cache(maxsize=4)
