@@ -258,7 +258,7 @@ def test_id_store(spark, texts, hard, nothing, tmp_path):
         if k == 0:
             assert sorted(tuple(r)[:4] for r in sums) == sorted(want)
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in sums) == Counter((a, c, e) for a, _, c, e in want)
-        chunks = spark.read.parquet(f"{path}/store").where("kind = 'chunk'")
+        chunks = idstore._kind(spark, path, "chunk")
         assert chunks.count() == chunks.select("key").distinct().count()
 
 
