@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,5 +62,30 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs)}
 
 
+def _quality_sql() -> str:
+    """op4 in SQL: the same measures, exact binomial tests and choice of cutoffs."""
+    share = quality.LIMIT / len(quality.RULES)
+    each = len(quality.RULES) * len(quality.CUTOFFS)
+    least = math.ceil(math.log(quality.DELTA / each) / math.log1p(-share))
+    ratios = " union all ".join(f"select doc_id, stratum, '{r}' as rule, {e.replace(' / ', '::double / ')} as ratio from m where not base_failed" for r, e in quality.RULES.items())
+    return f"""
+with d as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as w from documents),
+tri as (select doc_id, i, x, count(*) over (partition by doc_id, x) as c from (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as x from d where len(w) > 2)),
+rep as (select doc_id, count(distinct i + k) as n from tri, (values (0), (1), (2)) o(k) where c > 1 group by doc_id),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) as lines from d),
+m as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from (
+  select d.doc_id, stratum, len(w) as n_words, length(regexp_replace(t, '[ \\t-\\r]+', '', 'g')) as word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) as n_symbols, length(t) - length(translate(t, '{quality.CAPITALS}', '')) as n_upper,
+    len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from d join l using (doc_id) left join rep using (doc_id))),
+r as ({ratios}),
+known as (select distinct doc_id, quality > 0 as good from labels where quality is not null),
+g as (select stratum, count(*) filter (good) as n_good from m join known using (doc_id) where not base_failed group by stratum having count(*) filter (good) >= {least}),
+t as (select stratum, rule, c, n_good, count(*) filter (ratio > c and good) as k, count(*) filter (ratio > c and not good) as bad from r join known using (doc_id) join g using (stratum), (select unnest([{', '.join(map(str, quality.CUTOFFS))}]::double[]) as c) group by all),
+p as (select *, list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({share}::double) + (n_good - i) * ln(1 - {share}::double)))) as tail from t where bad > 0),
+cut as (select stratum, rule, c from p where tail <= {quality.DELTA} / ((select count(*) from g) * {each}) qualify row_number() over (partition by stratum, rule order by k, bad desc, c desc) = 1),
+out as (select distinct doc_id from r join cut using (stratum, rule) where ratio > c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from out) as kept from m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_risk_controlled_quality": _quality_sql()}
