@@ -68,9 +68,9 @@ def test_hard_rows_and_no_rows(spark, hard, nothing):
 
 # 1
 def test_pii_base_spans():
-    text = "mail a.b+c@x-y.co.uk, @b.c, d@e, 1.2.3.4 999.1.1.1 1.2.3.4.5 4111 1111 1111 1111 4111111111111112 +49 (30) 1234-567 +1 2"
-    got = pii.base_spans(text)
-    assert [(k, text[a:b]) for k, a, b in got] == [("email", "a.b+c@x-y.co.uk"), ("ip", "1.2.3.4"), ("ip", "1.2.3.4"), ("phone", "+49 (30) 1234-567")] or ("card", "4111 1111 1111 1111") in [(k, text[a:b]) for k, a, b in got]
+    text = "mail a.b+c@x-y.co.uk, @b.c, d@e; 1.2.3.4, 999.1.1.1, 1.2.3.4.5; 4111 1111 1111 1111; 4111111111111112; +49 (30) 1234-567; +1 2"
+    got = [(k, text[a:b]) for k, a, b in pii.base_spans(text)]
+    assert got == [("email", "a.b+c@x-y.co.uk"), ("ip", "1.2.3.4"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 1234-567")]
 
 
 @given(st.text("a@.1 +-()9", max_size=40))
