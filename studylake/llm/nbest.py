@@ -108,16 +108,16 @@ class Pieces:
 
 
 class _Memo(dict):
-    """stretch -> its n best; two generations, so that its size is bounded and frequent stretches stay."""
+    """stretch -> best score, its ids, what the second best costs; two generations, so that its size is bounded and frequent stretches stay."""
 
-    def __init__(self, pieces: Pieces, n: int, keep: int = 150_000):
-        self.pieces, self.n, self.keep, self.old = pieces, n, keep, {}
+    def __init__(self, pieces: Pieces, keep: int = 300_000):
+        self.pieces, self.keep, self.old = pieces, keep, {}
 
     def __missing__(self, s: str):
         found = self.old.get(s)
         if found is None:
-            best = self.pieces.best(s, self.n)
-            found = (best[0][0], best[0][1], best[0][0] - best[1][0] if len(best) > 1 else float("inf"), best)
+            best = self.pieces.best(s, 2)
+            found = (best[0][0], best[0][1], best[0][0] - best[1][0] if len(best) > 1 else float("inf"))
         if len(s) > 64:
             return found
         if len(self) >= self.keep:
@@ -133,29 +133,31 @@ def pieces_of(model: str) -> Pieces:
 
 
 @lru_cache(maxsize=2)
-def _memo(model: str, n: int) -> _Memo:
-    return _Memo(pieces_of(model), n)
+def _memo(model: str) -> _Memo:
+    return _Memo(pieces_of(model))
 
 
 def segment(text: str, model: str, n: int) -> list[tuple[float, bytes]]:
     """The n best segmentations of a whole text: (score, ids as little-endian 32-bit integers)."""
-    memo = _memo(model, n)
-    parts = [memo[s] for s in memo.pieces.stretch(memo.pieces.normal(text))]
+    memo = _memo(model)
+    stretches = memo.pieces.stretch(memo.pieces.normal(text))
+    parts = [memo[s] for s in stretches]
     ids, score = [p[1] for p in parts], sum(p[0] for p in parts)
     gaps = np.fromiter((p[2] for p in parts), np.float64, len(parts))
     # n segmentations can differ from the best only in the n - 1 stretches where the second best costs least.
     few = sorted(np.argpartition(gaps, n - 1)[: n - 1].tolist() if len(gaps) > n - 1 else range(len(gaps)), key=lambda k: (gaps[k], k))
+    best = {k: memo.pieces.best(stretches[k], n) for k in few}
     ways = []
-    for choice in itertools.product(*(range(len(parts[k][3])) for k in few)):
+    for choice in itertools.product(*(range(len(best[k])) for k in few)):
         if np.prod([c + 1 for c in choice]) <= n:  # a way with more better ones than n isn't among the n best
-            ways.append((sum(parts[k][0] - parts[k][3][c][0] for k, c in zip(few, choice, strict=True)), choice))
+            ways.append((sum(parts[k][0] - best[k][c][0] for k, c in zip(few, choice, strict=True)), choice))
     out = []
     for cost, choice in sorted(ways)[:n]:
         row = ids
         if any(choice):
             row = list(ids)
             for k, c in zip(few, choice, strict=True):
-                row[k] = parts[k][3][c][1]
+                row[k] = best[k][c][1]
         out.append((score - cost, b"".join(row)))
     return out
 
