@@ -1,13 +1,16 @@
 """Stupid-backoff language-model scores.
 
 The model is the corpus itself, less the document that is scored: a bigram seen in another document scores c(vw) / c(v), any other
-ALPHA times the word's share of all words (ALPHA squared over the number of words for a word of no other document). Words whose share of the corpus is below 1 / 10^6 are one
-word, so the vocabulary has a million entries at most at any size of the data and is sent to every task; all words are counted and scored.
+ALPHA times the word's share of all words (ALPHA squared over the number of words for a word of no other document). Every word and every bigram counts at any size of the
+data; words are told apart by 63 bits of their hash.
 
-Bigrams above 1 / 10^5 of all are counted first (both their words must be as frequent) and looked up by each task too: at most 10^5 of them.
-The others are exploded per document and dealt by hash. Each part counts its bigrams, joins the counts back to the exploded rows and sums per document, and
-the sums meet by document; no bigram has more than a 10^5th of the rows, so parts stay even. The number of parts follows the number of words. Exploded rows travel as
-packed columns, one row for each batch of documents and part.
+Words above 1 / 10^6 of all (a million at most) have numbers, and their counts are sent to every task. Bigrams above 1 / 10^5 of all are counted first (both their words must be as
+frequent) and looked up by each task too: at most 10^5 of them. Both tables only save rows: no score depends on what they hold.
+
+The other bigrams are exploded per document and dealt by hash: a bigram of two numbered words by its own hash, one with a rare word to the part of that word, one of two rare words to
+both their parts. A part also gets how often each document has each of its rare words, so it counts its rare words and its bigrams, joins the counts back to the exploded rows and sums
+per document, and the sums meet by document. No bigram dealt has more than a 10^5th of the rows and no rare word more than a 10^6th of the words, so parts stay even. The number of
+parts follows the number of words; a task takes its parts one after the other and adds up its documents' sums. Exploded rows travel as packed columns, one row for each batch of documents and part.
 
 Nulls: a null text counts as empty; an empty text has no tokens and a score of 0. Rows with a null id, and repeated rows, are scored each for itself. An empty table gives an
 empty result. Columns besides doc_id and text are not read.
@@ -15,6 +18,8 @@ empty result. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -28,7 +33,7 @@ ALPHA = 0.4
 WORD_SHARE, PAIR_SHARE, ID_BITS = 1e-6, 1e-5, 20
 #: Exploded rows in a part, about.
 PART = 1_000_000
-MASK, FACTOR = (1 << ID_BITS) - 1, np.uint64(0x9E3779B97F4A7C15)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Ids(dict):
@@ -41,7 +46,7 @@ class _Ids(dict):
         found = self.old.get(word)
         if found is None:
             h = xxhash.xxh64_intdigest(word) - (1 << 63)
-            found = self.lookup(h) if self.lookup else h
+            found = (self.lookup(h) or h | -(1 << 63)) if self.lookup else h  # rare words are negative
         if len(self) >= 400_000:
             self.old = dict(self)
             self.clear()
@@ -92,10 +97,10 @@ def _counted(rows: DataFrame, numbers) -> DataFrame:
 
 
 def _vocabulary(words: DataFrame, total: int):
-    """Sorted hashes of the words in the vocabulary and all counts by number; number 0 is any other word."""
+    """Sorted hashes of the numbered words and their counts by number, from 1."""
     kept = words.where(F.col("n") >= max(1.0, WORD_SHARE * total)).orderBy("key").toArrow()
     hashes, counts = kept["key"].to_numpy(), kept["n"].to_numpy()
-    return hashes, np.concatenate([[total - counts.sum()], counts]).astype(np.int64)
+    return hashes, np.concatenate([[0], counts]).astype(np.int64)
 
 
 def _finder(hashes: np.ndarray):
@@ -106,29 +111,129 @@ def _finder(hashes: np.ndarray):
     return lookup
 
 
-def _scored_here(numbers: np.ndarray, counts: np.ndarray, total: int, hot: np.ndarray, hot_counts: np.ndarray):
-    """What a document's score is known to be without the exploded bigrams, how many of its bigrams were seen elsewhere so far; and the exploded bigrams: key, times, how often the document has the first and the second word."""
-    n = len(numbers)
-    if not n:
-        return 0.0, 0, *(np.zeros(0, np.int64),) * 4
-    words, own = np.unique(numbers, return_counts=True)
-    others = counts[words] - own
-    rest = max(1, total - n)
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Fibonacci hashing of the key picks the part."""
+    return ((keys.astype(np.uint64) * FACTOR) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        logs = np.log(others)
-        lone = np.where(others > 0, np.log(ALPHA) + logs, 2 * np.log(ALPHA)) - np.log(rest)
-    score = float(lone[np.searchsorted(words, numbers[0])] - np.log(ALPHA))
-    keys, times = np.unique((numbers[:-1] << ID_BITS) | numbers[1:], return_counts=True)
-    v, w = np.searchsorted(words, keys >> ID_BITS), np.searchsorted(words, keys & ((1 << ID_BITS) - 1))
-    score += float((times * lone[w]).sum())
-    less = logs[v] + lone[w]
-    at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
-    known = (hot[at] == keys) if len(hot) else np.zeros(len(keys), bool)
-    elsewhere = np.where(known, (hot_counts[at] if len(hot) else 0) - times, 0)
+        return np.log(counts)
+
+
+def _lone(others: np.ndarray) -> np.ndarray:
+    """A word's score without the bigram before it, times the number of all words."""
+    return np.where(others > 0, np.log(ALPHA) + _logs(others), 2 * np.log(ALPHA))
+
+
+def _scored_here(numbers: np.ndarray, counts: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
+    """What a document's score is known to be without what is exploded, how many of its bigrams were seen elsewhere so far; and what is exploded:
+    bigrams of numbered words (first, second, times, how often the document has each), rare words (hash, how often), and
+    bigrams with a rare word (its place among the rare ones, the other word, times, how often the document has that, whether the rare word is the second)."""
+    if not len(numbers):
+        return 0.0, 0, (np.zeros(0, np.int64),) * 5, (np.zeros(0, np.int64),) * 2, (np.zeros(0, np.int64),) * 5
+    words, at, own = np.unique(numbers, return_inverse=True, return_counts=True)
+    rare = words < 0
+    others = np.where(rare, 1, counts[np.where(rare, 0, words)] - own)  # of a rare word: not known here
+    score = float((own * _lone(others))[~rare].sum() - np.log(ALPHA))
+    pairs, times = np.unique(at[:-1] * len(words) + at[1:], return_counts=True)
+    v, w = pairs // len(words), pairs % len(words)
+    numbered = ~rare[v] & ~rare[w]
+    keys = np.where(numbered, (words[v] << ID_BITS) | words[w], -1)
+    spot = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+    known = (hot[spot] == keys) if len(hot) else np.zeros(len(keys), bool)
+    elsewhere = np.where(known, (hot_counts[spot] if len(hot) else 0) - times, 0)
     seen = elsewhere > 0
-    score += float((times[seen] * (np.log(elsewhere[seen]) - less[seen])).sum())
+    logs = _logs(others)
+    score += float((times[seen] * (np.log(elsewhere[seen]) - logs[v[seen]] - logs[w[seen]])).sum())
     left = ~known & (others[v] > 0) & (others[w] > 0)  # else no other document has the bigram
-    return score, int(times[seen].sum()), keys[left], times[left], own[v[left]], own[w[left]]
+    place = np.cumsum(rare) - 1
+    a, b, c = left & numbered, left & rare[v], left & rare[w]
+    both = lambda x, y: np.concatenate([x, y])
+    mixed = both(place[v[b]], place[w[c]]), both(words[w[b]], words[v[c]]), both(times[b], times[c]), both(own[w[b]], own[v[c]]), np.repeat([0, 1], [b.sum(), c.sum()])
+    return score, int(times[seen].sum()), (words[v[a]], words[w[a]], times[a], own[v[a]], own[w[a]]), (words[rare], own[rare]), mixed
+
+
+#: Packed columns: bigrams of numbered words, rare words, bigrams with a rare word. A document is its row less the batch's first row.
+_KINDS = (("<u4",) * 6, ("<u4", "<i8", "<u4"), ("<u4", "<i8", "<u4", "<u4", "u1"))
+
+
+def _packed(parts: int, rows: list[int], each: list) -> list[tuple[int, bytes]]:
+    """(part, packed columns) for what a batch's documents explode."""
+    first = min(rows)
+    who = [np.full(len(e[0][0]), r - first) for r, e in zip(rows, each, strict=True)]
+    one = [np.concatenate(c) for c in (who, *(zip(*(e[0] for e in each), strict=True)))]
+    who = [np.full(len(e[1][0]), r - first) for r, e in zip(rows, each, strict=True)]
+    two = [np.concatenate(c) for c in (who, *(zip(*(e[1] for e in each), strict=True)))]
+    three = [np.concatenate(c) for c in zip(*(e[2] for e in each), strict=True)]
+    shift = np.cumsum([0, *(len(e[1][0]) for e in each)])[:-1]
+    three[0] = three[0] + np.repeat(shift, [len(e[2][0]) for e in each])
+    of_word = _part(two[1], parts)
+    kinds, starts, home = [], [], of_word[three[0]]
+    for columns, part in ((one, _part((one[1] << ID_BITS) | one[2], parts)), (two, of_word), (three, home)):
+        order = np.argsort(part, kind="stable") if columns is not one else np.lexsort((columns[2], columns[1], part))
+        kinds.append([c[order] for c in columns])
+        starts.append(np.searchsorted(part[order], np.arange(parts + 1)))
+        if columns is two:  # a rare word's place is counted within its part
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order)) - starts[1][part[order]]
+            three[0] = place[three[0]]
+    out = []
+    for p in range(parts):
+        sizes = [int(s[p + 1] - s[p]) for s in starts]
+        if any(sizes):
+            body = (c[s[p] : s[p + 1]].astype(t).tobytes() for columns, s, types in zip(kinds, starts, _KINDS, strict=True) for c, t in zip(columns, types, strict=True))
+            out.append((p, np.array([first, *sizes], np.int64).tobytes() + b"".join(body)))
+    return out
+
+
+def _unpacked(blobs: list[bytes]):
+    """The columns of all blobs of a part, the documents as rows."""
+    kinds, words = ([], [], []), 0
+    for data in blobs:
+        first, *sizes = np.frombuffer(data, np.int64, 4).tolist()
+        at = 32
+        for k, (n, types) in enumerate(zip(sizes, _KINDS, strict=True)):
+            columns = []
+            for t in types:
+                columns.append(np.frombuffer(data, t, n, at).astype(np.int64))
+                at += n * np.dtype(t).itemsize
+            columns[0] += words if k == 2 else first
+            kinds[k].append(columns)
+        words += sizes[1]
+    return [[np.concatenate(c) for c in zip(*k, strict=True)] for k in kinds]
+
+
+def _joined(blobs: list[bytes], counts: np.ndarray):
+    """One part: its words' and bigrams' counts, joined to its exploded rows, summed per document: row, seen bigrams, score."""
+    (who, v, w, times, own_v, own_w), (whose, words, own), (place, other, often, own_other, second) = _unpacked(blobs)
+    _, at = np.unique((v << ID_BITS) | w, return_inverse=True)
+    elsewhere = np.bincount(at, times)[at].astype(np.int64) - times if len(at) else times
+    s = elsewhere > 0
+    gain = times[s] * (np.log(elsewhere[s]) - np.log(counts[v[s]] - own_v[s]) - np.log(counts[w[s]] - own_w[s]))
+    rows, seen, gains = [who[s]], [times[s]], [gain]
+    if len(words):
+        _, at = np.unique(words, return_inverse=True)
+        others = np.bincount(at, own)[at].astype(np.int64) - own
+        rows, seen, gains = [*rows, whose], [*seen, np.zeros(len(own), np.int64)], [*gains, own * _lone(others)]
+    if len(place):
+        key = words[place].astype(np.uint64) * FACTOR
+        key = ((key ^ (key >> np.uint64(29))) + other.astype(np.uint64)) * FACTOR
+        _, at = np.unique((key ^ (key >> np.uint64(32))) * FACTOR + second.astype(np.uint64), return_inverse=True)
+        elsewhere = np.bincount(at, often)[at].astype(np.int64) - often
+        s = elsewhere > 0
+        place, other, often, own_other, second, elsewhere = (c[s] for c in (place, other, often, own_other, second, elsewhere))
+        numbered = other > 0
+        whole = numbered | (second == 0)  # of two rare words, the second's part gives only that word's term
+        known = np.where(numbered, counts[np.where(numbered, other, 0)] - own_other, 1)
+        gain = often * (np.where(whole, np.log(elsewhere), 0) - np.log(others[place]) - np.log(known))
+        rows, seen, gains = [*rows, whose[place]], [*seen, often * whole], [*gains, gain]
+    return _summed(np.concatenate(rows), np.concatenate(seen), np.concatenate(gains))
+
+
+def _summed(rows: np.ndarray, seen: np.ndarray, gains: np.ndarray):
+    names, at = np.unique(rows, return_inverse=True)
+    return names, np.bincount(at, seen, len(names)).astype(np.int64), np.bincount(at, gains, len(names)).astype(np.float64)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -150,7 +255,7 @@ def score(docs: DataFrame) -> DataFrame:
         ids, often = _Ids(_finder(hashes)), counts >= PAIR_SHARE * total
 
         def of(text):
-            x = _numbers(text, ids)
+            x = np.maximum(_numbers(text, ids), 0)
             both = often[x[:-1]] & often[x[1:]]
             return (x[:-1][both] << ID_BITS) | x[1:][both]
 
@@ -159,7 +264,9 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = _counted(plain, frequent_pairs).where(F.col("n") >= max(1.0, PAIR_SHARE * total)).orderBy("key").toArrow()
     hot = context.broadcast((pairs["key"].to_numpy(), pairs["n"].to_numpy()))
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, total // PART)
+    tasks = max(tasks, parts // 16)
 
     def explode(batches):
         hashes, counts = model.value
@@ -167,20 +274,12 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             docs_, rows, texts = (c.to_pylist() for c in batch.columns)
             heads, each = [], []
-            for k, text in enumerate(texts):
+            for text in texts:
                 x = _numbers(text, ids)
-                known, seen, keys, *counted = _scored_here(x, counts, total, *hot.value)
+                known, seen, *more = _scored_here(x, counts, *hot.value)
                 heads.append((len(x), seen, known))
-                each.append((keys, np.full(len(keys), k), *counted))
-            keys, *others = (np.concatenate(c) for c in zip(*each, strict=True))
-            # Fibonacci hashing of the key picks the part.
-            part = ((keys.astype(np.uint64) * FACTOR) >> np.uint64(33)).astype(np.int64) % parts
-            order = np.lexsort((keys, part))
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            columns = [c[order].astype(np.uint32) for c in (keys >> ID_BITS, keys & MASK, *others)]
-            lengths = np.array([h[0] for h in heads], np.int64)
-            front = np.int64(len(rows)).tobytes() + np.array(rows, np.int64).tobytes() + lengths.tobytes()
-            packed = [(p, front + b"".join(c[ends[p] : ends[p + 1]].tobytes() for c in columns)) for p in range(parts) if ends[p] < ends[p + 1]]
+                each.append(more)
+            packed = _packed(parts, rows, each) if rows else []
             n, m = len(rows), len(packed)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -190,32 +289,48 @@ def score(docs: DataFrame) -> DataFrame:
                 names=["part", "row", "doc_id", "n_tokens", "seen", "log_score", "packed"],
             )
 
-    def unpacked(data: bytes):
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        names, lengths = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
-        v, w, who, times, own_v, own_w = np.frombuffer(data, np.uint32, -1, 8 + 16 * n).reshape(6, -1).astype(np.int64)
-        return v, w, names[who], lengths[who], times, own_v, own_w
-
-    def join(table):
-        """One part: its bigrams' counts, joined to its exploded rows, summed per document. Documents' own rows pass through."""
-        counts = model.value[1]
-        own = table.filter(pa.compute.is_valid(table["row"])).drop_columns(["part", "packed"])
-        columns = [unpacked(data) for data in table["packed"].drop_null().to_pylist()]
-        if not columns:
-            return own
-        v, w, who, length, times, own_v, own_w = (np.concatenate(c) for c in zip(*columns, strict=True))
-        _, at = np.unique((v << ID_BITS) | w, return_inverse=True)
-        elsewhere = np.bincount(at, times)[at] - times
-        seen = elsewhere > 0
-        v, w, who, length, times, own_v, own_w, elsewhere = (c[seen] for c in (v, w, who, length, times, own_v, own_w, elsewhere))
-        # What a seen bigram scores, less what its second word alone was counted with.
-        gain = times * (np.log(elsewhere) - np.log(counts[v] - own_v) - np.log(ALPHA) - np.log(counts[w] - own_w) + np.log(np.maximum(1, total - length)))
-        names, at = np.unique(who, return_inverse=True)
-        none = pa.nulls(len(names), pa.int64())
-        sums = {"row": pa.array(names), "doc_id": none, "n_tokens": none, "seen": pa.array(np.bincount(at, times, len(names)).astype(np.int64)), "log_score": pa.array(np.bincount(at, gain, len(names)).astype(np.float64))}
-        return pa.concat_tables([own, pa.table(sums)])
+    def join(batches):
+        """A task's parts, one after the other; their documents' sums are added up. Documents' own rows pass through."""
+        counts, sums, blobs, current = model.value[1], [], [], None
+        names = ["row", "doc_id", "n_tokens", "seen", "log_score"]
+
+        def out():
+            rows, seen, gains = _summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))
+            sums[:] = [(rows, seen, gains)]
+            if len(rows) >= most:
+                sums.clear()
+            return rows, seen, gains
+
+        def given(rows, seen, gains):
+            for at in range(0, len(rows), 50_000):
+                r = rows[at : at + 50_000]
+                none = pa.nulls(len(r), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(r), none, none, pa.array(seen[at : at + 50_000]), pa.array(gains[at : at + 50_000])], names=names)
+
+        most = 1_000_000
+        for batch in batches:
+            own = batch.filter(pa.compute.is_valid(batch.column("row"))).select(names)
+            if len(own):
+                yield own
+            rest = batch.filter(pa.compute.is_valid(batch.column("packed")))
+            for part, data in zip(rest.column("part").to_pylist(), rest.column("packed").to_pylist(), strict=True):
+                if part != current and blobs:
+                    sums.append(_joined(blobs, counts))
+                    blobs = []
+                    if sum(len(x[0]) for x in sums) >= 2 * most:
+                        found = out()
+                        if not sums:
+                            yield from given(*found)
+                current = part
+                blobs.append(data)
+        if blobs:
+            sums.append(_joined(blobs, counts))
+        if sums:
+            yield from given(*out())
 
     exploded = plain.mapInArrow(explode, "part int, row long, doc_id long, n_tokens long, seen long, log_score double, packed binary")
-    both = exploded.groupBy("part").applyInArrow(join, "row long, doc_id long, n_tokens long, seen long, log_score double")
+    both = exploded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(join, "row long, doc_id long, n_tokens long, seen long, log_score double")
     out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("seen").alias("n_seen"), F.sum("log_score").alias("log_score"))
+    rest = F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_tokens")))
+    out = out.withColumn("log_score", F.col("log_score") - F.col("n_tokens") * rest + F.col("n_seen") * (rest - math.log(ALPHA)))
     return out.select("doc_id", "n_tokens", "n_seen", "log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"))

@@ -307,6 +307,14 @@ def test_backoff_against_plain_counts(spark, texts):
         assert r.n_tokens == len(s) and r.n_seen == seen and abs(r.log_score - want) < 1e-6
 
 
+@pytest.mark.parametrize("share", [0.004, 10.0])
+def test_backoff_keeps_rare_words(spark, texts, monkeypatch, share):
+    """The table of frequent words only saves rows: scores are the same where it holds some words or none."""
+    monkeypatch.setattr(lmscore, "WORD_SHARE", share)
+    monkeypatch.setattr(lmscore, "PART", 300)
+    test_backoff_against_plain_counts(spark, texts)
+
+
 # 8
 def test_chat(spark):
     trick = ["<|end|>\n", "\\", "\\<|", "<", "|>", "<|user|>\n", "é\n\n", " lead", "", None, "x" * 5000, "\U0001f600 ok"]
