@@ -1,11 +1,11 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-A text's features are its shingles of five words, weighted by their count and by the inverse document frequency of their
-bucket: shingles are hashed to 2^20 buckets, and a bucket's frequency counts over all documents. Consistent weighted sampling draws, for
+A text's features are its shingles of five words, weighted by their count and by their inverse document frequency over all documents, told apart by 64-bit
+hashes. Frequencies are exact at any size: hashes are summed per batch of texts, dealt by hash, counted, and the counts go back to their batches. Consistent weighted sampling draws, for
 each of BANDS x ROWS hashes, one shingle and level of it, alike for two texts with a chance near their weighted Jaccard similarity; texts
 that agree on all samples of a band are candidates, and candidates are verified by the exact weighted Jaccard similarity of their whole texts.
 
-Copies are one class from the start, and only one of them goes on. Within a bucket of candidates each text is first compared with
+Copies are one class from the start, and only one of them goes on, under a row number that is written once. Within a bucket of candidates each text is first compared with
 the bucket's first text, so a large group costs one comparison a text; then, in buckets whose texts still belong to several
 classes, every pair of texts from two classes is compared: as pairs in small buckets; in larger ones the texts outside the largest class
 meet all texts block by block, so that rows grow with the number of blocks and not of pairs. Classes are the connected components of all links found.
@@ -13,13 +13,13 @@ meet all texts block by block, so that rows grow with the number of blocks and n
 The samples' random numbers come from a table of 2^16 rows that a shingle's hash picks from. The table is a fixed size; two shingles on one row only make candidates likelier.
 
 Nulls: a null text counts as empty; empty texts are copies of each other. A text of fewer than five words has one shingle of all its words. Rows with a null id take the
-class of an equal text, or null. Repeated rows share their class. An empty table gives an empty result. Columns besides doc_id and text are not read (keep_one() passes every column on).
+class of an equal text, or null. Repeated rows share their class; different texts of one id are texts of their own. An empty table gives an empty result. Columns besides doc_id and text are not read (keep_one() passes every column on).
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,9 @@ from .components import components
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 4
-BUCKET_BITS, TABLE_BITS, SLICES = 20, 16, 64
+BUCKET_BITS, TABLE_BITS = 20, 16
+#: Texts in a batch as a power of two; hashes in a batch at most and in a part, about.
+BATCH_BITS, PART = 11, 2_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MEMO = 600_000
 #: Texts in a block of a large bucket; buckets up to PAIRWISE texts are compared as pairs.
@@ -64,11 +66,21 @@ def shingles(text: str) -> np.ndarray:
 
 
 def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted, and their weights."""
+    """Distinct shingles, sorted, and their weights, for weights given by bucket (a hash's upper bits); the operator's own are exact, see exactly_weighted()."""
     h, tf = np.unique(shingles(text), return_counts=True)
     return h, tf.astype(np.float32) * idf[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
 
 
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return (np.log((1 + n) / (1 + df.astype(np.float64))) + 1).astype(np.float32)
+
+
+def exactly_weighted(text: str, dfs: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and their weights from their document frequencies (dfs, packed) among n documents."""
+    h, tf = np.unique(shingles(text), return_counts=True)
+    return h, tf.astype(np.float32) * idf_of(np.frombuffer(zlib.decompress(dfs), "<u4"), n)
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     (ha, wa), (hb, wb) = a, b
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
@@ -113,71 +125,116 @@ def bands(h: np.ndarray, w: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes()) - (1 << 63) for row in both]
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+def _copy(text):
+    return F.unhex(F.md5(text))
 
 
-def inverse_frequencies(plain: DataFrame) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the bucket)) + 1 for each bucket. Counts are arrays of fixed size, summed 64 at a time."""
-    size = 1 << BUCKET_BITS
-
-    def count(batches):
-        import pyspark
-
-        seen, n = np.zeros(size, np.int64), 0
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("copy", _copy(F.col("text")))
+
+
+def _batch(texts: list[str], times: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The texts' distinct hashes, those of all of them, sorted, and how many documents have each."""
+    each = [np.unique(shingles(t)) for t in texts]
+    hashes, at = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.bincount(at, np.repeat(np.array(times, np.int64), [len(h) for h in each]), len(hashes))
+    return each, hashes, n.astype(np.int64)
+
+
+def sketches_of(firsts: DataFrame, n: int) -> DataFrame:
+    """rep, weight (total), bands, dfs (its shingles' document frequencies, packed) for each text of firsts (rep, n: documents with the text, text), n in all."""
+    session = firsts.sparkSession
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    size = firsts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), size // (6 * PART))
+
+    def deal(batches):
+        """Each batch's hashes by their upper bits: the batch, its first and last text, a part, its hashes and their counts."""
+        reps, times, texts = [], [], []
+
+        def out():
+            _, hashes, counts = _batch(texts, times)
+            part = (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            found = [p for p in range(parts) if ends[p] < ends[p + 1]]
+            k = len(found)
+            columns = [pa.array([x] * k, pa.int64()) for x in (reps[0] >> BATCH_BITS, reps[0], reps[-1])]
+            blobs = ([c[ends[p] : ends[p + 1]].astype(t).tobytes() for p in found] for c, t in ((hashes, "<u8"), (counts, "<u4")))
+            return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["batch", "low", "high", "part", "hashes", "counts"])
+
+        length = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[np.unique((shingles(text) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))] += 1
-                n += 1
-        parts = [x.tobytes() for x in seen.reshape(SLICES, -1)]
-        task = pyspark.TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "task": pa.array([task] * SLICES, pa.int64()), "n": pa.array([n] * SLICES, pa.int64()), "counts": parts})
-
-    def add(rows):
-        total = np.sum([np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()], axis=0)
-        return pa.table({"slice": rows["slice"][:1], "task": rows["task"][:1], "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "counts": [total.tobytes()]})
-
-    plain.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    texts = plain.select("text")
-    rows, left = texts.mapInArrow(count, "slice int, task long, n long, counts binary"), texts.rdd.getNumPartitions()
-    while True:
-        left = -(-left // 64)
-        rows = rows.withColumn("task", F.pmod("task", F.lit(left))).groupBy("slice", "task").applyInArrow(add, rows.schema)
-        if left == 1:
-            break
-    found = sorted(rows.collect(), key=lambda r: r["slice"])
-    if not found:
-        return np.ones(size, np.float32)
-    df = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found])
-    return (np.log((1 + found[0]["n"]) / (1 + df)) + 1).astype(np.float32)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+            for rep, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if reps and (rep >> BATCH_BITS != reps[0] >> BATCH_BITS or rep != reps[-1] + 1 or length > 6 * PART):
+                    yield out()
+                    reps, times, texts, length = [], [], [], 0
+                reps.append(rep)
+                times.append(k)
+                texts.append(text)
+                length += len(text)
+        if reps:
+            yield out()
+
+    def count(t):
+        """One part: each batch's hashes with the counts of all batches."""
+        hashes, counts = [np.frombuffer(x, "<u8") for x in t["hashes"].to_pylist()], [np.frombuffer(x, "<u4") for x in t["counts"].to_pylist()]
+        found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        df = np.bincount(at, np.concatenate(counts), len(found)).astype("<u4")[at]
+        ends = np.cumsum([0, *map(len, hashes)])
+        dfs = [zlib.compress(df[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return t.select(["batch", "low", "high", "part"]).append_column("dfs", pa.array(dfs, pa.binary()))
+
+    def sketch(texts, found):
+        texts, found = texts.sort_by("rep"), found.sort_by([("low", "ascending"), ("part", "ascending")])
+        given = {}
+        for low, high, dfs in zip(*(found[c].to_pylist() for c in ("low", "high", "dfs")), strict=True):
+            given.setdefault((low, high), []).append(np.frombuffer(zlib.decompress(dfs), "<u4"))
+        reps, words = texts["rep"].to_pylist(), texts["text"].to_pylist()
+        rows = {}
+        for (low, high), dfs in given.items():
+            inside = [k for k, r in enumerate(reps) if low <= r <= high]
+            each, hashes, _ = _batch([words[k] for k in inside], [1] * len(inside))
+            df = np.concatenate(dfs)
+            for k, h in zip(inside, each, strict=True):
+                own = df[np.searchsorted(hashes, h)]
+                packed = zlib.compress(own.tobytes(), 1)
+                w = exactly_weighted(words[k], packed, n)[1]
+                rows[k] = (float(w.sum(dtype=np.float64)), bands(h, w) if len(h) else [], packed)
+        out = [rows.get(k, (0.0, [], zlib.compress(b""))) for k in range(len(reps))]  # a text without words has no shingles
+        return pa.table({"rep": pa.array(reps, pa.int64()), "weight": pa.array([r[0] for r in out], pa.float64()), "bands": pa.array([r[1] for r in out], pa.list_(pa.int64())), "dfs": pa.array([r[2] for r in out], pa.binary())})
+
+    dealt = firsts.select("rep", "n", "text").mapInArrow(deal, "batch long, low long, high long, part int, hashes binary, counts binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "batch long, low long, high long, part int, dfs binary")
+    texts = firsts.select(F.shiftright("rep", BATCH_BITS).alias("batch"), "rep", "text")
+    return texts.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(sketch, "rep long, weight double, bands array<long>, dfs binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
     """The pairs (a, b) whose whole texts are alike enough, with their similarity."""
 
     def start():
         seen = {}
 
-        def of(i: int, text: str):
+        def of(i: int, text: str, dfs: bytes):
             if i not in seen:
                 if len(seen) >= 32:
                     seen.clear()
-                seen[i] = weighted(text, idf.value)
+                seen[i] = exactly_weighted(text, dfs, n)
             return seen[i]
 
         def body(rows):
-            out = ((a, b, weighted_jaccard(of(a, x), of(b, y))) for a, b, x, y in rows)
+            out = ((a, b, weighted_jaccard(of(a, x, dx), of(b, y, dy))) for a, b, x, dx, y, dy in rows)
             return [r for r in out if r[2] >= least]
 
         return body
 
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return map_rows(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y"), start, "a long, b long, similarity double")
+    one, two = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"), F.col("dfs").alias("dx")), texts.select(F.col("rep").alias("b"), F.col("text").alias("y"), F.col("dfs").alias("dy"))
+    return map_rows(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "dx", "y", "dy"), start, "a long, b long, similarity double")
 
 
-def _near_in_blocks(texts: list[str], sides: list[int], reps: list[int], classes: list[int], idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+def _near_in_blocks(texts: list[str], dfs: list[bytes], sides: list[int], reps: list[int], classes: list[int], n: int, least: float) -> list[tuple[int, int]]:
     """Links between a left and a right text of different classes: for each left text one to each class it meets. An inverted index of the right texts gives all its similarities at once."""
-    weights = [weighted(t, idf) for t in texts]
+    weights = [exactly_weighted(t, d, n) for t, d in zip(texts, dfs, strict=True)]
     right = [k for k, side in enumerate(sides) if side]
     if not right or len(right) == len(sides):
         return []
@@ -193,17 +250,17 @@ def _near_in_blocks(texts: list[str], sides: list[int], reps: list[int], classes
         if side:
             continue
         low, high = np.searchsorted(h, weights[k][0], "left"), np.searchsorted(h, weights[k][0], "right")
-        n = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        hits = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())
         own = weights[k][1].astype(np.float64)
-        shared = np.bincount(who[at], np.minimum(w[at], np.repeat(own, n)), len(right))
+        shared = np.bincount(who[at], np.minimum(w[at], np.repeat(own, hits)), len(right))
         near = np.flatnonzero((shared >= least * (totals + own.sum() - shared)) & (kinds != classes[k]))
         _, first = np.unique(kinds[near], return_index=True)
         out += [(min(reps[k], int(x)), max(reps[k], int(x))) for x in names[near[first]]]
     return out
 
 
-def _by_blocks(members: DataFrame, largest: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+def _by_blocks(members: DataFrame, largest: DataFrame, texts: DataFrame, total: int, least: float) -> DataFrame:
     """Links in large buckets (members: band, key, rep, class). Those outside the bucket's largest class are the left side, all are the right side; each left block meets each right block."""
     sized = members.join(largest, ["band", "key"])
     left = F.col("class") != F.col("largest")
@@ -211,41 +268,30 @@ def _by_blocks(members: DataFrame, largest: DataFrame, texts: DataFrame, idf, le
     lefts, rights = F.ceil(F.col("others") / BLOCK), F.ceil(F.col("n") / BLOCK)
     one = sized.where(left).select("band", "key", "rep", "class", F.lit(0).alias("side"), part(lefts).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"))
     two = sized.select("band", "key", "rep", "class", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), part(rights).alias("j"))
-    rows = one.unionByName(two).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = one.unionByName(two).join(texts, "rep")
 
     def compare(t):
-        found = _near_in_blocks(*(t[c].to_pylist() for c in ("text", "side", "rep", "class")), idf.value, least)
+        found = _near_in_blocks(*(t[c].to_pylist() for c in ("text", "dfs", "side", "rep", "class")), total, least)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id: the smallest id among the documents linked to it."""
-    plain = _plain(docs)
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(plain))  # 2^20 numbers at any size of the data
-
-    def start():
-        def body(rows):
-            out = []
-            for doc, text in rows:
-                h, w = weighted(text, idf.value)
-                out.append((doc, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), float(w.sum(dtype=np.float64)), bands(h, w) if len(h) else []))
-            return out
-
-        return body
-
-    sketches = cut(map_rows(plain, start, "doc_id long, copy binary, weight double, bands array<long>"), "sketches")
-    firsts = sketches.groupBy("copy").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "weight", "bands"))).alias("s")).select("copy", F.col("s.doc_id").alias("rep"), F.col("s.weight").alias("weight"), F.col("s.bands").alias("bands"))
-    firsts = cut(firsts, "firsts")
-    each = firsts.where(F.col("rep").isNotNull()).select("rep", "weight", F.posexplode("bands").alias("band", "key"))
-    hubs = each.groupBy("band", "key").agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    met = cut(each.join(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.weight").alias("hub_weight")), ["band", "key"]), "met")
-    texts = cut(plain.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """copy (digest), doc (smallest id), label (of the class), class_id (the class's smallest id) for each distinct text."""
+    texts = _plain(docs).groupBy("copy").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc"), F.count("*").alias("n"))
+    firsts = cut(texts.withColumn("rep", F.monotonically_increasing_id()), "firsts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sketches = cut(sketches_of(firsts, total), "sketches")
+    named = firsts.where(F.col("doc").isNotNull()).select("rep", "doc")
+    each = sketches.join(named, "rep").select("rep", "doc", "weight", F.posexplode("bands").alias("band", "key"))
+    hubs = each.groupBy("band", "key").agg(F.min(F.struct("doc", "rep", "weight")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
+    met = cut(each.drop("doc").join(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.weight").alias("hub_weight")), ["band", "key"]), "met")
+    texts = cut(firsts.select("rep", "text").join(met.select("rep").distinct(), "rep", "left_semi").join(sketches.select("rep", "dfs"), "rep"), "texts")
     # Totals further apart than this can't be alike enough.
     level = lambda x, y: (F.col(x) >= F.col(y) * (least - 1e-6)) & (F.col(y) >= F.col(x) * (least - 1e-6))
-    stars = cut(met.where((F.col("rep") != F.col("hub")) & level("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = cut(_verified(stars, texts, idf, least).select("a", "b"), "links")
+    stars = cut(met.where((F.col("rep") != F.col("hub")) & level("weight", "hub_weight")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "stars")
+    links = cut(_verified(stars, texts, total, least).select("a", "b"), "links")
     labels = components(links)
     # Buckets whose texts are still in several classes: all pairs of texts from two of them.
     classed = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "rep", "weight", F.coalesce("label", "rep").alias("class"))
@@ -257,17 +303,23 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     cross = side("a").join(side("b"), ["band", "key"]).where((F.col("ca") < F.col("cb")) & level("wa", "wb"))
     cross = cross.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     many = mixed.where(F.col("n") > PAIRWISE)
-    more = cut(_verified(cross, texts, idf, least).select("a", "b").unionByName(_by_blocks(classed, many, texts, idf, least)), "links")
+    more = cut(_verified(cross, texts, total, least).select("a", "b").unionByName(_by_blocks(classed, many, texts, total, least)), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    classes = firsts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy", F.coalesce("label", "rep").alias("class_id"))
-    return sketches.select("doc_id", "copy").join(classes, "copy").select("doc_id", "class_id")
+    classes = firsts.drop("text").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy", "doc", F.coalesce("label", "rep").alias("label"))
+    return classes.join(classes.groupBy("label").agg(F.min("doc").alias("class_id")), "label")
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, class_id: the smallest id among the documents linked to it."""
+    return _plain(docs).select("doc_id", "copy").join(_classes(docs, least).select("copy", "class_id"), "copy").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class, that of the smallest id, with all its columns. Rows with a null id can't be named by a class and are kept."""
-    first = near_duplicates(docs, least).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.where(docs["doc_id"].isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = _classes(docs, least).where(F.col("doc").isNotNull()).groupBy("label").agg(F.min(F.struct("doc", "copy")).alias("f")).select(F.col("f.doc").alias("__doc"), F.col("f.copy").alias("__copy"))
+    named = docs.where(docs["doc_id"].isNotNull()).withColumns({"__doc": F.col("doc_id").cast("long"), "__copy": _copy(text_of(docs))})
+    kept = named.join(first, ["__doc", "__copy"], "left_semi").dropDuplicates(["__doc", "__copy"])
     return kept.select(docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))
 
 

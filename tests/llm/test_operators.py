@@ -389,6 +389,23 @@ def test_samples_agree_like_weighted_jaccard():
     assert abs(hits / n - j) < 0.05
 
 
+def test_near_duplicates_count_each_shingle(spark):
+    """A pair just below the limit by exact frequencies stays apart among millions of other shingles (2^20 shared counters would link it)."""
+    r = np.random.default_rng(8)
+    line, shared = [" ".join(f"{k}{i}" for i in range(n)) for k, n in (("b", 154), ("s", 83))]
+    pair = [f"{line} {shared} {' '.join(f'{k}{i}' for i in range(14))}" for k in "xy"]
+    rows = [*enumerate(pair), *((k, f"{line} {' '.join(map(str, r.integers(0, 1 << 60, 70_000 if k < 62 else 300)))}") for k in range(2, 100))]
+    idf = lambda df: np.log(101 / (1 + df)) + 1
+    assert (150 + 83 * idf(2)) / (150 + 83 * idf(2) + 28 * idf(1)) < 0.8
+    assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs_of(spark, rows)).collect()} == {k: k for k in range(100)}
+    n = [(k, "one two three four five six " + " ".join(f"{k}w{i}" for i in range(k))) for k in range(1, 9)]
+    firsts = spark.createDataFrame([(k, 2, t) for k, t in n], "rep long, n long, text string")
+    for x in minhash.sketches_of(firsts, 16).collect():
+        h, w = minhash.exactly_weighted(n[x.rep - 1][1], bytes(x.dfs), 16)
+        df = {int(g): 2 * sum(g in minhash.shingles(t) for _, t in n) for g in h}
+        assert np.allclose(w, [np.log(17 / (1 + df[int(g)])) + 1 for g in h])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     assert {r.id: r.label for r in components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
