@@ -34,3 +34,10 @@ def test_native_queries_have_no_python_node(spark):
         if not name.startswith("udf_"):
             plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
             assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval")), name
+
+
+def test_verify_finds_every_kind_of_damage(spark):
+    """Each document's blob is checked, and content under a wrong name is told from a lost blob."""
+    found = QUERIES["int_verify_each"](spark, SMALL)
+    assert {r.verdict for r in found.select("verdict").distinct().collect()} == {"ok", "mismatch", "unreadable", "gone"}
+    assert found.where("verdict <> 'gone'").count() >= spark.read.parquet(f"{SMALL}/documents.parquet").select("text").distinct().count()
