@@ -406,6 +406,12 @@ def test_near_duplicates_count_each_shingle(spark):
         assert np.allclose(w, [np.log(17 / (1 + df[int(g)])) + 1 for g in h])
 
 
+def test_one_id_on_two_texts_keeps_both(spark):
+    one, two = ("w%d " * 40 % tuple(range(a, a + 40)) for a in (0, 100))
+    rows = [(1, one), (1, two), (2, two), (3, one + "more")]
+    assert sorted(x.text for x in minhash.keep_one(docs_of(spark, rows)).collect()) == sorted([one, two])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     assert {r.id: r.label for r in components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
