@@ -131,10 +131,20 @@ def test_nbest_against_all_paths():
         assert np.allclose([x for x, _ in got], [x for x, _ in want[:6]]) and len({i for _, i in got}) == len(got) and {i for _, i in got} <= {i for _, i in want}
 
 
+def test_forward_pass_gives_the_two_best():
+    p, r = nbest.pieces_of("piece_bpe_32k.model"), random.Random(3)
+    for n in (1, 2, 5, 9):
+        same = ["".join(r.choice(nbest.SIGN + "theansi\n✓é") for _ in range(n)) for _ in range(150)]
+        for s, (score, ids, gap) in zip(same, p.two_best(same), strict=True):
+            best = p.best(s, 2)
+            assert abs(score - best[0][0]) < 1e-9 and p.decode(np.frombuffer(ids, "<i4").tolist()) == s.replace(nbest.SIGN, " ")[1:]
+            assert gap == (best[0][0] - best[1][0] if len(best) > 1 else float("inf"))
+
+
 def test_nbest_of_texts_is_that_of_their_whole_lattice(spark):
     p = nbest.pieces_of("piece_bpe_32k.model")
     for text in ("the cat, sat on. a mat", "a  b\n\nc!", " x ", "", "été 3.14"):
-        got, whole = nbest.segment(text, "piece_bpe_32k.model", 4), p.best(p.normal(text), 4)
+        (got,), whole = nbest.segments([text], "piece_bpe_32k.model", 4), p.best(p.normal(text), 4)
         assert np.allclose([s for s, _ in got], [s for s, _ in whole[: len(got)]])
         assert all(p.decode(np.frombuffer(i, "<i4").tolist()) == text for _, i in got)
     d = docs_of(spark, [(1, "the cat"), (2, None)])
