@@ -6,13 +6,14 @@ passages give equal chunks wherever they stand. The store has these tables of Pa
   kind=chunk   key (SHA-256 of ids), n_tokens, ids: each chunk once; ids is a byte that says how many bytes an id takes (2 or 4), then the ids, little-endian
   kind=recipe  key (root), n_tokens, digests: how a document's ids are put together, once for each distinct document; root = Merkle root of the digests
   documents    doc_id, start, n_tokens, root: in ascending doc_id order; start = ids of all documents before it
-  manifest     block, n_docs, n_tokens, root: Merkle root of a block of consecutive documents; the row without a block holds the root of all
+  manifest     level, node, n_docs, n_tokens, root: a tree of 1024 documents a node on level 1, 1024 nodes of the level below on levels 2 and 3, all on level 4;
+               a node's root is the SHA-256 of its children's roots (with start and doc_id on level 1) in order
 
-Reading checks each chunk against its digest and each document against its root, and fails on any difference. read() gives
+Reading checks the documents against the manifest, each chunk against its digest and each document against its root, and fails on any difference or loss. read() gives
 the ids themselves; digests() needs only their checksums, so it reads each chunk once and combines the chunks' checksums.
 
 Nulls: a null text is empty (the end id alone); documents with a null id come first. Repeated rows are stored as documents of their own that share one recipe; rows of one id are
-ordered by root. An empty table gives an empty store. Columns besides doc_id and text are not read.
+ordered by root. A very long text is a document of many chunks. An empty table gives an empty store. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import cut, map_rows, text_of
 from .tokens import encoder
 
 END = 2
 #: Rolling hash: zero bits asked for, least and most ids of a chunk. It takes in the last 16 ids, by doubling.
 BITS, LEAST, MOST = 9, 128, 4096
 FACTORS = [(1 << k, np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64))) for k in range(4)]
-DOCS_PER_BLOCK = 1024
+#: Children of a node of the manifest, as a power of two; rows of a range that is numbered by one task, about.
+FANOUT_BITS, ROWS_PER_PART = 10, 500_000
 POLYNOMIAL = 0xEDB88320
 
 
@@ -116,12 +118,12 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") ->
     spark = docs.sparkSession
     once = _encoded(docs, vocabulary).repartition("kind", "key").dropDuplicates(["kind", "key"])
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
-    started(_kind(spark, path, "document").select("doc_id", "n_tokens", F.get("digests", F.lit(0)).alias("root"))).write.parquet(f"{path}/documents")
+    started(_kind(spark, path, "document").select("doc_id", "n_tokens", F.get("digests", F.lit(0)).alias("root"), "key")).write.parquet(f"{path}/documents")
     _manifest(_documents(spark, path)).write.parquet(f"{path}/manifest")
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, block long").parquet(f"{path}/documents")
+    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, nth long").parquet(f"{path}/documents")
 
 
 def _kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -130,31 +132,50 @@ def _kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def started(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, root in ascending doc_id order; sums run within blocks of ids, then over block sums."""
-    block = F.coalesce(F.floor(F.col("doc_id") / DOCS_PER_BLOCK), F.lit(-(2**62)))
-    rows = rows.withColumn("block", block)
-    sums = rows.groupBy("block").agg(F.sum("n_tokens").alias("n")).withColumn("span", F.floor(F.col("block") / 1024))
-    tops = sums.groupBy("span").agg(F.sum("n").alias("all"))
+    """doc_id, start, n_tokens, root, nth (gapless from 0) in ascending doc_id order, for any ids: rows are range-partitioned by id, sums run within a part, then over one row for each part."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("root"), F.asc("key")]
+    rows = cut(rows.repartitionByRange(max(parts, rows.count() // ROWS_PER_PART), *order).withColumn("part", F.spark_partition_id()), "ids-dealt")
     ahead = lambda over: over.rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("span", F.coalesce(F.sum("all").over(ahead(Window.orderBy("span"))), F.lit(0)).alias("top"))
-    sums = sums.withColumn("low", F.coalesce(F.sum("n").over(ahead(Window.partitionBy("span").orderBy("block"))), F.lit(0))).join(tops, "span").select("block", (F.col("top") + F.col("low")).alias("before"))
-    inside = Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), "root").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, "block")
-    out = out.select("doc_id", (F.col("before") + F.col("inner")).cast("long").alias("start"), "n_tokens", "root", "block")
-    return out.repartitionByRange("block").sortWithinPartitions(F.asc_nulls_first("doc_id"), "start")
+    before = ahead(Window.orderBy("part"))
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+    sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("part").orderBy(*order)
+    out = rows.withColumns({"inner": F.coalesce(F.sum("n_tokens").over(ahead(inside)), F.lit(0)), "nth": F.row_number().over(inside)}).join(sums, "part")
+    out = out.select("doc_id", (F.col("start") + F.col("inner")).cast("long").alias("start"), "n_tokens", "root", (F.col("first") + F.col("nth") - 1).alias("nth"))
+    return out.repartitionByRange("nth").sortWithinPartitions("nth")
 
 
 def _manifest(documents: DataFrame) -> DataFrame:
-    root = F.udf(lambda rows: merkle([bytes(r) for r in rows]), "binary")
-    leaf = F.sort_array(F.collect_list(F.struct("start", "doc_id", "root")))
-    blocks = documents.groupBy("block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), root(F.transform(leaf, lambda x: x["root"])).alias("root"))
-    spans = blocks.groupBy(F.floor(F.col("block") / 1024).alias("span")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), root(F.transform(F.sort_array(F.collect_list(F.struct("block", "root"))), lambda x: x["root"])).alias("root"))
-    top = spans.groupBy().agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), root(F.transform(F.sort_array(F.collect_list(F.struct("span", "root"))), lambda x: x["root"])).alias("root"))
-    return blocks.unionByName(top.select(F.lit(None).cast("long").alias("block"), "n_docs", "n_tokens", "root"))
+    """level, node, n_docs, n_tokens, root of every node."""
+
+    def nodes(rows: DataFrame, level: int, number, leaf) -> DataFrame:
+        root = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", leaf.alias("leaf")))), lambda x: x["leaf"]), ";"), 256)
+        return rows.groupBy(number.alias("node")).agg(F.sum("docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), root.alias("root")).select(F.lit(level).alias("level"), "node", "n_docs", "n_tokens", "root")
+
+    leaf = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("start").cast("string"), F.hex("root"))
+    levels = [cut(nodes(documents.withColumn("docs", F.lit(1)), 1, F.shiftright("nth", FANOUT_BITS), leaf), "ids-nodes")]
+    for level in (2, 3, 4):
+        below = levels[-1].select(F.col("node").alias("nth"), F.col("n_docs").alias("docs"), "n_tokens", "root")
+        levels.append(nodes(below, level, F.shiftright("nth", FANOUT_BITS) if level < 4 else F.lit(0).cast("long"), F.col("root")))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raise if the documents, in number, order, place or root, are not those of the manifest."""
+    kept = spark.read.schema("level int, node long, n_docs long, n_tokens long, root string").parquet(f"{path}/manifest")
+    found = _manifest(_documents(spark, path))
+    names = ["n_docs", "n_tokens", "root"]
+    both = kept.select("level", "node", F.struct(*names).alias("kept")).join(found.select("level", "node", F.struct(*names).alias("found")), ["level", "node"], "full")
+    if wrong := both.where(~F.col("kept").eqNullSafe(F.col("found"))).select("level", "node").limit(3).collect():
+        raise ValueError(f"the documents differ from the manifest: {wrong}")
 
 
 def _combined(rows: DataFrame, join, schema: str) -> DataFrame:
-    """rows: root, n_tokens, parts (array of pos, digest, n, value) -> (root, join(parts)), where the digests give the root and the lengths the count."""
+    """rows: root, n_tokens, parts (array of pos, digest, n, value) -> (root, n_tokens, join(parts)), where the digests give the root and the lengths the count."""
     columns = ["pos", "digest", "n", "value"]
     flat = rows.select("root", "n_tokens", *(F.transform("parts", (lambda c: lambda p: p[c])(c)).alias(c) for c in columns[1:]))
 
@@ -164,7 +185,7 @@ def _combined(rows: DataFrame, join, schema: str) -> DataFrame:
             for root, n, found, lengths, values in batch:
                 if merkle(found) != root or sum(lengths) != n:
                     raise ValueError("a document differs from its Merkle root")
-                out.append((root, join(values, lengths)))
+                out.append((root, n, join(values, lengths)))
             return out
 
         return body
@@ -197,11 +218,20 @@ def _chunks(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
     return map_rows(_kind(spark, path, "chunk").select("key", "ids"), start, schema)
 
 
+def _with_contents(spark: SparkSession, path: str, contents: DataFrame, column: str) -> DataFrame:
+    """Every document with what its recipe gives (contents: root, size, and the column); a lost recipe or another length is an error."""
+    check_manifest(spark, path)
+    met = _documents(spark, path).join(contents, "root", "left")
+    wrong = F.col("size").isNull() | (F.col("size") != F.col("n_tokens"))
+    n = F.when(wrong, F.raise_error("a recipe is missing or has another length").cast("long")).otherwise(F.col("n_tokens"))
+    return met.select("doc_id", "start", n.alias("n_tokens"), column)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit): every document, verified."""
     recipes = _recipes(spark, path, _chunks(spark, path, lambda ids: ids, "digest binary, n long, value binary"))
-    contents = _combined(recipes, lambda values, _: b"".join(values), "root binary, ids binary")
-    return _documents(spark, path).join(contents, "root").select("doc_id", "start", "n_tokens", "ids")
+    contents = _combined(recipes, lambda values, _: b"".join(values), "root binary, size long, ids binary")
+    return _with_contents(spark, path, contents, "ids")
 
 
 def _times(a: int, b: int) -> int:
@@ -236,5 +266,5 @@ def combined_crc(crcs: list[int], lengths: list[int]) -> int:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
     recipes = _recipes(spark, path, _chunks(spark, path, zlib.crc32, "digest binary, n long, value long"))
-    sums = _combined(recipes, combined_crc, "root binary, ids_crc32 long")
-    return _documents(spark, path).join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    sums = _combined(recipes, combined_crc, "root binary, size long, ids_crc32 long")
+    return _with_contents(spark, path, sums, "ids_crc32")

@@ -8,10 +8,9 @@ blank. So a text may be cut there, each stretch encoded alone, and the ids joine
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: White space of the vocabularies' patterns.
 WS = "\t-\r \x85\xa0  -     　"
 #: Some letters and marks between which the patterns always split; other characters stay with their stretch.
@@ -40,8 +39,8 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A stretch that is one piece of the patterns' split, in letters that lower case and normalisation treat one by one.
-ONE = re.compile(rf" ?[{LETTERS}]+")
+#: A stretch that is one piece of the patterns' split (a line's end before it is another), in letters that lower case and normalisation treat one by one.
+ONE = re.compile(rf"(\n?)( ?[{LETTERS}]+)")
 
 
 def _bytes_as_letters() -> list[str]:
@@ -56,18 +55,27 @@ class _Memo(dict):
 
     def __init__(self, found, lower: bool):
         self.encode, self.merge, self.lower, self.old = found.encode, found.model.tokenize, lower, {}
-        self.letters = _bytes_as_letters()
-
-    def ids(self, stretch: str) -> list[int]:
-        if ONE.fullmatch(stretch):  # straight to the library's merges, without its split of the text
-            data = (stretch.strip().lower() if self.lower else stretch).encode()
-            return [t.id for t in self.merge("".join(map(self.letters.__getitem__, data)))]
-        return self.encode(stretch, add_special_tokens=False).ids
+        self.letters = str.maketrans(dict(enumerate(_bytes_as_letters())))
+        self.line = self.packed("\n")
+
+    def packed(self, text: str) -> bytes:
+        ids = self.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, stretch: str) -> bytes:
+        if not (m := ONE.fullmatch(stretch)):
+            return self.packed(stretch)
+        # Straight to the library's merges, without its split of the text.
+        line, word = m.groups()
+        data = (word.strip().lower() if self.lower else word).encode()
+        found = self.merge(data.decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return self.line + ids if line else ids
 
     def __missing__(self, stretch: str) -> bytes:
         found = self.old.get(stretch)
         if found is None:
-            found = np.array(self.ids(stretch), "<u4").tobytes()
+            found = self.ids(stretch)
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()

@@ -118,6 +118,16 @@ def test_pii_redacts_and_keeps_clean(spark):
     assert pii.redact(d).columns == d.columns
 
 
+def test_pii_stretches_meet_no_text_twice():
+    w = pii.fitted()
+    for text in ("212-555-1234," + "x" * 200 + "5", "1 ٠١٢٣ 5 555-1234", "a" * 500 + "1" + "b" * 500 + " 212-555-1234", "٠١٢٣", "@" * 50, "5" + "y" * 3000 + " 4 " + "z" * 3000 + "6"):
+        at = pii.stretches(text)
+        assert all(a < b for a, b in at) and all(x[1] <= y[0] for x, y in zip(at, at[1:], strict=False)), text[:20]
+        spans = pii.all_spans(text, w)[1]
+        assert len(spans) == len(set(spans))
+    assert pii.all_spans("212-555-1234," + "x" * 200 + "5", w)[1] == [("phone", 0, 12)]
+
+
 # 2
 def test_nbest_against_all_paths():
     p, r = nbest.pieces_of("piece_bpe_32k.model"), random.Random(2)
@@ -272,14 +282,36 @@ def test_id_store(spark, texts, hard, nothing, tmp_path):
         assert chunks.count() == chunks.select("key").distinct().count()
 
 
-def test_id_store_finds_damage(spark, texts, tmp_path):
+def test_id_store_finds_damage_and_loss(spark, texts, tmp_path):
     path = str(tmp_path / "s")
-    idstore.write(texts.limit(3), path)
-    bad = spark.read.parquet(f"{path}/store").withColumn("ids", F.when(F.col("kind") == "chunk", F.concat("ids", F.lit(b"\0\0"))).otherwise(F.col("ids")))
-    bad.write.partitionBy("kind").parquet(f"{path}/x/store")
-    spark.read.parquet(f"{path}/documents").write.parquet(f"{path}/x/documents")
-    with pytest.raises(Exception, match="differs from its digest"):
-        idstore.digests(spark, f"{path}/x").collect()
+    idstore.write(texts.limit(30), path)
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("store", "documents", "manifest")}
+    assert idstore.digests(spark, path).count() == 30
+    kind, first = F.col("kind"), F.col("nth") == 0
+    recipe = tables["store"].where("kind = 'recipe'").first()["key"]
+    damages = {
+        "differs from its digest": ("store", lambda t: t.withColumn("ids", F.when(kind == "chunk", F.concat("ids", F.lit(b"\0\0"))).otherwise(F.col("ids")))),
+        "a chunk is missing": ("store", lambda t: t.where((kind != "chunk") | (F.hex("key") > "2"))),
+        "a recipe is missing": ("store", lambda t: t.where((kind != "recipe") | (F.col("key") != F.lit(recipe)))),
+        "differ from the manifest": ("documents", lambda t: t.where(~first)),
+        "differ from the manifest:": ("documents", lambda t: t.withColumn("start", F.col("start") + F.when(first, 1).otherwise(0))),
+        "differ from the manifest: ": ("manifest", lambda t: t.where("level < 3")),
+    }
+    for k, (message, (name, change)) in enumerate(damages.items()):
+        for other, table in tables.items():
+            (change(table) if other == name else table).write.partitionBy(*["kind"] * (other == "store")).parquet(f"{path}/{k}/{other}")
+        for reader in (idstore.read, idstore.digests):
+            with pytest.raises(Exception, match=message.strip()):
+                reader(spark, f"{path}/{k}").collect()
+
+
+def test_id_store_places_sparse_ids(spark, tmp_path):
+    path, r = str(tmp_path / "s"), random.Random(4)
+    rows = [(r.choice([None, r.randrange(-(2**62), 2**62)]), f"text {k} " * r.randint(1, 9)) for k in range(90)]
+    idstore.write(docs_of(spark, rows), path)
+    got = sorted(idstore.read(spark, path).collect(), key=lambda x: x.start)
+    assert [x.start for x in got] == [0, *np.cumsum([x.n_tokens for x in got])[:-1]]
+    assert [x.doc_id for x in got] == sorted((d for d, _ in rows), key=lambda d: -(2**63) if d is None else d)
 
 
 def test_shared_passages_share_chunks_and_checksums_combine():
