@@ -1,19 +1,14 @@
-"""Stupid-backoff language-model scores.
+"""Stupid-backoff language-model scores of n-grams of up to three words.
 
-The model is the corpus itself, less the document that is scored: a bigram seen in another document scores c(vw) / c(v), any other
-ALPHA times the word's share of all words (ALPHA squared over the number of words for a word of no other document). Every word and every bigram counts at any size of the
-data; words are told apart by 63 bits of their hash.
+The model is the corpus itself, less the document that is scored. A word after two others scores c(uvw) / c(uv) if another document has the three words, else ALPHA
+times c(vw) / c(v) if another has the last two, else ALPHA squared times the word's share of all words; for a word of no other document the count is ALPHA. The first
+words of a text start on a lower level. Every word and every n-gram counts, at any size of the data; n-grams are told apart by 64 bits of their hash.
 
-Words above 1 / 10^6 of all (a million at most) have numbers, and their counts are sent to every task. Bigrams above 1 / 10^5 of all are counted first (both their words must be as
-frequent) and looked up by each task too: at most 10^5 of them. Both tables only save rows: no score depends on what they hold.
+Counts are made and joined as in counted.py: each batch of documents explodes its n-grams of all orders, summed within the batch; they are counted
+by hash over all batches; the counts come back and are joined to the documents' n-grams; a document's terms are summed.
 
-The other bigrams are exploded per document and dealt by hash: a bigram of two numbered words by its own hash, one with a rare word to the part of that word, one of two rare words to
-both their parts. A part also gets how often each document has each of its rare words, so it counts its rare words and its bigrams, joins the counts back to the exploded rows and sums
-per document, and the sums meet by document. No bigram dealt has more than a 10^5th of the rows and no rare word more than a 10^6th of the words, so parts stay even. The number of
-parts follows the number of words; a task takes its parts one after the other and adds up its documents' sums. Exploded rows travel as packed columns, one row for each batch of documents and part.
-
-Nulls: a null text counts as empty; an empty text has no tokens and a score of 0. Rows with a null id, and repeated rows, are scored each for itself. An empty table gives an
-empty result. Columns besides doc_id and text are not read.
+Nulls: a null text counts as empty; an empty text has no tokens, a score of 0 and a null mean. Rows with a null id, and repeated rows, are scored each for itself (copies are other documents). Very
+long texts are scored whole. There are no ties: every row has a score of its own. An empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,315 +17,103 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
+from .counted import with_counts
 
-ALPHA = 0.4
-WORD_SHARE, PAIR_SHARE, ID_BITS = 1e-6, 1e-5, 20
-#: Exploded rows in a part, about.
-PART = 1_000_000
+ALPHA, ORDER = 0.4, 3
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Ids(dict):
-    """word -> number by lookup(hash of the word). Two generations, so that its size is bounded and frequent words stay."""
-
-    def __init__(self, lookup=None):
-        self.lookup, self.old = lookup, {}
+    """word -> its hash; emptied when full, so that its size is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        found = self.old.get(word)
-        if found is None:
-            h = xxhash.xxh64_intdigest(word) - (1 << 63)
-            found = (self.lookup(h) or h | -(1 << 63)) if self.lookup else h  # rare words are negative
         if len(self) >= 400_000:
-            self.old = dict(self)
             self.clear()
-        self[word] = found
+        self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
 
+_ids = _Ids()
+
+
 def tokens_of(text: str) -> list[bytes]:
     """Lower-case words between ASCII blanks."""
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def _numbers(text: str, ids: _Ids) -> np.ndarray:
-    words = tokens_of(text)
-    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-
-
-class _Tally:
-    """Counts of numbers, in memory up to a size, then handed out."""
-
-    def __init__(self, size: int = 4_000_000):
-        self.parts, self.n, self.size = [], 0, size
-
-    def add(self, numbers: np.ndarray):
-        self.parts.append(numbers)
-        self.n += len(numbers)
-        return self.out() if self.n >= self.size else []
-
-    def out(self):
-        if not self.n:
-            return []
-        keys, counts = np.unique(np.concatenate(self.parts), return_counts=True)
-        self.parts, self.n = [], 0
-        return [pa.RecordBatch.from_pydict({"key": keys, "n": counts.astype(np.int64)})]
-
-
-def _counted(rows: DataFrame, numbers) -> DataFrame:
-    """key, n over all rows' texts; numbers() gives a function from a text to its keys. Summed in each task first."""
-
-    def run(batches):
-        of, tally = numbers(), _Tally()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                yield from tally.add(of(text))
-        yield from tally.out()
-
-    return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _vocabulary(words: DataFrame, total: int):
-    """Sorted hashes of the numbered words and their counts by number, from 1."""
-    kept = words.where(F.col("n") >= max(1.0, WORD_SHARE * total)).orderBy("key").toArrow()
-    hashes, counts = kept["key"].to_numpy(), kept["n"].to_numpy()
-    return hashes, np.concatenate([[0], counts]).astype(np.int64)
-
-
-def _finder(hashes: np.ndarray):
-    def lookup(h: int) -> int:
-        i = int(np.searchsorted(hashes, h))
-        return i + 1 if i < len(hashes) and hashes[i] == h else 0
-
-    return lookup
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Fibonacci hashing of the key picks the part."""
-    return ((keys.astype(np.uint64) * FACTOR) >> np.uint64(33)).astype(np.int64) % parts
-
-
-def _logs(counts: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(counts)
-
-
-def _lone(others: np.ndarray) -> np.ndarray:
-    """A word's score without the bigram before it, times the number of all words."""
-    return np.where(others > 0, np.log(ALPHA) + _logs(others), 2 * np.log(ALPHA))
-
-
-def _scored_here(numbers: np.ndarray, counts: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
-    """What a document's score is known to be without what is exploded, how many of its bigrams were seen elsewhere so far; and what is exploded:
-    bigrams of numbered words (first, second, times, how often the document has each), rare words (hash, how often), and
-    bigrams with a rare word (its place among the rare ones, the other word, times, how often the document has that, whether the rare word is the second)."""
-    if not len(numbers):
-        return 0.0, 0, (np.zeros(0, np.int64),) * 5, (np.zeros(0, np.int64),) * 2, (np.zeros(0, np.int64),) * 5
-    words, at, own = np.unique(numbers, return_inverse=True, return_counts=True)
-    rare = words < 0
-    others = np.where(rare, 1, counts[np.where(rare, 0, words)] - own)  # of a rare word: not known here
-    score = float((own * _lone(others))[~rare].sum() - np.log(ALPHA))
-    pairs, times = np.unique(at[:-1] * len(words) + at[1:], return_counts=True)
-    v, w = pairs // len(words), pairs % len(words)
-    numbered = ~rare[v] & ~rare[w]
-    keys = np.where(numbered, (words[v] << ID_BITS) | words[w], -1)
-    spot = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
-    known = (hot[spot] == keys) if len(hot) else np.zeros(len(keys), bool)
-    elsewhere = np.where(known, (hot_counts[spot] if len(hot) else 0) - times, 0)
-    seen = elsewhere > 0
-    logs = _logs(others)
-    score += float((times[seen] * (np.log(elsewhere[seen]) - logs[v[seen]] - logs[w[seen]])).sum())
-    left = ~known & (others[v] > 0) & (others[w] > 0)  # else no other document has the bigram
-    place = np.cumsum(rare) - 1
-    a, b, c = left & numbered, left & rare[v], left & rare[w]
-    both = lambda x, y: np.concatenate([x, y])
-    mixed = both(place[v[b]], place[w[c]]), both(words[w[b]], words[v[c]]), both(times[b], times[c]), both(own[w[b]], own[v[c]]), np.repeat([0, 1], [b.sum(), c.sum()])
-    return score, int(times[seen].sum()), (words[v[a]], words[w[a]], times[a], own[v[a]], own[w[a]]), (words[rare], own[rare]), mixed
-
-
-#: Packed columns: bigrams of numbered words, rare words, bigrams with a rare word. A document is its row less the batch's first row.
-_KINDS = (("<u4",) * 6, ("<u4", "<i8", "<u4"), ("<u4", "<i8", "<u4", "<u4", "u1"))
-
-
-def _packed(parts: int, rows: list[int], each: list) -> list[tuple[int, bytes]]:
-    """(part, packed columns) for what a batch's documents explode."""
-    first = min(rows)
-    who = [np.full(len(e[0][0]), r - first) for r, e in zip(rows, each, strict=True)]
-    one = [np.concatenate(c) for c in (who, *(zip(*(e[0] for e in each), strict=True)))]
-    who = [np.full(len(e[1][0]), r - first) for r, e in zip(rows, each, strict=True)]
-    two = [np.concatenate(c) for c in (who, *(zip(*(e[1] for e in each), strict=True)))]
-    three = [np.concatenate(c) for c in zip(*(e[2] for e in each), strict=True)]
-    shift = np.cumsum([0, *(len(e[1][0]) for e in each)])[:-1]
-    three[0] = three[0] + np.repeat(shift, [len(e[2][0]) for e in each])
-    of_word = _part(two[1], parts)
-    kinds, starts, home = [], [], of_word[three[0]]
-    for columns, part in ((one, _part((one[1] << ID_BITS) | one[2], parts)), (two, of_word), (three, home)):
-        order = np.argsort(part, kind="stable") if columns is not one else np.lexsort((columns[2], columns[1], part))
-        kinds.append([c[order] for c in columns])
-        starts.append(np.searchsorted(part[order], np.arange(parts + 1)))
-        if columns is two:  # a rare word's place is counted within its part
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order)) - starts[1][part[order]]
-            three[0] = place[three[0]]
-    out = []
-    for p in range(parts):
-        sizes = [int(s[p + 1] - s[p]) for s in starts]
-        if any(sizes):
-            body = (c[s[p] : s[p + 1]].astype(t).tobytes() for columns, s, types in zip(kinds, starts, _KINDS, strict=True) for c, t in zip(columns, types, strict=True))
-            out.append((p, np.array([first, *sizes], np.int64).tobytes() + b"".join(body)))
-    return out
-
-
-def _unpacked(blobs: list[bytes]):
-    """The columns of all blobs of a part, the documents as rows."""
-    kinds, words = ([], [], []), 0
-    for data in blobs:
-        first, *sizes = np.frombuffer(data, np.int64, 4).tolist()
-        at = 32
-        for k, (n, types) in enumerate(zip(sizes, _KINDS, strict=True)):
-            columns = []
-            for t in types:
-                columns.append(np.frombuffer(data, t, n, at).astype(np.int64))
-                at += n * np.dtype(t).itemsize
-            columns[0] += words if k == 2 else first
-            kinds[k].append(columns)
-        words += sizes[1]
-    return [[np.concatenate(c) for c in zip(*k, strict=True)] for k in kinds]
-
-
-def _joined(blobs: list[bytes], counts: np.ndarray):
-    """One part: its words' and bigrams' counts, joined to its exploded rows, summed per document: row, seen bigrams, score."""
-    (who, v, w, times, own_v, own_w), (whose, words, own), (place, other, often, own_other, second) = _unpacked(blobs)
-    _, at = np.unique((v << ID_BITS) | w, return_inverse=True)
-    elsewhere = np.bincount(at, times)[at].astype(np.int64) - times if len(at) else times
-    s = elsewhere > 0
-    gain = times[s] * (np.log(elsewhere[s]) - np.log(counts[v[s]] - own_v[s]) - np.log(counts[w[s]] - own_w[s]))
-    rows, seen, gains = [who[s]], [times[s]], [gain]
-    if len(words):
-        _, at = np.unique(words, return_inverse=True)
-        others = np.bincount(at, own)[at].astype(np.int64) - own
-        rows, seen, gains = [*rows, whose], [*seen, np.zeros(len(own), np.int64)], [*gains, own * _lone(others)]
-    if len(place):
-        key = words[place].astype(np.uint64) * FACTOR
-        key = ((key ^ (key >> np.uint64(29))) + other.astype(np.uint64)) * FACTOR
-        _, at = np.unique((key ^ (key >> np.uint64(32))) * FACTOR + second.astype(np.uint64), return_inverse=True)
-        elsewhere = np.bincount(at, often)[at].astype(np.int64) - often
-        s = elsewhere > 0
-        place, other, often, own_other, second, elsewhere = (c[s] for c in (place, other, often, own_other, second, elsewhere))
-        numbered = other > 0
-        whole = numbered | (second == 0)  # of two rare words, the second's part gives only that word's term
-        known = np.where(numbered, counts[np.where(numbered, other, 0)] - own_other, 1)
-        gain = often * (np.where(whole, np.log(elsewhere), 0) - np.log(others[place]) - np.log(known))
-        rows, seen, gains = [*rows, whose[place]], [*seen, often * whole], [*gains, gain]
-    return _summed(np.concatenate(rows), np.concatenate(seen), np.concatenate(gains))
-
-
-def _summed(rows: np.ndarray, seen: np.ndarray, gains: np.ndarray):
-    names, at = np.unique(rows, return_inverse=True)
-    return names, np.bincount(at, seen, len(names)).astype(np.int64), np.bincount(at, gains, len(names)).astype(np.float64)
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_seen (bigrams that another document has), log_score, mean_log_score."""
-    context = docs.sparkSession.sparkContext
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of(docs).alias("text"))
-
-    def word_hashes():
-        ids = _Ids()
-        return lambda text: _numbers(text, ids)
-
-    words = cut(_counted(plain, word_hashes), "word-counts")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = context.broadcast(_vocabulary(words, total))
-
-    def frequent_pairs():
-        hashes, counts = model.value
-        ids, often = _Ids(_finder(hashes)), counts >= PAIR_SHARE * total
-
-        def of(text):
-            x = np.maximum(_numbers(text, ids), 0)
-            both = often[x[:-1]] & often[x[1:]]
-            return (x[:-1][both] << ID_BITS) | x[1:][both]
-
-        return of
-
-    pairs = _counted(plain, frequent_pairs).where(F.col("n") >= max(1.0, PAIR_SHARE * total)).orderBy("key").toArrow()
-    hot = context.broadcast((pairs["key"].to_numpy(), pairs["n"].to_numpy()))
-
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(tasks, total // PART)
-    tasks = max(tasks, parts // 16)
-
-    def explode(batches):
-        hashes, counts = model.value
-        ids = _Ids(_finder(hashes))
-        for batch in batches:
-            docs_, rows, texts = (c.to_pylist() for c in batch.columns)
-            heads, each = [], []
-            for text in texts:
-                x = _numbers(text, ids)
-                known, seen, *more = _scored_here(x, counts, *hot.value)
-                heads.append((len(x), seen, known))
-                each.append(more)
-            packed = _packed(parts, rows, each) if rows else []
-            n, m = len(rows), len(packed)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r % parts for r in rows] + [p for p, _ in packed], pa.int32()), pa.array(rows + [None] * m, pa.int64()), pa.array(docs_ + [None] * m, pa.int64()),
-                    *(pa.array([h[c] for h in heads] + [None] * m, kind) for c, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))), pa.array([None] * n + [b for _, b in packed], pa.binary()),
-                ],
-                names=["part", "row", "doc_id", "n_tokens", "seen", "log_score", "packed"],
-            )
-
-    def join(batches):
-        """A task's parts, one after the other; their documents' sums are added up. Documents' own rows pass through."""
-        counts, sums, blobs, current = model.value[1], [], [], None
-        names = ["row", "doc_id", "n_tokens", "seen", "log_score"]
-
-        def out():
-            rows, seen, gains = _summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))
-            sums[:] = [(rows, seen, gains)]
-            if len(rows) >= most:
-                sums.clear()
-            return rows, seen, gains
-
-        def given(rows, seen, gains):
-            for at in range(0, len(rows), 50_000):
-                r = rows[at : at + 50_000]
-                none = pa.nulls(len(r), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(r), none, none, pa.array(seen[at : at + 50_000]), pa.array(gains[at : at + 50_000])], names=names)
-
-        most = 1_000_000
-        for batch in batches:
-            own = batch.filter(pa.compute.is_valid(batch.column("row"))).select(names)
-            if len(own):
-                yield own
-            rest = batch.filter(pa.compute.is_valid(batch.column("packed")))
-            for part, data in zip(rest.column("part").to_pylist(), rest.column("packed").to_pylist(), strict=True):
-                if part != current and blobs:
-                    sums.append(_joined(blobs, counts))
-                    blobs = []
-                    if sum(len(x[0]) for x in sums) >= 2 * most:
-                        found = out()
-                        if not sums:
-                            yield from given(*found)
-                current = part
-                blobs.append(data)
-        if blobs:
-            sums.append(_joined(blobs, counts))
-        if sums:
-            yield from given(*out())
-
-    exploded = plain.mapInArrow(explode, "part int, row long, doc_id long, n_tokens long, seen long, log_score double, packed binary")
-    both = exploded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(join, "row long, doc_id long, n_tokens long, seen long, log_score double")
-    out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("seen").alias("n_seen"), F.sum("log_score").alias("log_score"))
-    rest = F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_tokens")))
-    out = out.withColumn("log_score", F.col("log_score") - F.col("n_tokens") * rest + F.col("n_seen") * (rest - math.log(ALPHA)))
-    return out.select("doc_id", "n_tokens", "n_seen", "log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"))
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, one text after the other, and where each text begins and the last ends."""
+    lines = [np.fromiter(map(_ids.__getitem__, w), np.uint64, len(w)) for w in map(tokens_of, texts)]
+    return np.concatenate([np.zeros(0, np.uint64), *lines]), np.cumsum([0, *map(len, lines)])
+
+
+def _grams(words: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that end at the places, and whether a place has one within its text."""
+    h = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    for k in range(n):
+        h = (h ^ words[k : k + len(h)]) * FACTOR
+        h ^= h >> np.uint64(29)
+    there = np.ones(len(words), bool)
+    for k in range(n - 1):
+        at = ends[:-1] + k
+        there[at[at < ends[1:]]] = False
+    out = np.zeros(len(words), np.uint64)
+    out[len(words) - len(h) :] = h
+    return out, there
+
+
+def _terms(texts: list[str], found: np.ndarray, totals: np.ndarray, order: int):
+    """Per text: words, places scored by each order, the sum of logarithms, how many terms have the number of all words below."""
+    words, ends = _words(texts)
+    n = len(words)
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+    others, last = [], None
+    for k in range(1, order + 1):
+        keys, there = _grams(words, ends, k)
+        at = np.searchsorted(found, keys[there])
+        _, same, own = np.unique((doc[there] << 40) | at, return_inverse=True, return_counts=True)
+        c = np.zeros(n, np.int64)
+        c[there] = totals[at] - own[same]
+        others.append((c, there))
+    level, score = np.zeros(n, np.int64), np.zeros(n)
+    for k in range(order, 1, -1):
+        (c, there), (below, _) = others[k - 1], others[k - 2]
+        hit = np.flatnonzero((level == 0) & (c > 0))
+        level[hit] = k
+        score[hit] = np.log(c[hit]) - np.log(below[hit - 1])
+    lone = level == 0
+    score[lone] = np.log(np.where(others[0][0][lone] > 0, others[0][0][lone], ALPHA))
+    level[lone] = 1
+    longest = sum(there.astype(np.int64) for _, there in others)  # the order a place begins with
+    score += (longest - level) * math.log(ALPHA)
+    sums = lambda x: np.bincount(doc, x, len(texts))
+    return np.diff(ends), [sums(level == k).astype(np.int64) for k in range(2, order + 1)], sums(score).astype(np.float64), sums(lone).astype(np.int64)
+
+
+def score(docs: DataFrame, order: int = ORDER, written: bool = False, **sizes: int) -> DataFrame:
+    """doc_id, n_tokens, n_seen (places scored by an n-gram of two words or more), n_seen_whole (by one of the full order), log_score, mean_log_score.
+
+    written: docs is read from files as they are, so that reading it twice gives the same partitions; anything else is written first. sizes: of batches and parts, see counted.py.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = rows if written else cut(rows, "lm-texts")
+
+    def keys(texts: list[str]) -> np.ndarray:
+        words, ends = _words(texts)
+        return np.concatenate([h[there] for h, there in (_grams(words, ends, k) for k in range(1, order + 1))])
+
+    def finish(table: pa.Table, found: np.ndarray, totals: np.ndarray) -> pa.Table:
+        n, seen, score, lone = _terms(table["text"].to_pylist(), found, totals, order)
+        whole = seen[-1] if seen else np.zeros(len(n), np.int64)
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(n), "n_seen": pa.array(sum(seen, np.zeros(len(n), np.int64))), "n_seen_whole": pa.array(whole), "log_score": pa.array(score), "lone": pa.array(lone)})
+
+    found = cut(with_counts(rows, keys, finish, "doc_id long, n_tokens long, n_seen long, n_seen_whole long, log_score double, lone long", **sizes), "lm-scores")
+    total = found.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    log_score = F.col("log_score") - F.col("lone") * F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_tokens")))
+    out = found.select("doc_id", "n_tokens", "n_seen", "n_seen_whole", log_score.alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

@@ -39,7 +39,7 @@ def op6_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(table(spark, sf_dir, "documents"))
+    return lmscore.score(table(spark, sf_dir, "documents"), written=True)
 
 
 def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,31 +330,32 @@ def test_shared_passages_share_chunks_and_checksums_combine():
 
 
 # 7
-def test_backoff_against_plain_counts(spark, texts):
+@pytest.mark.parametrize(("order", "sizes"), [(3, {}), (3, {"batch_size": 900, "part_size": 40}), (2, {"batch_size": 1}), (1, {})])
+def test_backoff_against_plain_counts(spark, texts, hard, order, sizes):
     import math
 
-    seqs = {d: lmscore.tokens_of(t) for d, t in corpus()}
-    uni, bi = Counter(w for s in seqs.values() for w in s), Counter(p for s in seqs.values() for p in zip(s, s[1:], strict=False))
-    total = sum(uni.values())
-    for r in lmscore.score(texts).collect():
-        s = seqs[r.doc_id]
-        u, b = Counter(s), Counter(zip(s, s[1:], strict=False))
-        rest, want, seen = total - len(s), 0.0, 0
-        lone = lambda w: (math.log(uni[w] - u[w]) + math.log(0.4) if uni[w] > u[w] else 2 * math.log(0.4)) - math.log(rest)  # noqa: B023, E731
-        want += lone(s[0]) - math.log(0.4)
-        for v, w in zip(s, s[1:], strict=False):
-            c = bi[v, w] - b[v, w]
-            seen += c > 0
-            want += math.log(c / (uni[v] - u[v])) if c > 0 else lone(w)
-        assert r.n_tokens == len(s) and r.n_seen == seen and abs(r.log_score - want) < 1e-6
-
-
-@pytest.mark.parametrize("share", [0.004, 10.0])
-def test_backoff_keeps_rare_words(spark, texts, monkeypatch, share):
-    """The table of frequent words only saves rows: scores are the same where it holds some words or none."""
-    monkeypatch.setattr(lmscore, "WORD_SHARE", share)
-    monkeypatch.setattr(lmscore, "PART", 300)
-    test_backoff_against_plain_counts(spark, texts)
+    rows = [(d, t or "") for d, t in corpus() + HARD]
+    seqs = [(d, lmscore.tokens_of(t)) for d, t in rows]
+    grams = lambda s, k: Counter(tuple(s[i : i + k]) for i in range(len(s) - k + 1))
+    whole = [sum((grams(s, k) for _, s in seqs), Counter()) for k in range(1, order + 1)]
+    total, want = sum(whole[0].values()), Counter()
+    for d, s in seqs:
+        own = [grams(s, k) for k in range(1, order + 1)]
+        c = lambda g: whole[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
+        value, seen, full = 0.0, 0, 0
+        for i in range(len(s)):
+            for k in range(min(order, i + 1), 0, -1):
+                g = tuple(s[i - k + 1 : i + 1])
+                back = math.log(0.4) * (min(order, i + 1) - k)
+                if k == 1:
+                    value += back + math.log((c(g) or 0.4) / max(1, total - len(s)))
+                elif c(g):
+                    value, seen, full = value + back + math.log(c(g) / c(g[:-1])), seen + 1, full + (k == order)
+                    break
+        want[d, len(s), seen, full, round(value, 5)] += 1
+    got = lmscore.score(texts.unionByName(hard), order, **sizes).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_seen, r.n_seen_whole, round(r.log_score, 5)) for r in got) == want
+    assert all(r.mean_log_score is None if r.n_tokens == 0 else abs(r.mean_log_score - r.log_score / r.n_tokens) < 1e-9 for r in got)
 
 
 # 8
