@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and \x09-\x0D.
 BLANKS = r"[ \t-\r]"
 
+#: Rows of a table that may be sent to every task, once they are counted.
+SMALL = 300_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,10 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A text's features are its shingles of five words, weighted by their count and by their inverse document frequency over all documents, told apart by 64-bit
-hashes. Frequencies are exact at any size: hashes are summed per batch of texts, dealt by hash, counted, and the counts go back to their batches. Consistent weighted sampling draws, for
+hashes. Frequencies are exact at any size; they are counted and joined back as in counted.py. Consistent weighted sampling draws, for
 each of BANDS x ROWS hashes, one shingle and level of it, alike for two texts with a chance near their weighted Jaccard similarity; texts
-that agree on all samples of a band are candidates, and candidates are verified by the exact weighted Jaccard similarity of their whole texts.
+that agree on all samples of a band are candidates. Candidates that agree on fewer than AGREE of all samples are left out (a pair of similarity 0.8 agrees on fewer with a chance
+below 10^-4), the others are verified by the exact weighted Jaccard similarity of their whole texts.
 
 Copies are one class from the start, and only one of them goes on, under a row number that is written once. Within a bucket of candidates each text is first compared with
 the bucket's first text, so a large group costs one comparison a text; then, in buckets whose texts still belong to several
@@ -13,13 +14,13 @@ meet all texts block by block, so that rows grow with the number of blocks and n
 The samples' random numbers come from a table of 2^16 rows that a shingle's hash picks from. The table is a fixed size; two shingles on one row only make candidates likelier.
 
 Nulls: a null text counts as empty; empty texts are copies of each other. A text of fewer than five words has one shingle of all its words. Rows with a null id take the
-class of an equal text, or null. Repeated rows share their class; different texts of one id are texts of their own. An empty table gives an empty result. Columns besides doc_id and text are not read (keep_one() passes every column on).
+class of an equal text, or null. Repeated rows share their class; different texts of one id are texts of their own. Very long texts are compared whole. Ties: the smallest id names a class. An empty table gives an empty result. Columns besides doc_id and text are not read (keep_one() passes every column on).
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -28,18 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, text_of
+from .common import SMALL, cut, map_rows, text_of
 from .components import components
+from .counted import packed, unpacked, with_counts
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 4
-BUCKET_BITS, TABLE_BITS = 20, 16
-#: Texts in a batch as a power of two; hashes in a batch at most and in a part, about.
-BATCH_BITS, PART = 11, 2_000_000
+#: Samples (of BANDS x ROWS) that a pair to be verified agrees on.
+AGREE = 27
+TABLE_BITS = 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MEMO = 600_000
 #: Texts in a block of a large bucket; buckets up to PAIRWISE texts are compared as pairs.
-BLOCK, PAIRWISE = 256, 48
+BLOCK, PAIRWISE = 2048, 48
 
 
 class _Words(dict):
@@ -65,20 +67,14 @@ def shingles(text: str) -> np.ndarray:
     return h
 
 
-def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted, and their weights, for weights given by bucket (a hash's upper bits); the operator's own are exact, see exactly_weighted()."""
-    h, tf = np.unique(shingles(text), return_counts=True)
-    return h, tf.astype(np.float32) * idf[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-
-
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return (np.log((1 + n) / (1 + df.astype(np.float64))) + 1).astype(np.float32)
 
 
-def exactly_weighted(text: str, dfs: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def weighted(text: str, dfs: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, sorted, and their weights from their document frequencies (dfs, packed) among n documents."""
     h, tf = np.unique(shingles(text), return_counts=True)
-    return h, tf.astype(np.float32) * idf_of(np.frombuffer(zlib.decompress(dfs), "<u4"), n)
+    return h, tf.astype(np.float32) * idf_of(unpacked(dfs), n)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -90,39 +86,46 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 @lru_cache(maxsize=1)
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and c from Gamma(2, 1), beta uniform, for each row of the table and each hash; c as its logarithm less r."""
+def _draws() -> np.ndarray:
+    """In each row of the table, for each hash: r and beta (r from Gamma(2, 1), beta uniform), and the logarithm of c (from Gamma(2, 1)) less r."""
     g = np.random.Generator(np.random.PCG64(20_10))
     shape = (1 << TABLE_BITS, BANDS * ROWS)
     r = g.standard_gamma(2.0, shape, np.float32)
-    return r, g.random(shape, np.float32), np.log(g.standard_gamma(2.0, shape, np.float32)) - r
+    return np.concatenate([r, g.random(shape, np.float32), np.log(g.standard_gamma(2.0, shape, np.float32)) - r], axis=1)
 
 
 def samples(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sampled shingle and its level for each hash."""
-    r, beta, c = _draws()
+    draws, k, logs = _draws(), BANDS * ROWS, np.log(w)
     best = level = chosen = None
-    for at in range(0, len(h), 2048):
-        rows = (h[at : at + 2048] & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-        rr, bb = r[rows], beta[rows]
-        t = np.floor(np.log(w[at : at + 2048])[:, None] / rr + bb)
-        a = c[rows] - rr * (t - bb)
-        k = a.argmin(axis=0)
-        every = np.arange(a.shape[1])
-        a, t, s = a[k, every], t[k, every], h[at + k]
+    for at in range(0, len(h), 1024):
+        rows = draws[(h[at : at + 1024] & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
+        r, beta = rows[:, :k], rows[:, k : 2 * k]
+        t = logs[at : at + 1024, None] / r
+        t += beta
+        np.floor(t, out=t)
+        a = t - beta
+        a *= r
+        np.subtract(rows[:, 2 * k :], a, out=a)
+        low = a.min(axis=0)
+        hits = np.flatnonzero(a == low)[::-1]  # the first of equal ones is written last
+        first = np.zeros(k, np.int64)
+        first[hits % k] = hits // k
+        t, s = t[first, np.arange(k)], h[at + first]
         if best is None:
-            best, level, chosen = a, t, s
+            best, level, chosen = low, t, s
         else:
-            less = a < best
-            best, level, chosen = np.where(less, a, best), np.where(less, t, level), np.where(less, s, chosen)
+            less = low < best
+            best, level, chosen = np.where(less, low, best), np.where(less, t, level), np.where(less, s, chosen)
     return chosen, level
 
 
-def bands(h: np.ndarray, w: np.ndarray) -> list[int]:
-    """One 64-bit key for each band."""
+def sketch(h: np.ndarray, w: np.ndarray) -> tuple[list[int], bytes]:
+    """One 64-bit key for each band, and a byte of each sample."""
     chosen, level = samples(h, w)
-    both = np.stack([chosen, level.astype(np.int64).view(np.uint64)], 1).reshape(BANDS, -1)
-    return [xxhash.xxh64_intdigest(row.tobytes()) - (1 << 63) for row in both]
+    both = np.stack([chosen, level.astype(np.int64).view(np.uint64)], 1)
+    mixed = ((both[:, 0] ^ (both[:, 1] * _FACTOR)) * _FACTOR) >> np.uint64(56)
+    return [xxhash.xxh64_intdigest(row.tobytes()) - (1 << 63) for row in both.reshape(BANDS, -1)], mixed.astype(np.uint8).tobytes()
 
 
 def _copy(text):
@@ -133,80 +136,35 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("copy", _copy(F.col("text")))
 
 
-def _batch(texts: list[str], times: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The texts' distinct hashes, those of all of them, sorted, and how many documents have each."""
-    each = [np.unique(shingles(t)) for t in texts]
-    hashes, at = np.unique(np.concatenate(each), return_inverse=True)
-    n = np.bincount(at, np.repeat(np.array(times, np.int64), [len(h) for h in each]), len(hashes))
-    return each, hashes, n.astype(np.int64)
-
-
-def sketches_of(firsts: DataFrame, n: int) -> DataFrame:
-    """rep, weight (total), bands, dfs (its shingles' document frequencies, packed) for each text of firsts (rep, n: documents with the text, text), n in all."""
-    session = firsts.sparkSession
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    size = firsts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), size // (6 * PART))
-
-    def deal(batches):
-        """Each batch's hashes by their upper bits: the batch, its first and last text, a part, its hashes and their counts."""
-        reps, times, texts = [], [], []
-
-        def out():
-            _, hashes, counts = _batch(texts, times)
-            part = (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            found = [p for p in range(parts) if ends[p] < ends[p + 1]]
-            k = len(found)
-            columns = [pa.array([x] * k, pa.int64()) for x in (reps[0] >> BATCH_BITS, reps[0], reps[-1])]
-            blobs = ([c[ends[p] : ends[p + 1]].astype(t).tobytes() for p in found] for c, t in ((hashes, "<u8"), (counts, "<u4")))
-            return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["batch", "low", "high", "part", "hashes", "counts"])
-
-        length = 0
-        for batch in batches:
-            for rep, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if reps and (rep >> BATCH_BITS != reps[0] >> BATCH_BITS or rep != reps[-1] + 1 or length > 6 * PART):
-                    yield out()
-                    reps, times, texts, length = [], [], [], 0
-                reps.append(rep)
-                times.append(k)
-                texts.append(text)
-                length += len(text)
-        if reps:
-            yield out()
-
-    def count(t):
-        """One part: each batch's hashes with the counts of all batches."""
-        hashes, counts = [np.frombuffer(x, "<u8") for x in t["hashes"].to_pylist()], [np.frombuffer(x, "<u4") for x in t["counts"].to_pylist()]
-        found, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        df = np.bincount(at, np.concatenate(counts), len(found)).astype("<u4")[at]
-        ends = np.cumsum([0, *map(len, hashes)])
-        dfs = [zlib.compress(df[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return t.select(["batch", "low", "high", "part"]).append_column("dfs", pa.array(dfs, pa.binary()))
-
-    def sketch(texts, found):
-        texts, found = texts.sort_by("rep"), found.sort_by([("low", "ascending"), ("part", "ascending")])
-        given = {}
-        for low, high, dfs in zip(*(found[c].to_pylist() for c in ("low", "high", "dfs")), strict=True):
-            given.setdefault((low, high), []).append(np.frombuffer(zlib.decompress(dfs), "<u4"))
-        reps, words = texts["rep"].to_pylist(), texts["text"].to_pylist()
-        rows = {}
-        for (low, high), dfs in given.items():
-            inside = [k for k, r in enumerate(reps) if low <= r <= high]
-            each, hashes, _ = _batch([words[k] for k in inside], [1] * len(inside))
-            df = np.concatenate(dfs)
-            for k, h in zip(inside, each, strict=True):
-                own = df[np.searchsorted(hashes, h)]
-                packed = zlib.compress(own.tobytes(), 1)
-                w = exactly_weighted(words[k], packed, n)[1]
-                rows[k] = (float(w.sum(dtype=np.float64)), bands(h, w) if len(h) else [], packed)
-        out = [rows.get(k, (0.0, [], zlib.compress(b""))) for k in range(len(reps))]  # a text without words has no shingles
-        return pa.table({"rep": pa.array(reps, pa.int64()), "weight": pa.array([r[0] for r in out], pa.float64()), "bands": pa.array([r[1] for r in out], pa.list_(pa.int64())), "dfs": pa.array([r[2] for r in out], pa.binary())})
-
-    dealt = firsts.select("rep", "n", "text").mapInArrow(deal, "batch long, low long, high long, part int, hashes binary, counts binary")
-    counted = dealt.groupBy("part").applyInArrow(count, "batch long, low long, high long, part int, dfs binary")
-    texts = firsts.select(F.shiftright("rep", BATCH_BITS).alias("batch"), "rep", "text")
-    return texts.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(sketch, "rep long, weight double, bands array<long>, dfs binary")
+def sketches_of(rows: DataFrame, n: int, **sizes: int) -> DataFrame:
+    """doc_id, copy (digest), weight (total), bands, bytes (of the samples), dfs (its shingles' document frequencies, packed) for each of rows (doc_id, text, from files), n in all."""
+
+    def keys(texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.unique(shingles(t)) for t in texts])
+
+    def finish(table: pa.Table, found: np.ndarray, totals: np.ndarray) -> pa.Table:
+        known: dict[bytes, tuple] = {}
+        copies = []
+        for text in table["text"].to_pylist():
+            copies.append(copy := hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
+            if copy not in known:
+                h, tf = np.unique(shingles(text), return_counts=True)
+                df = totals[np.searchsorted(found, h)]
+                w = tf.astype(np.float32) * idf_of(df, n)
+                known[copy] = (float(w.sum(dtype=np.float64)), *(sketch(h, w) if len(h) else ([], b"")), packed(df))  # a text without words has no shingles
+        kinds = {"weight": pa.float64(), "bands": pa.list_(pa.int64()), "bytes": pa.binary(), "dfs": pa.binary()}
+        columns = {name: pa.array([known[c][k] for c in copies], kind) for k, (name, kind) in enumerate(kinds.items())}
+        return pa.table({"doc_id": table["doc_id"], "copy": pa.array(copies, pa.binary()), **columns})
+
+    return with_counts(rows, keys, finish, "doc_id long, copy binary, weight double, bands array<long>, bytes binary, dfs binary", **sizes)
+
+
+def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree on enough samples."""
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("rep").alias(side), F.col("bytes").alias(f"bytes_{side}")), side)
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0), lambda n, k: n + (F.col("bytes_a").substr(k, F.lit(1)) == F.col("bytes_b").substr(k, F.lit(1))).cast("int"))
+    return pairs.where(same >= AGREE).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
@@ -219,7 +177,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataF
             if i not in seen:
                 if len(seen) >= 32:
                     seen.clear()
-                seen[i] = exactly_weighted(text, dfs, n)
+                seen[i] = weighted(text, dfs, n)
             return seen[i]
 
         def body(rows):
@@ -234,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataF
 
 def _near_in_blocks(texts: list[str], dfs: list[bytes], sides: list[int], reps: list[int], classes: list[int], n: int, least: float) -> list[tuple[int, int]]:
     """Links between a left and a right text of different classes: for each left text one to each class it meets. An inverted index of the right texts gives all its similarities at once."""
-    weights = [exactly_weighted(t, d, n) for t, d in zip(texts, dfs, strict=True)]
+    weights = [weighted(t, d, n) for t, d in zip(texts, dfs, strict=True)]
     right = [k for k, side in enumerate(sides) if side]
     if not right or len(right) == len(sides):
         return []
@@ -277,20 +235,31 @@ def _by_blocks(members: DataFrame, largest: DataFrame, texts: DataFrame, total:
     return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _classes(docs: DataFrame, least: float) -> DataFrame:
+def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, text, dfs of the texts named by reps (rep, doc, copy, dfs). Few digests go to the texts; many meet them by a shuffle."""
+    few = reps.limit(SMALL + 1).count() <= SMALL
+    wanted = reps.select("doc", "copy")
+    found = _plain(docs).withColumnRenamed("doc_id", "doc").join(F.broadcast(wanted) if few else wanted, ["doc", "copy"], "left_semi").dropDuplicates(["copy"])
+    return found.drop("doc").join(reps.drop("doc"), "copy").select("rep", "text", "dfs")
+
+
+def _classes(docs: DataFrame, least: float, written: bool) -> DataFrame:
     """copy (digest), doc (smallest id), label (of the class), class_id (the class's smallest id) for each distinct text."""
-    texts = _plain(docs).groupBy("copy").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc"), F.count("*").alias("n"))
-    firsts = cut(texts.withColumn("rep", F.monotonically_increasing_id()), "firsts")
-    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sketches = cut(sketches_of(firsts, total), "sketches")
-    named = firsts.where(F.col("doc").isNotNull()).select("rep", "doc")
-    each = sketches.join(named, "rep").select("rep", "doc", "weight", F.posexplode("bands").alias("band", "key"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = rows if written else cut(rows, "near-texts")
+    total = rows.count()
+    every = cut(sketches_of(rows, total).withColumn("rep", F.monotonically_increasing_id()), "sketches")
+    firsts = cut(every.groupBy("copy").agg(F.min("rep").alias("rep"), F.min("doc_id").alias("doc")), "firsts")
+    sketches = every.drop("copy").join(firsts.where(F.col("doc").isNotNull()), "rep")
+    each = sketches.select("rep", "doc", "weight", F.posexplode("bands").alias("band", "key"))
     hubs = each.groupBy("band", "key").agg(F.min(F.struct("doc", "rep", "weight")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
     met = cut(each.drop("doc").join(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.weight").alias("hub_weight")), ["band", "key"]), "met")
-    texts = cut(firsts.select("rep", "text").join(met.select("rep").distinct(), "rep", "left_semi").join(sketches.select("rep", "dfs"), "rep"), "texts")
+    in_met = cut(sketches.select("rep", "doc", "copy", "bytes", "dfs").join(met.select("rep").distinct(), "rep", "left_semi"), "met-sketches")
     # Totals further apart than this can't be alike enough.
     level = lambda x, y: (F.col(x) >= F.col(y) * (least - 1e-6)) & (F.col(y) >= F.col(x) * (least - 1e-6))
-    stars = cut(met.where((F.col("rep") != F.col("hub")) & level("weight", "hub_weight")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "stars")
+    stars = met.where((F.col("rep") != F.col("hub")) & level("weight", "hub_weight")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    stars = cut(_agreeing(stars, in_met), "stars")
+    texts = cut(_texts(rows, in_met.drop("bytes")), "texts")
     links = cut(_verified(stars, texts, total, least).select("a", "b"), "links")
     labels = components(links)
     # Buckets whose texts are still in several classes: all pairs of texts from two of them.
@@ -302,22 +271,23 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     side = lambda c: few.select("band", "key", F.col("class").alias(f"c{c}"), F.col("rep").alias(f"r{c}"), F.col("weight").alias(f"w{c}"))
     cross = side("a").join(side("b"), ["band", "key"]).where((F.col("ca") < F.col("cb")) & level("wa", "wb"))
     cross = cross.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    cross = _agreeing(cross, in_met)
     many = mixed.where(F.col("n") > PAIRWISE)
     more = cut(_verified(cross, texts, total, least).select("a", "b").unionByName(_by_blocks(classed, many, texts, total, least)), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    classes = firsts.drop("text").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy", "doc", F.coalesce("label", "rep").alias("label"))
+    classes = firsts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy", "doc", F.coalesce("label", "rep").alias("label"))
     return classes.join(classes.groupBy("label").agg(F.min("doc").alias("class_id")), "label")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id: the smallest id among the documents linked to it."""
-    return _plain(docs).select("doc_id", "copy").join(_classes(docs, least).select("copy", "class_id"), "copy").select("doc_id", "class_id")
+def near_duplicates(docs: DataFrame, least: float = LEAST, written: bool = False) -> DataFrame:
+    """doc_id, class_id: the smallest id among the documents linked to it. written: docs is read from files as they are; anything else is written first."""
+    return _plain(docs).select("doc_id", "copy").join(_classes(docs, least, written).select("copy", "class_id"), "copy").select("doc_id", "class_id")
 
 
-def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = LEAST, written: bool = False) -> DataFrame:
     """One document of each class, that of the smallest id, with all its columns. Rows with a null id can't be named by a class and are kept."""
-    first = _classes(docs, least).where(F.col("doc").isNotNull()).groupBy("label").agg(F.min(F.struct("doc", "copy")).alias("f")).select(F.col("f.doc").alias("__doc"), F.col("f.copy").alias("__copy"))
+    first = _classes(docs, least, written).where(F.col("doc").isNotNull()).groupBy("label").agg(F.min(F.struct("doc", "copy")).alias("f")).select(F.col("f.doc").alias("__doc"), F.col("f.copy").alias("__copy"))
     named = docs.where(docs["doc_id"].isNotNull()).withColumns({"__doc": F.col("doc_id").cast("long"), "__copy": _copy(text_of(docs))})
     kept = named.join(first, ["__doc", "__copy"], "left_semi").dropDuplicates(["__doc", "__copy"])
     return kept.select(docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))

@@ -51,7 +51,7 @@ def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), written=True)
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
