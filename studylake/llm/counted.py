@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a batch's texts, about (a longer text is a batch of its own); keys of a part, about.
-BATCH, PART = 16_000_000, 2_000_000
+BATCH, PART = 8_000_000, 2_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -56,10 +56,11 @@ def _batches(batches, number: int, most: int):
         yield (number << 32) + nth, pa.Table.from_batches(rows)
 
 
-def with_counts(rows: DataFrame, keys, finish, schema: str, batch_size: int = BATCH, part_size: int = PART) -> DataFrame:
-    """finish(table of a batch's rows, its sorted distinct keys, their counts over all rows) -> pa.Table of the schema, for every batch.
+def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size: int = BATCH, part_size: int = PART) -> DataFrame:
+    """finish(a batch's rows, what prepare gave, its sorted distinct keys, their counts over all rows) -> pa.Table of the schema, for every batch.
 
-    rows: a column text and any others, from files. keys(list of texts) -> array<uint64> of what to count (a key as often as it counts). batch_size, part_size: see above; they change no result.
+    rows: a column text and any others, from files. prepare(list of texts) -> anything; keys(that) -> array<uint64> of what to count (a key as often as it counts).
+    batch_size, part_size: see above; they change no result.
     """
     session = rows.sparkSession
     session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -74,7 +75,7 @@ def with_counts(rows: DataFrame, keys, finish, schema: str, batch_size: int = BA
     def deal(batches):
         """Keys of a batch by their upper bits."""
         for batch, table in _batches(batches, number(), batch_size):
-            found, counts = np.unique(keys(table["text"].to_pylist()), return_counts=True)
+            found, counts = np.unique(keys(prepare(table["text"].to_pylist())), return_counts=True)
             part = (((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
             ends = np.searchsorted(part, np.arange(parts + 1)).tolist()
             asked = [p for p in range(parts) if ends[p] < ends[p + 1]]
@@ -102,12 +103,13 @@ def with_counts(rows: DataFrame, keys, finish, schema: str, batch_size: int = BA
 
     def meet(texts, counts):
         table = pa.ipc.open_stream(texts["rows"][0].as_py()).read_all()
-        found = np.unique(keys(table["text"].to_pylist()))
+        prepared = prepare(table["text"].to_pylist())
+        found = np.unique(keys(prepared))
         blobs = counts.sort_by("part")["counts"].to_pylist()
         totals = np.concatenate([unpacked(x) for x in blobs]) if blobs else np.zeros(0, "<u8")
         if len(totals) != len(found):
             raise ValueError("a batch changed between two readings: write the input first, with cut()")
-        return finish(table, found, totals.astype(np.int64))
+        return finish(table, prepared, found, totals.view(np.int64))
 
     dealt = rows.mapInArrow(deal, "batch long, part int, keys binary, counts binary")
     counted = dealt.groupBy("part").applyInArrow(count, "batch long, part int, counts binary")

@@ -67,31 +67,43 @@ def _grams(words: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return out, there
 
 
-def _terms(texts: list[str], found: np.ndarray, totals: np.ndarray, order: int):
-    """Per text: words, places scored by each order, the sum of logarithms, how many terms have the number of all words below."""
-    words, ends = _words(texts)
-    n = len(words)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    others, last = [], None
-    for k in range(1, order + 1):
-        keys, there = _grams(words, ends, k)
-        at = np.searchsorted(found, keys[there])
-        _, same, own = np.unique((doc[there] << 40) | at, return_inverse=True, return_counts=True)
-        c = np.zeros(n, np.int64)
-        c[there] = totals[at] - own[same]
-        others.append((c, there))
-    level, score = np.zeros(n, np.int64), np.zeros(n)
+def _others(words: np.ndarray, ends: np.ndarray, doc: np.ndarray, n: int, found: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place: how often other documents have the n-gram that ends there, and whether one does.
+
+    Places in the order of their keys, equal keys in the order of the texts: runs of a key have one total, runs of a key and text are the text's own.
+    """
+    keys, there = _grams(words, ends, n)
+    at = np.flatnonzero(there)
+    order = at[np.argsort(keys[at], kind="stable")]
+    keys = keys[order]
+    new = np.diff(keys, prepend=~keys[:1]) != 0
+    total = totals[np.searchsorted(found, keys[new])][np.cumsum(new) - 1]
+    starts = np.flatnonzero(new | (np.diff(doc[order], prepend=-1) != 0))
+    own = np.diff(starts, append=len(order))
+    out = np.zeros(len(words), np.int64)
+    out[order] = total - np.repeat(own, own)
+    return out, there
+
+
+def _terms(words: np.ndarray, ends: np.ndarray, found: np.ndarray, totals: np.ndarray, order: int):
+    """Per text: words, places scored by each order from 2, the sum of logarithms, how many terms have the number of all words below."""
+    n, texts = len(words), len(ends) - 1
+    doc = np.repeat(np.arange(texts, dtype=np.int32), np.diff(ends))
+    level, score, longest = np.zeros(n, np.int8), np.zeros(n), np.zeros(n, np.int8)
+    c, there = _others(words, ends, doc, order, found, totals)
     for k in range(order, 1, -1):
-        (c, there), (below, _) = others[k - 1], others[k - 2]
+        longest += there
+        below, there_below = _others(words, ends, doc, k - 1, found, totals)
         hit = np.flatnonzero((level == 0) & (c > 0))
         level[hit] = k
         score[hit] = np.log(c[hit]) - np.log(below[hit - 1])
+        c, there = below, there_below
+    longest += there  # the order a place begins with
     lone = level == 0
-    score[lone] = np.log(np.where(others[0][0][lone] > 0, others[0][0][lone], ALPHA))
+    score[lone] = np.log(np.where(c[lone] > 0, c[lone], ALPHA))
     level[lone] = 1
-    longest = sum(there.astype(np.int64) for _, there in others)  # the order a place begins with
     score += (longest - level) * math.log(ALPHA)
-    sums = lambda x: np.bincount(doc, x, len(texts))
+    sums = lambda x: np.bincount(doc, x, texts)
     return np.diff(ends), [sums(level == k).astype(np.int64) for k in range(2, order + 1)], sums(score).astype(np.float64), sums(lone).astype(np.int64)
 
 
@@ -103,16 +115,15 @@ def score(docs: DataFrame, order: int = ORDER, written: bool = False, **sizes: i
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     rows = rows if written else cut(rows, "lm-texts")
 
-    def keys(texts: list[str]) -> np.ndarray:
-        words, ends = _words(texts)
-        return np.concatenate([h[there] for h, there in (_grams(words, ends, k) for k in range(1, order + 1))])
+    def keys(prepared: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.concatenate([h[there] for h, there in (_grams(*prepared, k) for k in range(1, order + 1))])
 
-    def finish(table: pa.Table, found: np.ndarray, totals: np.ndarray) -> pa.Table:
-        n, seen, score, lone = _terms(table["text"].to_pylist(), found, totals, order)
+    def finish(table: pa.Table, prepared: tuple[np.ndarray, np.ndarray], found: np.ndarray, totals: np.ndarray) -> pa.Table:
+        n, seen, score, lone = _terms(*prepared, found, totals, order)
         whole = seen[-1] if seen else np.zeros(len(n), np.int64)
         return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(n), "n_seen": pa.array(sum(seen, np.zeros(len(n), np.int64))), "n_seen_whole": pa.array(whole), "log_score": pa.array(score), "lone": pa.array(lone)})
 
-    found = cut(with_counts(rows, keys, finish, "doc_id long, n_tokens long, n_seen long, n_seen_whole long, log_score double, lone long", **sizes), "lm-scores")
+    found = cut(with_counts(rows, _words, keys, finish, "doc_id long, n_tokens long, n_seen long, n_seen_whole long, log_score double, lone long", **sizes), "lm-scores")
     total = found.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     log_score = F.col("log_score") - F.col("lone") * F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n_tokens")))
     out = found.select("doc_id", "n_tokens", "n_seen", "n_seen_whole", log_score.alias("log_score"))

@@ -139,24 +139,30 @@ def _plain(docs: DataFrame) -> DataFrame:
 def sketches_of(rows: DataFrame, n: int, **sizes: int) -> DataFrame:
     """doc_id, copy (digest), weight (total), bands, bytes (of the samples), dfs (its shingles' document frequencies, packed) for each of rows (doc_id, text, from files), n in all."""
 
-    def keys(texts: list[str]) -> np.ndarray:
-        return np.concatenate([np.unique(shingles(t)) for t in texts])
-
-    def finish(table: pa.Table, found: np.ndarray, totals: np.ndarray) -> pa.Table:
-        known: dict[bytes, tuple] = {}
-        copies = []
-        for text in table["text"].to_pylist():
-            copies.append(copy := hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
+    def prepare(texts: list[str]) -> tuple[list[bytes], dict]:
+        """The texts' digests, and the distinct shingles of each digest with their numbers."""
+        copies, known = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], {}
+        for copy, text in zip(copies, texts, strict=True):
             if copy not in known:
-                h, tf = np.unique(shingles(text), return_counts=True)
-                df = totals[np.searchsorted(found, h)]
-                w = tf.astype(np.float32) * idf_of(df, n)
-                known[copy] = (float(w.sum(dtype=np.float64)), *(sketch(h, w) if len(h) else ([], b"")), packed(df))  # a text without words has no shingles
+                known[copy] = np.unique(shingles(text), return_counts=True)
+        return copies, known
+
+    def keys(prepared) -> np.ndarray:
+        copies, known = prepared
+        return np.concatenate([known[c][0] for c in copies])
+
+    def finish(table: pa.Table, prepared, found: np.ndarray, totals: np.ndarray) -> pa.Table:
+        copies, known = prepared
+        made = {}
+        for copy, (h, tf) in known.items():
+            df = totals[np.searchsorted(found, h)]
+            w = tf.astype(np.float32) * idf_of(df, n)
+            made[copy] = (float(w.sum(dtype=np.float64)), *(sketch(h, w) if len(h) else ([], b"")), packed(df))  # a text without words has no shingles
         kinds = {"weight": pa.float64(), "bands": pa.list_(pa.int64()), "bytes": pa.binary(), "dfs": pa.binary()}
-        columns = {name: pa.array([known[c][k] for c in copies], kind) for k, (name, kind) in enumerate(kinds.items())}
+        columns = {name: pa.array([made[c][k] for c in copies], kind) for k, (name, kind) in enumerate(kinds.items())}
         return pa.table({"doc_id": table["doc_id"], "copy": pa.array(copies, pa.binary()), **columns})
 
-    return with_counts(rows, keys, finish, "doc_id long, copy binary, weight double, bands array<long>, bytes binary, dfs binary", **sizes)
+    return with_counts(rows, prepare, keys, finish, "doc_id long, copy binary, weight double, bands array<long>, bytes binary, dfs binary", **sizes)
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
