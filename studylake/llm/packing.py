@@ -6,8 +6,8 @@ window are enumerated; non-negative least squares finds how often to use each so
 down and pieces dealt to them by rank within their bin. What is left is packed greedily, first fit by falling length, in groups of
 bounded size. Only the histogram, whose size is that of a window, comes to the driver.
 
-Nulls: a null text is empty, its document is the end id alone; a null id is kept. Repeated rows are packed each for itself, like empty texts. An empty table gives an
-empty result. Columns besides doc_id and text are not read.
+Nulls: a null text is empty, its document is the end id alone; a null id is kept. Repeated rows are packed each for itself, like empty texts. Very long texts are cut in
+full windows. Equal lengths are packed in the order of the rows' numbers. An empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, text_of
+from .common import cut, longs, map_rows, text_of
 from .tokens import encoder
 
 WINDOW, END, WIDTH = 4096, 2, 16
@@ -124,15 +124,15 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int = W
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark, bins = docs.sparkSession, window // width
     cuts = cut(pieces(docs, vocabulary, window).withColumns({"bin": F.ceil(F.col("length") / width).cast("int"), "tie": F.monotonically_increasing_id()}), "pack-pieces")
-    # Ranks within a bin, in two steps: a bin may hold most pieces, so it is dealt over as many parts as rows ask for.
-    parts = max(1, cuts.count() // 50_000)
-    salted = cuts.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(parts)).cast("int"))
+    # Ranks within a bin, in two steps: a bin may hold most pieces, so it is dealt over as many parts as its own pieces ask for.
+    histogram = {r["bin"]: r["n"] for r in cuts.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    parts = longs(min(1 << 20, -(-histogram.get(b, 0) // 1000) or 1) for b in range(1, bins + 1))
+    salted = cuts.withColumn("part", F.pmod(F.xxhash64("tie"), F.get(parts, F.col("bin") - 1)).cast("int"))
     counted = salted.groupBy("bin", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("bin", "part").orderBy("tie")))
     ranked = ranked.join(counted.select("bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), ["bin", "part"])
     ranked = ranked.withColumn("rank", F.col("nth") + F.col("before") - 1).drop("nth", "before", "part")
-    histogram = {r["bin"]: r["n"] for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     rows, full = plan(histogram, bins) if histogram else ([], 0)
     # The plan has a few rows for each combination in use: its size is bounded by the window's, not by the data's.
     planned = spark.createDataFrame(rows, "bin int, low long, high long, first long, place long")

@@ -186,6 +186,15 @@ def test_shards_split_a_hot_group(spark):
     assert len(bytes_of) == 24 and max(bytes_of.values()) < 1.1 * min(bytes_of.values())
 
 
+def test_shards_keep_groups_whole(spark):
+    rows = [(i, f"text of its own {i}") for i in range(4000)] + [(9000 + 10 * g + k, f"copied text {g}") for g in range(60) for k in range(7)]
+    where, bytes_of = defaultdict(set), Counter()
+    for r in sharding.shard(docs_of(spark, rows), shards=8).collect():
+        where[r.text_crc32].add(r.shard)
+        bytes_of[r.shard] += r.size
+    assert all(len(s) == 1 for s in where.values()) and max(bytes_of.values()) < 1.12 * min(bytes_of.values())
+
+
 # 4
 def test_quality_measures(spark, texts, hard):
     def plain(text):
