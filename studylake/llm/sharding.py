@@ -3,10 +3,14 @@
 Records are ordered by (hash of the text, hash of the id): equal texts lie together, and a group of copies that
 is too large for one range can still be cut by the second part. A sample in which each record's chance
 grows with its size gives quantile splitters; records go to the ranges between them; ranges that turn out overfull get
-more splitters from a denser sample of their own. Bytes before each range plus a running sum inside it then place each
+more splitters from a denser sample of their own. There are MOST ranges at most (a range of more rows is sorted with spill), so what the driver holds is bounded. Bytes before each range plus a running sum inside it then place each
 record on the line of all bytes, which is cut into equal lengths.
 
+A group of equal texts stays in one shard, at the place of its middle, unless it holds more than `slack` of a shard's bytes, at every size of the data; only such a group is dealt over neighbouring
+shards record by record. So shards differ by about twice `slack` and the largest records.
+
 Nulls: a null text counts as empty, a null id is replaced by the row's number. Repeated rows are kept, each with a slot of its own.
+Very long texts are records like others. Ties (equal hashes) are ordered by the rows' numbers.
 An empty table gives an empty result. Columns other than the two asked for are not read, so their names can't clash.
 """
 
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, longs, text_of
 
 LOWEST = -(2**63)
+MOST = 8192
 
 
 def _range_of(points: list[tuple[int, int]], key: Column, minor: Column) -> Column:
@@ -48,11 +53,10 @@ def _quantiles(rows: list, n: int) -> list[tuple[int, int]]:
     return sorted({(k, m if k in keys[max(0, i - 1) : i] + keys[i + 1 : i + 2] else LOWEST) for i, (k, m) in enumerate(points)})
 
 
-def shard(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32, drawn_per_range: int = 16, overfull: float = 2.5, slack: float = 0.005, rounds: int = 3) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32, drawn_per_range: int = 16, overfull: float = 2.5, slack: float = 0.05, rounds: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, law 'bytes', shard, slot, grown_shard (null).
 
-    A group of equal texts stays in one shard unless it holds more than `slack` of a shard's bytes.
-    `overfull`: a range above so many times the mean is subdivided, in at most `rounds` rounds.
+    `slack`: see above. `overfull`: a range above so many times the mean is subdivided, in at most `rounds` rounds.
     """
     text = text_of(docs)
     base = cut(
@@ -66,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32, drawn_p
         "shard-keys",
     )
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranges = max(shards * ranges_per_shard, n // 500_000)
+    ranges = max(shards * ranges_per_shard, min(MOST, n // 500_000))
     rate = ranges * drawn_per_range / max(1, total)
     points = _quantiles(_drawn(base, F.lit(rate)).collect(), ranges)
     for turn in range(rounds + 1):
