@@ -18,6 +18,7 @@ ordered by root. A very long text is a document of many chunks. An empty table g
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from functools import lru_cache
@@ -38,17 +39,20 @@ FANOUT_BITS, ROWS_PER_PART = 10, 500_000
 POLYNOMIAL = 0xEDB88320
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ids has BITS zeros on top, but LEAST ids apart; MOST at the latest."""
-    n = len(ids)
-    ends = []
+def _zeros(ids: np.ndarray) -> list[int]:
+    """Places after which the hash of the last 16 ids has BITS zeros on top."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * FACTORS[0][1]
+    for back, factor in FACTORS:
+        older = h[:-back] * factor
+        h[back:] += older
+    return (np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + 1).tolist()
+
+
+def _ends(n: int, zeros: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: at zeros, but LEAST ids apart; MOST at the latest."""
+    ends, at = [], 0
     if n > LEAST:
-        h = (ids.astype(np.uint64) + np.uint64(1)) * FACTORS[0][1]
-        for back, factor in FACTORS:
-            older = h[:-back] * factor
-            h[back:] += older
-        at = 0
-        for e in (np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + 1).tolist():
+        for e in zeros:
             while e - at > MOST:
                 at += MOST
                 ends.append(at)
@@ -61,6 +65,32 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return [*ends, n]
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of a document."""
+    return _ends(len(ids), _zeros(ids) if len(ids) > LEAST else [])
+
+
+def chunked(documents: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """For each document (its ids as 32-bit integers): the number of ids and the bytes of its chunks.
+
+    The hash runs over all documents at once: a cut is LEAST ids from a document's start at least, so it sees no other document's ids.
+    """
+    ids, out, start, k = np.frombuffer(b"".join(documents), "<u4"), [], 0, 0
+    zeros = _zeros(ids)
+    head, size = (b"\2", 2) if len(ids) == 0 or int(ids.max()) < 65536 else (b"\4", 4)
+    data = ids.astype("<u2").tobytes() if size == 2 else ids.tobytes()
+    for document in documents:
+        n, first = len(document) // 4, k
+        k = bisect.bisect_left(zeros, start + n, k)
+        at, found = 0, []
+        for e in _ends(n, [z - start for z in zeros[first:k]]):
+            found.append((e - at, head + data[(start + at) * size : (start + e) * size]))
+            at = e
+        out.append(found)
+        start += n
+    return out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary tree of SHA-256; a leaf without a partner moves up."""
     level = leaves or [hashlib.sha256(b"").digest()]
@@ -69,11 +99,6 @@ def merkle(leaves: list[bytes]) -> bytes:
     return hashlib.sha256(b"\2" + level[0]).digest()
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """A chunk's bytes."""
-    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or int(ids.max()) < 65536 else b"\4" + ids.astype("<u4").tobytes()
-
-
 def unpacked(data: bytes) -> bytes:
     """A chunk's ids as little-endian unsigned 32-bit integers."""
     return data[1:] if data[0] == 4 else np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes()
@@ -89,20 +114,19 @@ def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         def body(rows):
             out = []
-            for doc, text in rows:
-                ids, found, at = np.frombuffer(encode(text) + end, "<u4"), [], 0
-                for e in cut_points(ids):
-                    part = packed(ids[at:e])
+            documents = [encode(text) + end for _, text in rows]
+            for (doc, _), document, chunks in zip(rows, documents, chunked(documents), strict=True):
+                found = []
+                for n, part in chunks:
                     found.append(d := hashlib.sha256(part).digest())
                     if d not in seen:
                         seen.add(d)
-                        out.append(("chunk", d, None, e - at, None, part))
-                    at = e
+                        out.append(("chunk", d, None, n, None, part))
                 root = merkle(found)
                 if root not in seen:
                     seen.add(root)
-                    out.append(("recipe", root, None, len(ids), found, None))
-                out.append(("document", b"%d-%d" % (task, next(count)), doc, len(ids), [root], None))
+                    out.append(("recipe", root, None, len(document) // 4, found, None))
+                out.append(("document", b"%d-%d" % (task, next(count)), doc, len(document) // 4, [root], None))
                 if len(seen) > 200_000:
                     seen.clear()
             return out

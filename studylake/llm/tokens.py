@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 #: White space of the vocabularies' patterns.
@@ -17,7 +18,7 @@ WS = "\t-\r \x85\xa0  -     　"
 LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?*#$%&|"
 STRETCH = re.compile(rf"[{WS}]*(?:[{LETTERS}]+(?=[{WS}{MARKS}]|\Z)|[{MARKS}]+(?=[{WS}{LETTERS}]|\Z)|[^{WS}]+)|[{WS}]+")
 BARE = re.compile(rf"[{LETTERS}]+(?=[{WS}{MARKS}]|\Z)|[{MARKS}]+(?=[{WS}{LETTERS}]|\Z)|[^{WS}]+")
-MEMO = 700_000
+MEMO = 800_000
 
 
 @lru_cache(maxsize=4)
@@ -63,14 +64,19 @@ class _Memo(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, stretch: str) -> bytes:
-        if not (m := ONE.fullmatch(stretch)):
+        line, blank, word = b"", stretch[:1] == " ", stretch
+        if blank:
+            word = stretch[1:]
+        if word.isascii() and word.isalpha():  # its bytes are its letters
+            word = word.lower() if self.lower else "\u0120" + word if blank else word
+        elif m := ONE.fullmatch(stretch):
+            word = m[2].strip().lower() if self.lower else m[2]
+            word, line = word.encode().decode("latin-1").translate(self.letters), self.line if m[1] else b""
+        else:
             return self.packed(stretch)
         # Straight to the library's merges, without its split of the text.
-        line, word = m.groups()
-        data = (word.strip().lower() if self.lower else word).encode()
-        found = self.merge(data.decode("latin-1").translate(self.letters))
-        ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        return self.line + ids if line else ids
+        found = self.merge(word)
+        return line + (found[0].id.to_bytes(4, "little") if len(found) == 1 else array("I", [t.id for t in found]).tobytes())
 
     def __missing__(self, stretch: str) -> bytes:
         found = self.old.get(stretch)
