@@ -134,13 +134,14 @@ def split_datetime_range(value: str) -> tuple[str, str | None]:
 def datetime_range(column: Column, value: str, offset_seconds: int = 0) -> Column:
     """Zone-aware; a single short value names its whole period; an unreadable bound of a range is open; unreadable stored text is compared as text."""
     low, high = split_datetime_range(value)
-    at, bound = dt_bounds(column, offset_seconds)["lo"], lambda t: dt_bounds(F.lit(t), offset_seconds)
+    bound = lambda t: dt_bounds(F.lit(t), offset_seconds)
     if high is None:
-        good, text = F.coalesce((at >= bound(value)["lo"]) & (at <= bound(value)["hi"]), F.lit(False)), column == value
+        good, text = lambda at: F.coalesce((at >= bound(value)["lo"]) & (at <= bound(value)["hi"]), F.lit(False)), column == value
     else:
-        good = (F.coalesce(at >= bound(low)["lo"], F.lit(True)) if low else F.lit(True)) & (F.coalesce(at <= bound(high)["hi"], F.lit(True)) if high else F.lit(True))
+        good = lambda at: (F.coalesce(at >= bound(low)["lo"], F.lit(True)) if low else F.lit(True)) & (F.coalesce(at <= bound(high)["hi"], F.lit(True)) if high else F.lit(True))
         text = ((column >= low) if low else F.lit(True)) & ((column <= high) if high else F.lit(True))
-    return F.when(column.isNull(), F.lit(False)).when(at.isNotNull(), good).otherwise(text)
+    found = F.get(F.transform(F.array(dt_bounds(column, offset_seconds)["lo"]), lambda at: F.when(at.isNotNull(), good(at)).otherwise(text)), F.lit(0))
+    return F.when(column.isNull(), F.lit(False)).otherwise(found)
 
 
 def number_glob(column: Column, pattern: str) -> Column:

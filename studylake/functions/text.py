@@ -87,19 +87,49 @@ def split_multi(text: Column, separator: str = ",") -> Column:
     return F.transform(F.split(text, r"\\" if separator == "\\" else separator), lambda x: F.trim(x))
 
 
-#: Path prefixes of the route families, the first that fits counts.
-ROUTES = (("/health", "health"), ("/metrics", "metrics"), ("/dicomweb/patients", "qido_patients"), ("/dicomweb/workitems", "ups"), ("/dicomweb/commitment-requests", "commitment"), ("/admin/v1/", "admin"))
+#: Methods (none: any), path, whether longer paths count as well, family; the first that fits counts.
+ROUTES = (
+    ("", "/admin/v1/", True, "admin"),
+    ("GET HEAD", "/health", False, "health"), ("GET HEAD", "/health/status", False, "health"), ("GET HEAD", "/metrics", False, "metrics"),
+    ("GET HEAD", "/dicomweb/patients", False, "qido_patients"), ("GET HEAD", "/dicomweb/studies", False, "qido_studies"), ("GET HEAD", "/dicomweb/studies/", True, "wado_study"),
+    ("POST", "/dicomweb/studies", False, "stow_studies"), ("POST", "/dicomweb/studies/", True, "stow_studies"),
+    ("GET HEAD POST", "/dicomweb/commitment-requests", True, "commitment"), ("GET HEAD POST PUT", "/dicomweb/workitems", True, "ups"),
+)
 
 
 def route_class(method: Column, path: Column) -> Column:
-    """One of ten families by method and path: posting to studies stores, below a study is retrieval, studies alone is a search."""
-    c = None
-    for prefix, name in ROUTES:
-        hit = path.startswith(prefix)
-        c = F.when(hit, name) if c is None else c.when(hit, name)
-    studies = (path == "/dicomweb/studies") | path.startswith("/dicomweb/studies?")
-    below = path.startswith("/dicomweb/studies/")
-    return c.when((studies | below) & (method == "POST"), "stow_studies").when(studies, "qido_studies").when(below, "wado_study").otherwise("other")
+    """One of ten families by method and path (without its query)."""
+    plain, c = F.substring_index(path, "?", 1), F.when(F.lit(False), "other")
+    for methods, start, longer, name in ROUTES:
+        fits = plain.startswith(start) if longer else plain == start
+        c = c.when(fits & method.isin(*methods.split()) if methods else fits, name)
+    return c.otherwise("other")
+
+
+def audit_action(action: Column, query: Column) -> Column:
+    """A create whose query has the parameter update is an update."""
+    return F.when((action == "C") & F.coalesce(query, F.lit("")).rlike("(^|&)update(=|&|$)"), "U").otherwise(action)
+
+
+#: Value representation of the tags that searches know.
+TAG_VR = (
+    ("PN", "00100010 00080090 00081050 00081060 00081070 00321032"),
+    ("LO", "00100020 00100021 00080070 00080080 00081030 0008103E 00081040 00181030 00321060"),
+    ("DA", "00100030 00080020 00080021"), ("TM", "00080030 00080031"), ("SH", "00080050 00081010 00200010"), ("UI", "00080016 00080018 0020000D 0020000E"),
+    ("CS", "00100040 00080060 00080061 00180015 00200060"), ("IS", "00200011 00200013 00201206 00201208 00280008"),
+)
+
+
+def vr_of(tag: str) -> str:
+    return next((vr for vr, tags in TAG_VR if tag.upper() in tags.split()), "UN")
+
+
+def vr_lookup(tag: Column) -> Column:
+    """Value representation of an eight-digit tag; UN for one that searches don't know."""
+    c = F.when(tag.isNull(), F.lit(None).cast("string"))
+    for vr, tags in TAG_VR:
+        c = c.when(F.upper(tag).isin(*tags.split()), vr)
+    return c.otherwise("UN")
 
 
 #: Route -> action, event id, object type, how many of study, series, instance it names, and whether the query is kept.

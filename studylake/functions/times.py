@@ -31,18 +31,29 @@ def dt_bounds(text: Column, offset_seconds: int = 0) -> Column:
     """struct(lo, hi) of microseconds since 1970 in UTC: the first and the last instant that a date-time of 4 to 14 digits names.
 
     A zone at the end shifts it, else offset_seconds does. A fraction pins the instant; a full second without one lasts to its end. Null where the text is no date-time.
+    The parts are extracted once and handed on, so that the expression stays small.
     """
-    g = lambda i: F.regexp_extract(text, _DT, i)
-    num = lambda i, least: F.coalesce(F.nullif(g(i), F.lit("")).try_cast("int"), F.lit(least))
-    zone = F.when(g(8) == "", F.lit(offset_seconds)).otherwise((F.substring(g(8), 2, 2).try_cast("int") * 3600 + F.substring(g(8), 4, 2).try_cast("int") * 60) * F.when(g(8).startswith("-"), -1).otherwise(1)).cast("long")
-    at = F.try_make_timestamp(num(1, 1), num(2, 1), num(3, 1), num(4, 0), num(5, 0), num(6, 0).cast("decimal(16,6)"))
-    micros = F.unix_micros(at)
-    lo = micros + F.coalesce(F.rpad(F.substring(g(7), 2, 6), 6, "0").try_cast("long"), F.lit(0)) - zone * SECOND
-    month = F.unix_micros(F.add_months(at.cast("date"), 1).cast("timestamp"))
-    year = F.unix_micros(F.add_months(at.cast("date"), 12).cast("timestamp"))
-    end = (
-        F.when(g(7) != "", micros + F.rpad(F.substring(g(7), 2, 6), 6, "0").try_cast("long") + 1).when(g(6) != "", micros + SECOND).when(g(5) != "", micros + 60 * SECOND)
-        .when(g(4) != "", micros + 3600 * SECOND).when(g(3) != "", micros + 86400 * SECOND).when(g(2) != "", month).otherwise(year)
-    )
-    good = text.rlike(_DT) & ~text.contains("\n") & at.isNotNull() & ((g(7) == "") | (g(6) != ""))
-    return F.when(good, F.struct(lo.alias("lo"), (end - 1 - zone * SECOND).alias("hi")))
+
+    def parts(found: Column) -> Column:
+        g = lambda i: F.get(found, F.lit(i))
+        num = lambda i, least: F.coalesce(F.nullif(g(i), F.lit("")).try_cast("int"), F.lit(least))
+        shift = (F.substring(g(7), 2, 2).try_cast("int") * 3600 + F.substring(g(7), 4, 2).try_cast("int") * 60) * F.when(g(7).startswith("-"), -1).otherwise(1)
+        named = F.lit(0)  # how many parts the text names
+        for i in range(7):
+            named = named + (g(i) != "").cast("int")
+        return F.struct(
+            F.try_make_timestamp(num(0, 1), num(1, 1), num(2, 1), num(3, 0), num(4, 0), num(5, 0).cast("decimal(16,6)")).alias("at"),
+            F.rpad(F.substring(g(6), 2, 6), 6, "0").try_cast("long").alias("fraction"), F.when(g(7) == "", F.lit(offset_seconds)).otherwise(shift).cast("long").alias("zone"), named.alias("named"), ((g(6) == "") | (g(5) != "")).alias("good"),
+        )
+
+    def bounds(p: Column) -> Column:
+        micros, day = F.unix_micros(p["at"]), p["at"].cast("date")
+        months = F.unix_micros(F.add_months(day, F.when(p["named"] == 2, 1).otherwise(12)).cast("timestamp"))
+        step = F.when(p["named"] == 7, p["fraction"] + 1).when(p["named"] == 6, SECOND).when(p["named"] == 5, 60 * SECOND).when(p["named"] == 4, 3600 * SECOND).otherwise(86400 * SECOND)
+        end = F.when(p["named"] <= 2, months).otherwise(micros + step)
+        lo = micros + F.when(p["named"] == 7, p["fraction"]).otherwise(0) - p["zone"] * SECOND
+        return F.when(p["at"].isNotNull() & p["good"], F.struct(lo.alias("lo"), (end - 1 - p["zone"] * SECOND).alias("hi")))
+
+    one = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    groups = F.when(text.rlike(_DT) & ~text.contains("\n"), F.split(F.regexp_replace(text, _DT, "$1,$2,$3,$4,$5,$6,$7,$8"), ","))
+    return one(groups, lambda found: F.when(found.isNotNull(), one(parts(found), bounds)))

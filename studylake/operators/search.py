@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import mask_name
+from .aggregates import study_totals
 
-#: How each study key matches.
+#: How each study key matches. Names match by glob, or within one edit where the search asks for it.
 STUDY_KEYS = {
-    "patient_name": P.fuzzy, "patient_id": P.glob, "accession_number": P.glob, "study_description": P.glob, "institution_name": P.glob, "study_uid": P.in_list, "sex": P.glob,
-    "study_time": P.time_range, "modalities_in_study": P.list_intersects, "birth_date": P.date_range,
+    "patient_name": P.fuzzy, "patient_id": P.glob, "accession_number": P.glob, "study_description": P.glob, "institution_name": P.glob, "study_uid": P.in_list, "sex": P.glob, "study_id": P.glob,
+    "study_time": P.time_range, "modalities_in_study": P.list_intersects, "other_patient_ids": P.list_intersects, "birth_date": P.date_range, "requested_procedure_description": P.glob,
+    **dict.fromkeys(("referring_physician", "performing_physician", "reading_physicians", "requesting_physician", "responsible_person"), P.fuzzy),
 }
+#: Study keys that a series must meet.
+STUDY_SERIES_KEYS = {"modality": P.in_list, "series_uid": P.in_list, "series_number": P.number_glob}
 SERIES_KEYS = {"modality": P.in_list, "series_uid": P.in_list, "series_number": P.number_glob, "series_description": P.glob, "body_part": P.glob, "series_date": P.date_equals}
 INSTANCE_KEYS = {"sop_uid": P.in_list, "sop_class": P.in_list, "instance_number": P.number_glob}
-WORKITEM_KEYS = {"state": None, "readiness": None, "station": None, "patient_id": None, "accession_number": None, "priority": None, "study_uid": None, "workitem_uid": None}
-#: Baselines of includefield: these columns always come.
+WORKITEM_KEYS = {"state": None, "readiness": None, "station": None, "patient_id": None, "accession_number": None, "priority": None, "study_uid": None, "workitem_uid": None, "step_label": None, "workitem_code": None, "procedure_id": None}
+#: Baselines of includefield; these columns always come.
 BASELINE = {
-    "study": ("study_uid", "study_date", "study_time", "accession_number", "patient_name", "patient_id", "birth_date", "sex", "series_count", "instance_count", "modalities_in_study"),
-    "series": ("series_uid", "modality", "series_number", "series_description"),
-    "instance": ("sop_uid", "sop_class", "instance_number", "frames", "series_uid"),
+    "study": ("study_date", "study_time", "accession_number", "modalities_in_study", "referring_physician", "patient_name", "patient_id", "birth_date", "sex", "study_uid", "study_id", "series_count", "instance_count"),
+    "series": ("modality", "series_uid", "series_number", "instance_count"),
+    "instance": ("sop_class", "sop_uid", "study_uid", "series_uid", "instance_number"),
 }
-TAGS = {"00080020": "study_date", "00080030": "study_time", "00080050": "accession_number", "00080060": "modality", "00081030": "study_description", "00080080": "institution_name", "00100010": "patient_name", "00100020": "patient_id", "00100030": "birth_date", "00100040": "sex", "0020000D": "study_uid"}
+TAGS = {
+    "00080016": "sop_class", "00080018": "sop_uid", "00080020": "study_date", "00080030": "study_time", "00080050": "accession_number", "00080060": "modality", "00080061": "modalities_in_study", "00080080": "institution_name",
+    "00080090": "referring_physician", "00081030": "study_description", "0008103E": "series_description", "00100010": "patient_name", "00100020": "patient_id", "00100030": "birth_date", "00100040": "sex", "00180015": "body_part",
+    "0020000D": "study_uid", "0020000E": "series_uid", "00200010": "study_id", "00200011": "series_number", "00200013": "instance_number", "00201206": "series_count", "00201208": "instance_count", "00201209": "instance_count", "00280008": "frames",
+}
 ALL = 1 << 62
 
 
@@ -55,14 +63,25 @@ def remaining(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select("total", returned.cast("long").alias("returned"), F.nullif(left, F.lit(0)).cast("long").alias("remaining"))
 
 
-def studies(rows: DataFrame, low: str = "", high: str = "", offset: int = 0, limit: int | None = None, **keys) -> DataFrame:
-    """Studies by date range and keys; by study date (none last), then uid."""
+def studies(rows: DataFrame, low: str = "", high: str = "", offset: int = 0, limit: int | None = None, series_rows: DataFrame | None = None, **keys) -> DataFrame:
+    """Studies by date range and keys; by study date (none last), then uid. Keys of series need one series that meets them all."""
+    of_series = {k: keys.pop(k) for k in STUDY_SERIES_KEYS if k in keys and series_rows is not None}
     found = matching(rows, STUDY_KEYS, **keys)
+    if of_series:
+        found = found.join(matching(series_rows, STUDY_SERIES_KEYS, **of_series).select("study_uid"), "study_uid", "left_semi").select(rows.columns)
     if low or high:
         found = found.where(P.study_date_range(found["study_date"], low, high))
     return page(found, [F.col("study_date").asc_nulls_last(), F.col("study_uid")], offset, limit)
 
 
+def with_totals(studies: DataFrame, series: DataFrame, instances: DataFrame) -> DataFrame:
+    """A page of studies with their derived columns, in the page's order: only the page's series and instances are aggregated."""
+    page = studies.select("study_uid")
+    totals = study_totals(series.join(page, "study_uid", "left_semi"), instances.join(page, "study_uid", "left_semi"))
+    out = studies.join(totals, "study_uid", "left").na.fill({"series_count": 0, "instance_count": 0, "total_bytes": 0, "modalities_in_study": ""})
+    return out.orderBy(F.col("study_date").asc_nulls_last(), "study_uid")
+
+
 def by_number(column: str) -> list[Column]:
     """Numbers in their order, missing and other text last."""
     return [F.col(column).try_cast("bigint").asc_nulls_last()]

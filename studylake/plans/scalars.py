@@ -63,12 +63,31 @@ def _audit(v):
     return access.join(small(codes), "route").select("event_id", "route", "action", "event_code", "obj_type", F.when(F.col("named") >= 1, F.col("study")).alias("study"), F.when(F.col("named") >= 2, F.col("series")).alias("series"))
 
 
+QUERIES_OF = "case event_id % 5 when 0 then 'update' when 1 then 'a=1&update=2' when 2 then 'updated=1' when 3 then 'x=update' end"
+
+
 query("fn_route_audit_code", _audit, f"select event_id, route, action, event_code, obj_type, case when named >= 1 then study end as study, case when named >= 2 then series end as series from v_access join (values {CODES}) t(route, action, event_code, obj_type, named) using (route)")
-PATH = "case route when 'wado_instance' then '/dicomweb/studies/' || study when 'qido_studies' then '/dicomweb/studies?x=1' when 'stow_studies' then '/dicomweb/studies' when 'qido_patients' then '/dicomweb/patients' else '/health' end"
 query(
-    "fn_route_class",
-    lambda v: v("v_access").select("event_id", T.route_class(F.expr("case when route = 'stow_studies' then 'POST' else 'GET' end"), F.expr(PATH)).alias("family")),
-    "select event_id, case route when 'wado_instance' then 'wado_study' else route end as family from v_access",
+    "fn_route_audit_update",
+    lambda v: v("v_access").select("event_id", T.audit_action(F.expr("case when route = 'stow_studies' then 'R' else 'C' end"), F.expr(QUERIES_OF)).alias("action")),
+    "select event_id, case when route = 'stow_studies' then 'R' when event_id % 5 < 2 then 'U' else 'C' end as action from v_access",
+)
+#: Methods and paths with their families, all branches.
+PATHS = (
+    ("GET", "/health", "health"), ("HEAD", "/health/status", "health"), ("GET", "/healthz", "other"), ("DELETE", "/health", "other"), ("GET", "/metrics", "metrics"), ("DELETE", "/metrics", "other"), ("GET", "/dicomweb/patients", "qido_patients"),
+    ("POST", "/dicomweb/patients", "other"), ("GET", "/dicomweb/studies?limit=1", "qido_studies"), ("PUT", "/dicomweb/studies", "other"), ("GET", "/dicomweb/studies/1/series", "wado_study"), ("HEAD", "/dicomweb/studies/1", "wado_study"),
+    ("DELETE", "/dicomweb/studies/1", "other"), ("POST", "/dicomweb/studies", "stow_studies"), ("POST", "/dicomweb/studies/1.2", "stow_studies"), ("GET", "/dicomweb/commitment-requests/1", "commitment"), ("POST", "/dicomweb/commitment-requests", "commitment"),
+    ("PUT", "/dicomweb/commitment-requests", "other"), ("GET", "/dicomweb/workitems/1", "ups"), ("PUT", "/dicomweb/workitems/1/state", "ups"), ("DELETE", "/dicomweb/workitems/1", "other"), ("DELETE", "/admin/v1/x", "admin"), ("GET", "/admin/v1", "other"), ("GET", "/x", "other"),
+)
+_case = lambda k: f"case event_id % {len(PATHS)} " + " ".join(f"when {i} then '{row[k]}'" for i, row in enumerate(PATHS)) + " end"
+query("fn_route_class", lambda v: v("v_access").select("event_id", T.route_class(F.expr(_case(0)), F.expr(_case(1))).alias("family")), f"select event_id, {_case(2)} as family from v_access")
+TAG_LIST = [t for _, tags in T.TAG_VR for t in tags.split()] + ["0020000d", "00101010", ""]
+_tag = f"element_at(array({', '.join(repr(t) for t in TAG_LIST)}), cast(event_id % {len(TAG_LIST)} + 1 as int))"
+_vrs = ", ".join(f"('{t}', '{vr}')" for vr, tags in T.TAG_VR for t in tags.split())
+query(
+    "fn_vr_lookup",
+    lambda v: v("v_access").select("event_id", T.vr_lookup(F.expr(_tag)).alias("vr")),
+    f"select event_id, coalesce(vr, 'UN') as vr from (select event_id, [{', '.join(repr(t) for t in TAG_LIST)}][event_id % {len(TAG_LIST)} + 1] as tag from v_access) left join (values {_vrs}) k(known, vr) on upper(tag) = known",
 )
 query("fn_status_class", lambda v: v("v_access").select("event_id", T.status_class(F.col("status")).alias("class")), "select event_id, case status // 100 when 4 then '4xx' when 5 then '5xx' else '2xx' end as class from v_access")
 query(

@@ -28,7 +28,7 @@ def full_studies(v):
 COLS = ["study_uid", "patient_name", "study_date", "series_count", "instance_count", "modalities_in_study"]
 query(
     "qry_studies",
-    lambda v: S.studies(full_studies(v), "19960101", "19990630", offset=5, limit=200, patient_name="Customer*1?").select(*COLS),
+    lambda v: S.with_totals(S.studies(v("v_studies"), "19960101", "19990630", offset=5, limit=200, patient_name="Customer*1?"), v("v_series"), v("v_instances")).select(*COLS),
     TOTALS + f"select {', '.join(COLS)} from st where study_date between 19960101 and 19990630 and lower(patient_name) like 'customer%1_' order by study_date nulls last, study_uid limit 200 offset 5",
 )
 query(
@@ -106,7 +106,38 @@ query(
     lambda v: S.journal(_journal(v).where("status >= 400").withColumn("ts", F.expr("case when event_id % 3 = 0 then null else ts end")), "ordinal", F.coalesce("ts", F.col("day").cast("timestamp")), low="2024-01-10", limit=200).select("ordinal", "event_id", F.col("at")),
     "select ordinal, event_id, case when event_id % 3 = 0 then date_trunc('day', ts) else ts end as at from (select *, row_number() over (order by ts, event_id) as ordinal from v_access) where status >= 400 and (case when event_id % 3 = 0 then date_trunc('day', ts) else ts end) >= timestamp '2024-01-10' order by ordinal desc limit 200",
 )
-query("prj_includefield", lambda v: (lambda d: d.select(*S.include_fields("study", d.columns, ["00081030", "nonsense", "institution_name"])))(v("v_studies")), "select study_uid, study_date, study_time, accession_number, patient_name, patient_id, birth_date, sex, study_description, institution_name from v_studies")
+ASKED = {"study": ["00081030", "nonsense", "institution_name"], "series": ["0008103E", "00201209"], "instance": ["00280008"]}
+
+
+def _fields(level: str, rows):
+    return rows.select(*S.include_fields(level, rows.columns, ASKED[level]))
+
+
+query(
+    "prj_includefield", lambda v: _fields("study", full_studies(v)),
+    TOTALS + "select study_date, study_time, accession_number, modalities_in_study, referring_physician, patient_name, patient_id, birth_date, sex, study_uid, study_id, series_count, instance_count, study_description, institution_name from st",
+)
+query(
+    "prj_includefield_series", lambda v: _fields("series", v("v_series").join(v("v_instances").groupBy("series_uid").agg(F.count("*").alias("instance_count")), "series_uid")),
+    "select modality, series_uid, series_number, instance_count, series_description from v_series join (select series_uid, count(*) as instance_count from v_instances group by all) using (series_uid)",
+)
+query("prj_includefield_instance", lambda v: _fields("instance", v("v_instances")), "select sop_class, sop_uid, study_uid, series_uid, instance_number, frames from v_instances")
+query("prj_includefield_all", lambda v: (lambda d: d.select(*S.include_fields("series", d.columns, ["all"])))(v("v_series")), "select * from v_series")
+query(
+    "qry_studies_keys",
+    lambda v: S.studies(v("v_studies"), referring_physician="Doctor^1*", performing_physician="*", reading_physicians="reader?7", requesting_physician="Ward^*", requested_procedure_description="proc ?", study_id="S*", other_patient_ids="Y6, Y12,Y18,Y24,Y30,Y36,Y42,Y48,Y90").select("study_uid", "study_id", "other_patient_ids"),
+    "select study_uid, study_id, other_patient_ids from v_studies where referring_physician like 'Doctor^1%' and lower(reading_physicians) like 'reader_7' and list_has_any(string_split(other_patient_ids, ','), ['Y6', 'Y12', 'Y18', 'Y24', 'Y30', 'Y36', 'Y42', 'Y48', 'Y90'])",
+)
+query(
+    "qry_studies_series_keys",
+    lambda v: S.studies(v("v_studies"), responsible_person="owner*", modality="CT,MR", series_number="1*", series_rows=v("v_series")).select("study_uid", "responsible_person"),
+    "select study_uid, responsible_person from v_studies where responsible_person is not null and study_uid in (select study_uid from v_series where modality in ('CT', 'MR') and series_number like '1%')",
+)
+query(
+    "qry_workitems_keys",
+    lambda v: S.workitems(v("v_workitems"), step_label="step 2", workitem_code="code4", procedure_id="RP20").select("workitem_uid", "step_label"),
+    "select workitem_uid, step_label from v_workitems where step_label = 'step 2' and workitem_code = 'code4' and procedure_id = 'RP20'",
+)
 query(
     "snk_search_json",
     lambda v: search_json(v("v_studies").select("study_uid", "study_date", "patient_name", "sex"), {"study_uid": ("0020000D", "UI"), "study_date": ("00080020", "DA"), "patient_name": ("00100010", "PN"), "sex": ("00100040", "CS")}).select("study_uid", "json"),

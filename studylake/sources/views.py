@@ -17,7 +17,10 @@ VIEWS = {
           case when o_orderkey % 97 = 0 then null else cast(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as bigint) end as study_date,
           case o_orderkey % 3 when 0 then lpad(cast(o_orderkey % 24 as string), 2, '0') when 1 then lpad(cast(o_orderkey % 24 as string), 2, '0') || lpad(cast(o_orderkey % 60 as string), 2, '0')
             else lpad(cast(o_orderkey % 24 as string), 2, '0') || lpad(cast(o_orderkey % 60 as string), 2, '0') || lpad(cast(o_orderkey % 59 as string), 2, '0') end as study_time,
-          'A' || cast(o_orderkey % 4000 as string) as accession_number, o_orderpriority as study_description, c_mktsegment as institution_name, o_orderdate as arrived_at
+          'A' || cast(o_orderkey % 4000 as string) as accession_number, o_orderpriority as study_description, c_mktsegment as institution_name,
+          'S' || cast(o_orderkey % 500 as string) as study_id, 'Doctor^' || cast(o_custkey % 30 as string) as referring_physician, 'Doctor^' || cast(o_custkey % 31 as string) as performing_physician, 'Reader^' || cast(o_orderkey % 20 as string) as reading_physicians,
+          'Ward^' || cast(o_orderkey % 12 as string) as requesting_physician, case when o_custkey % 40 = 0 then 'Owner^' || cast(o_custkey as string) end as responsible_person, 'proc ' || cast(o_orderkey % 9 as string) as requested_procedure_description,
+          case when o_custkey % 6 = 0 then 'X' || cast(o_custkey as string) || ',Y' || cast(o_custkey % 100 as string) end as other_patient_ids, o_orderdate as arrived_at
         from {orders} join {customer} on o_custkey = c_custkey""",
     "v_arrivals": """
         select '1.2.' || cast(case when l_suppkey % 37 = 0 then l_orderkey + 1 else l_orderkey end as string) as study_uid,
@@ -48,6 +51,7 @@ VIEWS = {
           'A' || cast(o_orderkey % 4000 as string) as accession_number, o_orderpriority as priority, '1.2.' || cast(o_orderkey as string) as study_uid,
           case o_orderkey % 4 when 0 then cast(year(o_orderdate) as string) || lpad(cast(month(o_orderdate) as string), 2, '0') when 1 then cast(year(o_orderdate) as string) || lpad(cast(month(o_orderdate) as string), 2, '0') || lpad(cast(day(o_orderdate) as string), 2, '0')
             when 2 then cast(year(o_orderdate) as string) || lpad(cast(month(o_orderdate) as string), 2, '0') || lpad(cast(day(o_orderdate) as string), 2, '0') || '1030' else cast(year(o_orderdate) as string) || lpad(cast(month(o_orderdate) as string), 2, '0') || lpad(cast(day(o_orderdate) as string), 2, '0') || '103015-0500' end as start_dt,
+          case when o_orderkey % 5 = 0 then null else 'step ' || cast(o_orderkey % 6 as string) end as step_label, 'code' || cast(o_orderkey % 8 as string) as workitem_code, 'RP' || cast(o_orderkey % 300 as string) as procedure_id,
           o_orderdate as created_at, o_orderdate as updated_at, cast(o_orderkey % 5 as bigint) as revision, case when o_orderkey % 3 = 0 then null else 'T' || cast(o_orderkey % 7 as string) end as transaction_uid
         from {orders}""",
     "v_worklist": """
