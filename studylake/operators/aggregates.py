@@ -58,10 +58,12 @@ def quantile_recent(rows: DataFrame, value: str, order: list[Column], q: float,
     return rows.orderBy(*order).limit(last).agg(F.get(s, at).alias("quantile"), F.count("*").alias("samples"))
 
 
-def by_reason(instances: DataFrame, reasons: list[int]) -> DataFrame:
-    """Rejected instances for each known reason, zero included. The reasons are a fixed handful."""
-    known = F.array(*map(F.lit, reasons))
-    return instances.where(F.col("reason").isin(*reasons)).groupBy("reason").count().unionByName(instances.sparkSession.range(1).select(F.explode(known).alias("reason"), F.lit(0).cast("long").alias("count"))).groupBy("reason").agg(F.sum("count").alias("rejected"))
+def by_reason(rejected: DataFrame, restored: DataFrame, reasons: list[int]) -> DataFrame:
+    """Rejected and restored instances for each known reason, zero included. Both have a row for each change with its reason; the reasons are a fixed handful."""
+    known = rejected.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, reasons))).alias("reason"))
+    both = rejected.select("reason", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(restored.select("reason", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    every = both.where(F.col("reason").isin(*reasons)).unionByName(known.select("reason", F.lit(0).alias("a"), F.lit(0).alias("b")))
+    return every.groupBy("reason").agg(F.sum("a").alias("rejected"), F.sum("b").alias("restored"))
 
 
 def assoc_summary(rows: DataFrame, key: str) -> DataFrame:
@@ -73,9 +75,9 @@ def assoc_summary(rows: DataFrame, key: str) -> DataFrame:
 
 
 def audit_copies(rows: DataFrame, key: str) -> DataFrame:
-    """Per study: sorted distinct tracked and orphan hashes and how many. rows: key, blob_hash, orphan."""
-    lists = {kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("orphan") == (kind == "orphans"), F.col("blob_hash")))), ",") for kind in ("tracked", "orphans")}
-    return rows.groupBy(key).agg(*(c.alias(k) for k, c in lists.items()), F.count_distinct(F.when(~F.col("orphan"), F.col("blob_hash"))).alias("n_tracked"), F.count_distinct(F.when(F.col("orphan"), F.col("blob_hash"))).alias("n_orphans"))
+    """A row for each distinct hash of a key and kind (tracked or orphans), with the number of them; no key is gathered. rows: key, blob_hash, orphan."""
+    each = rows.select(key, F.when(F.col("orphan"), "orphans").otherwise("tracked").alias("kind"), "blob_hash").distinct()
+    return each.join(each.groupBy(key, "kind").agg(F.count("*").alias("hashes")), [key, "kind"])
 
 
 def run_stats(rows: DataFrame, condition: str, value: str) -> DataFrame:

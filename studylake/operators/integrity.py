@@ -21,11 +21,13 @@ def bad_hashes(verdicts: DataFrame, most: int = 1024) -> DataFrame:
 
 
 def rebuild(datasets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(instances, conflicts): the instance table from DICOM JSON datasets (text in column value); ids already under another study are conflicts."""
+    """(instances, conflicts): the instance table from DICOM JSON datasets (text in column value). An id belongs to its stored study, else to the smallest study that claims it; claims of others are conflicts."""
     rows = dicom_json(datasets, {"sop_uid": "00080018", "series_uid": "0020000E", "study_uid": "0020000D"}).where("sop_uid is not null")
     held = stored.select("sop_uid", F.col("study_uid").alias("_study"))
-    conflicts = rows.join(held, "sop_uid").where("study_uid <> _study").drop("_study")
-    return merge_ingest(stored, rows.select(stored.columns), "sop_uid", [F.col("study_uid"), F.col("series_uid")]), conflicts
+    owner = rows.groupBy("sop_uid").agg(F.min("study_uid").alias("_least")).join(held, "sop_uid", "left").select("sop_uid", F.coalesce("_study", "_least").alias("_owner"))
+    claims = rows.join(owner, "sop_uid")
+    conflicts, good = (claims.where(c).drop("_owner") for c in ("study_uid <> _owner", "not coalesce(study_uid <> _owner, false)"))
+    return merge_ingest(stored, good.select(stored.columns), "sop_uid", [F.col("study_uid"), F.col("series_uid")]), conflicts
 
 
 def reconcile(records: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

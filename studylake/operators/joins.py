@@ -112,16 +112,18 @@ def ngram_candidates(names: DataFrame, key: str, name: str, query: Column) -> Da
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of names (a, b) within one edit. Distinct names are blocked on any shared trigram; where the longer has fewer than six characters, on the name with one character left out, which one edit always leaves in common."""
+    """Pairs of names (a, b) within one edit. One edit leaves one half of a whole, as the beginning or the end of b; so distinct names meet on a's length and half."""
     a, b = (x.select(F.col(x.columns[0]).alias(n)).where(f"{n} is not null").distinct() for x, n in ((left, "a"), (right, "b")))
 
-    def blocks(x: DataFrame, c: str) -> DataFrame:
-        n = F.length(c)
-        grams = F.when(n >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-        cuts = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("-"), F.when(i == 0, F.col(c)).otherwise(F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, n)))))
-        return x.select(c, F.explode(F.concat(grams, F.when(n <= 6, F.array_distinct(cuts)).otherwise(F.array().cast("array<string>")))).alias("block"))
+    def halves(c: str, n: Column) -> Column:
+        """The halves of a name of n characters that c may begin or end with."""
+        h = F.floor(n / 2).cast("int")
+        return F.array(F.struct(n.alias("n"), F.lit(0).alias("end"), F.substring(F.col(c), F.lit(1), h).alias("half")), F.struct(n.alias("n"), F.lit(1).alias("end"), F.when(n - h > 0, F.right(F.col(c), n - h)).otherwise("").alias("half")))
 
-    return blocks(a, "a").join(blocks(b, "b"), "block").select("a", "b").distinct().where(F.levenshtein("a", "b", 1) >= 0)
+    m = F.length("b")
+    of_a = a.select("a", F.explode(halves("a", F.length("a"))).alias("block"))
+    of_b = b.select("b", F.explode(F.flatten(F.array(*(halves("b", m + d) for d in (-1, 0, 1))))).alias("block")).where("block.n >= 0")
+    return of_a.join(of_b, "block").select("a", "b").distinct().where(F.levenshtein("a", "b", 1) >= 0)
 
 
 def result_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

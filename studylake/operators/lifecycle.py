@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import study_totals
 from .analytic import LEGAL, keep_first
+from .joins import cascade
 
 #: Rejections that may replace another one, and that refuse a new version.
 STRICT = (113037, 113038)
@@ -52,13 +54,47 @@ def refuse_hidden(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(stored.where(F.col("reason").isin(*STRICT)).select("sop_uid"), "sop_uid", "left_semi")
 
 
-def delete(instances: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(preview, what stays, tombstones) of deleting whole studies: instances, bytes and blobs shared with others; studies without an instance left."""
-    gone = instances.join(studies.select("study_uid").distinct(), "study_uid", "left_semi")
-    stays = instances.join(studies.select("study_uid"), "study_uid", "left_anti")
-    mine = gone.select("blob_hash").distinct().join(stays.select("blob_hash"), "blob_hash", "left_semi").agg(F.count("*").alias("shared_blobs"))
-    preview = gone.agg(F.count("*").alias("instances"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).crossJoin(F.broadcast(mine))  # one row each
-    return preview, stays, studies.select("study_uid").distinct()
+LEVELS = {"study": "study_uid", "series": "series_uid", "instance": "sop_uid"}
+
+
+def delete(instances: DataFrame, named: DataFrame, level: str = "study", classes: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(preview, what stays, tombstones) of deleting studies, series or instances (named: their ids): instances, bytes and blobs shared with others; studies without an instance left.
+
+    Derived objects of the classes (instances.refs: what they refer to) go with the series or instances they refer to.
+    """
+    key = LEVELS[level]
+    named = named.select(key).distinct()
+    gone = instances.join(named, key, "left_semi").select("sop_uid")
+    if classes:
+        lost = instances.join(gone, "sop_uid", "left_semi")
+        uids = lost.select(F.explode(F.array("sop_uid", "series_uid") if level != "instance" else F.array("sop_uid")).alias("uid"))
+        gone = gone.unionByName(cascade(instances, list(classes), uids)).distinct()
+    deleted, stays = instances.join(gone, "sop_uid", "left_semi"), instances.join(gone, "sop_uid", "left_anti")
+    mine = deleted.select("blob_hash").distinct().join(stays.select("blob_hash"), "blob_hash", "left_semi").agg(F.count("*").alias("shared_blobs"))
+    preview = deleted.agg(F.count("*").alias("instances"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).crossJoin(F.broadcast(mine))  # one row each
+    touched = deleted.select("study_uid").unionByName(named) if level == "study" else deleted.select("study_uid")
+    return preview, stays, touched.distinct().join(stays.select("study_uid"), "study_uid", "left_anti")
+
+
+def _totalled(studies: DataFrame, series: DataFrame, instances: DataFrame) -> dict[str, DataFrame]:
+    totals = ["series_count", "instance_count", "modalities_in_study", "total_bytes"]
+    out = studies.drop(*totals).join(study_totals(series, instances), "study_uid", "left")
+    return {"studies": out.na.fill({"series_count": 0, "instance_count": 0, "total_bytes": 0, "modalities_in_study": ""}), "series": series, "instances": instances}
+
+
+def merge_archive(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], order: dict[str, list[Column]]) -> dict[str, DataFrame]:
+    """studies, series and instances after an ingest: what is stored wins at every level, arrived_at of a study that got something is that of its last arrival, totals are new."""
+    new = {level: merge_ingest(stored[level], incoming[level], LEVELS[key], order[level]) for level, key in (("studies", "study"), ("series", "series"), ("instances", "instance"))}
+    last = incoming["studies"].groupBy("study_uid").agg(F.max("arrived_at").alias("_last"))
+    studies = new["studies"].join(last, "study_uid", "left").withColumn("arrived_at", F.greatest("arrived_at", "_last")).drop("_last")
+    return _totalled(studies, new["series"], new["instances"])
+
+
+def replace_archive(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], order: dict[str, list[Column]]) -> dict[str, DataFrame]:
+    """The same where the incoming version replaces: study attributes and instances are those of the last arrival, series attributes only fill gaps."""
+    fill = [c for c in stored["series"].columns if c != "series_uid"]
+    new = {level: replace_ingest(stored[level], incoming[level], LEVELS[key], order[level], fill if level == "series" else []) for level, key in (("studies", "study"), ("series", "series"), ("instances", "instance"))}
+    return _totalled(new["studies"], new["series"], new["instances"])
 
 
 def tier_plan(instances: DataFrame, studies: DataFrame, tiers: list[str], cutoff: int, excluded: DataFrame, limit: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, relations, scalars, searches
+from . import changes, relations, roundtrips, scalars, searches
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "changes", "relations", "scalars", "searches"]
+__all__ = ["ORACLES", "QUERIES", "changes", "relations", "roundtrips", "scalars", "searches"]

@@ -26,6 +26,40 @@ query(
     f""", s as (select {', '.join(KEPT)} from v_instances where seq <= 2), n as (select {', '.join(KEPT)} from v_arrivals qualify row_number() over (partition by sop_uid order by {ARRIVAL.replace(',', ' desc,')} desc) = 1)
       select coalesce(s.sop_uid, n.sop_uid) as sop_uid, coalesce(s.series_uid, n.series_uid) as series_uid, coalesce(n.study_uid, s.study_uid) as study_uid, coalesce(n.blob_hash, s.blob_hash) as blob_hash, coalesce(n.file_size, s.file_size) as file_size from s full join n using (sop_uid)""",
 )
+# whole archives: early studies are stored, the odd ones arrive again with another description, the late ones for the first time
+STORED, COMING = "arrived_at < timestamp '1997-01-01'", "cast(substring(study_uid, 5) as bigint) % 2 = 1"
+
+
+def _archives(v):
+    studies = v("v_studies").select("study_uid", "study_description", F.col("arrived_at").cast("timestamp").alias("arrived_at"))
+    of = lambda t, some: v(t).join(some.select("study_uid"), "study_uid", "left_semi")
+    series = lambda some: of("v_series", some).select("series_uid", "study_uid", "modality", "body_part", "seq")
+    instances = lambda some: of("v_instances", some).select("sop_uid", "series_uid", "study_uid", "file_size")
+    old, new = studies.where(STORED), studies.where(COMING).withColumns({"study_description": F.concat(F.lit("new "), "study_description"), "arrived_at": F.expr("arrived_at + interval 30 days")})
+    stored = {"studies": old, "series": series(old).withColumn("body_part", F.expr("nullif(body_part, 'HEAD')")), "instances": instances(old).where("file_size > 10000")}
+    incoming = {"studies": new, "series": series(new), "instances": instances(new).withColumn("file_size", F.col("file_size") + 1)}
+    return stored, incoming, {"studies": [F.col("arrived_at")], "series": [F.col("seq")], "instances": [F.col("sop_uid")]}
+
+
+_whole = lambda rule: lambda v: rule(*_archives(v))
+ARCHIVE = f""", o as (select study_uid, study_description, cast(arrived_at as timestamp) as arrived_at from v_studies where {STORED}), n as (select study_uid, 'new ' || study_description as study_description, cast(arrived_at as timestamp) + interval 30 days as arrived_at from v_studies where {COMING}),
+  os as (select series_uid, study_uid, modality, nullif(body_part, 'HEAD') as body_part, seq from v_series where study_uid in (select study_uid from o)), ns as (select series_uid, study_uid, modality, body_part, seq from v_series where study_uid in (select study_uid from n)),
+  oi as (select sop_uid, series_uid, study_uid, file_size from v_instances where study_uid in (select study_uid from o) and file_size > 10000), ni as (select sop_uid, series_uid, study_uid, file_size + 1 as file_size from v_instances where study_uid in (select study_uid from n)),
+  {{0}}, c as (select study_uid, sum(k) as series_count, string_agg(modality, ',' order by seq, modality) as modalities_in_study from (select study_uid, modality, count(*) as k, min(seq) as seq from s group by all) group by all), b as (select study_uid, count(*) as instance_count, sum(file_size) as total_bytes from i group by all)
+  select d.*, coalesce(series_count, 0) as series_count, coalesce(instance_count, 0) as instance_count, coalesce(modalities_in_study, '') as modalities_in_study, coalesce(total_bytes, 0) as total_bytes from d left join c using (study_uid) left join b using (study_uid)"""
+_either = lambda k, a, b: f"{k} as (select * from {a} union all select * from {b} where {{0}} not in (select {{0}} from {a}))"
+query(
+    "chg_merge_archive", lambda v: _whole(L.merge_archive)(v)["studies"],
+    ARCHIVE.format(f"d as (select coalesce(o.study_uid, n.study_uid) as study_uid, coalesce(o.study_description, n.study_description) as study_description, greatest(o.arrived_at, n.arrived_at) as arrived_at from o full join n using (study_uid)), {_either('s', 'os', 'ns').format('series_uid')}, {_either('i', 'oi', 'ni').format('sop_uid')}"),
+)
+query(
+    "chg_replace_archive", lambda v: _whole(L.replace_archive)(v)["studies"],
+    ARCHIVE.format(f"d as (select coalesce(n.study_uid, o.study_uid) as study_uid, coalesce(n.study_description, o.study_description) as study_description, coalesce(n.arrived_at, o.arrived_at) as arrived_at from o full join n using (study_uid)), {_either('s', 'os', 'ns').format('series_uid')}, {_either('i', 'ni', 'oi').format('sop_uid')}"),
+)
+query(
+    "chg_replace_archive_series", lambda v: _whole(L.replace_archive)(v)["series"],
+    ARCHIVE.split("{0}")[0].rstrip(", \n") + " select coalesce(os.series_uid, ns.series_uid) as series_uid, coalesce(os.study_uid, ns.study_uid) as study_uid, coalesce(os.modality, ns.modality) as modality, coalesce(os.body_part, ns.body_part) as body_part, coalesce(os.seq, ns.seq) as seq from os full join ns using (series_uid)",
+)
 NOTE = "case seq % 3 when 0 then 113001 when 1 then 113037 else 113039 end"
 query(
     "chg_reject",
@@ -42,11 +76,23 @@ query(
     lambda v: L.delete(v("v_instances"), gone(v))[0],
     f"select count(*) as instances, sum(file_size) as bytes, (select count(distinct blob_hash) from v_instances where study_uid in {GONE} and blob_hash in (select blob_hash from v_instances where study_uid not in {GONE})) as shared_blobs from v_instances where study_uid in {GONE}",
 )
+query(
+    "chg_delete_series",
+    lambda v: L.delete(v("v_instances").withColumn("refs", F.array(F.expr("study_uid || '.A'"))), v("v_series").where("modality = 'CT' and seq = 1"), "series", [SR])[1].select("sop_uid"),
+    f", g as (select series_uid from v_series where modality = 'CT' and seq = 1) select sop_uid from v_instances where series_uid not in (from g) and not (sop_class = '{SR}' and study_uid || '.A' in (from g))",
+)
+query(
+    "chg_delete_instances",
+    lambda v: L.delete(v("v_instances").withColumn("refs", F.array(F.expr("study_uid || '.1'"))), v("v_instances").where("seq = 1"), "instance", [SR])[0],
+    f""", g as (select sop_uid from v_instances where seq = 1), d as (select * from v_instances where sop_uid in (from g) or (sop_class = '{SR}' and study_uid || '.1' in (from g)))
+      select count(*) as instances, sum(file_size) as bytes, (select count(distinct blob_hash) from d where blob_hash in (select blob_hash from v_instances where sop_uid not in (select sop_uid from d))) as shared_blobs from d""",
+)
+query("chg_delete_tombstones", lambda v: L.delete(v("v_instances"), v("v_series").where("modality = 'CT'"), "series")[2], ", g as (select series_uid from v_series where modality = 'CT') select distinct study_uid from v_instances where series_uid in (from g) and study_uid not in (select study_uid from v_instances where series_uid not in (from g))")
 query("chg_delete_remaining", lambda v: L.delete(v("v_instances"), gone(v))[1].select("sop_uid"), f"select sop_uid from v_instances where study_uid not in {GONE}")
 query(
     "chg_tier_plan",
-    lambda v: L.tier_plan(v("v_instances"), v("v_studies"), ["hot"], 19980101, v("v_instances").where("seq = 9"), 500),
-    "select blob_hash, min(study_date) as study_date from v_instances join v_studies using (study_uid) where tier = 'hot' and study_date < 19980101 and blob_hash not in (select blob_hash from v_instances where seq = 9) group by blob_hash order by study_date, blob_hash limit 500",
+    lambda v: L.tier_plan(v("v_instances"), v("v_studies"), ["hot"], 19980101, v("v_instances").where("seq = 4"), 500),
+    "select blob_hash, min(study_date) as study_date from v_instances join v_studies using (study_uid) where tier = 'hot' and study_date < 19980101 and blob_hash not in (select blob_hash from v_instances where seq = 4) group by blob_hash order by study_date, blob_hash limit 500",
 )
 query(
     "chg_tier_patients",
@@ -129,9 +175,16 @@ def _gaps(keys: str, seconds: int, select: str) -> str:
       select {keys}, {select} from b group by {keys}, s"""
 
 
+stores = lambda v: v("v_access").withColumn("status", F.expr("case when status = 404 then 409 else status end"))
+query(
+    "st_ingest_events", lambda v: sessions.ingest_events(v("v_access"), 21600, 3, key=["study"]).select("study", "event_id", "requests", "line"),
+    """, a as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by study order by ts, event_id) <= 21600000000 then 0 else 1 end as n from v_access), b as (select *, sum(n) over (partition by study order by ts, event_id) as s from a),
+      c as (select *, row_number() over (partition by study, s order by ts, event_id) as requests, count(*) over (partition by study, s) as whole from b)
+      select study, event_id, requests, line from c, (values ('started'), ('progress'), ('completed')) l(line) where case line when 'started' then requests = 1 when 'progress' then requests % 3 = 0 else requests = whole end""",
+)
 query(
-    "st_ingest_sessions", lambda v: sessions.ingest_sessions(v("v_access"), "21600 seconds").drop("progress"),
-    _gaps("study, user_name, src_ip", 21600, "min(ts) as started, max(ts) + interval 6 hours as idle_at, count(*) as requests, count(*) filter (status < 400) as stored, count(*) filter (status >= 400) as failed, sum(bytes) as bytes"),
+    "st_ingest_sessions", lambda v: sessions.ingest_sessions(stores(v), "21600 seconds").drop("progress"),
+    _gaps("study, user_name, src_ip", 21600, "min(ts) as started, max(ts) + interval 6 hours as idle_at, count(*) as requests, count(*) filter (status < 300) as stored, count(*) filter (status = 302) as idempotent, count(*) filter (status = 503) as failed, count(*) filter (status = 404) as conflicts, sum(bytes) as bytes"),
 )
 query("st_readiness", lambda v: sessions.readiness(v("v_access"), "3600 seconds"), _gaps("study", 3600, "max(ts) + interval 1 hour as ready_at, count(*) as arrivals"))
 query(

@@ -115,8 +115,8 @@ query(
     "select list_sort(list(us))[cast(floor((count(*) - 1) * 0.95 + 0.5) as int) + 1] as quantile, count(*) as samples from (select us from v_access order by ts desc, event_id desc limit 1000)",
 )
 query(
-    "agg_by_reason", lambda v: A.by_reason(v("v_instances"), [113001, 113037, 113038, 113039]),
-    "select reason, count(sop_uid) as rejected from (values (113001), (113037), (113038), (113039)) r(reason) left join v_instances using (reason) group by reason",
+    "agg_by_reason", lambda v: A.by_reason(v("v_instances"), v("v_instances").where("seq = 1"), [113001, 113037, 113038, 113039]),
+    "select reason, count(sop_uid) as rejected, count(sop_uid) filter (seq = 1) as restored from (values (113001), (113037), (113038), (113039)) r(reason) left join v_instances using (reason) group by reason",
 )
 query(
     "agg_assoc_summary",
@@ -127,7 +127,7 @@ query(
 )
 query(
     "agg_audit_copies", lambda v: A.audit_copies(v("v_blobs").select("owner", "blob_hash", F.expr("tier = 'cold'").alias("orphan")), "owner"),
-    "select owner, coalesce(string_agg(distinct blob_hash, ',' order by blob_hash) filter (tier <> 'cold'), '') as tracked, coalesce(string_agg(distinct blob_hash, ',' order by blob_hash) filter (tier = 'cold'), '') as orphans, count(distinct blob_hash) filter (tier <> 'cold') as n_tracked, count(distinct blob_hash) filter (tier = 'cold') as n_orphans from v_blobs group by owner",
+    "select *, count(*) over (partition by owner, kind) as hashes from (select distinct owner, case tier when 'cold' then 'orphans' else 'tracked' end as kind, blob_hash from v_blobs)",
 )
 query(
     "agg_run_stats", lambda v: A.run_stats(v("v_access"), "route", "bytes").withColumns({c: F.round(c, 4) for c in ("mean", "sd")}),

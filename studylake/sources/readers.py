@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TREE = """study_uid string, patient_id string, patient_name string, study_date long,
+from ..functions.text import vr_of
+
+TREE = """study_uid string, patient_id string, patient_name string, birth_date long, sex string, study_date long, study_time string, accession_number string, study_id string, study_description string,
+  institution_name string, referring_physician string, arrived_at string,
   series array<struct<series_uid: string, modality: string, series_number: string,
     instances: array<struct<sop_uid: string, sop_class: string, instance_number: string, blob_hash: string, file_size: long, reason: int,
       frames: array<struct<number: int, hash: string, offset: long, compressed_len: long>>>>>>"""
@@ -30,35 +35,36 @@ def study_tree(spark: SparkSession, path: str, kind: str = "json") -> dict[str,
 
 
 def study_only(rows: DataFrame) -> DataFrame:
-    """The study columns alone: nested columns are pruned from the scan."""
+    """The study columns alone. Over Parquet the scan reads no nested column; JSON lines are parsed whole, but only these columns are built."""
     return rows.select(*(c for c in rows.columns if c not in ("series", "_corrupt_record")))
 
 
 def dicom_json(rows: DataFrame, tags: dict[str, str], value: str = "value") -> DataFrame:
-    """Columns from DICOM JSON text {tag: {vr, Value}}: names by first value, dates as numbers; person names give their alphabetic group."""
+    """Columns from DICOM JSON text {tag: {vr, Value}}: names by first value, dates and integers (by the tag's representation) as numbers; person names give their alphabetic group."""
     m = rows.withColumn("_m", F.from_json(value, "map<string, struct<vr: string, Value: array<string>>>"))
 
     def of(tag: str):
         e = F.col("_m")[tag]
         first = F.get(e["Value"], F.lit(0))
-        return F.when(e["vr"] == "PN", F.get_json_object(first, "$.Alphabetic")).otherwise(first)
+        text = F.when(e["vr"] == "PN", F.get_json_object(first, "$.Alphabetic")).otherwise(first)
+        return text.try_cast("bigint") if vr_of(tag) in ("DA", "IS") else text
 
     return m.select(*(c for c in rows.columns if c != value), *(of(t).alias(n) for n, t in tags.items()))
 
 
 def journal(spark: SparkSession, path: str, event: str, stream: bool = False) -> DataFrame:
-    """Lines of one event kind with day and file, from JSON-lines files named by day; torn lines are skipped."""
+    """Lines of one event kind with day and file, from JSON-lines files named by day, or in folders of a day; torn lines are skipped."""
     schema = JOURNAL + ", _corrupt_record string"
     rows = (spark.readStream if stream else spark.read).schema(schema).option("mode", "PERMISSIVE").json(path)
     name = F.col("_metadata.file_path")
-    return rows.select("*", name.alias("file"), F.to_date(F.regexp_extract(name, r"([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*$", 1)).alias("day")).where((F.col("event") == event) & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return rows.select(*(c for c in rows.columns if c != "day"), name.alias("file"), F.to_date(F.regexp_extract(name, r"([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[^/]*|/[^/]*)$", 1)).alias("day")).where((F.col("event") == event) & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def blobs(spark: SparkSession, path: str) -> DataFrame:
-    """path, blob_hash (the file's name), length, content of .dcm files below path, temporary folders left out."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.dcm").option("recursiveFileLookup", "true").load(path)
+def blobs(spark: SparkSession, path: str, suffix: str = ".dcm") -> DataFrame:
+    """path, blob_hash (the file's name), length, content of the files below path with the suffix, temporary folders left out."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
     below = F.substring_index("path", path.rstrip("/").rpartition("/")[2] + "/", -1)
-    return rows.where(~below.rlike(r"(^|/)\.?(tmp|temp)/")).select("path", F.regexp_extract("path", r"([^/]+)\.dcm$", 1).alias("blob_hash"), "length", "content")
+    return rows.where(~below.rlike(r"(^|/)\.?(tmp|temp)/")).select("path", F.regexp_extract("path", rf"([^/]+){re.escape(suffix)}$", 1).alias("blob_hash"), "length", "content")
 
 
 def sidecar_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -37,26 +37,35 @@ def mint(codes: DataFrame, read_tasks: Callable[[], DataFrame], append: Callable
 
 
 def commit_wait(confirmations: DataFrame, wait_seconds: int = 600) -> DataFrame:
-    """Per transaction one verdict: success when as many distinct instances as expected are confirmed, failures when the time passes first. confirmations: transaction_uid, sop_uid, expected, ts (watermarked)."""
+    """Per transaction one verdict: success when as many distinct instances as expected are confirmed, failures when the time passes first. confirmations: transaction_uid, sop_uid, expected, ts (watermarked).
+
+    A decided transaction is remembered for as long again, so that late confirmations don't open it anew; then its state goes.
+    """
 
     def run(key, frames, state):
         began, seen, expected, done = state.get if state.exists else (None, [], 0, False)
-        out = []
+        seen, out = set(seen), []
         for f in frames:
             for sop, n, ts in f[["sop_uid", "expected", "ts"]].itertuples(index=False):
                 at = pd.Timestamp(ts).value // 1_000_000
                 began, expected = at if began is None else min(began, at), max(expected, int(n))
-                if sop not in seen:
-                    seen = [*seen, sop]
-        if not done and expected and len(seen) >= expected:
-            out.append((key[0], "success", len(seen)))
-            done = True
-        elif not done and state.hasTimedOut:
-            out.append((key[0], "failures", len(seen)))
-            done = True
-        state.update((began, seen, expected, done))
-        if not done:
-            state.setTimeoutTimestamp(max(began + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+                seen.add(sop)
+        if done and state.hasTimedOut:
+            state.remove()
+        else:
+            if not done and (state.hasTimedOut or (expected and len(seen) >= expected)):
+                out.append((key[0], "success" if expected and len(seen) >= expected else "failures", len(seen)))
+                done = True
+            state.update((began, [] if done else sorted(seen), expected, done))
+            state.setTimeoutTimestamp(max(began + (2 if done else 1) * wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["transaction_uid", "verdict", "confirmed"])
 
     return confirmations.groupBy("transaction_uid").applyInPandasWithState(run, "transaction_uid string, verdict string, confirmed long", "began long, seen array<string>, expected long, done boolean", "append", "EventTimeTimeout")
+
+
+def commit_verdicts(confirmations: DataFrame, wait_seconds: int = 600) -> DataFrame:
+    """Batch twin of commit_wait: the distinct instances confirmed within the time after the first confirmation, and whether they are as many as expected."""
+    first = confirmations.groupBy("transaction_uid").agg(F.min("ts").alias("began"), F.max("expected").alias("expected"))
+    in_time = confirmations.drop("expected").join(first, "transaction_uid").where(F.unix_micros("ts") - F.unix_micros("began") <= wait_seconds * 1_000_000)
+    counted = in_time.groupBy("transaction_uid", "expected").agg(F.count_distinct("sop_uid").alias("confirmed"))
+    return counted.select("transaction_uid", F.when(F.col("confirmed") >= F.col("expected"), "success").otherwise("failures").alias("verdict"), "confirmed")

@@ -70,10 +70,27 @@ def _windowed(events: DataFrame, key: list[str], gap: str, *aggregates: Column)
     return events.groupBy(*key, F.session_window("ts", gap).alias("w")).agg(*aggregates)
 
 
+#: What a request of a store says: status 409 is a conflict, a redirect an instance that was there already.
+INGEST = {"stored": "status < 300", "idempotent": "status >= 300 and status < 400", "failed": "status >= 400 and status <> 409", "conflicts": "status = 409"}
+
+
 def ingest_sessions(events: DataFrame, gap: str = "30 seconds", key: list[str] = ("study", "user_name", "src_ip")) -> DataFrame:
     """Totals of each ingest session; batch, or a stream in append mode. progress = how many times 50 requests were passed."""
-    out = _windowed(events, list(key), gap, F.count("*").alias("requests"), F.count_if(F.col("status") < 400).alias("stored"), F.count_if(F.col("status") >= 400).alias("failed"), F.sum("bytes").alias("bytes"))
-    return out.select(*key, F.col("w.start").alias("started"), F.col("w.end").alias("idle_at"), "requests", "stored", "failed", "bytes", F.floor(F.col("requests") / 50).alias("progress"))
+    sums = (F.count_if(F.expr(c)).alias(n) for n, c in INGEST.items())
+    out = _windowed(events, list(key), gap, F.count("*").alias("requests"), *sums, F.sum("bytes").alias("bytes"))
+    return out.select(*key, F.col("w.start").alias("started"), F.col("w.end").alias("idle_at"), "requests", *INGEST, "bytes", F.floor(F.col("requests") / 50).alias("progress"))
+
+
+def ingest_events(events: DataFrame, gap_seconds: int = 30, every: int = 50, key: list[str] = ("study", "user_name", "src_ip"), order: str = "event_id") -> DataFrame:
+    """Batch: the lines of each ingest session: started at its first request, progress at every so many, completed at its last; with the requests so far."""
+    key = list(key)
+    w = Window.partitionBy(*key).orderBy("ts", order)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    a = events.withColumn("_new", F.coalesce(micros - F.lag(micros).over(w) > gap_seconds * 1_000_000, F.lit(True)).cast("int")).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = Window.partitionBy(*key, "_s").orderBy("ts", order)
+    b = a.withColumns({"requests": F.row_number().over(s), "_last": F.lead(order).over(s).isNull()})
+    lines = F.filter(F.array(F.when(F.col("requests") == 1, "started"), F.when(F.col("requests") % every == 0, "progress"), F.when(F.col("_last"), "completed")), lambda x: x.isNotNull())
+    return b.select(*key, "ts", order, "requests", F.explode(lines).alias("line"))
 
 
 def readiness(events: DataFrame, gap: str = "10 seconds") -> DataFrame:
