@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch, shared_dir  # noqa: F401
+
 #: Characters that separate words: space and \x09-\x0D.
 BLANKS = r"[ \t-\r]"
 
@@ -20,18 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests), one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -73,3 +66,49 @@ def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     return df.mapInArrow(run, schema)
+
+
+_BASE, _FACTOR = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15)
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse modulo 2^64 to the powers 0 .. n - 1."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b % 2**64, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 2**64)))
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between ASCII blanks start, and their 64-bit hashes: polynomials of their bytes, from differences of one running sum, mixed with their lengths."""
+    b = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_SOLID[b], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(max(1 << 20, 1 << len(b).bit_length()))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b + np.uint64(1)) * powers[: len(b)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64) * _FACTOR
+    h = (h ^ (h >> np.uint64(32))) * _FACTOR
+    return starts, h ^ (h >> np.uint64(29))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, one text after the other, and where each text begins and the last ends."""
+    found, counts, group, size = [np.zeros(0, np.uint64)], [0], [], 0
+
+    def out():
+        data = [t.encode("utf-8", "surrogatepass") for t in group]
+        starts, h = _hashes(b" ".join(data))
+        found.append(h)
+        counts.extend(np.diff(np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)]))).tolist())
+        group.clear()
+
+    for text in texts:
+        if group and size + len(text) > 500_000:
+            out()
+            size = 0
+        group.append(text)
+        size += len(text) + 1
+    if group:
+        out()
+    return np.concatenate(found), np.cumsum(counts)

@@ -6,7 +6,8 @@ them; these go back to their batches by number, where they meet the texts. A key
 key is hot; rows grow with distinct (batch, key) pairs. The number of parts follows the size of the texts, so that a part's keys fit a task.
 
 The texts are read twice, once for the keys and once for what is made of them, and batches are numbered by partition. So the input must give the same partitions
-each time it is read: files do, and cut() makes files of anything else. A batch whose keys and counts differ in number is an error.
+each time it is read: files do, and cut() makes files of anything else. A batch whose keys and counts differ in number is an error
+(finish() checks it with same_number()).
 """
 
 from __future__ import annotations
@@ -19,7 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a batch's texts, about (a longer text is a batch of its own); keys of a part, about.
-BATCH, PART = 8_000_000, 2_000_000
+BATCH, PART = 10_000_000, 2_000_000
+
+
+def same_number(keys: int, counts: int) -> None:
+    """A batch must have as many distinct keys as counts came back."""
+    if keys != counts:
+        raise ValueError("a batch changed between two readings: write the input first, with cut()")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -57,7 +64,7 @@ def _batches(batches, number: int, most: int):
 
 
 def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size: int = BATCH, part_size: int = PART) -> DataFrame:
-    """finish(a batch's rows, what prepare gave, its sorted distinct keys, their counts over all rows) -> pa.Table of the schema, for every batch.
+    """finish(a batch's rows, what prepare gave, counts over all rows of its sorted distinct keys) -> pa.Table of the schema, for every batch.
 
     rows: a column text and any others, from files. prepare(list of texts) -> anything; keys(that) -> array<uint64> of what to count (a key as often as it counts).
     batch_size, part_size: see above; they change no result.
@@ -104,12 +111,9 @@ def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size:
     def meet(texts, counts):
         table = pa.ipc.open_stream(texts["rows"][0].as_py()).read_all()
         prepared = prepare(table["text"].to_pylist())
-        found = np.unique(keys(prepared))
         blobs = counts.sort_by("part")["counts"].to_pylist()
         totals = np.concatenate([unpacked(x) for x in blobs]) if blobs else np.zeros(0, "<u8")
-        if len(totals) != len(found):
-            raise ValueError("a batch changed between two readings: write the input first, with cut()")
-        return finish(table, prepared, found, totals.view(np.int64))
+        return finish(table.drop_columns("text"), prepared, totals.view(np.int64))
 
     dealt = rows.mapInArrow(deal, "batch long, part int, keys binary, counts binary")
     counted = dealt.groupBy("part").applyInArrow(count, "batch long, part int, counts binary")

@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut, map_rows, text_of
+from .common import SMALL, cut, map_rows, text_of, word_hashes
 from .components import components
-from .counted import packed, unpacked, with_counts
+from .counted import packed, same_number, unpacked, with_counts
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -39,26 +39,12 @@ BANDS, ROWS = 12, 4
 AGREE = 27
 TABLE_BITS = 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 600_000
 #: Texts in a block of a large bucket; buckets up to PAIRWISE texts are compared as pairs.
 BLOCK, PAIRWISE = 2048, 48
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
-def shingles(text: str) -> np.ndarray:
-    """64-bit hashes of the text's shingles, one for each place."""
-    parts = text.encode("utf-8", "surrogatepass").split()  # at ASCII blanks, like the other operators
-    words = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the shingles of a row of words, one for each place; fewer words than a shingle has are one."""
     n = max(1, len(words) - SHINGLE + 1) if len(words) else 0
     h = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(words))):
@@ -67,6 +53,10 @@ def shingles(text: str) -> np.ndarray:
     return h
 
 
+def shingles(text: str) -> np.ndarray:
+    return _shingles(word_hashes([text])[0])
+
+
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return (np.log((1 + n) / (1 + df.astype(np.float64))) + 1).astype(np.float32)
 
@@ -142,18 +132,20 @@ def sketches_of(rows: DataFrame, n: int, **sizes: int) -> DataFrame:
     def prepare(texts: list[str]) -> tuple[list[bytes], dict]:
         """The texts' digests, and the distinct shingles of each digest with their numbers."""
         copies, known = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], {}
-        for copy, text in zip(copies, texts, strict=True):
-            if copy not in known:
-                known[copy] = np.unique(shingles(text), return_counts=True)
+        first = dict(zip(reversed(copies), reversed(texts), strict=True))
+        words, ends = word_hashes(list(first.values()))
+        every = _shingles(words)  # a shingle of one text is one of all, where it doesn't reach into the next
+        for copy, a, b in zip(first, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            known[copy] = np.unique(every[a : b - SHINGLE + 1] if b - a >= SHINGLE else _shingles(words[a:b]), return_counts=True)
         return copies, known
 
     def keys(prepared) -> np.ndarray:
         copies, known = prepared
         return np.concatenate([known[c][0] for c in copies])
 
-    def finish(table: pa.Table, prepared, found: np.ndarray, totals: np.ndarray) -> pa.Table:
-        copies, known = prepared
-        made = {}
+    def finish(table: pa.Table, prepared, totals: np.ndarray) -> pa.Table:
+        (copies, known), made, found = prepared, {}, np.unique(keys(prepared))
+        same_number(len(found), len(totals))
         for copy, (h, tf) in known.items():
             df = totals[np.searchsorted(found, h)]
             w = tf.astype(np.float32) * idf_of(df, n)

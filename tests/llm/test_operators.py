@@ -535,3 +535,20 @@ def test_spot_pairs_against_all_pairs(spark):
     reps = sorted(set(cls.values()))
     want = {(a, b) for a, b in itertools.combinations(reps, 2) if len(sig[a] & sig[b]) / len(sig[a] | sig[b]) >= 0.7}
     assert {(x.a, x.b) for x in pairs.collect()} == want and want
+
+
+def test_word_hashes_are_those_of_each_word():
+    from studylake.llm.common import word_hashes
+
+    texts = ["", " a bc\ta\n", "é bc", "x" * 70_000 + " y", " ", *(t for _, t in corpus(40)), "a" * 600_000, "z bc"]
+    h, ends = word_hashes(texts)
+    words = [t.encode().split() for t in texts]
+    assert np.diff(ends).tolist() == [len(w) for w in words]
+    seen = dict(zip((w for ws in words for w in ws), h.tolist(), strict=True))
+    assert [seen[w] for ws in words for w in ws] == h.tolist() and len(set(seen.values())) == len(seen)
+
+
+def test_order_of_keys_that_share_their_upper_bits():
+    r = np.random.default_rng(2)
+    keys = (r.integers(0, 3, 500).astype(np.uint64) << np.uint64(60)) | r.integers(0, 1 << 21, 500).astype(np.uint64)
+    assert (lmscore._in_order(keys) == np.argsort(keys, kind="stable")).all() and (lmscore._in_order(keys, 4) == np.argsort(keys, kind="stable")).all()
