@@ -7,7 +7,8 @@ Among the cutoffs that pass, the one with the fewest false rejections is taken,
 then the loosest. A stratum whose holdout is too small to pass any test has no cutoff and keeps what the base rules keep.
 
 Nulls: a null text has no words (base_failed), a null language is the stratum ''. Labels of null or unknown documents, or with a null quality, say nothing;
-a document with several labels counts once for each distinct one. Repeated rows are judged alike. An empty table gives an empty result.
+a document with several labels counts once for each distinct one. Repeated rows are judged alike. Very long texts are measured whole. Equal cutoffs: see above.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,6 +113,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The kept documents with the columns they came with."""
-    found = cutoffs(cut(measures(_plain(docs), "doc_id", "stratum"), "quality-measures"), labels)
-    return measures(_plain(docs, row=True), "_row", "stratum").where(verdict(found)).select("_row.*")
+    """The kept documents with the columns they came with. Each text is measured once: the rows are written with their measures."""
+    measured = cut(measures(_plain(docs, row=True), "doc_id", "stratum", "_row"), "quality-measures")
+    return measured.where(verdict(cutoffs(measured.drop("_row"), labels))).select("_row.*")
