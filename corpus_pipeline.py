@@ -1,4 +1,8 @@
-"""documents -> good, distinct, free of personal data, packed into sequences."""
+"""documents -> good, distinct, free of personal data, packed into sequences.
+
+Each stage's docstring in its operator's module says what becomes of nulls, empty and very long texts, ties, repeated rows, no rows and other columns' names; every stage
+but the last passes all columns on.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
-    return minhash.keep_one(docs)
+    """One document of each class of near copies stays. Each stage's documents are files, so they are read as they are."""
+    return minhash.keep_one(docs, written=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
