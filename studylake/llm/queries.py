@@ -58,8 +58,13 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def spots_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search part of SpotSigs: every document's class of near signature sets."""
+    return spotsigs.near_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, spots_near_classes)}
 
 
 def _quality_sql() -> str:

@@ -5,8 +5,8 @@ six words after it. A text's fingerprint is its set of signatures. A text withou
 that it has a fingerprint as well. Likeness is the Jaccard similarity of two sets; near pairs are found among partitions by set
 length, since a similarity of s needs lengths within a factor of s, and the rarest signatures of each set (prefix) must meet.
 
-Nulls: a null text counts as empty; an empty text has an empty set, alike only to another empty one. Equal texts have equal fingerprints.
-Repeated rows are kept. Other columns are not read, so their names can't clash.
+Nulls: a null text counts as empty; an empty text has an empty set, alike only to another empty one; a null id comes before all others. Equal texts have equal fingerprints. Very long
+texts are read whole. Repeated rows are kept; rows of one id are ordered by their text. An empty table gives an empty result. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, cut, let, text_of
+from .components import components
 
 #: Common words of the four languages.
 COMMON = (
@@ -105,29 +106,48 @@ def compare_edits(docs: DataFrame, block: int = 256) -> DataFrame:
     return done.unionByName(ends.select(*_compared(ends, likeness(F.col("sigs"), F.col("next_sigs")))))
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs). members: doc_id, class_id, where equal signature sets are one class; pairs: a < b, similarity >= least, between class ids.
+def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("sigs").alias(f"sigs_{side}")), side)
+    return pairs.where(likeness(F.col("sigs_a"), F.col("sigs_b")) >= least - 1e-12).select("a", "b")
 
-    A pair must share one of the rarest signatures of both sets (prefix filter), and its set lengths must be near enough, so
-    a set only meets sets of its own length partition or the one below. Sets of texts without words pair with nothing.
+
+def near_classes(docs: DataFrame, least: float = 0.8, block: int = 512) -> DataFrame:
+    """doc_id, class_id (smallest id among the documents that links join to it), n_sets (different signature sets of the class) for each document.
+
+    Equal sets are one from the start. A pair must share one of the rarest signatures of both sets (prefix filter); a set is posted under these in its length partition and in the
+    next, so that it meets all sets of lengths within the factor. Within a posting each set is first compared with the posting's first set, so a group of near copies costs one
+    comparison a set; then, where a posting's sets still belong to several classes, those of different classes are compared, a large posting in blocks. Sets without a signature are alike only to each other.
     """
     import math
 
-    signed = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), signatures(text_of(docs)).alias("sigs")).withColumn("name", fingerprint(F.col("sigs"))), "spot-sets")
-    classes = signed.groupBy("name").agg(F.min("doc_id").alias("class_id"))
-    members = signed.select("doc_id", "name").join(classes, "name").select("doc_id", "class_id")
-    sets = signed.dropDuplicates(["name"]).join(classes, "name").where(F.size("sigs") > 0).select("class_id", "sigs")
-    sets = cut(sets, "spot-classes")
-    each = sets.select("class_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").where(F.col("df") > 1)
-    order = Window.partitionBy("class_id").orderBy("df", "sig")
+    signed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), signatures(text_of(docs)).alias("sigs")).withColumn("name", fingerprint(F.col("sigs")))
+    signed = cut(signed, "spot-sets")
+    every = cut(signed.groupBy("name").agg(F.min("doc_id").alias("doc"), F.first("sigs").alias("sigs")).withColumn("rep", F.monotonically_increasing_id()), "spot-classes")
+    sets = every.select("rep", "sigs", F.size("sigs").alias("n"))
+    each = sets.select("rep", "n", F.explode("sigs").alias("sig"))
     # Signatures of one set alone can't meet; they come first in the order and use up the prefix.
-    rare = each.groupBy("class_id").agg(F.count("*").alias("all")).join(ranked.groupBy("class_id").agg(F.count("*").alias("met")), "class_id").select("class_id", (F.col("all") - F.col("met")).alias("alone"))
-    prefix = ranked.withColumn("nth", F.row_number().over(order)).join(rare, "class_id").where(F.col("nth") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig")
+    whole = Window.partitionBy("rep")
+    ranked = ranked.withColumns({"nth": F.row_number().over(whole.orderBy("df", "sig")), "met": F.count("*").over(whole)})
+    prefix = ranked.where(F.col("nth") + F.col("n") - F.col("met") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(least) + 1e-9).cast("int")
-    posted = prefix.select("class_id", "n", "sig", part.alias("part"))
-    left = posted.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1)).alias("part"))
-    right = posted.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", "part")
-    met = left.join(right, ["sig", "part"]).where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)).select("a", "b").distinct()
-    full = met.join(sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb")), "b")
-    return members, full.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    posted = cut(prefix.select("rep", "n", "sig", F.explode(F.array(part, part + 1)).alias("part")), "spot-postings")
+    key = ["sig", "part"]
+    level = lambda x, y: (F.col(x) >= F.col(y) * least - 1e-9) & (F.col(y) >= F.col(x) * least - 1e-9)
+    hubs = posted.groupBy(key).agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select(*key, F.col("hub.rep").alias("a"), F.col("hub.n").alias("hub_n"))
+    stars = posted.join(hubs, key).where((F.col("rep") != F.col("a")) & level("n", "hub_n")).select("a", F.col("rep").alias("b")).distinct()
+    links = cut(_links(stars, sets, least), "spot-links")
+    labels = components(links)
+    classed = posted.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("label", "rep")).drop("label")
+    mixed = classed.groupBy(key).agg(F.count("*").alias("k"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*key, F.ceil(F.col("k") / block).alias("blocks"))
+    rows = classed.join(mixed, key)
+    own, all_blocks = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = rows.select(*key, F.col("rep").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), own.alias("i"), all_blocks.alias("j"))
+    right = rows.select(*key, F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), all_blocks.alias("i"), own.alias("j"))
+    cross = left.join(right, [*key, "i", "j"]).where((F.col("ca") < F.col("cb")) & level("na", "nb")).select("a", "b").distinct()
+    labels = components(links.unionByName(cut(_links(cross, sets, least), "spot-links")))
+    named = every.select("name", "doc", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = named.join(named.groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("n_sets")), "label").select("name", "class_id", "n_sets")
+    return signed.select("doc_id", "name").join(named, "name").select("doc_id", "class_id", "n_sets")

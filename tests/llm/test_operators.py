@@ -519,7 +519,8 @@ def test_spots(spark, texts, hard):
         assert all(len(s) == 1 for s in sets.values())
 
 
-def test_spot_pairs_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_spot_classes_against_all_pairs(spark, block):
     r = random.Random(8)
     base = [[r.choice(["the", "of", "der", "la", *"klmnopqrst"]) + "" for _ in range(90)] for _ in range(4)]
     rows = []
@@ -528,13 +529,36 @@ def test_spot_pairs_against_all_pairs(spark):
         for _ in range(r.randrange(4)):
             t[r.randrange(90)] = "zz" + str(r.randrange(9))
         rows.append((k, " ".join(t)))
+    rows += [(100 + k, "the common line of all texts " + " ".join(f"the {k}w{i} x{i + k}" for i in range(2))) for k in range(30)] + [(200, rows[0][1]), (201, None), (202, "")]
     d = docs_of(spark, rows)
-    members, pairs = spotsigs.near_pairs(d, 0.7)
-    cls = {x.doc_id: x.class_id for x in members.collect()}
-    sig = {x.doc_id: set(x.s) for x in d.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
-    reps = sorted(set(cls.values()))
-    want = {(a, b) for a, b in itertools.combinations(reps, 2) if len(sig[a] & sig[b]) / len(sig[a] | sig[b]) >= 0.7}
-    assert {(x.a, x.b) for x in pairs.collect()} == want and want
+    got = {x.doc_id: (x.class_id, x.n_sets) for x in spotsigs.near_classes(d, 0.7, block).collect()}
+    sig = {x.doc_id: frozenset(x.s) for x in d.select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    like = lambda a, b: len(a & b) >= 0.7 * len(a | b)
+    want = near_classes([(a, b) for a, b in itertools.combinations(sorted(sig), 2) if like(sig[a], sig[b])], sorted(sig))
+    sets = defaultdict(set)
+    for i, c in want.items():
+        sets[c].add(sig[i])
+    assert got == {i: (c, len(sets[c])) for i, c in want.items()} and len(set(want.values())) < len(want) - 10
+
+
+def test_spot_signatures_by_hand(spark):
+    """Chains found by a plain walk: as many different ones, and the same for texts that have the same chains."""
+
+    def chains(text):
+        words = [w.strip(".,;:!?\"'()[]|*#$%&") or w for w in text.lower().split(" ") if w]
+        common = set(spotsigs.COMMON.split())
+        found = {(w, *[x for x in words[i + 1 : i + 7] if x not in common][:2]) for i, w in enumerate(words) if w in common}
+        return {c for c in found if len(c) > 1} or {tuple(words[i : i + 3]) for i in range(len(words))}
+
+    texts = ["the cat sat on the mat", "The cat, sat; on the mat!", "no", "dog cat dog cat dog", "the of and", "a b the c d e f g the", *(t for _, t in corpus(20))]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(spotsigs.signatures(F.col("t")).alias("s")).collect()]
+    names = {}
+    for t, s in zip(texts, got, strict=True):
+        want = chains(t)
+        assert len(s) == len(want), t
+        for other, s2 in names.items():
+            assert len(set(s) & set(s2)) == len(want & chains(other))
+        names[t] = s
 
 
 def test_word_hashes_are_those_of_each_word():
