@@ -6,7 +6,7 @@ The rendering is encoded once with offsets; the sorted spans of the turns to lea
 by binary search. A token that reaches over a span's end is masked in with the part that lies inside.
 
 Nulls: null texts and roles are empty, null turns come first; rows of one turn are ordered by role and text. A null conv_id is a conversation of its own. Empty texts
-are turns with an empty span. Repeated rows are turns of their own. An empty table gives an empty result. Columns besides conv_id, turn, role, text are not read.
+are turns with an empty span. Repeated rows are turns of their own. Very long texts are encoded whole. An empty table gives an empty result. Columns besides conv_id, turn, role, text are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
-"""Connected components of a table of links."""
+"""Connected components of a table of links.
+
+Nulls: a link with a null end joins nothing and is left out. Repeated links and links of an id to itself change nothing; no links give no rows.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Smallest labels spread along the links and along labels of labels, so the number of rounds grows with the logarithm of a
     component's width. Each round's labels are written, the driver sees one count.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    links = links.select("a", "b").where("a is not null and b is not null")
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("low")).withColumnRenamed("a", "id")

@@ -8,7 +8,7 @@ segmentation only in the stretches where that costs least.
 
 Text is normalised as the model says: blanks become the blank sign, one is put in front, nothing is removed. Characters without a piece are written as bytes.
 
-Nulls: a null text counts as empty and has one segmentation, without pieces. A null id is kept. Repeated rows give equal results. Equal scores are ordered by the search, alike in
+Nulls: a null text counts as empty and has one segmentation, without pieces. A null id is kept. Repeated rows give equal results. Very long texts are segmented whole. Equal scores are ordered by the search, alike in
 every run. An empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
