@@ -57,12 +57,28 @@ def test_hard_rows_and_no_rows(spark, hard, nothing):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
     ops = {
         "pii": pii.find, "nbest": nbest.digests, "shard": sharding.shard, "quality": lambda d: quality.judge(d, labels), "pack": packing.pack, "lm": lmscore.score, "spots": spotsigs.compare_edits,
-        "redact": pii.redact, "keep": lambda d: quality.keep_good(d, labels),
+        "classes": spotsigs.near_classes, "redact": pii.redact, "keep": lambda d: quality.keep_good(d, labels),
     }
+    out = {}
     for name, op in ops.items():
         assert op(nothing).count() == 0, name
-        n = op(hard).count()
-        assert n >= len(HARD) if name not in ("keep",) else n <= len(HARD), name
+        out[name] = op(hard).collect()
+        assert len(out[name]) >= len(HARD) or name == "keep", name
+    key = lambda i: -1 if i is None else i
+    for name in ("pii", "nbest", "shard", "quality", "lm", "spots", "classes", "redact"):
+        assert sorted(key(r.doc_id) for r in out[name]) == sorted(key(i) for i, _ in HARD), name
+    assert all((r.n_email, r.n_ip, r.n_card, r.n_phone) == (0, 0, 0, 0) and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in out["pii"])
+    assert all(r.decoded_same and len(r.scores) >= 1 for r in out["nbest"]) and {r.n_pieces for r in out["nbest"] if r.doc_id in (1, 2)} == {0}
+    assert Counter(r.size for r in out["shard"]) == Counter(len((t or "").encode()) + 8 for _, t in HARD)
+    by = defaultdict(list)
+    for r in out["shard"]:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert Counter(r.n_chars for r in out["spots"]) == Counter(len(t or "") for _, t in HARD) and all(0 <= x <= 1 for r in out["spots"] for x in (r.near_edited, r.near_next))
+    assert {key(r.doc_id): r.class_id for r in out["classes"] if r.doc_id in (2, 5, 9)} == {2: 1, 5: 4, 9: 9}
+    same = lambda rows: Counter(map(str, (r.text for r in rows if r.doc_id != 10)))
+    assert same(out["redact"]) == same(hard.collect()) and out["keep"] == []
+    assert not any(r.kept for r in out["quality"])
 
 
 # 1
