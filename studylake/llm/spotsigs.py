@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let, text_of
+from .common import BLANKS, cut, let, longs, text_of
 from .components import components
 
 #: Common words of the four languages.
@@ -77,6 +77,23 @@ def _following(blocks: DataFrame) -> DataFrame:
     return many.withColumn("follow", F.lead("block").over(Window.partitionBy("span").orderBy("block"))).join(spans, "span").select("block", F.coalesce("follow", "then").alias("follow"))
 
 
+def _blocked(rows: DataFrame, block: int, most: int = 512) -> Column:
+    """The number of a row's block: about `block` rows of neighbouring ids, ascending for ids of any spread. Quantiles of the ids give `most` ranges at most, each is divided evenly by id; null ids come first."""
+    n, cuts = rows.agg(F.count("*"), F.percentile_approx("doc_id", [i / most for i in range(most + 1)], 20 * most)).first()
+    ranges = min(most, max(1, n // block))
+    points = sorted({cuts[i * most // ranges] for i in range(ranges + 1)}) if cuts else [0]
+    inside, i, starts = max(1, n // (ranges * block)), F.col("doc_id"), longs(points)
+    steps = longs(1 << b for b in reversed(range(len(points).bit_length())))
+    found = F.aggregate(steps, F.lit(0).cast("long"), lambda at, width: F.when(F.get(starts, (at + width).cast("int")) <= i, at + width).otherwise(at))
+
+    def number(k: Column) -> Column:
+        low, high = (F.get(longs(x), k.cast("int")).cast("double") for x in (points, [*points[1:], points[-1]]))
+        part = F.floor((i.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * inside)
+        return k * inside + F.least(F.lit(inside - 1), F.greatest(F.lit(0), part))
+
+    return F.when(i.isNull(), F.lit(-1)).otherwise(let(found, number)).cast("long")
+
+
 def _compared(pairs: DataFrame, near_next: Column) -> list[Column]:
     return [
         F.col("doc_id"), F.length("text").cast("long").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("e.sigs")).alias("edited_fingerprint"),
@@ -87,10 +104,11 @@ def _compared(pairs: DataFrame, near_next: Column) -> list[Column]:
 def compare_edits(docs: DataFrame, block: int = 256) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures: each text against itself edited and against the text of the next id (after the last: the first).
 
-    Ids are dealt in blocks of consecutive ids, so that texts are shuffled once and no task needs them all; the last row of a
+    Ids are dealt in blocks of neighbouring ids, so that texts are shuffled once and no task needs them all; the last row of a
     block meets the first of the next block with rows afterwards. Rows of one id are ordered by their text.
     """
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), F.coalesce(F.floor(docs["doc_id"] / block), F.lit(-(2**62))).alias("block"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    own = own.withColumn("block", _blocked(own, block))
     order = Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), "text")
     edit = lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signatures(e).alias("sigs"))
     lined = own.withColumns({"next": F.lead("text").over(order), "nth": F.row_number().over(order)})

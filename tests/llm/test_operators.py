@@ -512,7 +512,8 @@ def test_components(spark):
 
 # 10
 def test_spots(spark, texts, hard):
-    for d in (texts, hard.where("doc_id <> 9 and doc_id is not null")):
+    sparse = texts.withColumn("doc_id", F.xxhash64("doc_id"))
+    for d in (texts, sparse, hard.where("doc_id <> 9 and doc_id is not null")):
         rows = sorted(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
         got = {r.doc_id: r for r in spotsigs.compare_edits(d, block=4).collect()}
         sets = {}
