@@ -143,20 +143,15 @@ query(
 )
 # integrity
 named = lambda v: v("documents").select("doc_id", F.expr("case when doc_id % 9 = 0 then sha2('x', 256) else sha2(text, 256) end").alias("blob_hash"), F.col("text").cast("binary").alias("content"))
-query(
-    "int_verify", lambda v: I.verify(named(v).where("doc_id % 7 <> 0 and doc_id % 9 <> 0 and doc_id % 5 <> 0").select("blob_hash", "content").dropDuplicates(["blob_hash"]), named(v)).groupBy("verdict").count().withColumnRenamed("count", "n"),
-    ", n as (select case when doc_id % 9 = 0 then sha256('x') else sha256(text) end as h, doc_id, text from documents) select case when h in (select h from n where doc_id % 7 <> 0 and doc_id % 9 <> 0 and doc_id % 5 <> 0) then 'ok' else 'gone' end as verdict, count(distinct h) as n from n group by 1".lstrip(", ").replace("n as (", "with n as (", 1),
-)
 # every document's blob, each stored once under its expected name: some names are of other content, some blobs have no content, some are asked for under a name that is not stored
 blobs = lambda v: named(v).select("blob_hash", F.expr("case when doc_id % 7 = 0 then null else content end").alias("content"), "doc_id").withColumn("blob_hash", F.expr("case when doc_id % 9 = 0 then sha2(concat('wrong', doc_id), 256) else blob_hash end"))
 once = lambda b: b.groupBy("blob_hash").agg(F.min_by("content", F.struct(F.col("content").isNull(), "doc_id")).alias("content"))
 asked = lambda v: blobs(v).select(F.expr("case when doc_id % 5 = 0 then sha2(concat('lost', doc_id), 256) else blob_hash end").alias("blob_hash")).unionByName(blobs(v).select("blob_hash"))
-query(
-    "int_verify_each", lambda v: I.verify(once(blobs(v)), asked(v)),
-    """with n as (select doc_id, case when doc_id % 9 = 0 then sha256('wrong' || doc_id) else sha256(text) end as h, case when doc_id % 7 = 0 then null else text end as content from documents),
+VERIFIED = """with n as (select doc_id, case when doc_id % 9 = 0 then sha256('wrong' || doc_id) else sha256(text) end as h, case when doc_id % 7 = 0 then null else text end as content from documents),
       b as (select h as blob_hash, content from n qualify row_number() over (partition by h order by content is null, doc_id) = 1), a as (select h as blob_hash from n union select sha256('lost' || doc_id) from n where doc_id % 5 = 0)
-      select a.blob_hash, case when b.blob_hash is null then 'gone' when content is null then 'unreadable' when sha256(content) = a.blob_hash then 'ok' else 'mismatch' end as verdict from a left join b using (blob_hash)""",
-)
+      select a.blob_hash, case when b.blob_hash is null then 'gone' when content is null then 'unreadable' when sha256(content) = a.blob_hash then 'ok' else 'mismatch' end as verdict from a left join b using (blob_hash)"""
+query("int_verify_each", lambda v: I.verify(once(blobs(v)), asked(v)), VERIFIED)
+query("int_verify", lambda v: I.verify(once(blobs(v)), asked(v)).groupBy("verdict").agg(F.count("*").alias("n")), f"select verdict, count(*) as n from ({VERIFIED}) group by verdict")
 query(
     "int_reconcile", lambda v: I.reconcile(v("v_series"), v("v_series").where("seq <= 2"), ["modality", "study_uid"])[1],
     "select (select count(*) from (select distinct modality, study_uid from v_series)) as scanned, (select count(*) from (select modality, study_uid from v_series except select modality, study_uid from v_series where seq <= 2)) as added",
