@@ -84,11 +84,11 @@ def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size:
         for batch, table in _batches(batches, number(), batch_size):
             found, counts = np.unique(keys(prepare(table["text"].to_pylist())), return_counts=True)
             part = (((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            ends = np.searchsorted(part, np.arange(parts + 1)).tolist()
-            asked = [p for p in range(parts) if ends[p] < ends[p + 1]]
+            starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            asked = [(int(part[a]), a, b) for a, b in zip(starts, [*starts[1:], len(part)][: len(starts)], strict=True)]
             for some in (asked[k : k + 64] for k in range(0, len(asked), 64)):
-                blobs = ([make(c[ends[p] : ends[p + 1]]) for p in some] for c, make in ((found, _packed_keys), (counts, packed)))
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some), pa.int64()), pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["batch", "part", "keys", "counts"])
+                blobs = ([make(c[a:b]) for _, a, b in some] for c, make in ((found, _packed_keys), (counts, packed)))
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some), pa.int64()), pa.array([p for p, _, _ in some], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["batch", "part", "keys", "counts"])
 
     def count(table):
         """One part: its count table, joined to the batches that asked."""
