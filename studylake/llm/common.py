@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -92,23 +93,35 @@ def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, h ^ (h >> np.uint64(29))
 
 
+def _pieces(text: str, most: int = 1_000_000) -> list[str]:
+    """A very long text cut at ASCII blanks into pieces of so many characters, or of one word."""
+    out, at = [], 0
+    while len(text) - at > most:
+        blank = re.compile(BLANKS).search(text, at + most)
+        end = blank.start() if blank else len(text)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, one text after the other, and where each text begins and the last ends."""
-    found, counts, group, size = [np.zeros(0, np.uint64)], [0], [], 0
+    found, counts, group, size = [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, np.int64), [], 0
 
     def out():
-        data = [t.encode("utf-8", "surrogatepass") for t in group]
+        data = [t.encode("utf-8", "surrogatepass") for _, t in group]
         starts, h = _hashes(b" ".join(data))
         found.append(h)
-        counts.extend(np.diff(np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)]))).tolist())
+        np.add.at(counts, [k + 1 for k, _ in group], np.diff(np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)]))))
         group.clear()
 
-    for text in texts:
-        if group and size + len(text) > 500_000:
-            out()
-            size = 0
-        group.append(text)
-        size += len(text) + 1
+    for k, text in enumerate(texts):
+        for piece in _pieces(text):
+            if group and size + len(piece) > 500_000:
+                out()
+                size = 0
+            group.append((k, piece))
+            size += len(piece) + 1
     if group:
         out()
     return np.concatenate(found), np.cumsum(counts)

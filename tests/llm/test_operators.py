@@ -581,7 +581,7 @@ def test_spot_signatures_by_hand(spark):
 def test_word_hashes_are_those_of_each_word():
     from studylake.llm.common import word_hashes
 
-    texts = ["", " a bc\ta\n", "é bc", "x" * 70_000 + " y", " ", *(t for _, t in corpus(40)), "a" * 600_000, "z bc"]
+    texts = ["", " a bc\ta\n", "é bc", "x" * 70_000 + " y", " ", *(t for _, t in corpus(40)), "a" * 600_000, "z bc", "long text " * 250_000 + "b" * 1_200_000 + " end", "c" * 1_100_000]
     h, ends = word_hashes(texts)
     words = [t.encode().split() for t in texts]
     assert np.diff(ends).tolist() == [len(w) for w in words]
