@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, idstore, lmscore, minhash, nbest, packing, pii, quality, sharding, spotsigs
+from . import align, chat, idstore, lmscore, minhash, nbest, packing, pii, quality, sharding, spotsigs
 from .common import cut, shared_dir, table
 
 
@@ -58,13 +58,17 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 def spots_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search part of SpotSigs: every document's class of near signature sets."""
     return spotsigs.near_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, spots_near_classes)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, op11_interval_coalescing, spots_near_classes)}
 
 
 def _quality_sql() -> str:
