@@ -31,8 +31,8 @@ from .tokens import LETTERS, MARKS, STRETCH, WS, _bytes_as_letters, _Memo, path_
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a batch's texts, and of what is aligned at a time (a longer text is a batch of its own). They change no result.
-BATCH, CHUNK = 10_000_000, 1_000_000
-MEMO = 800_000
+BATCH, CHUNK = 6_000_000, 1_000_000
+MEMO = 250_000
 
 
 class Tokenizers(dict):
