@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, idstore, lmscore, minhash, nbest, packing, pii, quality, sharding, spotsigs
+from . import align, chat, idstore, lmscore, minhash, nbest, packing, pii, quality, ranking, sharding, spotsigs
 from .common import cut, shared_dir, table
 
 
@@ -62,13 +62,17 @@ def op11_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
 
+def op13_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def spots_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search part of SpotSigs: every document's class of near signature sets."""
     return spotsigs.near_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, op11_interval_coalescing, spots_near_classes)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, op11_interval_coalescing, op13_range_maximum_search, spots_near_classes)}
 
 
 def _quality_sql() -> str:
@@ -96,5 +100,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: op13 in SQL: every document's score for every item.
+_RANKING_SQL = """
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents where text is not null),
+c as (select row, doc_id, len(terms)::bigint as n, terms from d where len(terms) > 0),
+s as (select count(*) as docs, sum(n)::bigint as total from c),
+t as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, n, unnest(terms) as term from c) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from t group by term), s),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+r as (select item_id, row, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::bigint as score from q join t using (term) join w using (term), s group by item_id, row)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from r where score > 0 qualify rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_risk_controlled_quality": _quality_sql()}
+    return {"op4_risk_controlled_quality": _quality_sql(), "op13_range_maximum_search": _RANKING_SQL}
