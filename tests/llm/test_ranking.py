@@ -49,7 +49,7 @@ def items_of(spark, rows):
 @pytest.mark.parametrize("k, item_bytes, postings", [(50, 8_000_000, 1_000_000), (3, 8_000_000, 50), (7, 40, 200)])
 def test_rank_is_every_score(spark, k, item_bytes, postings):
     docs = [*corpus(), *HARD, (7, "one"), (7, "one"), (None, "one")]
-    items = [*ITEMS, (9, " ".join(t for _, t in corpus(3, seed=5)))]
+    items = [*ITEMS, (9, " ".join(t for _, t in corpus(6, seed=5)))]
     found = ranking.rank(docs_of(spark, docs), items_of(spark, items), k, item_bytes, postings)
     assert sorted((tuple(r) for r in found.collect()), key=str) == plain(docs, items, k)
 
