@@ -77,7 +77,7 @@ class Postings:
         """term, document: sorted by both, each pair once."""
         self.documents, self.document, self.impact = documents, document, impact
         self.names, starts = np.unique(term, return_index=True)
-        self.spans = {t: (a, b) for t, a, b in zip(self.names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(term)], strict=True)}
+        self.spans = {t: (a, b) for t, a, b in zip(self.names.tolist(), starts.tolist(), np.append(starts, len(term))[1:].tolist(), strict=True)}
         longest = max((b - a for a, b in self.spans.values()), default=1)
         self.logs = np.zeros(longest + 2, np.int64)
         for j in range(1, longest.bit_length()):
