@@ -46,7 +46,7 @@ def items_of(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string").withColumns({c: F.lit(None).cast("string") for c in ("term", "block", "doc_id", "score", "rank")})
 
 
-@pytest.mark.parametrize("k, item_bytes, postings", [(50, 8_000_000, 1_000_000), (3, 8_000_000, 50), (7, 40, 200)])
+@pytest.mark.parametrize("k, item_bytes, postings", [(50, 8_000_000, 1_000_000), (3, 8_000_000, 50), (7, 900, 200)])
 def test_rank_is_every_score(spark, k, item_bytes, postings):
     docs = [*corpus(), *HARD, (7, "one"), (7, "one"), (None, "one")]
     items = [*ITEMS, (9, " ".join(t for _, t in corpus(6, seed=5)))]
