@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, idstore, lmscore, minhash, nbest, packing, pii, quality, ranking, sharding, spotsigs
+from . import align, chat, extract, idstore, lmscore, minhash, nbest, packing, pii, quality, ranking, sharding, spotsigs
 from .common import cut, shared_dir, table
 
 
@@ -62,6 +62,10 @@ def op11_interval_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
 
+def op12_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,7 +76,7 @@ def spots_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, op11_interval_coalescing, op13_range_maximum_search, spots_near_classes)}
+    return {f.__name__: f for f in (op1_pii_semi_markov, op2_nbest_pieces, op3_shard_by_splitters, op4_risk_controlled_quality, op5_pack_by_nnls, op6_content_addressed_ids, op7_stupid_backoff, op8_chat_masks, op9_weighted_minhash, op10_spotsigs, op11_interval_coalescing, op12_site_templates, op13_range_maximum_search, spots_near_classes)}
 
 
 def _quality_sql() -> str:
