@@ -49,18 +49,23 @@ def failure_streak(attempts: DataFrame, peer: str, order: list[Column], least: i
 
 
 def slice_spacing(slices: DataFrame, key: str, declared: str | None = None) -> DataFrame:
-    """Per series the middle one (upper median) of the signed steps along the normal; refused where it is zero; with fewer than two positions the declared spacing, if positive.
+    """Per series the middle one (upper median) of the signed steps along the normal, in list order: its sign says whether the stack runs along the normal or against it.
 
+    Slices without a position are passed over. With fewer than two positions the declared spacing counts, if positive. refused says why there is no spacing: 'positions coincide' (the
+    middle step is zero; a declared value does not replace it) or 'unknown'.
     slices: key, number, position array<double>(3), orientation array<double>(6).
     """
     o = lambda i: F.get("orientation", F.lit(i))
     p = lambda i: F.get("position", F.lit(i))
     normal = [o(1) * o(5) - o(2) * o(4), o(2) * o(3) - o(0) * o(5), o(0) * o(4) - o(1) * o(3)]
     along = slices.withColumn("_d", p(0) * normal[0] + p(1) * normal[1] + p(2) * normal[2])
-    steps = along.withColumn("_step", F.col("_d") - F.lag("_d").over(Window.partitionBy(key).orderBy("number")))
+    before = Window.partitionBy(key).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    steps = along.withColumn("_step", F.col("_d") - F.last("_d", ignorenulls=True).over(before))
     s = F.array_sort(F.collect_list("_step"))
     out = steps.groupBy(key).agg(F.get(s, F.floor(F.size(s) / 2).cast("int")).alias("_mid"), F.size(s).alias("_n"), (F.max(declared) if declared else F.lit(None).cast("double")).alias("_declared"))
-    return out.select(key, F.when(F.col("_n") > 0, F.nullif(F.abs("_mid"), F.lit(0.0))).when(F.col("_declared") > 0, F.col("_declared")).alias("spacing"))
+    spacing = F.when(F.col("_n") > 0, F.nullif("_mid", F.lit(0.0))).when(F.col("_declared") > 0, F.col("_declared"))
+    refused = F.when((F.col("_n") > 0) & (F.col("_mid") == 0), "positions coincide").when((F.col("_n") == 0) & ~F.coalesce(F.col("_declared") > 0, F.lit(False)), "unknown")
+    return out.select(key, spacing.alias("spacing"), refused.alias("refused"))
 
 
 #: Legal changes of a task's state.

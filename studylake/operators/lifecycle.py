@@ -31,16 +31,24 @@ def replace_ingest(stored: DataFrame, incoming: DataFrame, key: str, order: list
 
 
 def reject(instances: DataFrame, notes: DataFrame, ai_classes: list[str], enabled: list[int]) -> DataFrame:
-    """Instances with their reason after rejection notes (sop_uid, code; one code an instance, the smallest counts), and changed.
+    """Instances with their reason after rejection notes (sop_uid, code), and changed: whether any note changed it.
 
-    A rejected instance keeps its reason unless the new one is strict; quality holds for AI result classes only; other codes only where enabled.
+    Each note is judged alone: quality holds for AI result classes only, other codes only where enabled. What is left of an instance's notes is applied by ascending code: a visible
+    instance is hidden by the first; a hidden one takes a strict code in place of its own, and no other.
     """
-    asked = notes.groupBy("sop_uid").agg(F.min("code").alias("_code"))
-    code, old = F.col("_code"), F.coalesce("reason", F.lit(0))
-    allowed = F.when(code == QUALITY, F.col("sop_class").isin(*ai_classes)).otherwise(code.isin(*enabled))
-    change = code.isNotNull() & allowed & (code != old) & ((old == 0) | code.isin(*STRICT))
-    out = instances.join(asked, "sop_uid", "left").withColumn("changed", F.coalesce(change, F.lit(False)))
-    return out.withColumn("reason", F.when(F.col("changed"), code).otherwise(F.col("reason"))).drop("_code")
+    codes = F.array_sort(F.collect_set("code"))  # as many as there are codes, at most
+    asked = notes.where("code is not null").groupBy("sop_uid").agg(codes.alias("_codes"))
+    quality = F.col("sop_class").isin(*ai_classes)
+    left = F.filter(F.coalesce("_codes", F.array().cast("array<int>")), lambda c: F.when(c == QUALITY, F.coalesce(quality, F.lit(False))).otherwise(c.isin(*enabled)))
+
+    def apply(state, code):
+        takes = ((state["reason"] == 0) | code.isin(*STRICT)) & (state["reason"] != code)
+        return F.struct(F.when(takes, code).otherwise(state["reason"]).cast("long").alias("reason"), (state["changed"] | takes).alias("changed"))
+
+    start = F.struct(F.coalesce("reason", F.lit(0)).cast("long").alias("reason"), F.lit(False).alias("changed"))
+    out = instances.join(asked, "sop_uid", "left").withColumn("_end", F.aggregate(left, start, apply))
+    kind = instances.schema["reason"].dataType
+    return out.withColumns({"changed": F.col("_end.changed"), "reason": F.when(F.col("_end.changed"), F.col("_end.reason").cast(kind)).otherwise(F.col("reason"))}).drop("_codes", "_end")
 
 
 def restore(instances: DataFrame, named: DataFrame) -> DataFrame:
@@ -137,11 +145,23 @@ def expire_workitems(rows: DataFrame, now: str, days: int, locked_at: str | None
     return rows.where(_off(days) if days <= 0 else gone & ~live if locked_at else gone)
 
 
+def scheduled_start(date: Column, time: Column) -> Column:
+    """Epoch seconds of a scheduled start: date of eight digits, time of six, four, two or no digits (a fraction is dropped, no time is midnight); null where either can't be read."""
+    d, t = F.trim(date.cast("string")), F.split_part(F.trim(F.coalesce(time, F.lit(""))), F.lit("."), F.lit(1))
+    part = lambda c, at, n: F.try_to_number(F.substring(c, at, n), F.lit("9" * n)).cast("int")
+    month, day = part(d, 5, 2), part(d, 7, 2)
+    readable = d.rlike("^[0-9]{8}$") & month.between(1, 12) & day.between(1, 31) & t.rlike("^([0-9]{2}){0,3}$")
+    hour, minute, second = (F.coalesce(part(t, at, 2), F.lit(0)) for at in (1, 3, 5))
+    readable &= (hour < 24) & (minute < 60) & (second <= 60)
+    first = F.unix_date(F.make_date(part(d, 1, 4), month, F.lit(1)))
+    return F.when(readable, (first + day - 1).cast("long") * 86_400 + hour * 3600 + minute * 60 + second)
+
+
 def expire_worklist(rows: DataFrame, now: str, days: int) -> DataFrame:
-    """Age counts from the later of the last change and the scheduled start; unreadable stamps keep a row."""
-    start = F.try_to_timestamp(F.concat(F.col("start_date").cast("string"), F.rpad("start_time", 4, "0")), F.lit("yyyyMMddHHmm"))
-    stamp = F.coalesce("updated_at", "created_at")
-    gone = start.isNotNull() & stamp.isNotNull() & (F.greatest(stamp, start) < F.expr(f"timestamp'{now}' - interval {max(days, 0)} days"))
+    """Age counts from the later of the last change and the scheduled start; a row whose start can't be read ages by its stamp alone, only one whose stamp can't be read stays."""
+    stamp = F.unix_seconds(F.try_to_timestamp(F.coalesce("updated_at", "created_at").cast("string")))
+    start = F.coalesce(scheduled_start(F.col("start_date"), F.col("start_time")), stamp)
+    gone = stamp.isNotNull() & (F.greatest(stamp, start) < F.unix_seconds(F.expr(f"timestamp'{now}' - interval {max(days, 0)} days")))
     return rows.where(_off(days) if days <= 0 else gone)
 
 

@@ -60,12 +60,27 @@ query(
     "chg_replace_archive_series", lambda v: _whole(L.replace_archive)(v)["series"],
     ARCHIVE.split("{0}")[0].rstrip(", \n") + " select coalesce(os.series_uid, ns.series_uid) as series_uid, coalesce(os.study_uid, ns.study_uid) as study_uid, coalesce(os.modality, ns.modality) as modality, coalesce(os.body_part, ns.body_part) as body_part, coalesce(os.seq, ns.seq) as seq from os full join ns using (series_uid)",
 )
-NOTE = "case seq % 3 when 0 then 113001 when 1 then 113037 else 113039 end"
+#: Up to three notes an instance: of the weaker codes, of one that is not enabled, and strict ones.
+NOTES = """select sop_uid, case seq % 3 when 0 then 113001 when 1 then 113037 else 113039 end as code from v_instances where seq <= 3
+  union all select sop_uid, case file_size % 3000 when 0 then 113038 when 1000 then 113001 else 113037 end from v_instances where file_size % 4000 <> 0 union all select sop_uid, 113039 from v_instances where frames = 2"""
+ENABLED = [113037, 113038]
+
+
+def _notes(v):
+    rows = v("v_instances")
+    weak = rows.where("seq <= 3").select("sop_uid", F.expr("case seq % 3 when 0 then 113001 when 1 then 113037 else 113039 end").alias("code"))
+    more = rows.where("file_size % 4000 <> 0").select("sop_uid", F.expr("case file_size % 3000 when 0 then 113038 when 1000 then 113001 else 113037 end").alias("code"))
+    return weak.unionByName(more).unionByName(rows.where("frames = 2").select("sop_uid", F.lit(113039).alias("code")))
+
+
+# What holds after all notes: the highest strict code, else the lowest one on a visible instance, else what was there.
 query(
     "chg_reject",
-    lambda v: L.reject(v("v_instances").select("sop_uid", "sop_class", "reason"), v("v_instances").where("seq <= 3").select("sop_uid", F.expr(NOTE).alias("code")), [SR], [113037]).select("sop_uid", "reason", "changed"),
-    f"""select sop_uid, case when ok then c else reason end as reason, ok as changed from (select *, coalesce(c is not null and case when c = 113001 then sop_class = '{SR}' else c = 113037 end and c <> reason and (reason = 0 or c in (113037, 113038)), false) as ok
-      from (select *, case when seq <= 3 then {NOTE} end as c from v_instances))""",
+    lambda v: L.reject(v("v_instances").select("sop_uid", "sop_class", "reason"), _notes(v), [SR], ENABLED).select("sop_uid", "reason", "changed"),
+    f""", n as ({NOTES}),
+      g as (select sop_uid, min(code) as low, max(code) filter (code in (113037, 113038)) as strict, count(distinct code) filter (code in (113037, 113038)) as kinds from n join v_instances using (sop_uid)
+        where case when code = 113001 then sop_class = '{SR}' else code in (113037, 113038) end group by sop_uid)
+      select sop_uid, coalesce(strict, case when reason = 0 then low end, reason) as reason, low is not null and (reason = 0 or kinds > 1 or (kinds = 1 and strict <> reason)) as changed from v_instances left join g using (sop_uid)""",
 )
 query("chg_restore", lambda v: L.restore(v("v_instances").select("sop_uid", "reason"), v("v_instances").where("seq = 1")), ", n as (select sop_uid from v_instances where seq = 1) select sop_uid, case when sop_uid in (from n) then 0 else reason end as reason, sop_uid in (from n) and reason <> 0 as changed from v_instances")
 query("chg_refuse_hidden", lambda v: L.refuse_hidden(v("v_arrivals"), v("v_instances")).select("sop_uid", "a1", "a2", "a3"), "select sop_uid, a1, a2, a3 from v_arrivals where sop_uid in (select sop_uid from v_instances where reason in (113037, 113038))")
@@ -110,10 +125,20 @@ query(
 )
 query("chg_expire_workitems", lambda v: L.expire_workitems(v("v_workitems"), "2000-01-01 00:00:00", 365, locked_at="1999-12-30 00:00:00").select("workitem_uid"), "select workitem_uid from v_workitems where state in ('COMPLETED', 'CANCELED') and updated_at < timestamp '2000-01-01' - interval 365 days")
 query("chg_expire_off", lambda v: L.expire_workitems(v("v_workitems"), "2000-01-01 00:00:00", 0).select("workitem_uid"), "select workitem_uid from v_workitems where false")
-query(
-    "chg_expire_worklist", lambda v: L.expire_worklist(v("v_worklist").withColumn("start_date", F.expr("case when start_date % 10 = 1 then null else start_date + 20000 end")), "2000-01-01 00:00:00", 30).select("sps_uid"),
-    "select sps_uid from v_worklist where start_date % 10 <> 1 and try_strptime(cast(start_date + 20000 as varchar) || start_time, '%Y%m%d%H%M') < timestamp '2000-01-01' - interval 30 days",
-)
+#: Starts two years later, some without a date, with an impossible one, without time, with an hour only, with a fraction, with a time that can't be read; stamps from change or creation, some without either.
+START = {
+    "start_date": "case when start_date % 10 = 1 then null when start_date % 10 = 2 then '19991340' else cast(start_date + 20000 as string) end",
+    "start_time": "case start_date % 7 when 0 then null when 1 then '23' when 2 then '235959.5' when 3 then 'noon' when 4 then '2359' else start_time end",
+    "updated_at": "case when start_date % 3 = 0 then null else updated_at end", "created_at": "case when start_date % 9 = 0 then null else created_at end",
+}
+query(
+    "chg_expire_worklist",
+    lambda v: L.expire_worklist(v("v_worklist").select("sps_uid", *(F.expr(e).alias(c) for c, e in START.items())), "1999-12-31 23:59:59", 30).select("sps_uid"),
+    f""", r as (select sps_uid, {", ".join(f"{e} as {c}" for c, e in START.items())} from v_worklist),
+      t as (select sps_uid, coalesce(updated_at, created_at) as stamp, try_strptime(start_date || case when start_time is null then '000000' when start_time = '23' then '230000' when start_time like '235959%' then '235959'
+        when start_time = 'noon' then null else start_time || '00' end, '%Y%m%d%H%M%S') as start from r)
+      select sps_uid from t where stamp is not null and greatest(stamp, coalesce(start, stamp)) < timestamp '1999-12-01 23:59:59'""",
+)
 steps = lambda v: v("v_workitems").select(F.col("workitem_uid").alias("mpps_uid"), F.expr("case state when 'COMPLETED' then 'COMPLETED' when 'SCHEDULED' then 'DISCONTINUED' else 'IN PROGRESS' end").alias("status"), F.expr("cast(revision as int)").alias("series_count"), F.col("priority").alias("description"), "updated_at")
 STEPS = "(select workitem_uid as mpps_uid, case state when 'COMPLETED' then 'COMPLETED' when 'SCHEDULED' then 'DISCONTINUED' else 'IN PROGRESS' end as status, revision as series_count, priority as description, updated_at from v_workitems)"
 query("chg_expire_steps", lambda v: L.expire_steps(steps(v), "2000-01-01 00:00:00", 10).select("mpps_uid"), f"select mpps_uid from {STEPS} where status <> 'IN PROGRESS' and updated_at < timestamp '1999-12-22'")

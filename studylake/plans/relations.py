@@ -165,14 +165,28 @@ query(
 )
 
 
+#: Stacks along the normal and against it, some whose slices share one place, some slices without a position, some series without a declared spacing.
+Z = """case when seq % 7 = 0 then null when substring(series_uid, length(series_uid), 1) = 'N' and length(series_uid) % 2 = 0 then 4
+  else (case when length(study_uid) % 2 = 0 then -1 else 1 end) * (frames * 2 + seq * 3) end"""
+DECLARED = "case when file_size % 2000 = 0 then 2.5 when file_size % 3000 = 0 then -1.0 end"
+
+
 def _slices(v):
-    return v("v_instances").select("series_uid", F.concat_ws("|", "study_uid", F.lpad(F.col("seq").cast("string"), 6, "0")).alias("number"), F.expr("array(0d, 0d, cast(frames * 10 + seq * 3 as double))").alias("position"), F.expr("array(1d, 0d, 0d, 0d, 1d, 0d)").alias("orientation"), F.lit(2.5).alias("declared"))
+    number = F.concat_ws("|", "study_uid", F.lpad(F.col("seq").cast("string"), 6, "0")).alias("number")
+    position = F.expr(f"array(0d, 0d, cast({Z} as double))").alias("position")
+    return v("v_instances").select("series_uid", number, position, F.expr("array(1d, 0d, 0d, 0d, 1d, 0d)").alias("orientation"), F.expr(f"cast({DECLARED} as double)").alias("declared"))
 
 
 query(
-    "win_slice_spacing", lambda v: W.slice_spacing(_slices(v), "series_uid", "declared"),
-    "select series_uid, case when count(s) > 0 then nullif(abs(list_sort(list(s) filter (s is not null))[count(s) // 2 + 1]), 0) else 2.5 end as spacing from (select series_uid, (frames * 10 + seq * 3) - lag(frames * 10 + seq * 3) over (partition by series_uid order by study_uid || '|' || lpad(cast(seq as varchar), 6, '0')) as s from v_instances) group by series_uid",
-)
+    "win_slice_spacing",
+    lambda v: W.slice_spacing(_slices(v), "series_uid", "declared"),
+    f""", z as (select series_uid, study_uid, seq, {Z} as z, {DECLARED} as d from v_instances),
+      p as (select series_uid, z - lag(z) over (partition by series_uid order by study_uid || '|' || lpad(cast(seq as varchar), 6, '0')) as step from z where z is not null),
+      m as (select series_uid, count(step) as n, list_sort(list(step) filter (step is not null))[count(step) // 2 + 1] as mid from p group by series_uid),
+      s as (select series_uid, max(d) as d from z group by series_uid)
+      select series_uid, case when n > 0 then case when mid <> 0 then mid end when d > 0 then d end as spacing,
+        case when n > 0 and mid = 0 then 'positions coincide' when coalesce(n, 0) = 0 and not coalesce(d > 0, false) then 'unknown' end as refused from s left join m using (series_uid)""",
+)
 query(
     "win_transitions", lambda v: W.transitions(v("v_workitems").select(F.col("patient_id"), "state", "created_at", "workitem_uid"), "patient_id", [F.col("created_at"), F.col("workitem_uid")]).select("workitem_uid", "previous", "legal"),
     "select workitem_uid, p as previous, case when p is not null then (p, state) in (('SCHEDULED', 'IN PROGRESS'), ('IN PROGRESS', 'COMPLETED'), ('IN PROGRESS', 'CANCELED'), ('COMPLETED', 'COMPLETED'), ('CANCELED', 'CANCELED')) end as legal from (select *, lag(state) over (partition by patient_id order by created_at, workitem_uid) as p from v_workitems)",

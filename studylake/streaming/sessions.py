@@ -2,29 +2,83 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 KEY = ["user_name", "src_ip", "study", "series"]
 
 
-def access_sessions(events: DataFrame, gap_seconds: int = 60, key: list[str] = KEY, order: str = "event_id") -> DataFrame:
-    """Batch: a session ends when idle for more than the gap, or as soon as it has as many retrieves as expected (the first known value).
+def _same(names: list[str], left: str, right: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
 
-    Columns: key, started, ended, fetched, failed (status >= 400), bytes, us, state ('loaded' or 'partial').
+
+def _next_starts(events: DataFrame, gap_seconds: int, key: list[str], order: str) -> DataFrame:
+    """Numbers each key's rows (_n) and says for each row, were it the first of a session: the first row after that session (_next), and whether it would be loaded (_full).
+
+    A session ends before a gap, or with the row by which as many rows are there as the first expected number known since its start.
     """
-    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = Window.partitionBy(*key).orderBy("ts", order)
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) > gap_seconds * 1_000_000
-    a = events.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = Window.partitionBy(*key, "_s").orderBy("ts", order)
-    whole = s.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    b = a.withColumns({"_n": F.row_number().over(s), "_e": F.first("expected", ignorenulls=True).over(whole)})
-    c = b.withColumn("_part", F.when(F.col("_e") > 0, F.floor((F.col("_n") - 1) / F.col("_e"))).otherwise(0))
-    state = F.when(F.col("_e") > 0, F.when(F.count("*") >= F.col("_e"), "loaded").otherwise("partial")).otherwise("partial")
-    out = c.groupBy(*key, "_s", "_part", "_e").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("fetched"), F.count_if(F.col("status") >= 400).alias("failed"), F.sum("bytes").alias("bytes"), F.sum("us").alias("us"), state.alias("state"))
-    return out.drop("_s", "_part", "_e")
+    a = events.withColumns({"_n": F.row_number().over(w).cast("long"), "_new": F.coalesce(gap, F.lit(True)).cast("int")})
+    a = a.withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy(*key, "_s").orderBy(F.desc("ts"), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # the nearest known number from here on
+    known = F.last(F.when(F.col("expected").isNotNull(), F.struct("_n", "expected")), ignorenulls=True).over(back)
+    b = a.withColumns({"_e": known, "_end": F.max("_n").over(back)})
+    full = F.greatest(F.col("_e._n"), F.col("_n") + F.col("_e.expected") - 1)
+    return b.withColumns({"_full": F.coalesce(full <= F.col("_end"), F.lit(False)), "_next": F.least(full, "_end") + 1})
+
+
+def access_sessions(events: DataFrame, gap_seconds: int = 60, key: list[str] = KEY, order: str = "event_id", piece: int = 1000) -> DataFrame:
+    """Batch: a session ends when idle for more than the gap, or as soon as it has as many retrieves as expected: the first number known since its start, however late.
+
+    Where a session starts depends on where the one before ended, so starts are followed from row to row: by an ordered fold within pieces of so many rows; between the pieces of a long key, links
+    from every row to the first start beyond its piece are followed in doubling steps (as many as the logarithm of its pieces). No key is gathered; windows only number its rows. The number of
+    pieces is counted when the plan is built, and links are written.
+
+    Columns: key, started, ended, fetched, failed (status >= 400), bytes, us, state ('loaded' or 'partial').
+    """
+    rows = _next_starts(events.withColumn("ts", F.col("ts").cast("timestamp")), gap_seconds, key, order)
+    fields = [F.col("_n"), F.col("_next"), F.col("_full"), F.col("ts"), F.coalesce(F.col("status") >= 400, F.lit(False)).alias("bad"), F.col("bytes"), F.col("us")]
+    pieces = rows.groupBy(*key, F.floor((F.col("_n") - 1) / piece).alias("_p")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
+    most = events.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if most <= piece:
+        entered = pieces.withColumns({"_entry": F.lit(1).cast("long"), "_carry": F.lit(None).cast("long")})
+    else:
+        entered = _entries(pieces, key, piece, most)
+    step = lambda acc, r: F.when(r["_n"] == acc["next"], F.struct(r["_next"].alias("next"), r["_n"].alias("start"), F.concat(acc["out"], F.array(r["_n"])).alias("out"))).otherwise(F.struct(acc["next"].alias("next"), acc["start"].alias("start"), F.concat(acc["out"], F.array(acc["start"])).alias("out")))
+    begin = F.struct(F.col("_entry").alias("next"), F.col("_carry").alias("start"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    starts = F.aggregate("_rows", begin, step)["out"]
+    r = entered.select(*key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), starts.alias("start"))).alias("x")).select(*key, "x.start", "x.r.*")
+    sums = [F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("fetched"), F.count_if("bad").alias("failed"), F.sum("bytes").alias("bytes"), F.sum("us").alias("us")]
+    full = F.bool_or(F.col("_full") & (F.col("_n") == F.col("start")))
+    return r.groupBy(*key, "start").agg(*sums, F.when(full, "loaded").otherwise("partial").alias("state")).drop("start")
+
+
+def _entries(pieces: DataFrame, key: list[str], piece: int, most: int) -> DataFrame:
+    """Each piece with the first row in it that starts a session (_entry, null for none), and the start of the session that reaches into it (_carry)."""
+    at = F.col("_p") * piece  # row _n of the piece is number _n - at of it
+    inside = F.transform("_rows", lambda r: F.when(r["_next"] - at <= F.size("_rows"), r["_next"] - at).otherwise(r["_n"] - at).cast("int"))
+    for _ in range(piece.bit_length()):  # the last start of the piece that each row leads to
+        inside = F.get(F.transform(F.array(inside), lambda a: F.transform(a, lambda i: F.get(a, i - 1))), F.lit(0))
+    last = pieces.select(*key, "_p", "_rows", F.posexplode(inside).alias("_i", "_l"))
+    links = cut(last.select(*key, (at + F.col("_i") + 1).alias("_from"), (at + F.col("_l")).alias("_last"), F.get("_rows", F.col("_l") - 1)["_next"].alias("_to")), "links")
+    reached = links.where("_from = 1").select(*key, "_from", "_last")
+    jumps, hops = links.select(*key, "_from", "_to"), links.select(*key, "_from", "_last")
+    for _ in range((-(-most // piece)).bit_length()):
+        on = reached.alias("a").join(jumps.alias("b"), _same([*key, "_from"], "a", "b")).select(*(F.col(f"a.{k}") for k in key), F.col("b._to").alias("_from"))
+        new = on.alias("a").join(hops.alias("b"), _same([*key, "_from"], "a", "b")).select(*(F.col(f"a.{k}") for k in key), F.col("b._from").alias("_from"), "b._last")
+        reached = cut(reached.unionByName(new).distinct(), "reached")
+        double = jumps.alias("a").join(jumps.alias("b"), _same(key, "a", "b") & (F.col("a._to") == F.col("b._from"))).select(*(F.col(f"a.{k}") for k in key), "a._from", "b._to")
+        jumps = cut(double, "jumps")
+    found = reached.select(*key, F.floor((F.col("_from") - 1) / piece).alias("_p"), F.col("_from").alias("_entry"), "_last")
+    both = pieces.alias("a").join(found.alias("b"), _same([*key, "_p"], "a", "b"), "left").select("a.*", "b._entry", "b._last")
+    before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
 
 
 def access_sessions_stream(events: DataFrame, gap_seconds: int = 60, key: list[str] = KEY) -> DataFrame:
