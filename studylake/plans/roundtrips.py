@@ -10,7 +10,8 @@ from ..operators import usercode as U
 from ..operators.analytic import keep_first
 from ..session import scratch
 from ..sources import readers, sinks
-from ..streaming import jobs
+from ..streaming import jobs, sessions
+from . import changes
 from .relations import SUBS, TASKS, order
 from .registry import query
 
@@ -119,6 +120,44 @@ def _streamed(rows: DataFrame, op, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+# session lines from a stream in several triggers, run to its end
+def _lines(events: DataFrame, key: list[str], **how) -> DataFrame:
+    """The lines of a stream over the events in three steps of time. A last event of another key, long after, lets the watermark pass every timer."""
+    spark = events.sparkSession
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    path, out = scratch(spark, "lines-in"), scratch(spark, "lines")
+    cuts = [None, *events.agg(F.percentile_approx(F.unix_micros("ts"), [0.3, 0.7])).first()[0], None]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        at = F.unix_micros("ts")
+        events.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)).coalesce(1).write.mode("append").parquet(path)
+    last = events.groupBy().agg(F.max("ts").alias("ts")).select(*((F.col("ts") + F.expr("interval 99 days")).alias(c) if c == "ts" else F.lit("" if c in key else None).cast(events.schema[c].dataType).alias(c) for c in events.columns))
+    last.coalesce(1).write.mode("append").parquet(path)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "0 seconds")
+        lines = sessions.session_lines(stream, 6 * 3600, key, **how)
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(lines.schema).parquet(out).where(F.col(key[0]) != "")
+
+
+query(
+    "st_access_lines", lambda v: _lines(changes.accesses(v), sessions.KEY, sums=sessions.ACCESS_SUMS, expected="expected", idle="partial"),
+    changes.WALK + """select user_name, src_ip, study, series, ts, line, requests, bad as failed, size as bytes, took as us from ended, (values ('started'), ('loaded'), ('partial')) l(line)
+      where case line when 'started' then fresh when 'loaded' then done else last and not done end""",
+)
+query(
+    "st_ingest_lines", lambda v: _lines(changes.stores(v), ["study", "src_ip"], sums=sessions.INGEST_SUMS, every=5),
+    """, a as (select *, case when status = 404 then 409 else status end as code, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by study, src_ip order by ts, event_id) > 21600000000, true)::int as n from v_access),
+      b as (select *, sum(n) over (partition by study, src_ip order by ts, event_id) as s from a),
+      c as (select study, src_ip, ts, row_number() over w as requests, count(*) over (partition by study, src_ip, s) as whole, count(*) filter (code < 300) over w as stored, count(*) filter (code >= 300 and code < 400) over w as idempotent,
+        count(*) filter (code >= 400 and code <> 409) over w as failed, count(*) filter (code = 409) over w as conflicts, sum(bytes) over w as bytes from b window w as (partition by study, src_ip, s order by ts, event_id))
+      select * exclude whole from c, (values ('started'), ('progress'), ('completed')) l(line) where case line when 'started' then requests = 1 when 'progress' then requests % 5 = 0 else requests = whole end""",
+)
+
+
 query("st_first_seen", lambda v: _streamed(v("v_access").withColumn("ts", F.col("ts").cast("timestamp")), lambda s: jobs.first_seen(s, ["route", "study"], "400 days")).select("route", "study"), "select distinct route, study from v_access")
 query(
     "st_fanout",

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import cut
 
@@ -155,3 +156,92 @@ def readiness(events: DataFrame, gap: str = "10 seconds") -> DataFrame:
 def anonymous_rate(events: DataFrame, width: str = "60 minutes", step: str = "1 minute") -> DataFrame:
     """Requests without a user in each sliding window."""
     return events.where("who = ''").groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("requests")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "requests")
+
+
+#: The state store that session_lines() needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Columns that session_lines() sums: what a request adds to each.
+ACCESS_SUMS = {"failed": "case when status >= 400 then 1 else 0 end", "bytes": "bytes", "us": "us"}
+INGEST_SUMS = {**{n: f"case when {c} then 1 else 0 end" for n, c in INGEST.items()}, "bytes": "bytes"}
+
+
+class SessionLines(StatefulProcessor):
+    """One key's open session: its first and last time, requests and sums, and apart from them the expected number, which may become known late. A timer of event time ends it when idle."""
+
+    def __init__(self, gap_ms: int, sums: list[str], every: int, idle: str):
+        self.gap_ms, self.sums, self.every, self.idle = gap_ms, sums, every, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "first long, last long, requests long, sums array<long>")
+        self.expected = handle.getValueState("expected", "expected long")
+
+    def _frame(self, key, lines):
+        columns = [*(f"k{i}" for i in range(len(key))), "ts", "line", "requests", *self.sums]
+        return pd.DataFrame([(*key, pd.Timestamp(at, unit="us"), line, requests, *sums) for at, line, requests, sums in lines], columns=columns)
+
+    def _timer(self, at: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        now = self.session.get() if self.session.exists() else None
+        first, last, requests, sums = (now[0], now[1], now[2], list(now[3])) if now else (None, None, 0, [])
+        expected = self.expected.get()[0] if self.expected.exists() else None
+        lines = []
+        came = [r for f in rows for r in f[["ts", "arrival", "known", *self.sums]].itertuples(index=False)]
+        for ts, _, known, *adds in sorted(came, key=lambda r: (r[0], r[1])):
+            at = pd.Timestamp(ts).value // 1000
+            if requests and at - last > self.gap_ms * 1000:
+                lines.append((last, self.idle, requests, sums))
+                requests, expected = 0, None
+            if not requests:
+                first, sums = at, [0] * len(self.sums)
+            last, requests, sums = at, requests + 1, [a + int(b) for a, b in zip(sums, adds, strict=True)]
+            if requests == 1:
+                lines.append((at, "started", 1, sums))
+            if expected is None and known is not None and known == known:
+                expected = int(known)
+            if self.every and requests % self.every == 0:
+                lines.append((at, "progress", requests, sums))
+            if expected is not None and requests >= expected:
+                lines.append((at, "loaded", requests, sums))
+                requests, expected = 0, None
+        if requests:
+            self.session.update((first, last, requests, sums))
+            self.expected.update((expected,)) if expected is not None else self.expected.clear()
+            self._timer(last // 1000 + self.gap_ms + 1)
+        else:
+            self.session.clear()
+            self.expected.clear()
+            self._timer(None)
+        yield self._frame(key, lines)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        lines = []
+        if self.session.exists():
+            _, last, requests, sums = self.session.get()
+            if last // 1000 + self.gap_ms < expiredTimerInfo.getExpiryTimeInMs():
+                lines.append((last, self.idle, requests, list(sums)))
+                self.session.clear()
+                self.expected.clear()
+        yield self._frame(key, lines)
+
+    def close(self) -> None:
+        pass
+
+
+def session_lines(events: DataFrame, gap_seconds: int, key: list[str], sums: dict[str, str], every: int = 0, expected: str | None = None, idle: str = "completed", order: str = "event_id") -> DataFrame:
+    """A stream's session lines: started, progress at every so many requests, loaded as soon as the expected number is there, and the idle line after more than the gap; with time, requests and sums so far.
+
+    events: a stream with ts and its watermark. Rows of one trigger go by ts and order; earlier ones than the watermark are dropped. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass); a session's state goes with its idle line.
+    """
+    names = [f"k{i}" for i in range(len(key))]
+    schema = ", ".join(f"{n} string" for n in names) + ", ts timestamp, line string, requests long" + "".join(f", {s} long" for s in sums)
+    known = F.col(expected).cast("long") if expected else F.lit(None).cast("long")
+    rows = events.select(*(F.col(k).cast("string").alias(n) for k, n in zip(key, names, strict=True)), "ts", F.col(order).alias("arrival"), known.alias("known"), *(F.coalesce(F.expr(e).cast("long"), F.lit(0).cast("long")).alias(s) for s, e in sums.items()))
+    out = rows.groupBy(*names).transformWithStateInPandas(SessionLines(gap_seconds * 1000, list(sums), every, idle), schema, "append", "EventTime")
+    return out.select(*(F.col(n).alias(k) for k, n in zip(key, names, strict=True)), "ts", "line", "requests", *sums)

@@ -55,3 +55,50 @@ def test_number_known_on_the_last_retrieve(spark):
     rows = [(*r[:9], 2 if i == 4 else None) for i, r in enumerate(made(5, 1, keys=1))]
     rows = [(*r[:5], rows[0][5], *r[6:]) for r in rows]
     assert [(r.fetched, r.state) for r in sessions.access_sessions(spark.createDataFrame(rows, FIELDS)).collect()] == [(5, "loaded")]
+
+
+def lines_model(rows, gap, every=0, use_expected=True, idle="partial"):
+    """(key, ts, line, requests, bytes) of each line."""
+    out, open_ = [], {}
+    for *key, _, ts, _, size, _, expected in sorted(rows, key=lambda r: (r[5], r[4])):
+        key = tuple(key)
+        b = open_.get(key)
+        if b and (ts - b[0]).total_seconds() > gap:
+            out.append((*key, b[0], idle, b[1], b[2]))
+            b = None
+        b = [ts, b[1] + 1, b[2] + size, b[3]] if b else [ts, 1, size, None]
+        open_[key] = b
+        if b[1] == 1:
+            out.append((*key, ts, "started", 1, b[2]))
+        if use_expected and b[3] is None:
+            b[3] = expected
+        if every and b[1] % every == 0:
+            out.append((*key, ts, "progress", b[1], b[2]))
+        if b[3] is not None and b[1] >= b[3]:
+            out.append((*key, ts, "loaded", b[1], b[2]))
+            del open_[key]
+    return sorted([*out, *((*k, b[0], idle, b[1], b[2]) for k, b in open_.items())], key=str)
+
+
+@pytest.mark.parametrize("kind", ["access", "ingest"])
+def test_session_lines_stream(spark, tmp_path, kind):
+    """Three triggers and a last event long after; every line comes, the idle ones by timers."""
+    rows = [(*("u" if x is None else x for x in r[:4]), *r[4:]) for r in made(240, 9)]
+    end = (*["end"] * 4, 10**6, rows[-1][5].replace(year=2026), 200, 0, 0, None)
+    for part in (rows[:80], rows[80:160], rows[160:], [end]):
+        spark.createDataFrame(part, FIELDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FIELDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    if kind == "access":
+        out = sessions.session_lines(stream, 60, sessions.KEY, sessions.ACCESS_SUMS, expected="expected", idle="partial")
+        want = lines_model(rows, 60)
+    else:
+        out = sessions.session_lines(stream, 30, sessions.KEY, sessions.INGEST_SUMS, every=5)
+        want = lines_model(rows, 30, 5, False, "completed")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
+    try:
+        q = out.writeStream.format("memory").queryName(f"lines_{kind}").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.table(f"lines_{kind}").where("user_name <> 'end'").select(*sessions.KEY, "ts", "line", "requests", "bytes").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
