@@ -100,16 +100,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 turns = parse(text)
                 sha = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
                 loss, at, part, stops = [], 0, [], list(stops)
-                # Tokens of one character share its span: each character counts once. A turn's escapes end with the turn.
+                # Tokens of one character share its span: each character counts once. A turn's escapes end with the turn; an empty turn ends where it starts.
                 for a, b in zip(low, high, strict=True):
-                    if b > at:
-                        part.append(text[max(at, a) : b])
-                        at = b
-                    while stops and stops[0] <= at:
+                    while stops and stops[0] <= a:
                         loss.append(unescape("".join(part)))
                         part = []
                         stops.pop(0)
-                learnt = "".join(loss)
+                    if b > at:
+                        part.append(text[max(at, a) : b])
+                        at = b
+                learnt = "".join([*loss, unescape("".join(part))])
                 out.append((conv, len(turns), sha, len(learnt), hashlib.sha256(learnt.encode("utf-8", "surrogatepass")).hexdigest(), len(text), len(ids)))
             return out
 

@@ -6,8 +6,8 @@ them; these go back to their batches by number, where they meet the texts. A key
 key is hot; rows grow with distinct (batch, key) pairs. The number of parts follows the size of the texts, so that a part's keys fit a task.
 
 The texts are read twice, once for the keys and once for what is made of them, and batches are numbered by partition. So the input must give the same partitions
-each time it is read: files do, and cut() makes files of anything else. A batch whose keys and counts differ in number is an error
-(finish() checks it with same_number()).
+each time it is read: files do while the cluster stays as it is, and cut() makes files of anything else. Each batch's keys carry a digest of its texts through the count;
+where it meets other texts (partitions were split anew between the readings) that is an error, never a wrong count.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,16 @@ def same_number(keys: int, counts: int) -> None:
         raise ValueError("a batch changed between two readings: write the input first, with cut()")
 
 
+def digest_of(table: pa.Table) -> int:
+    """64 bits of a batch's texts, in order."""
+    h = xxhash.xxh3_64()
+    for text in table["text"].to_pylist():
+        data = text.encode("utf-8", "surrogatepass")
+        h.update(len(data).to_bytes(8, "little"))
+        h.update(data)
+    return h.intdigest() - 2**63
+
+
 def packed(values: np.ndarray) -> bytes:
     """64-bit numbers, byte by byte of all of them, compressed."""
     return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -84,11 +95,11 @@ def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size:
         for batch, table in _batches(batches, number(), batch_size):
             found, counts = np.unique(keys(prepare(table["text"].to_pylist())), return_counts=True)
             part = (((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            starts, digest = np.flatnonzero(np.diff(part, prepend=-1)).tolist(), digest_of(table)
             asked = [(int(part[a]), a, b) for a, b in zip(starts, [*starts[1:], len(part)][: len(starts)], strict=True)]
             for some in (asked[k : k + 64] for k in range(0, len(asked), 64)):
                 blobs = ([make(c[a:b]) for _, a, b in some] for c, make in ((found, _packed_keys), (counts, packed)))
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some), pa.int64()), pa.array([p for p, _, _ in some], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["batch", "part", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(some), pa.int64()), pa.array([digest] * len(some), pa.int64()), pa.array([p for p, _, _ in some], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["batch", "digest", "part", "keys", "counts"])
 
     def count(table):
         """One part: its count table, joined to the batches that asked."""
@@ -97,7 +108,7 @@ def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size:
         totals = np.bincount(at, np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]).astype(np.float64))
         ends = np.cumsum([0, *map(len, asked)])
         counts = [packed(totals[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return table.select(["batch", "part"]).append_column("counts", pa.array(counts, pa.binary()))
+        return table.select(["batch", "digest", "part"]).append_column("counts", pa.array(counts, pa.binary()))
 
     def send(batches):
         """A batch's rows, compressed, in one row."""
@@ -111,11 +122,13 @@ def with_counts(rows: DataFrame, prepare, keys, finish, schema: str, batch_size:
     def meet(texts, counts):
         table = pa.ipc.open_stream(texts["rows"][0].as_py()).read_all()
         prepared = prepare(table["text"].to_pylist())
+        if set(counts["digest"].to_pylist()) - {digest_of(table)}:
+            raise ValueError("a batch changed between two readings: its counts are those of other texts")
         blobs = counts.sort_by("part")["counts"].to_pylist()
         totals = np.concatenate([unpacked(x) for x in blobs]) if blobs else np.zeros(0, "<u8")
         return finish(table.drop_columns("text"), prepared, totals.view(np.int64))
 
-    dealt = rows.mapInArrow(deal, "batch long, part int, keys binary, counts binary")
-    counted = dealt.groupBy("part").applyInArrow(count, "batch long, part int, counts binary")
+    dealt = rows.mapInArrow(deal, "batch long, digest long, part int, keys binary, counts binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "batch long, digest long, part int, counts binary")
     texts = rows.mapInArrow(send, "batch long, rows binary")
     return texts.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(meet, schema)

@@ -9,7 +9,7 @@ below 10^-4), the others are verified by the exact weighted Jaccard similarity o
 Copies are one class from the start, and only one of them goes on, under a row number that is written once. Within a bucket of candidates each text is first compared with
 the bucket's first text, so a large group costs one comparison a text; then, in buckets whose texts still belong to several
 classes, every pair of texts from two classes is compared: as pairs in small buckets; in larger ones the texts outside the largest class
-meet all texts block by block, so that rows grow with the number of blocks and not of pairs. Classes are the connected components of all links found.
+meet all texts block by block, so that rows grow with the number of blocks and not of pairs: first their samples alone, then the texts of those that agree with some other. The rule is the same in buckets of every size. Classes are the connected components of all links found.
 
 The samples' random numbers come from a table of 2^16 rows that a shingle's hash picks from. The table is a fixed size; two shingles on one row only make candidates likelier.
 
@@ -188,7 +188,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataF
     return map_rows(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "dx", "y", "dy"), start, "a long, b long, similarity double")
 
 
-def _near_in_blocks(texts: list[str], dfs: list[bytes], sides: list[int], reps: list[int], classes: list[int], n: int, least: float) -> list[tuple[int, int]]:
+def _agree_with(samples: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which rows of samples agree with one on enough of them."""
+    return (samples == one).sum(axis=1) >= AGREE
+
+
+def _samples(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _sifted(table: pa.Table, least: float) -> pa.Table:
+    """The rows of a block, without texts, that have a partner on the other side: of another class, with a total not too far off and enough samples in common."""
+    side, kinds, totals = (table[c].to_numpy() for c in ("side", "class", "weight"))
+    samples, low = _samples(table), least - 1e-6
+    right = np.flatnonzero(side)
+    keep = np.zeros(len(side), bool)
+    for k in np.flatnonzero(side == 0):
+        met = _agree_with(samples[right], samples[k]) & (kinds[right] != kinds[k]) & (totals[right] >= totals[k] * low) & (totals[k] >= totals[right] * low)
+        keep[right[met]] = True
+        keep[k] = met.any()
+    return table.filter(pa.array(keep))
+
+
+def _near_in_blocks(texts: list[str], dfs: list[bytes], sides: list[int], reps: list[int], classes: list[int], samples: np.ndarray, n: int, least: float) -> list[tuple[int, int]]:
     """Links between a left and a right text of different classes: for each left text one to each class it meets. An inverted index of the right texts gives all its similarities at once."""
     weights = [weighted(t, d, n) for t, d in zip(texts, dfs, strict=True)]
     right = [k for k, side in enumerate(sides) if side]
@@ -199,7 +221,7 @@ def _near_in_blocks(texts: list[str], dfs: list[bytes], sides: list[int], reps:
     who = np.repeat(np.arange(len(right)), [len(weights[k][0]) for k in right])
     order = np.argsort(h, kind="stable")
     h, w, who = h[order], w[order], who[order]
-    totals = np.bincount(who, w, len(right))
+    totals, of_right = np.bincount(who, w, len(right)), samples[right]
     names, kinds = np.array([reps[k] for k in right]), np.array([classes[k] for k in right])
     out = []
     for k, side in enumerate(sides):
@@ -210,27 +232,33 @@ def _near_in_blocks(texts: list[str], dfs: list[bytes], sides: list[int], reps:
         at = np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())
         own = weights[k][1].astype(np.float64)
         shared = np.bincount(who[at], np.minimum(w[at], np.repeat(own, hits)), len(right))
-        near = np.flatnonzero((shared >= least * (totals + own.sum() - shared)) & (kinds != classes[k]))
+        near = np.flatnonzero((shared >= least * (totals + own.sum() - shared)) & (kinds != classes[k]) & _agree_with(of_right, samples[k]))
         _, first = np.unique(kinds[near], return_index=True)
         out += [(min(reps[k], int(x)), max(reps[k], int(x))) for x in names[near[first]]]
     return out
 
 
-def _by_blocks(members: DataFrame, largest: DataFrame, texts: DataFrame, total: int, least: float) -> DataFrame:
-    """Links in large buckets (members: band, key, rep, class). Those outside the bucket's largest class are the left side, all are the right side; each left block meets each right block."""
+def _by_blocks(members: DataFrame, largest: DataFrame, sketches: DataFrame, texts: DataFrame, total: int, least: float) -> DataFrame:
+    """Links in large buckets (members: band, key, rep, weight, class). Those outside the bucket's largest class are the left side, all are the right side; each left block meets each right block.
+
+    First by samples alone, then with the texts of those that have a partner; the candidates are those of small buckets, pair by pair.
+    """
     sized = members.join(largest, ["band", "key"])
     left = F.col("class") != F.col("largest")
     part = lambda n: F.pmod(F.xxhash64("rep"), n)
     lefts, rights = F.ceil(F.col("others") / BLOCK), F.ceil(F.col("n") / BLOCK)
-    one = sized.where(left).select("band", "key", "rep", "class", F.lit(0).alias("side"), part(lefts).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"))
-    two = sized.select("band", "key", "rep", "class", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), part(rights).alias("j"))
-    rows = one.unionByName(two).join(texts, "rep")
+    named = ["band", "key", "rep", "weight", "class"]
+    one = sized.where(left).select(*named, F.lit(0).alias("side"), part(lefts).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), rights - 1)).alias("j"))
+    two = sized.select(*named, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), lefts - 1)).alias("i"), part(rights).alias("j"))
+    block = ["band", "key", "i", "j"]
+    rows = one.unionByName(two).join(sketches.select("rep", "bytes"), "rep").select(*block, "rep", "weight", "class", "side", "bytes")
+    sifted = rows.groupBy(*block).applyInArrow(lambda t: _sifted(t, least), rows.schema)
 
     def compare(t):
-        found = _near_in_blocks(*(t[c].to_pylist() for c in ("text", "dfs", "side", "rep", "class")), total, least)
+        found = _near_in_blocks(*(t[c].to_pylist() for c in ("text", "dfs", "side", "rep", "class")), _samples(t), total, least)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+    return cut(sifted, "sifted").join(texts, "rep").groupBy(*block).applyInArrow(compare, "a long, b long")
 
 
 def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -271,7 +299,7 @@ def _classes(docs: DataFrame, least: float, written: bool) -> DataFrame:
     cross = cross.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     cross = _agreeing(cross, in_met)
     many = mixed.where(F.col("n") > PAIRWISE)
-    more = cut(_verified(cross, texts, total, least).select("a", "b").unionByName(_by_blocks(classed, many, texts, total, least)), "links")
+    more = cut(_verified(cross, texts, total, least).select("a", "b").unionByName(_by_blocks(classed, many, in_met, texts, total, least)), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     classes = firsts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy", "doc", F.coalesce("label", "rep").alias("label"))

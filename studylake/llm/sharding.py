@@ -66,7 +66,7 @@ def shard(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32, drawn_p
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
             F.monotonically_increasing_id().alias("tie"),
-        ).withColumn("minor", F.xxhash64(F.coalesce("doc_id", "tie"))),
+        ).withColumn("minor", F.xxhash64("doc_id", "tie")),  # so that splitters can cut repeated rows too
         "shard-keys",
     )
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -87,14 +87,22 @@ def shard(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32, drawn_p
         before_bytes.append(b)
         before_rows.append(k)
         b, k = b + (held[i]["bytes"] if i in held else 0), k + (held[i]["n"] if i in held else 0)
+    # Groups that splitters have cut (as many as splitters at most): their bytes in all ranges, and where they start on the line.
+    parts = ranged.where(F.col("key").isin(sorted({k for k, _ in points}))).groupBy("key", "range").agg(F.sum("size").alias("bytes")).collect() if points else []
+    cut_groups: dict[int, list] = {}
+    for r in sorted(parts, key=lambda r: r["range"]):
+        cut_groups.setdefault(r["key"], []).append(r)
+    known = [(k, sum(r["bytes"] for r in rs), before_bytes[rs[0]["range"] + 1] - rs[0]["bytes"]) for k, rs in cut_groups.items() if len(rs) > 1]
+    ranged = ranged.join(F.broadcast(docs.sparkSession.createDataFrame(known, "key long, cut_size long, cut_start long")), "key", "left")
     group = Window.partitionBy("range", "key")
     inside = Window.partitionBy("range").orderBy("key", "minor", "tie").rowsBetween(Window.unboundedPreceding, 0)
     at = F.col("range").cast("int")
     line = ranged.withColumns({"through": F.sum("size").over(inside), "nth": F.count(F.lit(1)).over(inside)}).withColumns(
         {"group_size": F.sum("size").over(group), "group_start": F.min(F.col("through") - F.col("size")).over(group)}
     )
-    whole = F.col("group_size") <= slack * total / shards
-    middle = F.get(longs(before_bytes), at) + F.when(whole, F.col("group_start") + F.col("group_size") / 2).otherwise(F.col("through") - F.col("size") / 2)
+    before = F.get(longs(before_bytes), at)
+    size, begins = F.coalesce("cut_size", "group_size"), F.coalesce("cut_start", before + F.col("group_start"))
+    middle = F.when(size <= slack * total / shards, begins + size / 2).otherwise(before + F.col("through") - F.col("size") / 2)
     placed = cut(
         line.select(
             "doc_id", "size", "text_crc32",
