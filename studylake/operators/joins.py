@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import rule_text
 from ..functions.text import pn_ngrams
+from ..session import cut
 
 #: Small tables (rules, subscriptions, codes) come with the site's configuration; more rows than this are joined without a broadcast.
 SMALL = 10_000
@@ -68,26 +69,64 @@ def index_gap(records: DataFrame, index: DataFrame, keys: list[str]) -> DataFram
     return records.select(*keys).distinct().join(index.select(*keys), keys, "left_anti")
 
 
-def _rule_hit() -> Column:
-    hit = lambda c: F.col(f"r_{c}").isNull() | F.coalesce(F.like(rule_text(F.col(c)), F.col(f"r_{c}")), F.lit(False))
-    return reduce(lambda a, b: a & b, [hit(c) for c in ("modality", "body_part", "study_description")])
-
-
-def all_rules(studies: DataFrame, rules: DataFrame) -> DataFrame:
+#: Characters of a pattern's literal beginning that the index uses at most, and parts over which patterns without one are dealt.
+PREFIX, SALTS = 8, 64
+
+
+def _literal(pattern: Column) -> Column:
+    """The beginning of a LIKE pattern up to its first wildcard or escape."""
+    return F.regexp_extract(pattern, r"^[^%_\\]*", 0)
+
+
+def by_patterns(rows: DataFrame, rules: DataFrame, tests: dict[str, Column], most: int = SMALL) -> DataFrame:
+    """Each row with every rule that fits. tests: rule column (a LIKE pattern, null fits all) -> the row's value, which fits no pattern where it is null.
+
+    Up to `most` rules (counted when the plan is built) are broadcast. More go through an index: each rule is posted once, under that of its constants or literal beginnings which the
+    fewest rules share; the rows' distinct values are looked up by their own constants and beginnings, and what meets is tested in full. Rules of wildcards only meet dealt values.
+    No join is without a key, and rows are joined back by their values. (A stream has no distinct values to look up: it meets all rules.)
+    """
+    fits = reduce(lambda a, b: a & b, [F.col(p).isNull() | F.coalesce(F.like(F.col(v), F.col(p)), F.lit(False)) for p, v in ((p, f"_v{i}") for i, p in enumerate(tests))])
+    given = rows.withColumns({f"_v{i}": v for i, v in enumerate(tests.values())})
+    names = [f"_v{i}" for i in range(len(tests))]
+    few = rules.limit(most + 1).count() <= most
+    if few or rows.isStreaming:
+        return given.join(F.broadcast(rules) if few else rules, fits).drop(*names)
+    key = lambda i, kind, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{i}{kind}"), c))
+    posted = rules.withColumn("_rule", F.monotonically_increasing_id())
+    offers = [key(i, "=", F.col(p)) if kind == "=" else key(i, "^", F.left(_literal(F.col(p)), F.lit(PREFIX))) for i, p in enumerate(tests) for kind in "=^"]
+    offers = [F.when(_literal(F.col(p)) == F.col(p), o) if kind == "=" else o for (p, kind), o in zip(((p, kind) for p in tests for kind in "=^"), offers, strict=True)]
+    posted = cut(posted.withColumn("_keys", F.array_compact(F.array(*offers))), "rules")
+    each = posted.select("_rule", F.explode("_keys").alias("_key"))
+    shared = each.groupBy("_key").agg(F.count("*").alias("_n"))
+    chosen = each.join(shared, "_key").groupBy("_rule").agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"))
+    values = cut(given.select(*names).distinct().withColumn("_value", F.monotonically_increasing_id()), "values")
+    looks = [k for i, v in enumerate(names) for k in (key(i, "=", F.col(v)), *(key(i, "^", F.left(F.col(v), F.lit(n))) for n in range(1, PREFIX + 1)))]
+    asked = values.select(*names, "_value", F.explode(F.array_distinct(F.array_compact(F.array(*looks)))).alias("_key"))
+    patterns = posted.select("_rule", *tests)
+    met = asked.join(patterns.join(chosen, "_rule"), "_key").where(fits).select("_value", "_rule")
+    bare = posted.where(F.size("_keys") == 0).select("_rule", *tests, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rest = values.withColumn("_salt", F.pmod(F.col("_value"), F.lit(SALTS)).cast("int")).join(bare, "_salt").where(fits).select("_value", "_rule")
+    hits = met.unionByName(rest).join(values, "_value").join(posted.drop("_keys"), "_rule").drop("_rule", "_value")
+    back = hits.withColumnsRenamed({n: f"_b{n}" for n in names})
+    return given.join(back, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_b{n}")) for n in names])).drop(*names, *(f"_b{n}" for n in names))
+
+
+def all_rules(studies: DataFrame, rules: DataFrame, most: int = SMALL) -> DataFrame:
     """Each study with every rule that fits. rules: position, name, r_modality, r_body_part, r_study_description (LIKE patterns, null fits all)."""
-    return studies.join(small(rules), _rule_hit())
+    return by_patterns(studies, rules, {f"r_{c}": rule_text(F.col(c)) for c in ("modality", "body_part", "study_description")}, most)
 
 
-def first_rule(studies: DataFrame, rules: DataFrame, key: str, fallback: str) -> DataFrame:
+def first_rule(studies: DataFrame, rules: DataFrame, key: str, fallback: str, most: int = SMALL) -> DataFrame:
     """Each study with the first rule that fits, else the fallback."""
-    hits = all_rules(studies, rules).groupBy(key).agg(F.min_by("name", "position").alias("rule"))
+    hits = all_rules(studies, rules, most).groupBy(key).agg(F.min_by("name", "position").alias("rule"))
     return studies.select(key).join(hits, key, "left").select(key, F.coalesce("rule", F.lit(fallback)).alias("rule"))
 
 
-def subscribers(events: DataFrame, subscriptions: DataFrame, keys: list[str]) -> DataFrame:
+def subscribers(events: DataFrame, subscriptions: DataFrame, keys: list[str], most: int = SMALL) -> DataFrame:
     """event x subscription: each key null fits all, else a LIKE pattern; a missing value fits no pattern; s_workitem_uid narrows to one."""
-    hit = reduce(lambda a, b: a & b, [F.col(f"s_{k}").isNull() | F.coalesce(F.like(F.col(k), F.col(f"s_{k}")), F.lit(False)) for k in keys])
-    return events.join(small(subscriptions), hit & (F.col("s_workitem_uid").isNull() | (F.col("s_workitem_uid") == F.col("workitem_uid"))))
+    literal = F.regexp_replace("s_workitem_uid", r"([%_\\])", r"\\$1")
+    narrowed = subscriptions.withColumn("_only", literal)
+    return by_patterns(events, narrowed, {**{f"s_{k}": F.col(k) for k in keys}, "_only": F.col("workitem_uid")}, most).drop("_only")
 
 
 def cascade(derived: DataFrame, classes: list[str], deleted: DataFrame) -> DataFrame:
@@ -112,18 +151,19 @@ def ngram_candidates(names: DataFrame, key: str, name: str, query: Column) -> Da
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of names (a, b) within one edit. One edit leaves one half of a whole, as the beginning or the end of b; so distinct names meet on a's length and half."""
+    """Pairs of names (a, b) within one edit.
+
+    Two such names have a form in common: themselves or what one deletion leaves of them. So distinct names meet on their hashed forms; a form belongs only to names one
+    insertion away from it, so a common beginning makes no hot key. Pairs are tested before they are shuffled again.
+    """
     a, b = (x.select(F.col(x.columns[0]).alias(n)).where(f"{n} is not null").distinct() for x, n in ((left, "a"), (right, "b")))
 
-    def halves(c: str, n: Column) -> Column:
-        """The halves of a name of n characters that c may begin or end with."""
-        h = F.floor(n / 2).cast("int")
-        return F.array(F.struct(n.alias("n"), F.lit(0).alias("end"), F.substring(F.col(c), F.lit(1), h).alias("half")), F.struct(n.alias("n"), F.lit(1).alias("end"), F.when(n - h > 0, F.right(F.col(c), n - h)).otherwise("").alias("half")))
+    def forms(c: str) -> Column:
+        less = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.xxhash64(F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c)))))
+        return F.array_distinct(F.when(F.length(c) > 0, F.concat(F.array(F.xxhash64(c)), less)).otherwise(F.array(F.xxhash64(c))))
 
-    m = F.length("b")
-    of_a = a.select("a", F.explode(halves("a", F.length("a"))).alias("block"))
-    of_b = b.select("b", F.explode(F.flatten(F.array(*(halves("b", m + d) for d in (-1, 0, 1))))).alias("block")).where("block.n >= 0")
-    return of_a.join(of_b, "block").select("a", "b").distinct().where(F.levenshtein("a", "b", 1) >= 0)
+    pairs = a.select("a", F.explode(forms("a")).alias("form")).join(b.select("b", F.explode(forms("b")).alias("form")), "form")
+    return pairs.where(F.levenshtein("a", "b", 1) >= 0).select("a", "b").distinct()
 
 
 def result_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
