@@ -37,6 +37,33 @@ def chunks(frames: DataFrame) -> DataFrame:
     return frames.agg(F.count("*").alias("total"), F.count_distinct("blob_hash").alias("unique_chunks"))
 
 
+def chunk_sketches(frames: DataFrame, day: Column, size: int = 14) -> DataFrame:
+    """A row a day: frames and a sketch of their distinct chunks (HyperLogLog of 2^size registers: relative standard error about 1 / 2^(size / 2))."""
+    return frames.groupBy(day.alias("day")).agg(F.count("*").alias("total"), F.hll_sketch_agg("blob_hash", size).alias("chunks"))
+
+
+def chunks_estimated(sketches: DataFrame) -> DataFrame:
+    """Frames and about how many distinct chunks over all days: their sketches are merged, no frame is read again."""
+    return sketches.agg(F.sum("total").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("chunks")).alias("unique_chunks"))
+
+
+def quantile_sketches(rows: DataFrame, group: str, ts: str, value: str, size: int = 800) -> DataFrame:
+    """A row a group and hour: a mergeable quantile sketch of a whole-number value (KLL; with size 800 ranks are off by less than half a per cent), with what merges by itself: count, sum, sum of squares, ends."""
+    v = F.col(value).cast("long")
+    return rows.where(v.isNotNull()).groupBy(group, F.date_trunc("hour", ts).alias("hour")).agg(
+        F.kll_sketch_agg_bigint(v, F.lit(size)).alias("sketch"), F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v.cast("double") * v).alias("squares"), F.min(v).alias("low"), F.max(v).alias("high")
+    )
+
+
+def run_stats_merged(sketches: DataFrame, group: str, quantiles: list[float]) -> DataFrame:
+    """Statistics of each group from its hours' sketches: n, mean, sd, low, high and the quantiles (q0, q1, ...); rows are not read again, and no buffer holds a group's values."""
+    mean = F.sum("total") / F.sum("n")
+    merged = F.kll_merge_agg_bigint("sketch")
+    at = [F.kll_sketch_get_quantile_bigint(merged, F.lit(q)).alias(f"q{i}") for i, q in enumerate(quantiles)]
+    sd = F.sqrt(F.greatest(F.sum("squares") / F.sum("n") - mean * mean, F.lit(0.0)))
+    return sketches.groupBy(group).agg(F.sum("n").alias("n"), mean.alias("mean"), sd.alias("sd"), F.min("low").alias("low"), F.max("high").alias("high"), *at)
+
+
 def unreferenced(blobs: DataFrame, references: DataFrame) -> DataFrame:
     """Objects, bytes and how many have no reference."""
     live = references.select("blob_hash").distinct().withColumn("_live", F.lit(1))

@@ -42,6 +42,24 @@ def downsample(a: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)
 
 
+def downsample_2d(a: Column, width: Column, height: Column, to_width: int, to_height: int) -> Column:
+    """Area means of a row-major image of width x height samples (not negative), row-major as well: cells by integer division in both directions, one row and column at least, rounded half up.
+
+    In a smaller image each sample is added once; in a larger one cells repeat samples. An image without samples gives zeros.
+    """
+    edge = lambda i, size, n: F.floor(i * size / n).cast("int")
+    far = lambda i, size, n: F.least(F.greatest(edge(i + 1, size, n), edge(i, size, n) + 1), size)
+
+    def cell(y: Column, x: Column) -> Column:
+        top, low, left, right = edge(y, height, to_height), far(y, height, to_height), edge(x, width, to_width), far(x, width, to_width)
+        rows = F.transform(F.sequence(top, low - 1), lambda r: F.aggregate(F.slice(a, r * width + left + 1, right - left), F.lit(0).cast("long"), lambda s, v: s + v.cast("long")))
+        n = (low - top) * (right - left)
+        return F.floor((F.aggregate(rows, F.lit(0).cast("long"), lambda s, v: s + v) + F.floor(n / 2)) / n).cast("long")
+
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(to_height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(to_width - 1)), lambda x: cell(y, x))))
+    return F.when((width > 0) & (height > 0), cells).otherwise(F.array_repeat(F.lit(0).cast("long"), to_width * to_height))
+
+
 def to_patient(column: Column, row: Column, position: Column, orientation: Column, spacing: Column) -> Column:
     """(x, y, z) of a pixel: position + column * column spacing * row cosines + row * row spacing * column cosines; spacing is (row, column)."""
     g = lambda c, i: F.get(c, F.lit(i))

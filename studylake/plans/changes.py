@@ -232,6 +232,25 @@ WIN = "least(255.0::double, greatest(0.0::double, (x - (40 - 200 / 2)) / 200 * 2
 query("arr_window", lambda v: pix(v).select("vec_id", flat(R.window(F.col("a"), 40, 200)), flat(R.window(F.col("a"), 40, 200, True), "b")), f"select vec_id, array_to_string(list_transform(a, lambda x: cast(trunc({WIN}) as int)), ',') as a, array_to_string(list_transform(a, lambda x: cast(trunc(255 - {WIN}) as int)), ',') as b from {PIX}")
 query("arr_minmax", lambda v: pix(v).select("vec_id", flat(R.minmax(F.col("a")))), f"select vec_id, array_to_string(list_transform(a, lambda x: cast(trunc(cast(x - list_min(a) as double) / (list_max(a) - list_min(a)) * 255) as int)), ',') as a from {PIX}")
 query("arr_threshold", lambda v: R.threshold(pix(v), "vec_id", F.col("a"), 50).select("vec_id", "above", "share"), f"select vec_id, len(list_filter(a, lambda x: x > 50)) as above, len(list_filter(a, lambda x: x > 50)) / len(a) as share from {PIX}")
+
+
+def _area(to_width: int, to_height: int) -> None:
+    """Vectors as images of 7 columns (what is left over is cut off), to a smaller and to a larger image."""
+    image = lambda v: pix(v).select("vec_id", F.transform("a", lambda x: x + 5000).alias("a"), F.floor(F.size("a") / 7).cast("int").alias("h"))
+    query(
+        f"arr_downsample_{to_width}x{to_height}",
+        lambda v: image(v).select("vec_id", flat(R.downsample_2d(F.col("a"), F.lit(7), F.col("h"), to_width, to_height))),
+        f"""select vec_id, string_agg(m, ',' order by y, x) as a from (
+          select vec_id, y, x, cast((sum(p) + count(*) // 2) // count(*) as bigint) as m
+          from (select vec_id, len(a) // 7 as h, (i - 1) // 7 as sy, (i - 1) % 7 as sx, cast(a[i] + 5000 as bigint) as p from (select vec_id, a, unnest(range(1, len(a) + 1)) as i from {PIX}))
+            join (select unnest(range({to_height})) as y) on sy >= y * h // {to_height} and sy < least(greatest((y + 1) * h // {to_height}, y * h // {to_height} + 1), h)
+            join (select unnest(range({to_width})) as x) on sx >= x * 7 // {to_width} and sx < least(greatest((x + 1) * 7 // {to_width}, x * 7 // {to_width} + 1), 7)
+          group by vec_id, y, x) group by vec_id""",
+    )
+
+
+_area(3, 2)
+_area(11, 4)
 query("arr_downsample", lambda v: pix(v).select("vec_id", flat(R.downsample(F.transform("a", lambda x: x + 5000), 7))), f"select vec_id, array_to_string(list_transform(range(7), lambda i: (list_sum(p[(i * len(p)) // 7 + 1 : ((i + 1) * len(p)) // 7]) + (((i + 1) * len(p)) // 7 - (i * len(p)) // 7) // 2) // (((i + 1) * len(p)) // 7 - (i * len(p)) // 7)), ',') as a from (select vec_id, list_transform(a, lambda x: cast(x + 5000 as bigint)) as p from {PIX})")
 query(
     "arr_to_patient", lambda v: pix(v).select("vec_id", R.to_patient(F.get("a", F.lit(0)), F.get("a", F.lit(1)), F.expr("array(1d, 2d, 3d)"), F.expr("array(1d, 0d, 0d, 0d, 0d, -1d)"), F.expr("array(0.5d, 2d)")).alias("p")).select("vec_id", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate("xyz"))),

@@ -103,6 +103,28 @@ query(
 query("agg_study_totals", lambda v: A.study_totals(v("v_series"), v("v_instances")), TOTALS + "select * from tot")
 query("agg_storage", lambda v: A.storage(v("v_instances")), "select count(*) as logical, count(distinct blob_hash) as physical, 1 - count(distinct blob_hash) / count(*) as dedup_ratio, sum(file_size) as bytes, count(distinct study_uid) as studies from v_instances")
 query("agg_tiers", lambda v: A.tiers(v("v_instances")), "select coalesce(tier, 'all') as tier, count(*) as files, sum(file_size) as bytes, count(distinct study_uid) as studies from v_instances group by rollup(tier)")
+
+
+def _chunks_near(v):
+    """The estimate from the days' sketches lies within two per cent of the exact count."""
+    sketched = A.chunks_estimated(A.chunk_sketches(v("v_arrivals"), F.col("a1"))).withColumnRenamed("unique_chunks", "about")
+    return sketched.join(A.chunks(v("v_arrivals")).drop("total")).select("total", "unique_chunks", (F.abs(F.col("about") - F.col("unique_chunks")) <= 0.02 * F.col("unique_chunks")).alias("near"))
+
+
+def _quantiles_near(v):
+    """Each route's statistics from its hours' sketches, and whether the sketched quantiles' ranks are within one per cent of what was asked for."""
+    rows, asked = v("v_access").select("route", "ts", "us"), [0.5, 0.95]
+    stats = A.run_stats_merged(A.quantile_sketches(rows, "route", "ts", "us"), "route", asked)
+    ranks = rows.join(stats.select("route", "q0", "q1"), "route").groupBy("route").agg(*(F.count_if(F.col("us") < F.col(f"q{i}")).alias(f"b{i}") for i in (0, 1)), *(F.count_if(F.col("us") <= F.col(f"q{i}")).alias(f"u{i}") for i in (0, 1)))
+    near = [((F.col(f"b{i}") <= (q + 0.01) * F.col("n") + 1) & (F.col(f"u{i}") >= (q - 0.01) * F.col("n") - 1)).alias(f"near{i}") for i, q in enumerate(asked)]
+    return stats.join(ranks, "route").select("route", "n", F.round("mean", 3).alias("mean"), F.round("sd", 1).alias("sd"), "low", "high", *near)
+
+
+query("agg_chunks_sketched", _chunks_near, "select count(*) as total, count(distinct blob_hash) as unique_chunks, true as near from v_arrivals")
+query(
+    "agg_quantiles_sketched", _quantiles_near,
+    "select route, count(*) as n, round(avg(us), 3) as mean, round(stddev_pop(us), 1) as sd, min(us) as low, max(us) as high, true as near0, true as near1 from v_access where us is not null group by route",
+)
 query("agg_chunks", lambda v: A.chunks(v("v_arrivals")), "select count(*) as total, count(distinct blob_hash) as unique_chunks from v_arrivals")
 query("agg_unreferenced", lambda v: A.unreferenced(v("v_blobs"), refs(v)), f"select count(*) as objects, sum(size) as bytes, count(*) filter (blob_hash not in (select blob_hash from {REFS})) as unreferenced from v_blobs")
 query(
