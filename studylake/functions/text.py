@@ -89,11 +89,11 @@ def split_multi(text: Column, separator: str = ",") -> Column:
 
 #: Methods (none: any), path, whether longer paths count as well, family; the first that fits counts.
 ROUTES = (
-    ("", "/admin/v1/", True, "admin"),
-    ("GET HEAD", "/health", False, "health"), ("GET HEAD", "/health/status", False, "health"), ("GET HEAD", "/metrics", False, "metrics"),
-    ("GET HEAD", "/dicomweb/patients", False, "qido_patients"), ("GET HEAD", "/dicomweb/studies", False, "qido_studies"), ("GET HEAD", "/dicomweb/studies/", True, "wado_study"),
-    ("POST", "/dicomweb/studies", False, "stow_studies"), ("POST", "/dicomweb/studies/", True, "stow_studies"),
-    ("GET HEAD POST", "/dicomweb/commitment-requests", True, "commitment"), ("GET HEAD POST PUT", "/dicomweb/workitems", True, "ups"),
+    ((), "/admin/v1/", True, "admin"),
+    (("GET", "HEAD"), "/health", False, "health"), (("GET", "HEAD"), "/health/status", False, "health"), (("GET", "HEAD"), "/metrics", False, "metrics"),
+    (("GET", "HEAD"), "/dicomweb/patients", False, "qido_patients"), (("GET", "HEAD"), "/dicomweb/studies", False, "qido_studies"), (("GET", "HEAD"), "/dicomweb/studies/", True, "wado_study"),
+    (("POST",), "/dicomweb/studies", False, "stow_studies"), (("POST",), "/dicomweb/studies/", True, "stow_studies"),
+    (("GET", "HEAD", "POST"), "/dicomweb/commitment-requests", True, "commitment"), (("GET", "HEAD", "POST", "PUT"), "/dicomweb/workitems", True, "ups"),
 )
 
 
@@ -102,7 +102,7 @@ def route_class(method: Column, path: Column) -> Column:
     plain, c = F.substring_index(path, "?", 1), F.when(F.lit(False), "other")
     for methods, start, longer, name in ROUTES:
         fits = plain.startswith(start) if longer else plain == start
-        c = c.when(fits & method.isin(*methods.split()) if methods else fits, name)
+        c = c.when(fits & method.isin(*methods) if methods else fits, name)
     return c.otherwise("other")
 
 
@@ -111,25 +111,63 @@ def audit_action(action: Column, query: Column) -> Column:
     return F.when((action == "C") & F.coalesce(query, F.lit("")).rlike("(^|&)update(=|&|$)"), "U").otherwise(action)
 
 
-#: Value representation of the tags that searches know.
-TAG_VR = (
-    ("PN", "00100010 00080090 00081050 00081060 00081070 00321032"),
-    ("LO", "00100020 00100021 00080070 00080080 00081030 0008103E 00081040 00181030 00321060"),
-    ("DA", "00100030 00080020 00080021"), ("TM", "00080030 00080031"), ("SH", "00080050 00081010 00200010"), ("UI", "00080016 00080018 0020000D 0020000E"),
-    ("CS", "00100040 00080060 00080061 00180015 00200060"), ("IS", "00200011 00200013 00201206 00201208 00280008"),
-)
+#: Value representation and keyword of the tags that searches know.
+TAGS = {
+    "00080016": ("UI", "SOPClassUID"),
+    "00080018": ("UI", "SOPInstanceUID"),
+    "00080020": ("DA", "StudyDate"),
+    "00080021": ("DA", "SeriesDate"),
+    "00080030": ("TM", "StudyTime"),
+    "00080031": ("TM", "SeriesTime"),
+    "00080050": ("SH", "AccessionNumber"),
+    "00080060": ("CS", "Modality"),
+    "00080061": ("CS", "ModalitiesInStudy"),
+    "00080070": ("LO", "Manufacturer"),
+    "00080080": ("LO", "InstitutionName"),
+    "00080090": ("PN", "ReferringPhysicianName"),
+    "00081010": ("SH", "StationName"),
+    "00081030": ("LO", "StudyDescription"),
+    "0008103E": ("LO", "SeriesDescription"),
+    "00081040": ("LO", "InstitutionalDepartmentName"),
+    "00081050": ("PN", "PerformingPhysicianName"),
+    "00081060": ("PN", "NameOfPhysiciansReadingStudy"),
+    "00081070": ("PN", "OperatorsName"),
+    "00100010": ("PN", "PatientName"),
+    "00100020": ("LO", "PatientID"),
+    "00100021": ("LO", "IssuerOfPatientID"),
+    "00100030": ("DA", "PatientBirthDate"),
+    "00100040": ("CS", "PatientSex"),
+    "00180015": ("CS", "BodyPartExamined"),
+    "00181030": ("LO", "ProtocolName"),
+    "0020000D": ("UI", "StudyInstanceUID"),
+    "0020000E": ("UI", "SeriesInstanceUID"),
+    "00200010": ("SH", "StudyID"),
+    "00200011": ("IS", "SeriesNumber"),
+    "00200013": ("IS", "InstanceNumber"),
+    "00200060": ("CS", "Laterality"),
+    "00201206": ("IS", "NumberOfStudyRelatedSeries"),
+    "00201208": ("IS", "NumberOfStudyRelatedInstances"),
+    "00280008": ("IS", "NumberOfFrames"),
+    "00321032": ("PN", "RequestingPhysician"),
+    "00321060": ("LO", "RequestedProcedureDescription"),
+}
 
 
 def vr_of(tag: str) -> str:
-    return next((vr for vr, tags in TAG_VR if tag.upper() in tags.split()), "UN")
+    return TAGS.get(tag.upper(), ("UN", ""))[0]
 
 
 def vr_lookup(tag: Column) -> Column:
     """Value representation of an eight-digit tag; UN for one that searches don't know."""
-    c = F.when(tag.isNull(), F.lit(None).cast("string"))
-    for vr, tags in TAG_VR:
-        c = c.when(F.upper(tag).isin(*tags.split()), vr)
-    return c.otherwise("UN")
+    known = F.create_map(*(F.lit(x) for t, (vr, _) in TAGS.items() for x in (t, vr)))
+    return F.when(tag.isNotNull(), F.coalesce(F.try_element_at(known, F.upper(tag)), F.lit("UN")))
+
+
+def tag_lookup(field: Column) -> Column:
+    """The tag (eight hexadecimal digits, upper case) that a field of a request names, by its digits or by its keyword in any case; null for anything else."""
+    keywords = F.create_map(*(F.lit(x) for t, (_, keyword) in TAGS.items() for x in (keyword.lower(), t)))
+    f = F.trim(field)
+    return F.when(f.rlike("^[0-9A-Fa-f]{8}$"), F.upper(f)).otherwise(F.try_element_at(keywords, F.lower(f)))
 
 
 #: Route -> action, event id, object type, how many of study, series, instance it names, and whether the query is kept.

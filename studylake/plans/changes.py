@@ -112,7 +112,8 @@ query(
 query(
     "chg_tier_patients",
     lambda v: L.tier_patients(v("v_instances"), v("v_studies"), 20010101),
-    """select patient_id, earliest, count(distinct blob_hash) as blobs from v_instances join v_studies using (study_uid, ) join (select patient_id, min(study_date) as earliest from v_studies where patient_id <> '' group by patient_id having bool_and(coalesce(study_date < 20010101, false))) using (patient_id) where tier = 'hot' group by all""".replace("using (study_uid, ) join", "s using (study_uid) join").replace("using (patient_id) where", "e on s.patient_id = e.patient_id where").replace("select patient_id, earliest, count", "select e.patient_id, earliest, count"),
+    """, e as (select patient_id, min(study_date) as earliest from v_studies where patient_id <> '' group by patient_id having bool_and(coalesce(study_date < 20010101, false)))
+      select e.patient_id, earliest, count(distinct blob_hash) as blobs from v_instances i join v_studies s on i.study_uid = s.study_uid join e on s.patient_id = e.patient_id where i.tier = 'hot' group by e.patient_id, earliest""",
 )
 query(
     "chg_tier_emergency",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -81,14 +83,25 @@ PATHS = (
 )
 _case = lambda k: f"case event_id % {len(PATHS)} " + " ".join(f"when {i} then '{row[k]}'" for i, row in enumerate(PATHS)) + " end"
 query("fn_route_class", lambda v: v("v_access").select("event_id", T.route_class(F.expr(_case(0)), F.expr(_case(1))).alias("family")), f"select event_id, {_case(2)} as family from v_access")
-TAG_LIST = [t for _, tags in T.TAG_VR for t in tags.split()] + ["0020000d", "00101010", ""]
+#: What each tag's value representation must be, apart from the table under test; the last three are unknown, or known in another case.
+VRS = """('00080016', 'UI'), ('00080018', 'UI'), ('00080020', 'DA'), ('00080021', 'DA'), ('00080030', 'TM'), ('00080031', 'TM'), ('00080050', 'SH'), ('00080060', 'CS'), ('00080061', 'CS'), ('00080070', 'LO'), ('00080080', 'LO'), ('00080090', 'PN'), ('00081010', 'SH'), 
+  ('00081030', 'LO'), ('0008103E', 'LO'), ('00081040', 'LO'), ('00081050', 'PN'), ('00081060', 'PN'), ('00081070', 'PN'), ('00100010', 'PN'), ('00100020', 'LO'), ('00100021', 'LO'), 
+  ('00100030', 'DA'), ('00100040', 'CS'), ('00180015', 'CS'), ('00181030', 'LO'), ('0020000D', 'UI'), ('0020000E', 'UI'), ('00200010', 'SH'), 
+  ('00200011', 'IS'), ('00200013', 'IS'), ('00200060', 'CS'), ('00201206', 'IS'), ('00201208', 'IS'), ('00280008', 'IS'), ('00321032', 'PN'), ('00321060', 'LO')"""
+TAG_LIST = [*re.findall("[0-9A-F]{8}", VRS), "0020000d", "00101010", ""]
 _tag = f"element_at(array({', '.join(repr(t) for t in TAG_LIST)}), cast(event_id % {len(TAG_LIST)} + 1 as int))"
-_vrs = ", ".join(f"('{t}', '{vr}')" for vr, tags in T.TAG_VR for t in tags.split())
 query(
     "fn_vr_lookup",
     lambda v: v("v_access").select("event_id", T.vr_lookup(F.expr(_tag)).alias("vr")),
-    f"select event_id, coalesce(vr, 'UN') as vr from (select event_id, [{', '.join(repr(t) for t in TAG_LIST)}][event_id % {len(TAG_LIST)} + 1] as tag from v_access) left join (values {_vrs}) k(known, vr) on upper(tag) = known",
+    f"select event_id, coalesce(vr, 'UN') as vr from (select event_id, [{', '.join(repr(t) for t in TAG_LIST)}][event_id % {len(TAG_LIST)} + 1] as tag from v_access) left join (values {VRS}) k(known, vr) on upper(tag) = known",
 )
+#: Fields of requests and the tags they name.
+FIELDS = (
+    ("PatientName", "00100010"), (" patientid ", "00100020"), ("STUDYINSTANCEUID", "0020000D"), ("0020000e", "0020000E"), ("00189999", "00189999"), ("NumberOfStudyRelatedInstances", "00201208"), ("modalitiesinstudy", "00080061"),
+    ("SeriesDescription", "0008103E"), ("requestedproceduredescription", "00321060"), ("NoSuchKeyword", None), ("0010001", None), ("0010001G", None), ("", None), ("all", None),
+)
+_field = lambda k: f"case event_id % {len(FIELDS)} " + " ".join(f"when {i} then '{row[k]}'" for i, row in enumerate(FIELDS) if row[k] is not None) + " end"
+query("fn_tag_lookup", lambda v: v("v_access").select("event_id", T.tag_lookup(F.expr(_field(0))).alias("tag")), f"select event_id, {_field(1)} as tag from v_access")
 query("fn_status_class", lambda v: v("v_access").select("event_id", T.status_class(F.col("status")).alias("class")), "select event_id, case status // 100 when 4 then '4xx' when 5 then '5xx' else '2xx' end as class from v_access")
 query(
     "fn_outcome_code",
