@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.readers import dicom_json
+from ..sources.readers import dicom_datasets, dicom_json
 from .joins import index_gap
 from .lifecycle import merge_ingest
 
@@ -30,6 +30,40 @@ def rebuild(datasets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFram
     return merge_ingest(stored, good.select(stored.columns), "sop_uid", [F.col("study_uid"), F.col("series_uid")]), conflicts
 
 
+#: Keys of the levels, and the identifiers of DICOM datasets.
+LEVELS = {"studies": ["study_uid"], "series": ["study_uid", "series_uid"], "instances": ["sop_uid"]}
+UIDS = {"study_uid": ("0020000D", "text"), "series_uid": ("0020000E", "text"), "sop_uid": ("00080018", "text")}
+
+
+def rebuild_levels(datasets: DataFrame, stored: dict[str, DataFrame], attributes: dict[str, dict[str, tuple[str, str]]]) -> dict[str, DataFrame]:
+    """studies, series and instances from the datasets of all blobs; also conflicts (sop_uid, study_uid, owner, blob_hash) and errors (blob_hash).
+
+    datasets: value (DICOM JSON), blob_hash. stored: a table for each level with its key, for instances study_uid and series_uid too, and the columns named in attributes
+    (level -> column -> (tag, kind)). Stored values win; a gap takes the value of the dataset with the smallest hash that has one, and studies, series and instances that are not
+    stored are added. An instance belongs to its stored study, else to the smallest study that claims it; other claims are conflicts and add nothing. Datasets that are no JSON or
+    lack one of the three identifiers are errors. Repeated datasets count once.
+    """
+    wanted = {level: [*(c for c in ("study_uid", "series_uid") if level == "instances"), *attributes[level]] for level in LEVELS}
+    columns = UIDS | {name: at for level in attributes.values() for name, at in level.items()}
+    rows = dicom_datasets(datasets.select("value", "blob_hash"), columns).drop("dataset")
+    whole = F.col("study_uid").isNotNull() & F.col("series_uid").isNotNull() & F.col("sop_uid").isNotNull()
+    good = rows.where(whole)
+    held = stored["instances"].select("sop_uid", F.col("study_uid").alias("_study"))
+    owner = good.groupBy("sop_uid").agg(F.min("study_uid").alias("_least")).join(held, "sop_uid", "left").select("sop_uid", F.coalesce("_study", "_least").alias("owner"))
+    claims = good.join(owner, "sop_uid")
+    own = claims.where("study_uid = owner")
+    out = {
+        "conflicts": claims.where("study_uid <> owner").select("sop_uid", "study_uid", "owner", "blob_hash").distinct(),
+        "errors": rows.where(~whole).select("blob_hash").distinct(),
+    }
+    for level, key in LEVELS.items():
+        first = {c: F.min(F.when(F.col(c).isNotNull(), F.struct("blob_hash", F.col(c).alias("v"))))["v"] for c in wanted[level]}
+        found = own.groupBy(*key).agg(*(e.alias(f"_{c}") for c, e in first.items()))
+        both = stored[level].select(*key, *wanted[level]).join(found, key, "full_outer")
+        out[level] = both.select(*key, *(F.coalesce(c, f"_{c}").alias(c) for c in wanted[level]))
+    return out
+
+
 def reconcile(records: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(new index, report): what the index lacks is added; report has scanned and added."""
     gap = index_gap(records, index, keys)

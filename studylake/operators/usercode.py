@@ -48,6 +48,32 @@ def chain(studies: DataFrame, rules: DataFrame, frames: DataFrame, fn, schema: s
     return per_study(frames.join(tasks, "study_uid"), fn, schema, by=("study_uid", "rule"), **kwargs)
 
 
+def chain_outcomes(studies: DataFrame, rules: DataFrame, frames: DataFrame, fn, schema: str, **kwargs) -> DataFrame:
+    """chain with an outcome and an error for each (study, rule): the rows of a complete task, one row for an empty or failed one (its other columns null).
+
+    An exception of fn, or a result without a column of the schema, fails its own task only; a task whose study has no frames is empty and fn is not called. Values of a wrong type still
+    fail the job. schema has study_uid and rule.
+    """
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def guarded(pdf: pd.DataFrame, parameters: dict) -> pd.DataFrame:
+        own, rows, error = pdf[["study_uid", "rule"]].head(1), None, None
+        pdf = pdf[pdf["_frame"].notna()].drop(columns="_frame")
+        try:
+            if len(pdf):
+                rows = fn(pdf, parameters)[names]
+        except Exception as e:  # whatever a model raises is that task's outcome
+            error = f"{type(e).__name__}: {e}"
+        if rows is None or not len(rows):
+            rows = own.reindex(columns=names).astype(object).where(lambda d: d.notna(), None)
+            return rows.assign(outcome="failed" if error else "empty", error=error)
+        return rows.assign(outcome="complete", error=None)
+
+    tasks = all_rules(studies, rules).select("study_uid", F.col("name").alias("rule"))
+    given = tasks.join(frames.withColumn("_frame", F.lit(True)), "study_uid", "left")
+    return per_study(given, guarded, schema + ", outcome string, error string", by=("study_uid", "rule"), **kwargs)
+
+
 def outcome(error: Column, rows: Column) -> Column:
     """failed, empty or complete."""
     return F.when(error.isNotNull(), "failed").when(F.coalesce(rows, F.lit(0)) == 0, "empty").otherwise("complete")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import integrity as I
+from ..operators import lifecycle as L
 from ..operators import usercode as U
 from ..operators.analytic import keep_first
 from ..session import scratch
 from ..sources import readers, sinks
+from ..sources.views import ARRIVAL
 from ..streaming import jobs, sessions
 from . import changes
 from .relations import SUBS, TASKS, order
@@ -57,13 +59,13 @@ def _dicom_json(v) -> DataFrame:
 query("src_dicom_json", _dicom_json, f"select {', '.join(TAGS)} from v_studies")
 
 
-def _lines(v) -> DataFrame:
+def _access_lines(v) -> DataFrame:
     return v("v_access").select(F.lit("access").alias("event"), F.col("event_id").cast("string").alias("ts"), F.col("user_name").alias("user"), "study", F.col("status").cast("long").alias("status"), F.to_date("ts").cast("string").alias("day"))
 
 
 def _journal(v) -> DataFrame:
     """Lines of two kinds in folders of a day, each tenth of another kind, and a torn one."""
-    rows = _lines(v)
+    rows = _access_lines(v)
     text = rows.select("day", F.to_json(F.struct(F.when(F.col("ts").cast("long") % 10 == 0, "other").otherwise(F.col("event")).alias("event"), "ts", "user", "study", "status")).alias("value"))
     path = scratch(rows.sparkSession, "journal")
     text.unionByName(text.limit(1).select("day", F.lit('{"event": "acc').alias("value"))).write.partitionBy("day").text(path)
@@ -75,7 +77,7 @@ query("src_journal", _journal, f"{ACCESS} where event_id % 10 <> 0")
 
 
 def _journal_sink(v) -> DataFrame:
-    rows = _lines(v)
+    rows = _access_lines(v)
     sinks.write_journal(rows, path := scratch(rows.sparkSession, "journal"))
     return readers.journal(rows.sparkSession, path, "access").select("ts", "user", "study", "status", F.col("day").cast("string").alias("day"))
 
@@ -223,3 +225,148 @@ def _rebuilt(v, which: int) -> DataFrame:
 HELD = ", h as (select sop_uid, series_uid, study_uid from v_instances where seq = 1), w as (select a.*, coalesce(h.study_uid, min(a.study_uid) over (partition by a.sop_uid)) as owner from (select sop_uid, series_uid, study_uid from v_arrivals) a left join h using (sop_uid))"
 query("int_rebuild", lambda v: _rebuilt(v, 0), HELD + " select * from h union all select sop_uid, min(series_uid) as series_uid, study_uid from w where study_uid = owner and sop_uid not in (select sop_uid from h) group by sop_uid, study_uid")
 query("int_rebuild_conflicts", lambda v: _rebuilt(v, 1), HELD + " select sop_uid, series_uid, study_uid from w where study_uid <> owner")
+
+
+# nested datasets: a sequence, several values, binary content; some that are cut off
+def _datasets(v) -> DataFrame:
+    rows = v("v_arrivals").join(v("v_studies").select("study_uid", "patient_name", "study_date"), "study_uid", "left")
+
+    def element(vr: str, values, tag: str):
+        return F.struct(F.lit(vr).alias("vr"), values.alias("Value")).alias(tag)
+
+    def one(vr: str, column: str, tag: str):
+        return F.when(F.col(column).isNotNull(), element(vr, F.array(column), tag)).alias(tag)
+
+    name = F.when(F.col("patient_name").isNotNull(), element("PN", F.array(F.struct(F.col("patient_name").alias("Alphabetic"))), "x")).alias("00100010")
+    item = F.struct(one("UI", "series_uid", "0020000E"), element("SQ", F.array(F.struct(one("UI", "sop_uid", "00081155"))), "00081199"))
+    binary = F.struct(F.lit("OB").alias("vr"), F.base64(F.encode("blob_hash", "UTF-8")).alias("InlineBinary")).alias("00282000")
+    fields = [
+        element("CS", F.split("image_type", ","), "00080008"), one("UI", "sop_uid", "00080018"), one("DA", "study_date", "00080020"), one("CS", "modality", "00080060"),
+        element("SQ", F.array(item, item), "00081115"), name, one("UI", "study_uid", "0020000D"), one("UI", "series_uid", "0020000E"), binary,
+    ]
+    text = F.to_json(F.struct(*fields))
+    torn = F.expr("instance_number = 'abc' and modality = 'SR'")
+    return rows.select(F.when(torn, F.left(text, F.lit(40))).otherwise(text).alias("value"), "blob_hash")
+
+
+ATTRIBUTES = {
+    "studies": {"patient_name": ("00100010", "name"), "study_date": ("00080020", "number")},
+    "series": {"modality": ("00080060", "text")},
+    "instances": {"image_type": ("00080008", "all")},
+}
+DATASETS = """, d as (select a.*, patient_name, study_date, instance_number = 'abc' and modality = 'SR' as torn
+  from (select study_uid, series_uid, sop_uid, modality, image_type, instance_number, blob_hash from v_arrivals) a left join v_studies s using (study_uid))"""
+query(
+    "src_dicom_datasets",
+    lambda v: readers.dicom_datasets(_datasets(v), I.UIDS | {n: a for level in ATTRIBUTES.values() for n, a in level.items()} | {"profile": ("00282000", "binary")})
+    .select("sop_uid", "series_uid", "study_uid", "patient_name", "study_date", "modality", F.array_join("image_type", ",").alias("image_type"), F.decode("profile", "UTF-8").alias("profile"), F.col("dataset").isNull().alias("torn")),
+    DATASETS + """ select case when not torn then sop_uid end as sop_uid, case when not torn then series_uid end as series_uid, case when not torn then study_uid end as study_uid,
+      case when not torn then patient_name end as patient_name, case when not torn then study_date end as study_date, case when not torn then modality end as modality,
+      case when not torn then image_type end as image_type, case when not torn then blob_hash end as profile, torn from d""",
+)
+
+
+def _sequences(v) -> DataFrame:
+    """The items of a sequence, and of the sequence in each."""
+    outer = readers.sequence(readers.dicom_datasets(_datasets(v), {"study_uid": I.UIDS["study_uid"]}), "00081115", {"series_uid": ("0020000E", "text")}).withColumnRenamed("position", "item")
+    return readers.sequence(outer, "00081199", {"sop_uid": ("00081155", "text")}).select("study_uid", "item", "series_uid", "position", "sop_uid")
+
+
+query("src_dicom_sequence", _sequences, DATASETS + " select study_uid, item, series_uid, 0 as position, sop_uid from d, (values (0), (1)) i(item) where not torn")
+
+
+def _levels(v) -> dict[str, DataFrame]:
+    """A rebuild over an archive that lacks studies, series, instances and single values."""
+    stored = {
+        "studies": v("v_studies").where("sex <> 'M'").select("study_uid", F.expr("case when sex = 'F' then patient_name end").alias("patient_name"), "study_date"),
+        "series": v("v_series").where("body_part = 'HEAD'").select("study_uid", "series_uid", F.expr("case when modality <> 'CT' then modality end").alias("modality")),
+        "instances": v("v_instances").where("seq = 1").select("sop_uid", "study_uid", "series_uid", F.when(F.col("modality") != "MR", F.split("image_type", ",")).alias("image_type")),
+    }
+    return I.rebuild_levels(_datasets(v), stored, ATTRIBUTES)
+
+
+CLAIMS = DATASETS + """, h as (select sop_uid, study_uid, series_uid, case when modality <> 'MR' then image_type end as image_type from v_instances where seq = 1),
+  w as (select d.*, coalesce(h.study_uid, min(d.study_uid) over (partition by d.sop_uid)) as owner from d left join h using (sop_uid) where not torn), g as (select * from w where study_uid = owner)"""
+query(
+    "int_rebuild_studies", lambda v: _levels(v)["studies"],
+    CLAIMS + """, s as (select study_uid, case when sex = 'F' then patient_name end as patient_name, study_date from v_studies where sex <> 'M'), f as (select study_uid, min(patient_name) as pn, min(study_date) as sd from g group by all)
+      select study_uid, coalesce(patient_name, pn) as patient_name, coalesce(study_date, sd) as study_date from s full join f using (study_uid)""",
+)
+query(
+    "int_rebuild_series", lambda v: _levels(v)["series"],
+    CLAIMS + """, s as (select study_uid, series_uid, case when modality <> 'CT' then modality end as modality from v_series where body_part = 'HEAD'), f as (select study_uid, series_uid, min(modality) as mo from g group by all)
+      select study_uid, series_uid, coalesce(modality, mo) as modality from s full join f using (study_uid, series_uid)""",
+)
+query(
+    "int_rebuild_instances", lambda v: _levels(v)["instances"].withColumn("image_type", F.array_join("image_type", ",")),
+    CLAIMS + """, f as (select sop_uid, min(study_uid) as study, arg_min(series_uid, blob_hash || series_uid) as series, min(image_type) as it from g group by all)
+      select sop_uid, coalesce(study_uid, study) as study_uid, coalesce(series_uid, series) as series_uid, coalesce(image_type, it) as image_type from h full join f using (sop_uid)""",
+)
+query(
+    "int_rebuild_report", lambda v: (lambda t: t["conflicts"].select(F.lit("conflict").alias("kind"), "blob_hash").unionByName(t["errors"].select(F.lit("error").alias("kind"), "blob_hash")).groupBy("kind").agg(F.count("*").alias("n")))(_levels(v)),
+    CLAIMS + " select 'conflict' as kind, count(distinct (sop_uid, study_uid, blob_hash)) as n from w where study_uid <> owner having n > 0 union all select 'error', count(distinct blob_hash) from d where torn having count(*) > 0",
+)
+
+
+# tasks that fail, give nothing or succeed in one run
+def _model(pdf, p):
+    total = int(pdf["file_size"].sum())
+    if total % 3 == 0:
+        raise ValueError("thirds")
+    return pdf[["study_uid", "rule"]].head(total % 3 - 1).assign(total=total)
+
+
+def _outcomes(v) -> DataFrame:
+    studies = v("v_instances").join(v("v_studies").select("study_uid", "study_description"), "study_uid").select("study_uid", "modality", "body_part", "study_description")
+    studies = keep_first(studies, ["study_uid"], [F.col("modality"), F.col("body_part")])
+    rules = studies.sparkSession.sql(f"select * from values {RULES} as t(position, name, r_modality, r_body_part, r_study_description)")
+    frames = v("v_instances").where("tier = 'hot'").select("study_uid", "file_size")
+    return U.chain_outcomes(studies, rules, frames, _model, "study_uid string, rule string, total long")
+
+
+query(
+    "udf_chain_outcomes", _outcomes,
+    """, k as (select i.study_uid, modality, body_part from v_instances i join v_studies using (study_uid) qualify row_number() over (partition by i.study_uid order by modality, body_part) = 1),
+      t as (select study_uid, 'ct' as rule from k where modality = 'CT' union all select study_uid, 'head' from k where body_part = 'HEAD'),
+      n as (select study_uid, rule, sum(file_size)::bigint as s from t left join (select * from v_instances where tier = 'hot') using (study_uid) group by all)
+      select study_uid, rule, case when s % 3 = 2 then s end as total, case when s % 3 = 0 then 'failed' when s % 3 = 2 then 'complete' else 'empty' end as outcome, case when s % 3 = 0 then 'ValueError: thirds' end as error from n""",
+)
+
+
+# writes: arrivals into the partitions they touch, and a stream's batches that run twice
+def _merged_in_place(v) -> DataFrame:
+    """A table by line number takes the localizers; kept says whether a row lies in a file that was there before."""
+    line = F.element_at(F.split("sop_uid", "[.]"), -1).cast("int").alias("line")
+    spark, path = v("v_arrivals").sparkSession, scratch(v("v_arrivals").sparkSession, "table")
+    changes.stored(v).select("*", line).write.partitionBy("line").parquet(path)
+    before = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.lit(True).alias("kept")).distinct()
+    before.write.parquet(f"{path}-files")
+    arrived = v("v_arrivals").where("image_type like '%LOCALIZER'").select("*", line)
+    sinks.update_partitions(path, arrived, ["line"], lambda old, new: L.merge_ingest(old, new, "sop_uid", order()))
+    after = spark.read.parquet(path).select(*changes.KEPT, F.col("line").cast("int").alias("line"), F.col("_metadata.file_name").alias("file"))
+    return after.join(spark.read.parquet(f"{path}-files"), "file", "left").select(*changes.KEPT, "line", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+query(
+    "chg_merge_in_place", _merged_in_place,
+    f""", s as (select {', '.join(changes.KEPT)} from v_instances where seq <= 2), m as (select * from s union all select {', '.join(changes.KEPT)} from v_arrivals where image_type like '%LOCALIZER' and sop_uid not in (select sop_uid from s)
+      qualify row_number() over (partition by sop_uid order by {ARRIVAL}) = 1) select *, cast(split_part(sop_uid, '.', 4) as int) as line, cast(split_part(sop_uid, '.', 4) as int) % 3 <> 1 as kept from m""",
+)
+
+
+def _journal_batches(v) -> DataFrame:
+    """Lines through a stream's sink; every batch runs twice."""
+    rows = _access_lines(v)
+    path = scratch(rows.sparkSession, "journal")
+    each = sinks.journal_batches(path)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        each(batch, number)
+        each(batch, number)
+
+    stream = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(_written(rows.repartition(6), "journal-in"))
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return readers.journal(rows.sparkSession, path, "access").select("ts", "user", "study", "status", F.col("day").cast("string").alias("day"))
+
+
+query("snk_journal_batches", _journal_batches, ACCESS)

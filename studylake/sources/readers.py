@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import vr_of
@@ -52,6 +52,33 @@ def dicom_json(rows: DataFrame, tags: dict[str, str], value: str = "value") -> D
     return m.select(*(c for c in rows.columns if c != value), *(of(t).alias(n) for n, t in tags.items()))
 
 
+#: Kinds of attribute: where below the tag the value lies, and its type.
+KINDS = {
+    "text": (".Value[0]", "string"), "number": (".Value[0]", "bigint"), "name": (".Value[0].Alphabetic", "string"),
+    "all": (".Value", "array<string>"), "items": (".Value", "array<variant>"), "binary": (".InlineBinary", "string"),
+}
+
+
+def attribute(dataset: Column, tag: str, kind: str = "text") -> Column:
+    """An attribute of a dataset held as VARIANT, by kind; null where it is absent or of another shape."""
+    below, type_ = KINDS[kind]
+    found = F.try_variant_get(dataset, f'$["{tag}"]{below}', type_)
+    return F.try_to_binary(found, F.lit("base64")) if kind == "binary" else found
+
+
+def dicom_datasets(rows: DataFrame, attributes: dict[str, tuple[str, str]], value: str = "value") -> DataFrame:
+    """Columns from DICOM JSON text by column -> (tag, kind), and the whole dataset as VARIANT (null where the text is no JSON)."""
+    parsed = rows.withColumn("dataset", F.try_parse_json(value)).drop(value)
+    return parsed.select("*", *(attribute(F.col("dataset"), tag, kind).alias(name) for name, (tag, kind) in attributes.items()))
+
+
+def sequence(rows: DataFrame, tag: str, attributes: dict[str, tuple[str, str]], dataset: str = "dataset") -> DataFrame:
+    """One row an item of a sequence, with its position and attributes. The item takes the dataset's place, so nested sequences are read by one more call; rows without items go."""
+    kept = [c for c in rows.columns if c != dataset]
+    items = rows.select(*kept, F.posexplode(attribute(F.col(dataset), tag, "items")).alias("position", "dataset"))
+    return items.select("*", *(attribute(F.col("dataset"), t, kind).alias(name) for name, (t, kind) in attributes.items()))
+
+
 def journal(spark: SparkSession, path: str, event: str, stream: bool = False) -> DataFrame:
     """Lines of one event kind with day and file, from JSON-lines files named by day, or in folders of a day; torn lines are skipped."""
     schema = JOURNAL + ", _corrupt_record string"

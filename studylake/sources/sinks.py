@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def search_json(rows: DataFrame, tags: dict[str, tuple[str, str]]) -> DataFrame:
     """json: a DICOM JSON object a row. tags: column -> (tag, vr); ascending tags, absent values omitted."""
@@ -25,6 +29,36 @@ def write_journal(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("day").json(path)
 
 
+def journal_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: JSON lines under batch and day. A batch that runs again replaces its own lines, so each line is there once. A batch's rows must have a column day."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        _replace(batch.withColumn("batch", F.lit(number)), path, ["batch", "day"], "json")
+
+    return each
+
+
+def update_partitions(path: str, incoming: DataFrame, partitions: list[str], change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Brings arrivals into a partitioned Parquet table and returns the plan: the partitions they touch, with the number of arrivals.
+
+    change(stored rows of these partitions, arrivals) gives the partitions' new rows, for instance merge_ingest. Other partitions are neither read nor written and keep their files.
+    A row's partition must follow from its key, so that its stored row lies in the partition of its arrival. The plan and the new rows are written apart before the table is touched;
+    a run that was cut off is simply run again. Partitions without rows after the change keep their old ones.
+    """
+    spark = incoming.sparkSession
+    plan = cut(incoming.groupBy(*partitions).agg(F.count("*").alias("arrivals")), "partition-plan")
+    stored = spark.read.parquet(path)
+    stored = stored.select(*(F.col(c).cast(incoming.schema[c].dataType).alias(c) if c in partitions else F.col(c) for c in stored.columns))
+    new = cut(change(stored.join(plan.select(*partitions), partitions, "left_semi"), incoming), "partition-rows")
+    _replace(new.hint("rebalance", *partitions), path, partitions, "parquet")
+    return plan
+
+
+def _replace(rows: DataFrame, path: str, partitions: list[str], kind: str) -> None:
+    """Overwrites the partitions that rows has, and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).format(kind).save(path)
+
+
 def _xml(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
