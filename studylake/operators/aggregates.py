@@ -124,6 +124,16 @@ def commit_verdict(rows: DataFrame) -> DataFrame:
     return rows.groupBy("transaction_uid").agg(n.alias("instances"), bad.alias("failed"), F.when((n > 0) & (bad == 0), "success").otherwise("failures").alias("verdict"))
 
 
+#: Fixed value: the reason of an instance that was not confirmed (processing failure).
+UNCONFIRMED = 0x0110
+
+
+def commit_failures(rows: DataFrame) -> DataFrame:
+    """The instances that a transaction's verdict names as failed, each once, with the reason. rows as for commit_verdict."""
+    failed = rows.where(F.col("sop_uid").isNotNull() & ~F.col("found"))
+    return failed.select("transaction_uid", "sop_uid").distinct().withColumn("reason", F.lit(UNCONFIRMED))
+
+
 def measurements(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(flat, per finding). rows: study_uid, groups array<struct<finding, items array<struct<concept, value, unit>>>>."""
     flat = rows.select("study_uid", F.explode_outer("groups").alias("g")).select("study_uid", F.col("g.finding").alias("finding"), F.explode_outer("g.items").alias("m")).select("study_uid", "finding", "m.*")

@@ -172,19 +172,29 @@ def meaning(reason: Column) -> Column:
     return out
 
 
-def hidden_instances(rows: DataFrame, study_uid: str | None = None, reason: int | None = None) -> DataFrame:
+def hidden_instances(rows: DataFrame, study_uid: str | None = None, reason: int | None = None, series_uid: str | None = None, sop_uid: str | None = None) -> DataFrame:
     found = rows.where(F.coalesce("reason", F.lit(0)) != 0)
-    found = found.where(F.col("study_uid") == study_uid) if study_uid else found
-    found = found.where(F.col("reason") == reason) if reason else found
+    for column, value in (("study_uid", study_uid), ("reason", reason), ("series_uid", series_uid), ("sop_uid", sop_uid)):
+        found = found.where(F.col(column) == value) if value else found
     return found.withColumn("meaning", meaning(F.col("reason"))).orderBy("sop_uid")
 
 
-def journal(rows: DataFrame, ordinal: str, when: Column, low=None, high=None, user: str | None = None, action: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """A page of a journal, newest line first."""
+def hidden_page(study_rows: DataFrame, rows: DataFrame, auditor: bool = False, offset: int = 0, limit: int = 500, **keys) -> DataFrame:
+    """A page of at most 500 hidden instances by instance id, with their patients; an auditor sees masked names. keys: study_uid, series_uid, sop_uid, reason."""
+    found = hidden_instances(rows, **keys).select("sop_uid", "study_uid", "series_uid", "modality", "reason", "meaning", "file_size")
+    found = page(found, [F.col("sop_uid")], offset, min(limit, 500))
+    s = study_rows.select("study_uid", F.coalesce("patient_id", F.lit("")).alias("patient_id"), F.coalesce("patient_name", F.lit("")).alias("patient_name"))
+    out = found.join(s, "study_uid", "left").na.fill("", ["patient_id", "patient_name"])
+    return (out.withColumn("patient_name", mask_name(F.col("patient_name"))) if auditor else out).orderBy("sop_uid")
+
+
+def journal(rows: DataFrame, ordinal: str, when: Column, low=None, high=None, user: str | None = None, action: str | None = None, offset: int = 0, limit: int = 100, total: bool = False) -> DataFrame:
+    """A page of a journal, newest line first; with total, each of its rows tells how many lines match in all."""
     found = rows.withColumn("at", when)
     for c in [F.col("at") >= F.lit(low).cast("timestamp") if low else None, F.col("at") <= F.lit(high).cast("timestamp") if high else None, F.col("user_name") == user if user else None, F.col("action") == action if action else None]:
         found = found.where(c) if c is not None else found
-    return page(found, [F.col(ordinal).desc()], offset, min(limit, 10_000))
+    lines = page(found, [F.col(ordinal).desc()], offset, min(limit, 10_000))
+    return lines.crossJoin(found.agg(F.count("*").alias("total"))).orderBy(F.col(ordinal).desc()) if total else lines  # one row
 
 
 def include_fields(level: str, available: list[str], asked: list[str]) -> list[str]:

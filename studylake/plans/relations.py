@@ -159,6 +159,10 @@ query(
     "agg_history", lambda v: A.history(v("v_access"), "ts", "bytes", "360 seconds", 240),
     "select to_timestamp(floor(epoch(ts) / 360) * 360)::timestamp as start, sum(bytes) as total, count(*) as n from v_access group by 1 order by 1 desc limit 240",
 )
+query(
+    "agg_commit_failures", lambda v: A.commit_failures(J.commit_presence(v("v_commitments"), v("v_instances"))),
+    "select distinct transaction_uid, sop_uid, 272 as reason from v_commitments c where sop_uid is not null and not exists (select 1 from v_instances i where i.sop_uid = c.sop_uid and (c.study_hint is null or c.study_hint = i.study_uid))",
+)
 query(
     "agg_commit_verdict", lambda v: A.commit_verdict(J.commit_presence(v("v_commitments"), v("v_instances"))),
     "select transaction_uid, count(*) as instances, count(*) filter (not found) as failed, case when count(*) filter (not found) = 0 then 'success' else 'failures' end as verdict from (select c.*, i.sop_uid is not null as found from v_commitments c left join v_instances i on c.sop_uid = i.sop_uid and (c.study_hint is null or c.study_hint = i.study_uid)) group by transaction_uid",

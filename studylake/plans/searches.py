@@ -145,6 +145,33 @@ query(
 )
 query(
     "snk_audit_message",
-    lambda v: audit_message(v("v_access").select("event_id", "status", F.lit("R").alias("action"), F.col("event_id").alias("ts"), F.lit("110103").alias("atna"), F.lit("0").alias("outcome"), F.concat("user_name", F.lit("<&>")).alias("user"), "study"), "h").select("event_id", "message"),
-    """select event_id, '<85>1 ' || event_id || ' h archive - IHE+RFC-3881 - <AuditMessage><EventIdentification EventActionCode="R" EventDateTime="' || event_id || '" EventOutcomeIndicator="0"><EventID csd-code="110103" codeSystemName="DCM"/></EventIdentification><ActiveParticipant UserID="' || user_name || '&lt;&amp;&gt;" UserIsRequestor="true"/><ParticipantObjectIdentification ParticipantObjectID="' || study || '"/></AuditMessage>' as message from v_access""",
+    lambda v: audit_message(
+        v("v_access").select(
+            "event_id", "status", F.expr("case when event_id % 5 = 0 then 'X' else 'R' end").alias("action"), F.col("event_id").alias("ts"), F.expr("case event_id % 3 when 0 then '110103' when 1 then '110112' end").alias("atna"),
+            F.expr("case when event_id % 7 > 0 then user_name || '<&>' end").alias("user"), F.lit("'").alias("src"), F.expr("nullif(src_ip, '10.0.0.0')").alias("src_ip"), "study", F.expr("case when event_id % 2 = 0 then series end").alias("series"),
+            F.expr("case when event_id % 4 = 0 then user_name end").alias("patient"), F.expr("case when event_id % 3 = 1 then 'Modality=\"CT\"&limit=' || event_id else '' end").alias("q"),
+        )
+    ).select("event_id", "message"),
+    """select event_id, '<109>1 ' || event_id || ' - archive - ' || case event_id % 3 when 0 then '110103' when 1 then '110112' else '-' end || ' - ' || chr(65279) || '<AuditMessage><EventIdentification'
+      || case when event_id % 5 = 0 then '' else ' EventActionCode="R"' end || ' EventOutcomeIndicator="' || case status // 100 when 4 then '4' when 5 then '8' else '0' end || '" EventDateTime="' || event_id || '">'
+      || case event_id % 3 when 0 then '<EventID csd-code="110103" codeSystemName="DCM" displayName="DICOM Instances Accessed" />' when 1 then '<EventID csd-code="110112" codeSystemName="DCM" displayName="Query" />' else '' end
+      || '</EventIdentification><ActiveParticipant UserID="' || case when event_id % 7 > 0 then user_name || '&lt;&amp;&gt;' else '&apos;' end || '" UserIsRequestor="true"'
+      || case when src_ip = '10.0.0.0' then '' else ' NetworkAccessPointID="' || src_ip || '" NetworkAccessPointTypeCode="2"' end || ' /><AuditSourceIdentification AuditSourceID="&apos;"><AuditSourceTypeCode csd-code="3" /></AuditSourceIdentification>'
+      || '<ParticipantObjectIdentification ParticipantObjectID="' || study || '" ParticipantObjectTypeCode="2"><ParticipantObjectIDTypeCode csd-code="110180" codeSystemName="DCM" /><ParticipantObjectName>' || study || '</ParticipantObjectName></ParticipantObjectIdentification>'
+      || case when event_id % 2 = 0 then '<ParticipantObjectIdentification ParticipantObjectID="' || series || '" ParticipantObjectTypeCode="2"><ParticipantObjectIDTypeCode csd-code="110181" codeSystemName="DCM" /><ParticipantObjectName>' || series || '</ParticipantObjectName></ParticipantObjectIdentification>' else '' end
+      || case when event_id % 4 = 0 then '<ParticipantObjectIdentification ParticipantObjectID="' || user_name || '" ParticipantObjectTypeCode="1" ParticipantObjectTypeCodeRole="1"><ParticipantObjectIDTypeCode csd-code="2" codeSystemName="DCM" /><ParticipantObjectName>' || user_name || '</ParticipantObjectName></ParticipantObjectIdentification>' else '' end
+      || case when event_id % 3 = 1 then replace('<ParticipantObjectIdentification ParticipantObjectID="?" ParticipantObjectTypeCode="2" ParticipantObjectTypeCodeRole="24"><ParticipantObjectIDTypeCode csd-code="10" codeSystemName="DCM" /><ParticipantObjectQuery>?</ParticipantObjectQuery></ParticipantObjectIdentification>', '?', 'Modality=&quot;CT&quot;&amp;limit=' || event_id) else '' end
+      || '</AuditMessage>' as message from v_access""",
+)
+query(
+    "qry_hidden_page",
+    lambda v: S.hidden_page(v("v_studies"), v("v_instances"), auditor=True, offset=20, limit=100, reason=113037),
+    """select i.sop_uid, i.study_uid, i.series_uid, i.modality, i.reason, 'patient-safety' as meaning, i.file_size, coalesce(s.patient_id, '') as patient_id,
+      case when length(coalesce(patient_name, '')) <= 2 then repeat('*', length(coalesce(patient_name, ''))) else patient_name[1] || repeat('*', length(patient_name) - 2) || patient_name[-1] end as patient_name
+      from (select * from v_instances where reason = 113037 order by sop_uid limit 100 offset 20) i left join v_studies s using (study_uid)""",
+)
+query(
+    "qry_access_log_total",
+    lambda v: S.journal(_journal(v), "ordinal", F.col("ts"), low="2024-01-05", action="C", offset=10, limit=50, total=True).select("ordinal", "event_id", "user_name", "total"),
+    "select ordinal, event_id, user_name, count(*) over () as total from (select *, row_number() over (order by ts, event_id) as ordinal from v_access) where ts >= timestamp '2024-01-05' and route = 'stow_studies' order by ordinal desc limit 50 offset 10",
 )

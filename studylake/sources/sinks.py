@@ -59,17 +59,58 @@ def _replace(rows: DataFrame, path: str, partitions: list[str], kind: str) -> No
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).format(kind).save(path)
 
 
+#: Event codes and what they mean; identifiers and the codes of their kinds.
+EVENTS = {
+    "110101": "Audit Log Used", "110103": "DICOM Instances Accessed", "110104": "DICOM Instances Transferred", "110109": "Order Record",
+    "110110": "Patient Record", "110111": "Procedure Record", "110112": "Query",
+}
+OBJECTS = (("study", "110180"), ("series", "110181"), ("sop", "110182"))
+#: A query's criteria are cut to so many characters.
+CRITERIA = 4096
+
+
 def _xml(c: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    """Text without control characters, escaped; null if nothing is left."""
+    c = F.regexp_replace(c.cast("string"), r"[\x00-\x1F]", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return F.nullif(c, F.lit(""))
+
+
+def _attributes(**values: Column | str) -> Column:
+    """Those attributes whose value is not null; _ in a name stands for a hyphen."""
+    each = [F.concat(F.lit(f' {name.replace("_", "-")}="'), v if isinstance(v, Column) else F.lit(v), F.lit('"')) for name, v in values.items()]
+    return F.concat_ws("", *each)
 
 
-def audit_message(rows: DataFrame, host: str, application: str = "archive") -> DataFrame:
-    """message: a syslog line with an audit XML of each journal row (ts, user, action, atna, outcome, study)."""
-    f = lambda c: _xml(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    xml = F.concat(
-        F.lit('<AuditMessage><EventIdentification EventActionCode="'), f("action"), F.lit('" EventDateTime="'), f("ts"), F.lit('" EventOutcomeIndicator="'), f("outcome"), F.lit('"><EventID csd-code="'), f("atna"),
-        F.lit('" codeSystemName="DCM"/></EventIdentification><ActiveParticipant UserID="'), f("user"), F.lit('" UserIsRequestor="true"/><ParticipantObjectIdentification ParticipantObjectID="'), f("study"), F.lit('"/></AuditMessage>'),
+def _object(id_: Column, code: str, inner: str = "Name", **more: str) -> Column:
+    """A participant object, null without an identifier."""
+    head = F.concat(F.lit("<ParticipantObjectIdentification"), _attributes(ParticipantObjectID=id_, **more), F.lit(">"))
+    kind = F.lit(f'<ParticipantObjectIDTypeCode csd-code="{code}" codeSystemName="DCM" />')
+    return F.when(id_.isNotNull(), F.concat(head, kind, F.lit(f"<ParticipantObject{inner}>"), id_, F.lit(f"</ParticipantObject{inner}></ParticipantObjectIdentification>")))
+
+
+def audit_message(rows: DataFrame, host: str = "-", application: str = "archive") -> DataFrame:
+    """message: a syslog line with an audit XML of each journal row (ts, user, src, src_ip, action, atna, status, study, series, sop, patient, q; absent columns are null).
+
+    Attributes and objects without a value are left out; a row without a user is told by its source. The outcome is 4 for a status of 400 to 499, 8 from 500 on, else 0.
+    """
+    raw = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    f = lambda c: _xml(raw(c))
+    meaning = F.lit(None).cast("string")
+    for code, text in EVENTS.items():
+        meaning = F.when(raw("atna") == code, text).otherwise(meaning)
+    status = raw("status").try_cast("int")
+    outcome = F.when(status.between(400, 499), "4").when(status >= 500, "8").otherwise("0")
+    action = F.when(raw("action").isin("R", "C", "U", "D"), raw("action"))
+    event = F.when(f("atna").isNotNull(), F.concat(F.lit("<EventID"), _attributes(csd_code=f("atna"), codeSystemName="DCM", displayName=meaning), F.lit(" />")))
+    address = F.when(f("src_ip").isNotNull(), "2")
+    query = _xml(F.left(raw("q"), F.lit(CRITERIA)))
+    xml = F.concat_ws(
+        "", F.lit("<AuditMessage><EventIdentification"), _attributes(EventActionCode=action, EventOutcomeIndicator=outcome, EventDateTime=f("ts")), F.lit(">"), event, F.lit("</EventIdentification><ActiveParticipant"),
+        _attributes(UserID=F.coalesce(f("user"), f("src")), UserIsRequestor="true", NetworkAccessPointID=f("src_ip"), NetworkAccessPointTypeCode=address), F.lit(" /><AuditSourceIdentification"),
+        _attributes(AuditSourceID=f("src")), F.lit('><AuditSourceTypeCode csd-code="3" /></AuditSourceIdentification>'), *(_object(f(c), code, ParticipantObjectTypeCode="2") for c, code in OBJECTS),
+        _object(f("patient"), "2", ParticipantObjectTypeCode="1", ParticipantObjectTypeCodeRole="1"), _object(query, "10", "Query", ParticipantObjectTypeCode="2", ParticipantObjectTypeCodeRole="24"), F.lit("</AuditMessage>"),
     )
-    return rows.select("*", F.concat(F.lit("<85>1 "), F.coalesce(F.col("ts").cast("string"), F.lit("-")), F.lit(f" {host} {application} - IHE+RFC-3881 - "), xml).alias("message"))
+    head = F.concat(F.lit("<109>1 "), F.coalesce(raw("ts"), F.lit("-")), F.lit(f" {host} {application} - "), F.coalesce(raw("atna"), F.lit("-")), F.lit(" - \ufeff"))
+    return rows.select("*", F.concat(head, xml).alias("message"))

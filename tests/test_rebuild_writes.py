@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studylake.operators import integrity as I
 from studylake.operators import lifecycle as L
+from studylake.operators import search as S
 from studylake.operators import usercode as U
 from studylake.sources import readers, sinks
 
@@ -98,3 +99,23 @@ def test_a_batch_that_runs_twice_is_there_once(spark, tmp_path):
     for number in (0, 0, 1):
         each(lines, number)
     assert sorted((r.ts, str(r.day)) for r in readers.journal(spark, str(tmp_path / "j"), "access").collect()) == [("1", "2024-01-01")] * 4 + [("2", "2024-01-02")] * 2
+
+
+def test_audit_message_leaves_out_what_is_absent(spark):
+    rows = spark.createDataFrame([(None, None, None, "\x01", None), ("200", "1", "a\"b\x07", "ip", "x&" * 5000)], "status string, ts string, src string, src_ip string, q string")
+    bare, full = (r.message for r in sinks.audit_message(rows).orderBy(F.col("ts").asc_nulls_first()).collect())
+    assert bare == "<109>1 - - archive - - - \ufeff<AuditMessage><EventIdentification EventOutcomeIndicator=\"0\"></EventIdentification><ActiveParticipant UserIsRequestor=\"true\" /><AuditSourceIdentification><AuditSourceTypeCode csd-code=\"3\" /></AuditSourceIdentification></AuditMessage>"
+    assert 'UserID="a&quot;b"' in full and full.count("x&amp;") == 2 * 2048 and '=""' not in full
+
+
+def test_journal_totals_and_hidden_pages(spark):
+    lines = spark.createDataFrame([(i, "u", "C" if i % 2 else "R") for i in range(10)], "n long, user_name string, action string").withColumn("ts", F.timestamp_seconds(F.col("n")))
+    page = S.journal(lines, "n", F.col("ts"), action="C", offset=1, limit=2, total=True).collect()
+    assert [(r.n, r.total) for r in page] == [(7, 5), (5, 5)]
+    assert S.journal(lines, "n", F.col("ts"), user="nobody", total=True).count() == 0
+    rows = spark.createDataFrame([("a", "s", "r", "CT", 113001, 5), ("b", "t", "r", "CT", 113037, 5), ("c", "t", "r", "CT", 0, 5), ("d", "t", "q", "CT", 113037, 5)], "sop_uid string, study_uid string, series_uid string, modality string, reason int, file_size long")
+    studies = spark.createDataFrame([("t", "P1", "Doe^J"), ("s", None, None)], "study_uid string, patient_id string, patient_name string")
+    got = [(r.sop_uid, r.patient_id, r.patient_name) for r in S.hidden_page(studies, rows, auditor=True).collect()]
+    assert got == [("a", "", ""), ("b", "P1", "D***J"), ("d", "P1", "D***J")]
+    assert [r.sop_uid for r in S.hidden_page(studies, rows, series_uid="r", reason=113037).collect()] == ["b"]
+    assert [r.sop_uid for r in S.hidden_page(studies, rows, offset=1, limit=1).collect()] == ["b"]
