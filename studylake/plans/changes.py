@@ -224,8 +224,8 @@ query(
     "select m as start, m + interval 60 minutes as stop, count(*) as requests from (select unnest(list_transform(range(60), lambda i: date_trunc('minute', ts) - to_minutes(i))) as m from v_access where who = '') group by m",
 )
 query("st_counters", lambda v: jobs.counters(v("v_access")), "select route, case status // 100 when 4 then '4xx' when 5 then '5xx' else '2xx' end as class, count(*) as requests from v_access group by all")
-# arrays
-pix = lambda v: v("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("a"))
+# arrays: samples in thousandths, multiplied in the column's own single precision (an integer literal would make it double where spark.sql.ansi.enabled is set, and move halves)
+pix = lambda v: v("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int")).alias("a"))
 PIX = "(select vec_id, list_transform(embedding, lambda x: cast(round(x * 1000) as int)) as a from embeddings)"
 flat = lambda c, name="a": F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(name)
 query("arr_rescale", lambda v: pix(v).select("vec_id", flat(F.transform(R.rescale(F.col("a"), 2, -1024), lambda x: x.cast("long")))), f"select vec_id, array_to_string(list_transform(a, lambda x: x * 2 - 1024), ',') as a from {PIX}")
