@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.readers import dicom_datasets, dicom_json
 from .joins import index_gap
 from .lifecycle import merge_ingest
@@ -41,11 +42,12 @@ def rebuild_levels(datasets: DataFrame, stored: dict[str, DataFrame], attributes
     datasets: value (DICOM JSON), blob_hash. stored: a table for each level with its key, for instances study_uid and series_uid too, and the columns named in attributes
     (level -> column -> (tag, kind)). Stored values win; a gap takes the value of the dataset with the smallest hash that has one, and studies, series and instances that are not
     stored are added. An instance belongs to its stored study, else to the smallest study that claims it; other claims are conflicts and add nothing. Datasets that are no JSON or
-    lack one of the three identifiers are errors. Repeated datasets count once.
+    lack one of the three identifiers are errors. Repeated datasets count once. The attributes are written once: a filter or join above the parser would move below it and parse each text
+    again for every condition, table and level.
     """
     wanted = {level: [*(c for c in ("study_uid", "series_uid") if level == "instances"), *attributes[level]] for level in LEVELS}
     columns = UIDS | {name: at for level in attributes.values() for name, at in level.items()}
-    rows = dicom_datasets(datasets.select("value", "blob_hash"), columns).drop("dataset")
+    rows = cut(dicom_datasets(datasets.select("value", "blob_hash"), columns).drop("dataset"), "datasets")
     whole = F.col("study_uid").isNotNull() & F.col("series_uid").isNotNull() & F.col("sop_uid").isNotNull()
     good = rows.where(whole)
     held = stored["instances"].select("sop_uid", F.col("study_uid").alias("_study"))

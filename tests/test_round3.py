@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import duckdb
 
+from studylake.operators import integrity as I
 from studylake.plans import changes
 
 
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_samples_are_multiplied_in_single_precision(spark):
     """-0.2765 is a little less than that as a float; times 1000 it is -276.5 in single precision, as in the SQL."""
     given = spark.createDataFrame([(1, [-0.2765, 0.1405, 0.25])], "vec_id long, embedding array<float>")
@@ -18,3 +23,12 @@ def test_samples_are_multiplied_in_single_precision(spark):
             assert changes.pix(lambda name: given).first()["a"] == con.sql(f"select a from {changes.PIX}").fetchall()[0][0]
         finally:
             spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_a_rebuild_parses_each_text_once(spark):
+    """Neither a level's table nor the conflicts parse texts again; the errors neither."""
+    texts = spark.createDataFrame([('{"00080018": {"vr": "UI", "Value": ["i1"]}, "0020000D": {"vr": "UI", "Value": ["s1"]}, "0020000E": {"vr": "UI", "Value": ["e1"]}}', "b1"), ("{", "b2")], "value string, blob_hash string")
+    empty = {"studies": "study_uid string, x string", "series": "study_uid string, series_uid string, x string", "instances": "sop_uid string, study_uid string, series_uid string, x string"}
+    out = I.rebuild_levels(texts, {k: spark.createDataFrame([], s) for k, s in empty.items()}, {k: {"x": ("00080060", "text")} for k in empty})
+    assert all("parseJson" not in _optimized(df) for df in out.values())
+    assert (out["instances"].first()["sop_uid"], out["errors"].first()["blob_hash"]) == ("i1", "b2")
