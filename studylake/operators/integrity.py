@@ -22,8 +22,8 @@ def bad_hashes(verdicts: DataFrame, most: int = 1024) -> DataFrame:
 
 
 def rebuild(datasets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(instances, conflicts): the instance table from DICOM JSON datasets (text in column value). An id belongs to its stored study, else to the smallest study that claims it; claims of others are conflicts."""
-    rows = dicom_json(datasets, {"sop_uid": "00080018", "series_uid": "0020000E", "study_uid": "0020000D"}).where("sop_uid is not null")
+    """(instances, conflicts): the instance table from DICOM JSON datasets (text in column value). An id belongs to its stored study, else to the smallest study that claims it; claims of others are conflicts. The identifiers are written once, so each text is parsed once."""
+    rows = cut(dicom_json(datasets, {"sop_uid": "00080018", "series_uid": "0020000E", "study_uid": "0020000D"}), "identifiers").where("sop_uid is not null")
     held = stored.select("sop_uid", F.col("study_uid").alias("_study"))
     owner = rows.groupBy("sop_uid").agg(F.min("study_uid").alias("_least")).join(held, "sop_uid", "left").select("sop_uid", F.coalesce("_study", "_least").alias("_owner"))
     claims = rows.join(owner, "sop_uid")

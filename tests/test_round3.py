@@ -6,6 +6,9 @@ import duckdb
 
 from studylake.operators import integrity as I
 from studylake.plans import changes
+from studylake.plans.archive import QUERIES
+
+from .oracle import SMALL
 
 
 def _optimized(df) -> str:
@@ -32,3 +35,7 @@ def test_a_rebuild_parses_each_text_once(spark):
     out = I.rebuild_levels(texts, {k: spark.createDataFrame([], s) for k, s in empty.items()}, {k: {"x": ("00080060", "text")} for k in empty})
     assert all("parseJson" not in _optimized(df) for df in out.values())
     assert (out["instances"].first()["sop_uid"], out["errors"].first()["blob_hash"]) == ("i1", "b2")
+
+
+def test_a_plain_rebuild_parses_each_text_once(spark):
+    assert all("from_json" not in _optimized(QUERIES[q](spark, SMALL)) for q in ("int_rebuild", "int_rebuild_conflicts"))
