@@ -2,26 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .joins import all_rules
 
 
-def per_study(frames: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str, defaults: dict | None = None, by: tuple[str, ...] = ("study_uid",), **parameters) -> DataFrame:
-    """fn(frames of one study, parameters) once for each study; parameters fall back to defaults and keep their types."""
+def _changes(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Numbers of the rows whose key is not that of the row before; null keys are one key."""
+    new = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+    for c in by:
+        gap, a = pdf[c].isna().to_numpy(), pdf[c].to_numpy()
+        new |= np.where(gap[1:] | gap[:-1], gap[1:] != gap[:-1], a[1:] != a[:-1])
+    return np.flatnonzero(new) + 1
+
+
+def _stacked(results: list, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Results as few frames: lists of rows as one; of frames, columns that have several types keep their values as they are."""
+    if rows := [r for x in results if isinstance(x, list) for r in x]:
+        yield pd.DataFrame(rows, columns=names, dtype=object)
+    if frames := [x for x in results if not isinstance(x, list) and len(x)]:
+        same = all(x.columns.equals(frames[0].columns) and x.dtypes.equals(frames[0].dtypes) for x in frames)
+        yield pd.concat(frames if same else [x.astype(object) for x in frames], ignore_index=True)
+
+
+def per_study(frames: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame | list[tuple]], schema: str, defaults: dict | None = None, by: tuple[str, ...] = ("study_uid",), **parameters) -> DataFrame:
+    """fn(frames of one study, parameters) once for each study; parameters fall back to defaults and keep their types. fn gives a frame, or a list of tuples in the schema's order.
+
+    Studies lie one after the other in sorted partitions and are cut from Arrow batches: a group for each of millions of small studies (applyInPandas) costs far more than its function.
+    A study that reaches over several batches is put together first.
+    """
     defaults = defaults or {}
     if unknown := set(parameters) - set(defaults):
         raise ValueError(f"unknown parameters: {sorted(unknown)}")
     values = {k: type(v)(parameters.get(k, v)) for k, v in defaults.items()}
+    by, names = list(by), StructType.fromDDL(schema).names
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf, values)
-
-    return frames.groupBy(*by).applyInPandas(run, schema)
+    def run(batches):
+        pieces = []  # of the study that the batches so far end with
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cuts = [0, *_changes(pdf, by).tolist(), len(pdf)]
+            results = []
+            if pieces and len(_changes(pd.concat([pieces[-1].tail(1), pdf.head(1)]), by)):
+                results.append(fn(pd.concat(pieces, ignore_index=True), values))
+                pieces = []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                one = pdf.iloc[low:high].reset_index(drop=True)
+                if high == len(pdf):
+                    pieces.append(one)
+                elif pieces:
+                    results.append(fn(pd.concat([*pieces, one], ignore_index=True), values))
+                    pieces = []
+                else:
+                    results.append(fn(one, values))
+            yield from _stacked(results, names)
+        if pieces:
+            yield from _stacked([fn(pd.concat(pieces, ignore_index=True), values)], names)
+
+    return frames.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def per_frame(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -54,20 +99,25 @@ def chain_outcomes(studies: DataFrame, rules: DataFrame, frames: DataFrame, fn,
     An exception of fn, or a result without a column of the schema, fails its own task only; a task whose study has no frames is empty and fn is not called. Values of a wrong type still
     fail the job. schema has study_uid and rule.
     """
-    names = [f.split()[0] for f in schema.split(",")]
+    names = StructType.fromDDL(schema).names
+    columns = ["study_uid", "rule", *(c for c in frames.columns if c != "study_uid")]
 
-    def guarded(pdf: pd.DataFrame, parameters: dict) -> pd.DataFrame:
-        own, rows, error = pdf[["study_uid", "rule"]].head(1), None, None
-        pdf = pdf[pdf["_frame"].notna()].drop(columns="_frame")
+    def guarded(pdf: pd.DataFrame, parameters: dict) -> pd.DataFrame | list[tuple]:
+        own, rows, error = {c: pdf[c].iat[0] for c in ("study_uid", "rule")}, None, None
         try:
-            if len(pdf):
-                rows = fn(pdf, parameters)[names]
+            if pd.notna(pdf["_frame"].iat[0]):  # a study without frames has one row that says so
+                rows = fn(pdf[columns], parameters)
+                if isinstance(rows, list):
+                    rows = [(*r, "complete", None) for r in rows]
+                    if any(len(r) != len(names) + 2 for r in rows):
+                        raise ValueError(f"a row needs {len(names)} values")
+                else:
+                    rows = rows[names].assign(outcome="complete", error=None)
         except Exception as e:  # whatever a model raises is that task's outcome
-            error = f"{type(e).__name__}: {e}"
+            rows, error = None, f"{type(e).__name__}: {e}"
         if rows is None or not len(rows):
-            rows = own.reindex(columns=names).astype(object).where(lambda d: d.notna(), None)
-            return rows.assign(outcome="failed" if error else "empty", error=error)
-        return rows.assign(outcome="complete", error=None)
+            return [(*(own.get(n) for n in names), "failed" if error else "empty", error)]
+        return rows
 
     tasks = all_rules(studies, rules).select("study_uid", F.col("name").alias("rule"))
     given = tasks.join(frames.withColumn("_frame", F.lit(True)), "study_uid", "left")

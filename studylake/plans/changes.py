@@ -262,7 +262,7 @@ query("arr_contours", lambda v: R.contours(pix(v).select(F.col("vec_id").alias("
 
 # user code: a study's bytes times a factor, and a frame's count times ten
 def _bytes(pdf, p):
-    return pdf[["study_uid"]].head(1).assign(total=int(pdf["file_size"].sum()) * p["factor"])
+    return [(pdf["study_uid"].iat[0], int(pdf["file_size"].sum()) * p["factor"])]
 
 
 query("udf_per_study", lambda v: U.per_study(v("v_instances").select("study_uid", "file_size"), _bytes, "study_uid string, total long", {"factor": 2}, factor=3), "select study_uid, cast(sum(file_size) * 3 as bigint) as total from v_instances group by study_uid")

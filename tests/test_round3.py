@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 from studylake.operators import integrity as I
+from studylake.operators import usercode as U
 from studylake.plans import changes
 from studylake.plans.archive import QUERIES
 
@@ -39,3 +40,23 @@ def test_a_rebuild_parses_each_text_once(spark):
 
 def test_a_plain_rebuild_parses_each_text_once(spark):
     assert all("from_json" not in _optimized(QUERIES[q](spark, SMALL)) for q in ("int_rebuild", "int_rebuild_conflicts"))
+
+
+def test_studies_are_cut_from_sorted_batches(spark):
+    """No group for each study; one that reaches over several Arrow batches is whole, null is a study of its own, and columns of several types keep large numbers."""
+    rows = [("a", 1)] * 7 + [(None, 2)] * 5 + [("b", 3), ("c", 4), ("c", 5)]
+    given = spark.createDataFrame(rows, "study_uid string, size long")
+    big = 2**60 + 1
+    frame = lambda pdf, p: pdf[["study_uid"]].head(1).assign(n=len(pdf), total=big if pdf["study_uid"].iat[0] != "b" else float("nan"))
+    tuples = lambda pdf, p: [(pdf["study_uid"].iat[0], len(pdf), big if pdf["study_uid"].iat[0] != "b" else None)]
+    want = {("a", 7, big), (None, 5, big), ("b", 1, None), ("c", 2, big)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("2", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for fn in (frame, tuples):
+                out = U.per_study(given, fn, "study_uid string, n long, total long")
+                assert {tuple(r) for r in out.collect()} == want and out.count() == 4
+                assert "FlatMapGroupsInPandas" not in _optimized(out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
