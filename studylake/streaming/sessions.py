@@ -189,7 +189,7 @@ class SessionLines(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         now = self.session.get() if self.session.exists() else None
         first, last, requests, sums = (now[0], now[1], now[2], list(now[3])) if now else (None, None, 0, [])
-        expected = self.expected.get()[0] if self.expected.exists() else None
+        expected = self.expected.get()[0] if now and self.expected.exists() else None
         lines = []
         came = [r for f in rows for r in f[["ts", "arrival", "known", *self.sums]].itertuples(index=False)]
         for ts, _, known, *adds in sorted(came, key=lambda r: (r[0], r[1])):
@@ -209,7 +209,13 @@ class SessionLines(StatefulProcessor):
             if expected is not None and requests >= expected:
                 lines.append((at, "loaded", requests, sums))
                 requests, expected = 0, None
-        if requests:
+        if not now:  # nothing is stored of a key without a session, neither a number nor a timer; each call to the store is a round trip
+            if requests:
+                self.session.update((first, last, requests, sums))
+                if expected is not None:
+                    self.expected.update((expected,))
+                self.handle.registerTimer(last // 1000 + self.gap_ms + 1)
+        elif requests:
             self.session.update((first, last, requests, sums))
             self.expected.update((expected,)) if expected is not None else self.expected.clear()
             self._timer(last // 1000 + self.gap_ms + 1)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from unittest.mock import MagicMock
+
 import duckdb
+import pandas as pd
 
 from studylake.operators import integrity as I
 from studylake.operators import usercode as U
 from studylake.plans import changes
 from studylake.plans.archive import QUERIES
+from studylake.streaming import sessions
 
 from .oracle import SMALL
 
@@ -60,3 +64,16 @@ def test_studies_are_cut_from_sorted_batches(spark):
                 assert "FlatMapGroupsInPandas" not in _optimized(out)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_new_key_asks_the_state_store_once():
+    """Of a key without a session nothing is stored: whether there is one is the only question, then its state and timer are set."""
+    lines = sessions.SessionLines(1000, ["bytes"], 0, "partial")
+    lines.handle, lines.session, lines.expected = MagicMock(), MagicMock(), MagicMock()
+    lines.session.exists.return_value = False
+    row = lambda known: pd.DataFrame({"ts": [pd.Timestamp("2024-01-01")], "arrival": [1], "known": [known], "bytes": [5]})
+    calls = lambda: [c[0] for m in (lines.handle, lines.session, lines.expected) for c in m.method_calls]
+    assert list(next(lines.handleInputRows(("k",), iter([row(None)]), None))["line"]) == ["started"]
+    assert calls() == ["registerTimer", "exists", "update"]
+    assert list(next(lines.handleInputRows(("k",), iter([row(1)]), None))["line"]) == ["started", "loaded"]
+    assert calls() == ["registerTimer", "exists", "update", "exists"]
