@@ -6,14 +6,15 @@ from unittest.mock import MagicMock
 
 import duckdb
 import pandas as pd
+import pytest
 
 from studylake.operators import integrity as I
 from studylake.operators import usercode as U
 from studylake.plans import changes
-from studylake.plans.archive import QUERIES
+from studylake.plans.archive import ORACLES, QUERIES
 from studylake.streaming import sessions
 
-from .oracle import SMALL
+from .oracle import SMALL, rows
 
 
 def _optimized(df) -> str:
@@ -33,6 +34,15 @@ def test_samples_are_multiplied_in_single_precision(spark):
             spark.conf.set("spark.sql.ansi.enabled", "true")
 
 
+@pytest.mark.parametrize("name", ["arr_downsample", "arr_downsample_11x4", "arr_downsample_3x2", "arr_minmax", "arr_rescale"])
+def test_arrays_of_halves_equal_their_sql(spark, tmp_path, name):
+    """Every sample but one is such a half, so means of cells show it too."""
+    spark.createDataFrame([(1, [-0.2765] * 63 + [0.25]), (2, [0.25] + [0.1405, -0.2765] * 31 + [-0.5])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
+
+
 def test_a_rebuild_parses_each_text_once(spark):
     """Neither a level's table nor the conflicts parse texts again; the errors neither."""
     texts = spark.createDataFrame([('{"00080018": {"vr": "UI", "Value": ["i1"]}, "0020000D": {"vr": "UI", "Value": ["s1"]}, "0020000E": {"vr": "UI", "Value": ["e1"]}}', "b1"), ("{", "b2")], "value string, blob_hash string")
