@@ -68,18 +68,19 @@ LEVELS = {"study": "study_uid", "series": "series_uid", "instance": "sop_uid"}
 def delete(instances: DataFrame, named: DataFrame, level: str = "study", classes: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(preview, what stays, tombstones) of deleting studies, series or instances (named: their ids): instances, bytes and blobs shared with others; studies without an instance left.
 
-    Derived objects of the classes (instances.refs: what they refer to) go with the series or instances they refer to.
+    Derived objects of the classes (instances.refs: what they refer to) go with the series or instances they refer to. Rows are marked, not joined with themselves; the preview is one grouping by blob.
     """
     key = LEVELS[level]
     named = named.select(key).distinct()
-    gone = instances.join(named, key, "left_semi").select("sop_uid")
+    marked = instances.join(named.withColumn("_gone", F.lit(True)), key, "left")
     if classes:
-        lost = instances.join(gone, "sop_uid", "left_semi")
-        uids = lost.select(F.explode(F.array("sop_uid", "series_uid") if level != "instance" else F.array("sop_uid")).alias("uid"))
-        gone = gone.unionByName(cascade(instances, list(classes), uids)).distinct()
-    deleted, stays = instances.join(gone, "sop_uid", "left_semi"), instances.join(gone, "sop_uid", "left_anti")
-    mine = deleted.select("blob_hash").distinct().join(stays.select("blob_hash"), "blob_hash", "left_semi").agg(F.count("*").alias("shared_blobs"))
-    preview = deleted.agg(F.count("*").alias("instances"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).crossJoin(F.broadcast(mine))  # one row each
+        lost = instances.select("sop_uid", "series_uid", key).join(named, key, "left_semi")
+        uids = lost.select(F.explode(F.array("sop_uid", "series_uid")).alias("uid")) if level != "instance" else lost.select(F.col("sop_uid").alias("uid"))
+        marked = marked.join(cascade(instances, list(classes), uids).withColumn("_derived", F.lit(True)), "sop_uid", "left").withColumn("_gone", F.coalesce("_gone", "_derived")).drop("_derived")
+    marked = marked.withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    deleted, stays = (marked.where(c).select(instances.columns) for c in (F.col("_gone"), ~F.col("_gone")))
+    each = marked.groupBy("blob_hash").agg(F.count_if("_gone").alias("n"), F.sum(F.when(F.col("_gone"), F.col("file_size"))).alias("b"), F.bool_or(~F.col("_gone")).alias("held"))
+    preview = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("instances"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.count_if((F.col("n") > 0) & F.col("held") & F.col("blob_hash").isNotNull()).alias("shared_blobs"))
     touched = deleted.select("study_uid").unionByName(named) if level == "study" else deleted.select("study_uid")
     return preview, stays, touched.distinct().join(stays.select("study_uid"), "study_uid", "left_anti")
 
