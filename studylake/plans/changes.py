@@ -67,10 +67,9 @@ ENABLED = [113037, 113038]
 
 
 def _notes(v):
-    rows = v("v_instances")
-    weak = rows.where("seq <= 3").select("sop_uid", F.expr("case seq % 3 when 0 then 113001 when 1 then 113037 else 113039 end").alias("code"))
-    more = rows.where("file_size % 4000 <> 0").select("sop_uid", F.expr("case file_size % 3000 when 0 then 113038 when 1000 then 113001 else 113037 end").alias("code"))
-    return weak.unionByName(more).unionByName(rows.where("frames = 2").select("sop_uid", F.lit(113039).alias("code")))
+    weak = "case when seq <= 3 then case seq % 3 when 0 then 113001 when 1 then 113037 else 113039 end end"
+    more = "case when file_size % 4000 <> 0 then case file_size % 3000 when 0 then 113038 when 1000 then 113001 else 113037 end end"
+    return v("v_instances").select("sop_uid", F.explode(F.expr(f"array_compact(array({weak}, {more}, case when frames = 2 then 113039 end))")).alias("code"))
 
 
 # What holds after all notes: the highest strict code, else the lowest one on a visible instance, else what was there.
