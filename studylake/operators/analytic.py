@@ -10,17 +10,18 @@ def ingest_outcome(arrivals: DataFrame, order: list[Column]) -> DataFrame:
     """Adds outcome: inserted, conflict, idempotent or updated, in arrival order.
 
     A known id conflicts if its owner study is another, or if the arriving patient is not the one of the arrival that created
-    the study; what is not a conflict compares with the last accepted hash. Four windows by id or study, no UDF.
+    the study; what is not a conflict compares with the last accepted hash. Windows by id, study and id, no UDF; of hash and owner the shuffles carry a number within the id and a flag.
     """
     w = Window.partitionBy("sop_uid").orderBy(*order)
-    a = arrivals.withColumns({"_rn": F.row_number().over(w), "_own": F.first("study_uid").over(w)})
+    hashes = F.when(F.col("blob_hash").isNotNull(), F.dense_rank().over(Window.partitionBy("sop_uid").orderBy("blob_hash")))
+    a = arrivals.withColumns({"_rn": F.row_number().over(w), "_other": F.col("study_uid") != F.first("study_uid").over(w), "_hash": hashes})
     whole = Window.partitionBy("study_uid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own_whole = F.first(F.when(F.col("_rn") == 1, F.col("patient_id")), ignorenulls=True).over(whole)
     b = a.withColumn("_patient", own_whole)
-    c = b.withColumn("_conf", (F.col("_rn") > 1) & ((F.col("study_uid") != F.col("_own")) | F.coalesce(F.col("patient_id") != F.col("_patient"), F.lit(False))))
-    d = c.withColumn("_prev", F.lag("blob_hash").over(Window.partitionBy("sop_uid", "_conf").orderBy(*order)))
-    outcome = F.when(F.col("_rn") == 1, "inserted").when(F.col("_conf"), "conflict").when(F.col("blob_hash") == F.col("_prev"), "idempotent").otherwise("updated")
-    return d.withColumn("outcome", outcome).drop("_rn", "_own", "_patient", "_conf", "_prev")
+    c = b.withColumn("_conf", (F.col("_rn") > 1) & (F.col("_other") | F.coalesce(F.col("patient_id") != F.col("_patient"), F.lit(False))))
+    d = c.withColumn("_prev", F.lag("_hash").over(Window.partitionBy("sop_uid", "_conf").orderBy("_rn")))
+    outcome = F.when(F.col("_rn") == 1, "inserted").when(F.col("_conf"), "conflict").when(F.col("_hash") == F.col("_prev"), "idempotent").otherwise("updated")
+    return d.withColumn("outcome", outcome).drop("_rn", "_other", "_hash", "_patient", "_conf", "_prev")
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
