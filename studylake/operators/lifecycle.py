@@ -15,8 +15,8 @@ QUALITY = 113001
 
 
 def merge_ingest(stored: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Stored rows win; of new ones the first arrival stays."""
-    fresh = keep_first(incoming, [key], order).join(stored.select(key), key, "left_anti")
+    """Stored rows win; of new ones the first arrival stays: what is stored goes before the rest is sorted."""
+    fresh = keep_first(incoming.join(stored.select(key), key, "left_anti"), [key], order)
     return stored.unionByName(fresh.select(stored.columns))
 
 

@@ -138,3 +138,16 @@ def test_deletion_marks_rows_in_one_pass(spark):
 def test_outcomes_carry_no_hash_through_shuffles(spark):
     plan = _optimized(QUERIES["win_ingest_outcome"](spark, SMALL))
     assert "blob_hash" not in plan[: plan.index("windowspecdefinition(study_uid")]
+
+
+def test_what_is_stored_goes_before_arrivals_are_sorted(spark):
+    stored = spark.createDataFrame([("a", 1)], "sop_uid string, n int")
+    coming = spark.createDataFrame([("a", 2), ("b", 4), ("b", 3), (None, 5)], "sop_uid string, n int")
+    out = L.merge_ingest(stored, coming, "sop_uid", [changes.F.col("n")])
+    assert {tuple(r) for r in out.collect()} == {("a", 1), ("b", 3), (None, 5)}
+    assert 0 < _optimized(out).index("Window") < _optimized(out).index("LeftAnti")
+
+
+def test_two_archives_run_the_windows_once(spark):
+    stored, coming, _ = changes._archives(lambda name: view(spark, SMALL, name))
+    assert all("Window" not in _optimized(a[level]) for a in (stored, coming) for level in ("series", "instances"))
