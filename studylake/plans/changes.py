@@ -8,6 +8,7 @@ from ..operators import arrays as R
 from ..operators import integrity as I
 from ..operators import lifecycle as L
 from ..operators import usercode as U
+from ..session import cut
 from ..sources.views import ARRIVAL
 from ..streaming import jobs, sessions
 from .registry import query
@@ -32,9 +33,9 @@ STORED, COMING = "arrived_at < timestamp '1997-01-01'", "cast(substring(study_ui
 
 def _archives(v):
     studies = v("v_studies").select("study_uid", "study_description", F.col("arrived_at").cast("timestamp").alias("arrived_at"))
-    of = lambda t, some: v(t).join(some.select("study_uid"), "study_uid", "left_semi")
-    series = lambda some: of("v_series", some).select("series_uid", "study_uid", "modality", "body_part", "seq")
-    instances = lambda some: of("v_instances", some).select("sop_uid", "series_uid", "study_uid", "file_size")
+    # both archives take their rows from one table written once, so the views' windows run once
+    all_series, all_instances = cut(v("v_series").select("series_uid", "study_uid", "modality", "body_part", "seq"), "series"), cut(v("v_instances").select("sop_uid", "series_uid", "study_uid", "file_size"), "instances")
+    series, instances = (lambda some, t=t: t.join(some.select("study_uid"), "study_uid", "left_semi").select(t.columns) for t in (all_series, all_instances))
     old, new = studies.where(STORED), studies.where(COMING).withColumns({"study_description": F.concat(F.lit("new "), "study_description"), "arrived_at": F.expr("arrived_at + interval 30 days")})
     stored = {"studies": old, "series": series(old).withColumn("body_part", F.expr("nullif(body_part, 'HEAD')")), "instances": instances(old).where("file_size > 10000")}
     incoming = {"studies": new, "series": series(new), "instances": instances(new).withColumn("file_size", F.col("file_size") + 1)}
