@@ -79,6 +79,34 @@ def sequence(rows: DataFrame, tag: str, attributes: dict[str, tuple[str, str]],
     return items.select("*", *(attribute(F.col("dataset"), t, kind).alias(name) for name, (t, kind) in attributes.items()))
 
 
+#: The same kinds within a cast of a whole item: what is cast below the tag, and how the value is taken from it.
+WITHIN = {
+    "text": ("Value: array<string>", lambda e: F.get(e["Value"], F.lit(0))), "number": ("Value: array<bigint>", lambda e: F.get(e["Value"], F.lit(0))),
+    "name": ("Value: array<struct<Alphabetic: string>>", lambda e: F.get(e["Value"], F.lit(0))["Alphabetic"]), "all": ("Value: array<string>", lambda e: e["Value"]),
+    "items": ("Value: array<variant>", lambda e: e["Value"]), "binary": ("InlineBinary: string", lambda e: F.try_to_binary(e["InlineBinary"], F.lit("base64"))),
+}
+
+
+def sequences(rows: DataFrame, levels: list[tuple[str, str, dict[str, tuple[str, str]]]], dataset: str = "dataset") -> DataFrame:
+    """One row an item of the last of nested sequences. levels: tag, name of the position, attributes of its items, from the outermost inwards.
+
+    Gives what a call of sequence() for each level gives but for the dataset of the item: all levels are cast once, so no dataset is made of an item. An attribute's tag is named once a level.
+    """
+    type_ = ""
+    for tag, _, attributes in reversed(levels):
+        fields = [f"`{t}`: struct<{WITHIN[kind][0]}>" for t, kind in attributes.values()]
+        type_ = f"array<struct<{', '.join(fields + ([f'`{inner}`: struct<Value: {type_}>'] if type_ else []))}>>"
+        inner = tag
+    kept = [c for c in rows.columns if c != dataset]
+    found = F.try_variant_get(F.col(dataset), f'$["{inner}"].Value', type_)
+    for n, (_, position, attributes) in enumerate(levels):
+        items = rows.select(*kept, F.posexplode(found).alias(position, "_item"))
+        rows = items.select("*", *(WITHIN[kind][1](F.col("_item")[t]).alias(name) for name, (t, kind) in attributes.items()))
+        kept += [position, *attributes]
+        found = F.col("_item")[levels[n + 1][0]]["Value"] if n + 1 < len(levels) else None
+    return rows.select(*kept)
+
+
 def journal(spark: SparkSession, path: str, event: str, stream: bool = False) -> DataFrame:
     """Lines of one event kind with day and file, from JSON-lines files named by day, or in folders of a day; torn lines are skipped."""
     schema = JOURNAL + ", _corrupt_record string"

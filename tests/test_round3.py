@@ -14,6 +14,7 @@ from studylake.operators import usercode as U
 from studylake.plans import changes, roundtrips
 from studylake.plans.archive import ORACLES, QUERIES
 from studylake.plans.registry import with_views
+from studylake.sources import readers
 from studylake.sources.views import view
 from studylake.streaming import sessions
 
@@ -153,6 +154,21 @@ def test_two_archives_run_the_windows_once(spark):
     assert all("Window" not in _optimized(a[level]) for a in (stored, coming) for level in ("series", "instances"))
 
 
+def test_nested_sequences_are_cast_once(spark):
+    """One cast for both levels, with the rows that a call of sequence() for each level gives, for texts of other shapes as well."""
+    texts = [
+        '{"A": {"Value": [{"B": {"Value": ["x", "y"]}, "C": {"Value": [{"D": {"Value": [1.50]}}, {"D": 3}, null, 4]}}, null, 5, {"C": {"Value": {}}}, {"C": {"Value": []}}, {"C": 4}]}}',
+        '{"A": {"Value": [{"B": {"Value": [{"q": 1}]}, "C": {"Value": [{"D": {"Value": [[1, 2], 3]}}, {"D": {"Value": "z"}}, {"D": {"Value": [null, "z"]}}]}}]}}',
+        '{"A": {"Value": {"B": 1}}}', '{"A": [1]}', '{"A": null}', "[]", "{", None,
+    ]
+    d = readers.dicom_datasets(spark.createDataFrame(list(enumerate(texts)), "i int, value string"), {})
+    for kind in readers.KINDS:
+        each = readers.sequence(readers.sequence(d, "A", {"b": ("B", kind)}).withColumnRenamed("position", "p"), "C", {"d": ("D", kind)}).drop("dataset")
+        once = readers.sequences(d, [("A", "p", {"b": ("B", kind)}), ("C", "position", {"d": ("D", kind)})])
+        assert once.columns == each.columns and sorted(str(r) for r in once.collect()) == sorted(str(r) for r in each.collect())
+    assert _optimized(QUERIES["src_dicom_sequence"](spark, SMALL)).count("posexplode(try_variant_get") == 1
+
+
 @pytest.mark.parametrize("name", ["src_dicom_sequence", "src_dicom_datasets"])
 def test_datasets_are_joined_by_number(spark, name):
     """No text is made of a line before its study is joined."""
