@@ -174,3 +174,13 @@ def test_datasets_are_joined_by_number(spark, name):
     """No text is made of a line before its study is joined."""
     below = _optimized(QUERIES[name](spark, SMALL)).split("Join LeftOuter", 1)[1]
     assert "md5(" not in below and "concat(" not in below
+
+
+@pytest.mark.parametrize("name", ["arr_minmax"])
+def test_sql_of_arrays_states_the_whole_rule(spark, tmp_path, name):
+    """Equal samples become 128; a cell has one sample at least, and is 0 where there is none."""
+    vectors = [[0.25] * 64, [0.1], [0.1, 0.2, 0.3, 0.4, 0.5], [0.1, -0.1] * 6 + [0.7], []]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
