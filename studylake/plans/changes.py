@@ -252,7 +252,7 @@ def _area(to_width: int, to_height: int) -> None:
 
 _area(3, 2)
 _area(11, 4)
-query("arr_downsample", lambda v: pix(v).select("vec_id", flat(R.downsample(F.transform("a", lambda x: x + 5000), 7))), f"select vec_id, array_to_string(list_transform(range(7), lambda i: (list_sum(p[(i * len(p)) // 7 + 1 : ((i + 1) * len(p)) // 7]) + (((i + 1) * len(p)) // 7 - (i * len(p)) // 7) // 2) // (((i + 1) * len(p)) // 7 - (i * len(p)) // 7)), ',') as a from (select vec_id, list_transform(a, lambda x: cast(x + 5000 as bigint)) as p from {PIX})")
+query("arr_downsample", lambda v: pix(v).select("vec_id", flat(R.downsample(F.transform("a", lambda x: x + 5000), 7))), f"select vec_id, array_to_string(list_transform(range(7), lambda i: (coalesce(list_sum(p[(i * len(p)) // 7 + 1 : greatest(((i + 1) * len(p)) // 7, (i * len(p)) // 7 + 1)]), 0) + (greatest(((i + 1) * len(p)) // 7, (i * len(p)) // 7 + 1) - (i * len(p)) // 7) // 2) // (greatest(((i + 1) * len(p)) // 7, (i * len(p)) // 7 + 1) - (i * len(p)) // 7)), ',') as a from (select vec_id, list_transform(a, lambda x: cast(x + 5000 as bigint)) as p from {PIX})")
 query(
     "arr_to_patient", lambda v: pix(v).select("vec_id", R.to_patient(F.get("a", F.lit(0)), F.get("a", F.lit(1)), F.expr("array(1d, 2d, 3d)"), F.expr("array(1d, 0d, 0d, 0d, 0d, -1d)"), F.expr("array(0.5d, 2d)")).alias("p")).select("vec_id", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate("xyz"))),
     f"select vec_id, 1 + 2.0 * a[1] as x, 2.0 as y, 3 - 0.5 * a[2] as z from {PIX}",

@@ -176,7 +176,7 @@ def test_datasets_are_joined_by_number(spark, name):
     assert "md5(" not in below and "concat(" not in below
 
 
-@pytest.mark.parametrize("name", ["arr_minmax"])
+@pytest.mark.parametrize("name", ["arr_downsample", "arr_minmax"])
 def test_sql_of_arrays_states_the_whole_rule(spark, tmp_path, name):
     """Equal samples become 128; a cell has one sample at least, and is 0 where there is none."""
     vectors = [[0.25] * 64, [0.1], [0.1, 0.2, 0.3, 0.4, 0.5], [0.1, -0.1] * 6 + [0.7], []]
