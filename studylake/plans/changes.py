@@ -241,12 +241,14 @@ def _area(to_width: int, to_height: int) -> None:
     query(
         f"arr_downsample_{to_width}x{to_height}",
         lambda v: image(v).select("vec_id", flat(R.downsample_2d(F.col("a"), F.lit(7), F.col("h"), to_width, to_height))),
-        f"""select vec_id, string_agg(m, ',' order by y, x) as a from (
-          select vec_id, y, x, cast((sum(p) + count(*) // 2) // count(*) as bigint) as m
-          from (select vec_id, len(a) // 7 as h, (i - 1) // 7 as sy, (i - 1) % 7 as sx, cast(a[i] + 5000 as bigint) as p from (select vec_id, a, unnest(range(1, len(a) + 1)) as i from {PIX}))
+        f"""with v as (select row_number() over () as row, vec_id, a, len(a) // 7 as h from {PIX}),
+          p as (select row, h, (i - 1) // 7 as sy, (i - 1) % 7 as sx, cast(a[i] + 5000 as bigint) as p from (select row, h, a, unnest(range(1, len(a) + 1)) as i from v)),
+          c as (select row, y, x, sum(p) + count(*) // 2 as s, count(*) as n, count(p) as known from p
             join (select unnest(range({to_height})) as y) on sy >= y * h // {to_height} and sy < least(greatest((y + 1) * h // {to_height}, y * h // {to_height} + 1), h)
             join (select unnest(range({to_width})) as x) on sx >= x * 7 // {to_width} and sx < least(greatest((x + 1) * 7 // {to_width}, x * 7 // {to_width} + 1), 7)
-          group by vec_id, y, x) group by vec_id""",
+            group by row, y, x),
+          m as (select row, y, x, case when known = n then cast((s - (s % n + n) % n) // n as bigint) end as m from c)
+          select vec_id, case when h > 0 then coalesce(string_agg(m, ',' order by y, x), '') else '{",".join(["0"] * to_width * to_height)}' end as a from v left join m using (row) group by row, vec_id, h""",
     )
 
 
