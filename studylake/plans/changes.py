@@ -228,7 +228,7 @@ query("st_counters", lambda v: jobs.counters(v("v_access")), "select route, case
 pix = lambda v: v("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int")).alias("a"))
 PIX = "(select vec_id, list_transform(embedding, lambda x: cast(round(x * 1000) as int)) as a from embeddings)"
 flat = lambda c, name="a": F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(name)
-query("arr_rescale", lambda v: pix(v).select("vec_id", flat(F.transform(R.rescale(F.col("a"), 2, -1024), lambda x: x.cast("long")))), f"select vec_id, array_to_string(list_transform(a, lambda x: x * 2 - 1024), ',') as a from {PIX}")
+query("arr_rescale", lambda v: pix(v).select("vec_id", flat(F.transform(R.rescale(F.col("a"), 2, -1024), lambda x: x.cast("long")))), f"select vec_id, case when a is not null then coalesce(array_to_string(list_transform(a, lambda x: x * 2 - 1024), ','), '') end as a from {PIX}")
 WIN = "least(255.0::double, greatest(0.0::double, (x - (40 - 200 / 2)) / 200 * 255))"
 query("arr_window", lambda v: pix(v).select("vec_id", flat(R.window(F.col("a"), 40, 200)), flat(R.window(F.col("a"), 40, 200, True), "b")), f"select vec_id, array_to_string(list_transform(a, lambda x: cast(trunc({WIN}) as int)), ',') as a, array_to_string(list_transform(a, lambda x: cast(trunc(255 - {WIN}) as int)), ',') as b from {PIX}")
 query("arr_minmax", lambda v: pix(v).select("vec_id", flat(R.minmax(F.col("a")))), f"select vec_id, array_to_string(list_transform(a, lambda x: case when list_max(a) = list_min(a) then 128 else cast(trunc(cast(x - list_min(a) as double) / (list_max(a) - list_min(a)) * 255) as int) end), ',') as a from {PIX}")

@@ -186,7 +186,7 @@ def test_sql_of_arrays_states_the_whole_rule(spark, tmp_path, name):
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["arr_downsample_11x4", "arr_downsample_3x2"])
+@pytest.mark.parametrize("name", ["arr_downsample_11x4", "arr_downsample_3x2", "arr_rescale"])
 def test_sql_of_odd_arrays_states_the_whole_rule(spark, tmp_path, name):
     """Images without samples are zeros, means are rounded half up below 0 too, a null sample makes its cell null, and each row counts for itself."""
     vectors = [(1, None), (2, []), (3, [0.1] * 6), (4, [0.1] * 7), (5, [0.1, None, 0.3] * 5), (6, [None] * 14), (7, [-6.1, -7.3, -5.0005, -9.9995] * 14), (8, [0.5] * 14), (8, [0.25] * 21), (None, [0.5] * 14)]
