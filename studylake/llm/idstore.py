@@ -33,7 +33,7 @@ from .tokens import encoder
 END = 2
 #: Rolling hash: zero bits asked for, least and most ids of a chunk. It takes in the last 16 ids, by doubling.
 BITS, LEAST, MOST = 9, 128, 4096
-FACTORS = [(1 << k, np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64))) for k in range(4)]
+FACTORS = [(1 << k, np.uint32(pow(0x9E3779B1, 1 << k, 1 << 32))) for k in range(4)]
 #: Children of a node of the manifest, as a power of two; rows of a range that is numbered by one task, about.
 FANOUT_BITS, ROWS_PER_PART = 10, 500_000
 POLYNOMIAL = 0xEDB88320
@@ -41,11 +41,11 @@ POLYNOMIAL = 0xEDB88320
 
 def _zeros(ids: np.ndarray) -> list[int]:
     """Places after which the hash of the last 16 ids has BITS zeros on top."""
-    h = (ids.astype(np.uint64) + np.uint64(1)) * FACTORS[0][1]
+    h = (ids + np.uint32(1)) * FACTORS[0][1]
     for back, factor in FACTORS:
         older = h[:-back] * factor
         h[back:] += older
-    return (np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + 1).tolist()
+    return (np.flatnonzero(h < np.uint32(1 << (32 - BITS))) + 1).tolist()
 
 
 def _ends(n: int, zeros: list[int]) -> list[int]:
@@ -141,7 +141,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json") ->
     """Write the store under path. The ids are shuffled once, by digest, and written once."""
     spark = docs.sparkSession
     once = _encoded(docs, vocabulary).repartition("kind", "key").dropDuplicates(["kind", "key"])
-    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
+    once.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).partitionBy("kind").parquet(f"{path}/store")
     started(_kind(spark, path, "document").select("doc_id", "n_tokens", F.get("digests", F.lit(0)).alias("root"), "key")).write.parquet(f"{path}/documents")
     _manifest(_documents(spark, path)).write.parquet(f"{path}/manifest")
 

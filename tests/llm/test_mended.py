@@ -84,3 +84,20 @@ def test_batches_that_move_between_readings_are_an_error(spark, monkeypatch, tmp
 
     with pytest.raises(Exception, match="changed between two readings"):
         counted.with_counts(SimpleNamespace(sparkSession=spark, agg=rows.agg, mapInArrow=Shifting().mapInArrow), prepare, lambda k: k, finish, "n long").collect()
+
+
+def test_cutting_ids_takes_few_bytes_an_id():
+    """op6's rolling hash runs in 32 bits: before, it took 24 bytes an id and more."""
+    import tracemalloc
+
+
+    from studylake.llm import idstore
+
+    ids = np.random.default_rng(1).integers(0, 50_000, 1_000_000).astype("<u4")
+    tracemalloc.start()
+    try:
+        zeros = idstore._zeros(ids)
+        assert tracemalloc.get_traced_memory()[1] < 16 * len(ids)
+    finally:
+        tracemalloc.stop()
+    assert 0.8 < len(zeros) / (len(ids) / 2**idstore.BITS) < 1.25
