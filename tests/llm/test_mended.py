@@ -90,7 +90,6 @@ def test_cutting_ids_takes_few_bytes_an_id():
     """op6's rolling hash runs in 32 bits: before, it took 24 bytes an id and more."""
     import tracemalloc
 
-
     from studylake.llm import idstore
 
     ids = np.random.default_rng(1).integers(0, 50_000, 1_000_000).astype("<u4")
