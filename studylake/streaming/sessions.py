@@ -186,29 +186,32 @@ class SessionLines(StatefulProcessor):
         if at is not None:
             self.handle.registerTimer(at)
 
+    def _step(self, opened, at, known, adds, lines):
+        """The open session (first, last, requests, sums, expected) after one more request, or None; lines (ts, line, requests, sums) are appended to what is there."""
+        if opened and at - opened[1] > self.gap_ms * 1000:
+            lines.append((opened[1], self.idle, opened[2], opened[3]))
+            opened = None
+        first, _, requests, sums, expected = opened or (at, at, 0, [0] * len(self.sums), None)
+        requests, sums = requests + 1, [a + int(b) for a, b in zip(sums, adds, strict=True)]
+        if requests == 1:
+            lines.append((at, "started", 1, sums))
+        if expected is None and known is not None and known == known:
+            expected = int(known)
+        if self.every and requests % self.every == 0:
+            lines.append((at, "progress", requests, sums))
+        if expected is not None and requests >= expected:
+            lines.append((at, "loaded", requests, sums))
+            return None
+        return first, at, requests, sums, expected
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         now = self.session.get() if self.session.exists() else None
-        first, last, requests, sums = (now[0], now[1], now[2], list(now[3])) if now else (None, None, 0, [])
         expected = self.expected.get()[0] if now and self.expected.exists() else None
-        lines = []
         came = [r for f in rows for r in f[["ts", "arrival", "known", *self.sums]].itertuples(index=False)]
+        opened, lines = (now[0], now[1], now[2], list(now[3]), expected) if now else None, []
         for ts, _, known, *adds in sorted(came, key=lambda r: (r[0], r[1])):
-            at = pd.Timestamp(ts).value // 1000
-            if requests and at - last > self.gap_ms * 1000:
-                lines.append((last, self.idle, requests, sums))
-                requests, expected = 0, None
-            if not requests:
-                first, sums = at, [0] * len(self.sums)
-            last, requests, sums = at, requests + 1, [a + int(b) for a, b in zip(sums, adds, strict=True)]
-            if requests == 1:
-                lines.append((at, "started", 1, sums))
-            if expected is None and known is not None and known == known:
-                expected = int(known)
-            if self.every and requests % self.every == 0:
-                lines.append((at, "progress", requests, sums))
-            if expected is not None and requests >= expected:
-                lines.append((at, "loaded", requests, sums))
-                requests, expected = 0, None
+            opened = self._step(opened, pd.Timestamp(ts).value // 1000, known, adds, lines)
+        first, last, requests, sums, expected = opened or (None, None, 0, [], None)
         if not now:  # nothing is stored of a key without a session, neither a number nor a timer; each call to the store is a round trip
             if requests:
                 self.session.update((first, last, requests, sums))
@@ -239,15 +242,87 @@ class SessionLines(StatefulProcessor):
         pass
 
 
-def session_lines(events: DataFrame, gap_seconds: int, key: list[str], sums: dict[str, str], every: int = 0, expected: str | None = None, idle: str = "completed", order: str = "event_id") -> DataFrame:
+class BucketLines(SessionLines):
+    """The open sessions of all keys of a bucket as one state, with one timer at the first of their ends: a call, and its round trips to the store, serve all requests of a bucket in a trigger."""
+
+    def __init__(self, gap_ms: int, sums: list[str], every: int, idle: str, names: list[str]):
+        super().__init__(gap_ms, sums, every, idle)
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        keys = ", ".join(f"{n} array<string>" for n in self.names)
+        self.state = handle.getValueState("open", f"timer long, {keys}, first array<long>, last array<long>, requests array<long>, sums array<array<long>>, expected array<long>")
+
+    def _load(self):
+        """The timer that is set, and the open sessions by key."""
+        if not self.state.exists():
+            return None, {}
+        timer, *columns = self.state.get()
+        n = len(self.names)
+        return timer, {tuple(r[:n]): (*r[n : n + 3], list(r[n + 3]), r[n + 4]) for r in zip(*columns, strict=True)}
+
+    def _store(self, timer, before, opened) -> None:
+        """timer: the one that is set; before: whether there is a state."""
+        due = min((s[1] for s in opened.values()), default=None)
+        due = None if due is None else due // 1000 + self.gap_ms + 1
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if opened:
+            self.state.update((due, *(list(c) for c in zip(*((*k, *s) for k, s in opened.items()), strict=True))))
+        elif before:
+            self.state.clear()
+
+    def _lines(self, lines):
+        """lines: the key, and ts, line, requests, sums of each of its lines."""
+        if lines:
+            keys, at, line, requests, sums = zip(*((k, *x) for k, some in lines for x in some), strict=True)
+            columns = {f"k{i}": c for i, c in enumerate(zip(*keys, strict=True))} | {"ts": pd.to_datetime(list(at), unit="us"), "line": line, "requests": requests}
+            yield pd.DataFrame(columns | dict(zip(self.sums, zip(*sums, strict=True), strict=True)))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        timer, opened = self._load()
+        before, n, lines = bool(opened), len(self.names), {}
+        came = []
+        for f in rows:
+            at = f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            came += zip(at, *(f[c].tolist() for c in ["arrival", *self.names, "known", *self.sums]), strict=True)
+        for r in sorted(came, key=lambda r: r[:2]):
+            k = r[2 : n + 2]
+            now = self._step(opened.get(k), r[0], r[n + 2], r[n + 3 :], lines.setdefault(k, []))
+            if now:
+                opened[k] = now
+            else:
+                opened.pop(k, None)
+        self._store(timer, before, opened)
+        yield from self._lines([x for x in lines.items() if x[1]])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        timer, opened = self._load()
+        passed = timerValues.getCurrentWatermarkInMs()
+        ended = {k: s for k, s in opened.items() if s[1] // 1000 + self.gap_ms + 1 < passed}
+        self._store(timer, bool(opened), {k: s for k, s in opened.items() if k not in ended})
+        yield from self._lines([(k, [(s[1], self.idle, s[2], s[3])]) for k, s in ended.items()])
+
+
+def session_lines(events: DataFrame, gap_seconds: int, key: list[str], sums: dict[str, str], every: int = 0, expected: str | None = None, idle: str = "completed", order: str = "event_id", buckets: int = 0) -> DataFrame:
     """A stream's session lines: started, progress at every so many requests, loaded as soon as the expected number is there, and the idle line after more than the gap; with time, requests and sums so far.
 
     events: a stream with ts and its watermark. Rows of one trigger go by ts and order; earlier ones than the watermark are dropped. Needs the RocksDB state store
     (spark.sql.streaming.stateStore.providerClass); a session's state goes with its idle line.
+
+    buckets: into how many states the open sessions are dealt by a hash of their key; 0 gives each its own. A trigger reads and writes the whole buckets that it touches: buckets are for triggers with
+    requests of many sessions, where a call for each costs far more than its requests; states of their own are for small triggers beside many open sessions. A checkpoint keeps its number.
     """
     names = [f"k{i}" for i in range(len(key))]
     schema = ", ".join(f"{n} string" for n in names) + ", ts timestamp, line string, requests long" + "".join(f", {s} long" for s in sums)
     known = F.col(expected).cast("long") if expected else F.lit(None).cast("long")
     rows = events.select(*(F.col(k).cast("string").alias(n) for k, n in zip(key, names, strict=True)), "ts", F.col(order).alias("arrival"), known.alias("known"), *(F.coalesce(F.expr(e).cast("long"), F.lit(0).cast("long")).alias(s) for s, e in sums.items()))
-    out = rows.groupBy(*names).transformWithStateInPandas(SessionLines(gap_seconds * 1000, list(sums), every, idle), schema, "append", "EventTime")
+    if buckets:
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+        out = dealt.groupBy("bucket").transformWithStateInPandas(BucketLines(gap_seconds * 1000, list(sums), every, idle, names), schema, "append", "EventTime")
+    else:
+        out = rows.groupBy(*names).transformWithStateInPandas(SessionLines(gap_seconds * 1000, list(sums), every, idle), schema, "append", "EventTime")
     return out.select(*(F.col(n).alias(k) for k, n in zip(key, names, strict=True)), "ts", "line", "requests", *sums)
