@@ -31,44 +31,60 @@ def _stacked(results: list, names: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.concat(frames if same else [x.astype(object) for x in frames], ignore_index=True)
 
 
-def per_study(frames: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame | list[tuple]], schema: str, defaults: dict | None = None, by: tuple[str, ...] = ("study_uid",), **parameters) -> DataFrame:
-    """fn(frames of one study, parameters) once for each study; parameters fall back to defaults and keep their types. fn gives a frame, or a list of tuples in the schema's order.
+def _studies(batches: Iterator[pd.DataFrame], by: list[str], hidden: list[str]) -> Iterator[list[tuple[tuple, pd.DataFrame]]]:
+    """Of each sorted batch the studies that end before its last one, and that one when the next begins: the key and hidden values of the first row, and the rows without the hidden columns.
 
-    Studies lie one after the other in sorted partitions and are cut from Arrow batches: a group for each of millions of small studies (applyInPandas) costs far more than its function.
-    A study that reaches over several batches is put together first.
+    What holds for all studies of a batch is done once for the batch: choosing columns or a value of a small frame costs more than cutting it.
     """
+    head, pieces = None, []  # of the study that the batches so far end with
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        cuts = [0, *_changes(pdf, by).tolist(), len(pdf)]
+        heads = list(zip(*(pdf[c].take(cuts[:-1]).tolist() for c in [*by, *hidden]), strict=True))
+        shown = pdf.drop(columns=hidden) if hidden else pdf
+        whole = []
+        if pieces and len(_changes(pd.concat([pieces[-1][by].tail(1), shown[by].head(1)]), by)):
+            whole.append((head, pd.concat(pieces, ignore_index=True)))
+            pieces = []
+        for low, high, first in zip(cuts[:-1], cuts[1:], heads, strict=True):
+            one = shown.iloc[low:high].reset_index(drop=True)
+            head = head if pieces else first
+            if high == len(pdf):
+                pieces.append(one)
+            elif pieces:
+                whole.append((head, pd.concat([*pieces, one], ignore_index=True)))
+                pieces = []
+            else:
+                whole.append((head, one))
+        yield whole
+    if pieces:
+        yield [(head, pd.concat(pieces, ignore_index=True))]
+
+
+def _per_key(frames: DataFrame, fn: Callable[[tuple, pd.DataFrame, dict], pd.DataFrame | list[tuple]], schema: str, defaults: dict | None, by: tuple[str, ...], parameters: dict, hidden: tuple[str, ...] = ()) -> DataFrame:
     defaults = defaults or {}
     if unknown := set(parameters) - set(defaults):
         raise ValueError(f"unknown parameters: {sorted(unknown)}")
     values = {k: type(v)(parameters.get(k, v)) for k, v in defaults.items()}
-    by, names = list(by), StructType.fromDDL(schema).names
+    names = StructType.fromDDL(schema).names
 
     def run(batches):
-        pieces = []  # of the study that the batches so far end with
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cuts = [0, *_changes(pdf, by).tolist(), len(pdf)]
-            results = []
-            if pieces and len(_changes(pd.concat([pieces[-1].tail(1), pdf.head(1)]), by)):
-                results.append(fn(pd.concat(pieces, ignore_index=True), values))
-                pieces = []
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                one = pdf.iloc[low:high].reset_index(drop=True)
-                if high == len(pdf):
-                    pieces.append(one)
-                elif pieces:
-                    results.append(fn(pd.concat([*pieces, one], ignore_index=True), values))
-                    pieces = []
-                else:
-                    results.append(fn(one, values))
-            yield from _stacked(results, names)
-        if pieces:
-            yield from _stacked([fn(pd.concat(pieces, ignore_index=True), values)], names)
+        for whole in _studies(batches, list(by), list(hidden)):
+            yield from _stacked([fn(head, pdf, values) for head, pdf in whole], names)
 
     return frames.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
+def per_study(frames: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame | list[tuple]], schema: str, defaults: dict | None = None, by: tuple[str, ...] = ("study_uid",), **parameters) -> DataFrame:
+    """fn(frames of one study, parameters) once for each study; parameters fall back to defaults and keep their types. fn gives a frame, or a list of tuples in the schema's order.
+
+    Studies lie one after the other in sorted partitions and are cut from Arrow batches: a group for each of millions of small studies (applyInPandas) costs far more than its function.
+    A study that reaches over several batches is put together first.
+    """
+    return _per_key(frames, lambda _, pdf, values: fn(pdf, values), schema, defaults, by, parameters)
+
+
 def per_frame(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """fn over batches of frames, without state."""
 
@@ -100,13 +116,12 @@ def chain_outcomes(studies: DataFrame, rules: DataFrame, frames: DataFrame, fn,
     fail the job. schema has study_uid and rule.
     """
     names = StructType.fromDDL(schema).names
-    columns = ["study_uid", "rule", *(c for c in frames.columns if c != "study_uid")]
 
-    def guarded(pdf: pd.DataFrame, parameters: dict) -> pd.DataFrame | list[tuple]:
-        own, rows, error = {c: pdf[c].iat[0] for c in ("study_uid", "rule")}, None, None
+    def guarded(head: tuple, pdf: pd.DataFrame, parameters: dict) -> pd.DataFrame | list[tuple]:
+        rows, error = None, None
         try:
-            if pd.notna(pdf["_frame"].iat[0]):  # a study without frames has one row that says so
-                rows = fn(pdf[columns], parameters)
+            if pd.notna(head[2]):  # a study without frames has one row that says so
+                rows = fn(pdf, parameters)
                 if isinstance(rows, list):
                     rows = [(*r, "complete", None) for r in rows]
                     if any(len(r) != len(names) + 2 for r in rows):
@@ -116,12 +131,14 @@ def chain_outcomes(studies: DataFrame, rules: DataFrame, frames: DataFrame, fn,
         except Exception as e:  # whatever a model raises is that task's outcome
             rows, error = None, f"{type(e).__name__}: {e}"
         if rows is None or not len(rows):
+            own = dict(zip(("study_uid", "rule"), head, strict=False))
             return [(*(own.get(n) for n in names), "failed" if error else "empty", error)]
         return rows
 
     tasks = all_rules(studies, rules).select("study_uid", F.col("name").alias("rule"))
     given = tasks.join(frames.withColumn("_frame", F.lit(True)), "study_uid", "left")
-    return per_study(given, guarded, schema + ", outcome string, error string", by=("study_uid", "rule"), **kwargs)
+    defaults = kwargs.pop("defaults", None)
+    return _per_key(given, guarded, schema + ", outcome string, error string", defaults, ("study_uid", "rule"), kwargs, ("_frame",))
 
 
 def outcome(error: Column, rows: Column) -> Column:

@@ -7,6 +7,7 @@ from unittest.mock import MagicMock
 import pandas as pd
 import pytest
 
+from studylake.operators import usercode as U
 from studylake.plans import roundtrips
 from studylake.streaming import sessions
 
@@ -64,3 +65,33 @@ def test_the_lines_are_dealt_in_buckets(spark, monkeypatch):
     given = spark.createDataFrame(made(20, 1), FIELDS)
     roundtrips._lines(given.fillna("u"), sessions.KEY, sums=sessions.ACCESS_SUMS, expected="expected", idle="partial")
     assert asked[0]["buckets"] > 1
+
+
+def _handed(spark, monkeypatch, build) -> tuple[list[pd.DataFrame], object]:
+    """The rows and the function that build hands to mapInPandas."""
+    handed, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, fn, schema: (handed.append((self.toPandas(), fn)), self)[1])
+    build()
+    (pdf, fn), = handed
+    return pdf.sort_values(["study_uid", "rule"], ignore_index=True), fn
+
+
+def test_columns_are_chosen_once_a_batch(spark, monkeypatch):
+    """No column of a task's few rows is asked for but by the model; tasks that reach over batches are whole, and those without frames never reach it."""
+    studies = spark.range(40).selectExpr("concat('s', id + 100) as study_uid", "'CT' as modality", "'HEAD' as body_part", "'x' as study_description")
+    rules = spark.createDataFrame([(1, "a", "ct", None, None)], "position int, name string, r_modality string, r_body_part string, r_study_description string")
+    frames = spark.range(90).selectExpr("concat('s', id % 30 + 100) as study_uid", "id as v")
+    seen, asked, real = [], [], pd.DataFrame.__getitem__
+
+    def model(pdf, p):
+        seen.append((list(pdf.columns), list(pdf.index), len(pdf)))
+        if len(seen) % 3 == 0:
+            raise ValueError("third")
+        return [(*pdf.iloc[0, :2], len(pdf))]
+
+    pdf, fn = _handed(spark, monkeypatch, lambda: U.chain_outcomes(studies, rules, frames, model, "study_uid string, rule string, n long"))
+    monkeypatch.setattr(pd.DataFrame, "__getitem__", lambda self, c: (asked.append(c), real(self, c))[1])
+    got = pd.concat(fn(iter([pdf.iloc[:50], pdf.iloc[50:50], pdf.iloc[50:52], pdf.iloc[52:]])))
+    assert len(asked) < 40 and seen == [(["study_uid", "rule", "v"], [0, 1, 2], 3)] * 30
+    assert got["outcome"].tolist() == ["complete", "complete", "failed"] * 10 + ["empty"] * 10
+    assert got["study_uid"].tolist() == [f"s{100 + i}" for i in range(40)] and set(got["error"].dropna()) == {"ValueError: third"}
