@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -43,7 +43,7 @@ def rebuild_levels(datasets: DataFrame, stored: dict[str, DataFrame], attributes
     (level -> column -> (tag, kind)). Stored values win; a gap takes the value of the dataset with the smallest hash that has one, and studies, series and instances that are not
     stored are added. An instance belongs to its stored study, else to the smallest study that claims it; other claims are conflicts and add nothing. Datasets that are no JSON or
     lack one of the three identifiers are errors. Repeated datasets count once. The attributes are written once: a filter or join above the parser would move below it and parse each text
-    again for every condition, table and level.
+    again for every condition, table and level. Claims are dealt by instance once, for owners and instances.
     """
     wanted = {level: [*(c for c in ("study_uid", "series_uid") if level == "instances"), *attributes[level]] for level in LEVELS}
     columns = UIDS | {name: at for level in attributes.values() for name, at in level.items()}
@@ -51,8 +51,8 @@ def rebuild_levels(datasets: DataFrame, stored: dict[str, DataFrame], attributes
     whole = F.col("study_uid").isNotNull() & F.col("series_uid").isNotNull() & F.col("sop_uid").isNotNull()
     good = rows.where(whole)
     held = stored["instances"].select("sop_uid", F.col("study_uid").alias("_study"))
-    owner = good.groupBy("sop_uid").agg(F.min("study_uid").alias("_least")).join(held, "sop_uid", "left").select("sop_uid", F.coalesce("_study", "_least").alias("owner"))
-    claims = good.join(owner, "sop_uid")
+    least = F.min("study_uid").over(Window.partitionBy("sop_uid"))
+    claims = good.join(held, "sop_uid", "left").withColumn("owner", F.coalesce("_study", least)).drop("_study")
     own = claims.where("study_uid = owner")
     out = {
         "conflicts": claims.where("study_uid <> owner").select("sop_uid", "study_uid", "owner", "blob_hash").distinct(),
