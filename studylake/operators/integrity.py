@@ -43,7 +43,8 @@ def rebuild_levels(datasets: DataFrame, stored: dict[str, DataFrame], attributes
     (level -> column -> (tag, kind)). Stored values win; a gap takes the value of the dataset with the smallest hash that has one, and studies, series and instances that are not
     stored are added. An instance belongs to its stored study, else to the smallest study that claims it; other claims are conflicts and add nothing. Datasets that are no JSON or
     lack one of the three identifiers are errors. Repeated datasets count once. The attributes are written once: a filter or join above the parser would move below it and parse each text
-    again for every condition, table and level. Claims are dealt by instance once, for owners and instances.
+    again for every condition, table and level. Claims are dealt by instance once, for owners and instances; rows of a series or study lie scattered then, so nothing is gained by aggregating
+    them before they are dealt by those keys, which would sort them all.
     """
     wanted = {level: [*(c for c in ("study_uid", "series_uid") if level == "instances"), *attributes[level]] for level in LEVELS}
     columns = UIDS | {name: at for level in attributes.values() for name, at in level.items()}
@@ -60,7 +61,8 @@ def rebuild_levels(datasets: DataFrame, stored: dict[str, DataFrame], attributes
     }
     for level, key in LEVELS.items():
         first = {c: F.min(F.when(F.col(c).isNotNull(), F.struct("blob_hash", F.col(c).alias("v"))))["v"] for c in wanted[level]}
-        found = own.groupBy(*key).agg(*(e.alias(f"_{c}") for c, e in first.items()))
+        dealt = own if level == "instances" else own.repartition(*key)
+        found = dealt.groupBy(*key).agg(*(e.alias(f"_{c}") for c, e in first.items()))
         both = stored[level].select(*key, *wanted[level]).join(found, key, "full_outer")
         out[level] = both.select(*key, *(F.coalesce(c, f"_{c}").alias(c) for c in wanted[level]))
     return out

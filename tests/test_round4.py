@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from unittest.mock import MagicMock
 
+import duckdb
 import pandas as pd
 import pytest
 
 from studylake.operators import integrity as I
 from studylake.operators import usercode as U
 from studylake.plans import roundtrips
+from studylake.plans.archive import QUERIES
+from studylake.plans.registry import with_views
+from studylake.sources.views import view
 from studylake.streaming import sessions
 
+from .oracle import SMALL, rows as cells
 from .test_sessions import FIELDS, lines_model, made
 
 
@@ -102,6 +107,29 @@ def _plan(df, stage: str = "optimizedPlan") -> str:
     return getattr(df._jdf.queryExecution(), stage)().toString()
 
 
+def test_series_and_instances_share_the_first_shuffle(spark):
+    """Both are made of lines dealt by instance; no line is sorted before it is dealt, and rows of a series are aggregated once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = QUERIES["int_rebuild_series"](spark, SMALL)
+        assert _plan(got, "executedPlan").count("ReusedExchange") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "WindowGroupLimit" not in _plan(got)
+    assert _plan(got, "executedPlan").count("REPARTITION_BY_COL") == 1
+
+
+def test_lines_without_an_order_or_a_number(spark, tmp_path):
+    """All lines that lack either are one instance without an id; its own number, order and study stay."""
+    con = duckdb.connect()
+    con.sql(f"""copy (select * replace (case when l_partkey % 5 = 1 then null else l_orderkey end as l_orderkey, case when l_partkey % 7 = 2 then null else l_linenumber end as l_linenumber, case when l_partkey % 11 = 3 then null else l_suppkey end as l_suppkey)
+      from '{SMALL}/lineitem.parquet') to '{tmp_path}/lineitem.parquet' (format parquet)""")
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = view(spark, str(tmp_path), "v_instances")
+    assert got.where("sop_uid is null").count() == 1 and dict(got.dtypes)["seq"] == "int"
+    assert cells(got.toPandas()) == cells(con.sql(with_views("select * from v_instances")).df())
+
+
 def test_owners_take_the_claims_once(spark):
     """Claims are read and dealt once for owners and instances; an instance that is stored twice has both studies as owners."""
     text = lambda study, series, sop: f'{{"00080018": {{"Value": ["{sop}"]}}, "0020000D": {{"Value": ["{study}"]}}, "0020000E": {{"Value": ["{series}"]}}}}'
