@@ -73,7 +73,8 @@ def _per_key(frames: DataFrame, fn: Callable[[tuple, pd.DataFrame, dict], pd.Dat
         for whole in _studies(batches, list(by), list(hidden)):
             yield from _stacked([fn(head, pdf, values) for head, pdf in whole], names)
 
-    return frames.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: else adaptive execution makes few tasks of rows that are small beside what a function costs
+    return frames.repartition(parts, *by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def per_study(frames: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame | list[tuple]], schema: str, defaults: dict | None = None, by: tuple[str, ...] = ("study_uid",), **parameters) -> DataFrame:

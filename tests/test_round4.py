@@ -103,6 +103,12 @@ def test_columns_are_chosen_once_a_batch(spark, monkeypatch):
     assert got["study_uid"].tolist() == [f"s{100 + i}" for i in range(40)] and set(got["error"].dropna()) == {"ValueError: third"}
 
 
+def test_small_rows_keep_their_tasks(spark):
+    """What a function costs does not show in the bytes of its rows, so adaptive execution must not put them into few tasks."""
+    out = U.per_study(spark.range(50).selectExpr("cast(id as string) as study_uid"), lambda pdf, p: [(pdf["study_uid"].iat[0],)], "study_uid string")
+    assert out.count() == 50 and out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def _plan(df, stage: str = "optimizedPlan") -> str:
     return getattr(df._jdf.queryExecution(), stage)().toString()
 
